@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import quality
+from examloom.llm import bpe, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_codec": bpe.op5_bpe_codec,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
