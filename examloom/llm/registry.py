@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bpe, quality, tokencount
+from examloom.llm import bpe, langid, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op8_quality_rules": quality.op8_quality_rules,
