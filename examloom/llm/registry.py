@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bpe, langid, quality, tokencount
+from examloom.llm import bpe, langid, licenses, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": licenses.op4_license_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.ORACLE_SQL,
+}
