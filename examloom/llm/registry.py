@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bpe, langid, licenses, quality, tokencount
+from examloom.llm import bpe, decontaminate, langid, licenses, pages, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_html_extraction": pages.op2_html_extraction,
     "op4_license_scan": licenses.op4_license_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
