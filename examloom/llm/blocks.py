@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
 BATCH_ROWS = 1000
+MAX_ROWS = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
@@ -124,7 +125,7 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK) -> Iterator[Block]:
-    """Cut batches to about size bytes of text; one longer text makes a block of its own."""
+    """Cut batches to about size bytes of text and MAX_ROWS rows; one longer text makes a block of its own."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -133,7 +134,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
         at = 0
         while at < n:
             used = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, used + size, side="right")))
+            to = min(at + MAX_ROWS, max(at + 1, int(np.searchsorted(total, used + size, side="right"))))
             yield Block(batch.slice(at, to - at), column, lower, blank)
             at = to
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bpe, decontaminate, langid, licenses, pages, quality, tokencount
+from examloom.llm import bpe, decontaminate, langid, licenses, neardup, pages, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_minhash_neardup": neardup.op6_minhash_neardup,
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_html_extraction": pages.op2_html_extraction,
     "op4_license_scan": licenses.op4_license_scan,

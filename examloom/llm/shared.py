@@ -1,0 +1,30 @@
+"""Tables written in the folder that all executors share, to cut lineage."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where none is set (a single machine, tests) one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="examloom-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet and read again: later steps do not depend on how it was made."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
