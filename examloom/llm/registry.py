@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bpe, decontaminate, fmindex, langid, licenses, neardup, pages, quality, tokencount
+from examloom.llm import bcr, bpe, decontaminate, fmindex, langid, licenses, neardup, pages, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_dedup": bcr.op3_suffix_dedup,
     "op7_substring_dedup": fmindex.op7_substring_dedup,
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
     "op1_decontamination": decontaminate.op1_decontamination,
