@@ -10,11 +10,12 @@ candidates that no band proposes: for a pair right at the threshold s the
 chance is (1 - s**ROWS)**BANDS, 5e-11 at 0.85 and 5e-8 at 0.8.
 
 Skew: equal sets are first merged into one class, by pre-aggregation.  Within a
-bucket each class is compared with one leader only; classes that are connected
-so need no further comparison.  Afterwards only classes of one bucket that are
-still in different components are compared with each other, all of them.  So a
-group of m near copies costs about m comparisons, not their square, and no
-candidate is dropped.
+bucket each class is compared with one leader only, its most typical member;
+classes that are connected so need no further comparison.  Classes of one
+leader that are still apart are then compared where their common items with the
+leader, or rare items besides (a prefix filter), allow for enough similarity;
+both are exact bounds.  So a group of m near copies costs about m comparisons,
+not their square, and no candidate is dropped.
 
 Empty buckets of small sets borrow the register of the next full one, so all
 bands are usable; small sets also carry their size class in the band's key.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.llm.blocks import Block, Rolling, blocks, configure, mix
@@ -39,6 +40,8 @@ from examloom.llm.shared import stored
 
 BUCKETS, MANTISSA = 128, 10
 ROWS, BANDS = 4, 32
+#: At most so many items of a leader's followers, each had by OFTEN of them or more, come late in the prefix filter's order.
+HOT, OFTEN = 16, 32
 #: Standard deviations below the threshold at which an estimate is clearly too low.
 SIGMAS = 6
 #: Sets of more shingles than this are not told apart by size in the bands.
@@ -178,32 +181,60 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     # Smaller sets than this link with equal ones only.
     wide = reps.where(F.col("n") >= math.floor(share / (1 - share) + 1e-9))
     bands = wide.select("rep", "n", "regs").mapInArrow(_banded(share), "band long, rep long")
-    lead = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    shared = stored(bands.join(lead, "band"), "bands")
+    size = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    sized = stored(bands.join(size, "band"), "bands")
+    # The leader of a bucket is its most typical class, the one with most company over all its buckets.
+    typical = sized.groupBy("rep").agg(F.sum("size").alias("company"))
+    known = stored(sized.join(typical, "rep"), "bands")
+    lead = known.groupBy("band").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("leader"))
+    shared = known.select("band", "rep").join(lead, "band")
     members = shared.select("rep").distinct()
     sets = stored(docs.select(key, text).join(members, F.col(key) == F.col("rep"), "left_semi").mapInArrow(_sets(width, key, text), "id long, items array<long>"), "sets")
     facts = reps.join(members, "rep", "left_semi").select(F.col("rep"), "n", "regs")
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) on their full sets: sizes na, nb and common items i."""
+        x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
+        both = F.size(F.array_intersect("xa", "xb"))
+        return x.select("a", "b", "xa", "xb", F.size("xa").alias("na"), F.size("xb").alias("nb"), both.alias("i"))
+
+    similar = 100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar enough: by size, by estimate, then on the sets."""
         x = pairs.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         x = x.join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
         x = x.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(share), "a long, b long")
-        x = x.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
-        both = F.size(F.array_intersect("xa", "xb"))
-        x = x.select("a", "b", both.alias("i"), (F.size("xa") + F.size("xb")).alias("t"))
-        return x.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
-
-    first = stored(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    linked = stored(links(first), "links")
+        return compared(x).where(similar).select("a", "b").distinct()
+
+    # Every class with the leaders of its buckets: how much they have in common, and what the class has besides, of
+    # which as many items as the prefix filter needs (two sets that are similar enough share one of these).
+    pairs = shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    prefix = F.col("na") - F.ceil(F.lit(percent) * F.col("na") / 100) + 1
+    extra = F.array_except("xa", "xb")
+    first = stored(compared(pairs).select("a", "b", "na", "nb", "i", F.slice(F.array_sort(extra), F.lit(1), (prefix + HOT).cast("int")).alias("extra"), prefix.cast("int").alias("p")), "pairs")
+    linked = stored(first.where(similar).select("a", "b"), "links")
     part = components(linked)
-    # What shares a band but is still apart is compared in full.
-    placed = shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    apart = stored(placed.join(mixed, "band", "left_semi"), "apart")
-    other = apart.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    second = apart.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "band").where("ca < cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = stored(links(stored(second.join(first, ["a", "b"], "left_anti"), "pairs")), "links")
+    # Classes of one leader that are still in different components: they can only be similar if they share an item that
+    # the leader lacks, or if what both have in common with the leader is enough by itself.
+    placed = first.join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
+    apart = stored(placed.join(mixed, "b", "left_semi"), "apart")
+    # The prefix filter takes any order of items that is the same for all: here what the leader lacks comes first, but
+    # for the few items that most others have, and what the leader has comes last.
+    items = apart.select("b", F.explode("extra").alias("item"), "a", "c", "p")
+    often = items.groupBy("b", "item").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    hot = often.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "item"))).where(F.col("r") <= HOT).select("b", "item", F.lit(1).alias("hot"))
+    items = items.join(hot, ["b", "item"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("hot", F.lit(0)), "item"))).where("r <= p").select("b", "item", "a", "c")
+    several = items.groupBy("b", "item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b", "item")
+    items = stored(items.join(several, ["b", "item"], "left_semi"), "items")
+    by_item = items.join(items.select("b", "item", F.col("a").alias("y"), F.col("c").alias("cy")), ["b", "item"]).where("c < cy").select("a", "y")
+    plain = apart.where("na - i < p").drop("extra", "p")
+    far = plain.where(~similar).select("b", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("i").alias("iy"))
+    most = F.least("i", "iy")
+    by_leader = plain.join(far, "b").where((F.col("c") != F.col("cy")) & (100 * most >= percent * (F.col("na") + F.col("ny") - most))).select("a", "y")
+    second = by_item.unionByName(by_leader).select(F.greatest("a", "y").alias("a"), F.least("a", "y").alias("b")).distinct()
+    more = stored(links(stored(second, "pairs")), "links")
     if more.isEmpty():
         whole = part
     else:
