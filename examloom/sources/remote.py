@@ -47,7 +47,7 @@ def paged_source(name: str, schema: str, fetch) -> type[DataSource]:
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema):
+        def reader(self, schema):
             return _Reader(dict(self.options), fetch)
 
     return Paged
