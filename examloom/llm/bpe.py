@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ CACHED_WORDS = 250_000
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 500_000
 _INF = 1 << 60
+#: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
+_KNOWN = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_PLAIN = re.compile(r"[!-~]+").fullmatch
+_PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 class Recent(dict):
@@ -141,38 +146,51 @@ class Encoder:
         self.normalise, self.pretokenise = library.normalizer, library.pre_tokenizer
         self.split = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
         self.link, self.length, self.up = v.link.tolist(), v.length.tolist(), v.up.tolist()
+        # The nearest state with tokens, itself included, and the tokens of each state, longest first.
+        self.near = [s if s in v.at else u for s, u in enumerate(self.up)]
+        self.at = [v.at.get(s, ()) for s in range(len(self.up))]
+        self.plain = json.loads(v.json)["pre_tokenizer"] == _KNOWN
         self.pairs = Recent(CACHED_PAIRS, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
         self.pieces = Recent(CACHED_PIECES, self.piece)
         self.words = Recent(CACHED_WORDS, self.word)
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, as bytes."""
-        v = self.v
-        w = [v.symbol[c] for c in text]
-        w[-1] += v.ends
-        step, link, length, up, at, fits = v.step, self.link, self.length, self.up, v.at, self.pairs
+        w = list(map(self.v.symbol.__getitem__, text))
+        w[-1] += self.v.ends
+        step, link, length, near, at, fits, up = self.v.step.get, self.link, self.length, self.near, self.at, self.pairs, self.up
         last, back = [-1] * (len(w) + 1), [0] * (len(w) + 1)
-        s = n = 0
-        for i, c in enumerate(w, 1):
-            while s and s << 10 | c not in step:
+        s = n = i = 0
+        for c in w:
+            i += 1
+            x = step(s << 10 | c)
+            while x is None:
                 s = link[s]
                 n = length[s]
-            s = step[s << 10 | c]
+                x = step(s << 10 | c)
+            s = x
             n += 1
-            t = s if s in at else up[s]
-            found = -1
-            while t and found < 0:
+            t = near[s]
+            while t:
                 for size, token in at[t]:
-                    if size <= n and (size == i or last[i - size] >= 0 and fits[last[i - size] << 32 | token]):
-                        found, back[i] = token, i - size
+                    if size <= n and (size == i or (u := last[i - size]) >= 0 and fits[u << 32 | token]):
+                        last[i], back[i] = token, i - size
+                        t = 0
                         break
-                t = up[t]
-            last[i] = found
+                else:
+                    t = up[t]
         out, i = [], len(w)
         while i:
             out.append(last[i])
             i = back[i]
-        return np.array(out[::-1], dtype="<u4").tobytes()
+        out.reverse()
+        return array("I", out).tobytes()
+
+    def parts(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        if self.plain and _PLAIN(text):
+            return _PLAIN_PARTS(text.lower())
+        return [x for x, _ in self.pretokenise.pre_tokenize_str(self.normalise.normalize_str(text))]
 
     def word(self, raw: bytes) -> tuple[bytes, bytes]:
         """The bytes of the ids and of the decoded text of one word without white space of ASCII."""
@@ -181,7 +199,7 @@ class Encoder:
             if k % 2:
                 ids.append(self.v.special[part].to_bytes(4, "little"))
             elif part:
-                ids += [self.pieces[x] for x, _ in self.pretokenise.pre_tokenize_str(self.normalise.normalize_str(part))]
+                ids += [self.pieces[x] for x in self.parts(part)]
         got = b"".join(ids)
         return got, " ".join(map(self.v.token.__getitem__, memoryview(got).cast("I"))).encode()
 
