@@ -38,19 +38,22 @@ ANCHOR = 50
 
 
 class Files:
-    """Arrays in files, each replaced as a whole by its next version."""
+    """Arrays in files, each read once and then replaced by a new file.  (Renaming over a file would make it wait for the disk.)"""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.kinds = folder, {}
+        self.folder, self.now, self.made = folder, {}, 0
 
     def put(self, name: str, x: np.ndarray) -> None:
-        path = os.path.join(self.folder, name)
-        x.tofile(path + ".next")
-        os.replace(path + ".next", path)
-        self.kinds[name] = x.dtype
+        path = os.path.join(self.folder, f"{name}.{self.made}")
+        self.made += 1
+        x.tofile(path)
+        self.now[name] = path, x.dtype
 
     def get(self, name: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), dtype=self.kinds[name])
+        path, kind = self.now.pop(name)
+        x = np.fromfile(path, dtype=kind)
+        os.unlink(path)
+        return x
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -68,50 +71,55 @@ def construct(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, n
     size = np.array([len(s) for s in strings])
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
     end = np.cumsum(size)
+    symbol = np.uint8 if int(flat.max()) < 255 else np.uint16
+    short = np.uint8 if cap <= 255 else np.uint16
+    longest = int(size.max()) + 1
     with tempfile.TemporaryDirectory() as folder:
         files = Files(folder)
-        files.put("bwt", flat[end - 1].astype(np.uint16) + np.uint16(1))
-        files.put("lcp", np.zeros(k, dtype=np.uint16))
-        files.put("name", np.stack([np.arange(k), np.zeros(k)], axis=1).astype(np.int32))
+        files.put("bwt", flat[end - 1].astype(symbol) + symbol(1))
+        files.put("lcp", np.zeros(k, dtype=short))
+        files.put("name", np.arange(k, dtype=np.int64 if k * longest >= 1 << 31 else np.int32) * longest)
         row, live = np.arange(k), np.arange(k)
-        for length in range(1, int(size.max()) + 1):
-            bwt, lcp, name = files.get("bwt"), files.get("lcp"), files.get("name").reshape(-1, 2)
+        for length in range(1, longest):
+            bwt, lcp, name = files.get("bwt"), files.get("lcp"), files.get("name")
             n = len(bwt)
             order = np.argsort(bwt, kind="stable")
-            zeros = int(np.searchsorted(bwt[order], 1))
-            turn = np.empty(n, dtype=np.int64)
-            turn[order] = np.arange(n)
-            turn = turn[row[live]]
+            zeros = n - int(np.count_nonzero(bwt))
+            at = row[live]
+            c = bwt[at]
+            turn = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+            turn[order] = np.arange(n, dtype=turn.dtype)
+            turn = turn[at].astype(np.int64)
             new = turn - zeros + k
-            c = bwt[row[live]]
             # What the new suffixes share with their neighbours of the same first symbol.
-            has = (turn > zeros) & (bwt[order[turn - 1]] == c)
-            before = np.zeros(len(live), dtype=np.uint16)
-            before[has] = np.minimum(range_minima(lcp, order[turn[has] - 1] + 1, row[live[has]] + 1) + 1, cap) if has.any() else 0
-            nxt = np.minimum(turn + 1, n - 1)
-            follows = (turn + 1 < n) & (bwt[order[nxt]] == c)
-            after = np.minimum(range_minima(lcp, row[live[follows]] + 1, order[nxt[follows]] + 1) + 1, cap) if follows.any() else np.zeros(0, dtype=np.uint16)
-
+            left, right = order[turn - 1], order[np.minimum(turn + 1, n - 1)]
+            has = (turn > zeros) & (bwt[left] == c)
+            before = np.zeros(len(live), dtype=short)
+            if has.any():
+                before[has] = np.minimum(range_minima(lcp, left[has] + 1, at[has] + 1).astype(np.int64) + 1, cap)
+            follows = (turn + 1 < n) & (bwt[right] == c)
             fresh = np.zeros(n + len(live), dtype=bool)
             fresh[new] = True
+            old = np.flatnonzero(~fresh)
             more = size[live] > length
-            wider = np.empty(len(fresh), dtype=np.uint16)
-            wider[~fresh] = bwt
-            wider[new] = np.where(more, flat[np.maximum(end[live] - 1 - length, 0)].astype(np.uint16) + np.uint16(1), np.uint16(0))
+            wider = np.empty(len(fresh), dtype=symbol)
+            wider[old] = bwt
+            wider[new] = np.where(more, flat[np.maximum(end[live] - 1 - length, 0)].astype(symbol) + symbol(1), symbol(0))
             files.put("bwt", wider)
-            shared = np.empty(len(fresh), dtype=np.uint16)
-            shared[~fresh] = lcp
+            shared = np.empty(len(fresh), dtype=short)
+            shared[old] = lcp
             shared[new] = before
-            shared[new[follows] + 1] = after
+            if follows.any():
+                shared[new[follows] + 1] = np.minimum(range_minima(lcp, at[follows] + 1, right[follows] + 1).astype(np.int64) + 1, cap)
             files.put("lcp", shared)
-            names = np.empty((len(fresh), 2), dtype=np.int32)
-            names[~fresh] = name
-            names[new, 0], names[new, 1] = live, length
+            names = np.empty(len(fresh), dtype=name.dtype)
+            names[old] = name
+            names[new] = live * longest + length
             files.put("name", names)
             row[live] = new
             live = live[more]
-        name = files.get("name").reshape(-1, 2)
-        return name[:, 0].astype(np.int64), name[:, 1].astype(np.int64), files.get("lcp").astype(np.int64)
+        name = files.get("name").astype(np.int64)
+        return name // longest, name % longest, files.get("lcp").astype(np.int64)
 
 
 def _shared(h: np.ndarray, sides: list[bytes]) -> np.ndarray:
