@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from examloom.llm import bcr, bpe, decontaminate, fmindex, langid, licenses, neardup, pages, quality, tokencount
+from examloom.llm.oracles import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": bcr.op3_suffix_dedup,
@@ -21,6 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op4_license_scan": licenses.ORACLE_SQL,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
