@@ -83,8 +83,9 @@ def covers(docs: DataFrame, units: Units, index: Callable[[dict[str, list]], Ite
     configure(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     found = rows.mapInArrow(_segments(units), "h long, f long, id long, s int, a int, e int")
-    by_anchor = found.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.min(F.struct("id", "a")).alias("first")).where("c > 1")
-    again = stored(found.join(by_anchor.select("h", (F.col("lo") == F.col("hi")).alias("uniform"), F.col("first.id").alias("first_id"), F.col("first.a").alias("first_a")), "h"), "again")
+    # Written, so that the join below shuffles both sides by itself and adaptive execution can split hot anchors.
+    by_anchor = stored(found.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.min(F.struct("id", "a")).alias("first")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("uniform"), F.col("first.id").alias("first_id"), F.col("first.a").alias("first_a")), "anchors")
+    again = stored(found.join(by_anchor, "h"), "again")
 
     whole = F.array(F.lit(0), F.col("e") - F.col("s"))
     uniform = again.where("uniform")
