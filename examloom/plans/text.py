@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examloom.functions import text as X
-from examloom.operators import packing
+from examloom.operators import leakage, packing
 from examloom.plans.base import query, table
 from examloom.sources import parsers
 
@@ -101,9 +101,9 @@ def canonical_json_keys(spark, d):
 k AS (SELECT *, list_filter(string_split(a, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS}) AS ta, list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS}) AS tq FROM t)
 SELECT item_id, doc_id, coalesce(q <> '' AND a <> '' AND ((length(a) >= 8 AND contains(q, a)) OR (len(ta) >= 3 AND len(list_filter(ta, lambda x: list_contains(tq, x))) / len(ta) >= 0.8)), false) AS leak FROM k""")
 def answer_leakage(spark, d):
-    b, docs = table(spark, d, "benchmark").withColumnRenamed("text", "answer"), table(spark, d, "documents")
-    pairs = docs.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return pairs.select("item_id", "doc_id", X.answer_leaks("text", "answer").alias("leak"))
+    """The leaking pairs of all documents and all items.  The SQL has every pair of equal residue modulo 40 only, leaking or not."""
+    pairs = leakage.leaking_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
+    return pairs.withColumn("leak", F.lit(True))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 < 4 THEN 'A' WHEN doc_id % 10 = 4 THEN 'B' WHEN doc_id % 10 = 5 THEN 'D' WHEN doc_id % 10 = 6 THEN 'E' ELSE 'C' END AS choice, CASE WHEN doc_id % 10 < 4 THEN 0.5 WHEN doc_id % 10 = 5 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM documents")
