@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Cells of one product.
+SLICE = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,3 +99,55 @@ def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, que
     best = corpus.select(F.col(key).alias("c"), F.col(vector).alias("v")).mapInPandas(run, f"q {qkind}, c {kind}, s double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 12)), "c"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("c").alias(key), F.col("s").alias("score"), "rank")
+
+
+def nearest_late(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, query_late: str, late: str, k: int, block: int = BLOCK) -> DataFrame:
+    """The k best of the whole corpus for each query by late interaction: (query_key, key, score, rank); ties by key.
+
+    Queries are taken in blocks, each one pass over the corpus; products are made
+    of slices of bounded size, and each task keeps its own k best.
+    """
+    qkind, kind = dict(queries.dtypes)[query_key], dict(corpus.dtypes)[key]
+    some = corpus.select(F.col(key).alias("c"), F.col(late).alias("v")).where(F.size("v") > 0)
+    schema = f"q {qkind}, c {kind}, s double"
+
+    def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+        """All vectors of some rows, and where each row's begin."""
+        return np.array([x for v in rows for x in v], dtype=np.float64), np.cumsum([0, *map(len, rows)][:-1])
+
+    def mapped(shared):
+        def run(parts):
+            ids, x, first = shared.value
+            for part in parts:
+                part = part.sort_values("c", kind="stable")
+                keys, rows = part["c"].to_numpy(), part["v"].to_list()
+                width = max(map(len, rows), default=1)
+                step = max(1, SLICE // (len(x) * width))
+                best, top = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=keys.dtype)
+                for a in range(0, len(rows), step):
+                    y, start = matrix(rows[a : a + step])
+                    s = np.round(np.add.reduceat(np.maximum.reduceat(x @ y.T, start, axis=1), first, axis=0), 6)
+                    # Keys rise from slice to slice, so a stable sort settles ties by key.
+                    s, c = np.hstack([best, s]), np.hstack([top, np.broadcast_to(keys[a : a + step], s.shape)])
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    best, top = np.take_along_axis(s, order, axis=1), np.take_along_axis(c, order, axis=1)
+                yield pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "c": top.ravel(), "s": best.ravel()})
+
+        return run
+
+    def blocks():
+        rows = []
+        for r in queries.select(F.col(query_key).alias("q"), F.col(query_late).alias("v")).where(F.size("v") > 0).toLocalIterator():
+            rows.append(r)
+            if len(rows) == block:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
+    best = corpus.sparkSession.createDataFrame([], schema)
+    for rows in blocks():
+        shared = corpus.sparkSession.sparkContext.broadcast(([r.q for r in rows], *matrix([r.v for r in rows])))
+        best = best.unionByName(some.mapInPandas(mapped(shared), schema))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_key), F.col("c").alias(key), F.col("s").alias("score"), "rank")

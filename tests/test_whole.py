@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from examloom.functions import text as X
-from examloom.operators import leakage
+from examloom.operators import leakage, similarity
 from examloom.plans.registry import QUERIES
 
 
@@ -32,3 +32,26 @@ def test_leakage_equals_all_pairs(spark):
     assert want.count() > 100
     for block_words in (1_000_000, 50):
         assert order(leakage.leaking_pairs(docs, items, "doc_id", "item_id", "text", "answer", block_words)) == order(want)
+
+
+def test_maxsim_scores_all_groups(spark, tmp_path):
+    dice = random.Random(3)
+    vectors = [(i, [dice.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(203)]
+    d = tables(spark, tmp_path, embeddings=(vectors, "vec_id long, embedding array<float>"))
+    late = {}
+    for i, v in vectors:
+        late.setdefault(i // 5, []).append(v)
+    score = lambda q, c: sum(max(sum(x * y for x, y in zip(a, b, strict=True)) for b in late[c]) for a in late[q])
+    want = {q: sorted((-score(q, c), c) for c in late)[:5] for q in late if q % 20 == 0}
+    got = {}
+    for r in QUERIES["maxsim_rerank"](spark, d).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append((-r.score, r.c_id))
+    assert got == want and any(c % 4 != q // 20 % 4 for q in want for _, c in want[q])
+
+
+def test_nearest_late_in_blocks(spark):
+    dice = random.Random(4)
+    rows = spark.createDataFrame([(i, [[dice.choice([0.0, 1.0]) for _ in range(3)] for _ in range(dice.randint(0, 4))]) for i in range(60)], "g long, late array<array<double>>")
+    q, c = rows.withColumnRenamed("g", "q"), rows.withColumnRenamed("g", "c")
+    whole = sorted(map(tuple, similarity.nearest_late(q, c, "q", "c", "late", "late", 3).collect()))
+    assert whole == sorted(map(tuple, similarity.nearest_late(q, c, "q", "c", "late", "late", 3, block=7).collect())) and len(whole) > 100
