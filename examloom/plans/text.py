@@ -152,25 +152,39 @@ def answer_parse_fallback(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.alias("ids")).where(F.size("ids") > 0)
 
 
+def escaped(c, marks):
+    """Every mark of a grammar and every backslash behind a backslash: the whole text in one question's stem."""
+    return F.regexp_replace(c, rf"([\\{marks}])", r"\\$1")
+
+
+def unescaped(questions):
+    return questions.withColumn("question", F.regexp_replace("question", r"\\(.)", "$1"))
+
+
 @query()
 def html_page_extract(spark, d):
-    """Questions made into quiz pages of the documents, and parsed back."""
-    page = F.concat(F.lit('<h3>Both International and Inland</h3><table><tr><td colspan="3"><b>'), F.substring(X.strip_tags(F.translate("text", "<>&\"'", "     ")), 1, 200), F.lit('</b></td></tr></table><label><input name="CheckAns" value="A" checked>A. yes</label><label><input name="CheckAns" value="B">B. no</label><img src="/logo.png"><img src="/x.png">'))
-    return parsers.parsed(table(spark, d, "documents").select("doc_id", page.alias("page")), "html", "doc_id", "page")
+    """Questions made into quiz pages of the whole documents, and parsed back; and those of all pages, with page_id instead of doc_id."""
+    text = F.col("text")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    page = F.concat(F.lit('<h3>Both International and Inland</h3><table><tr><td colspan="3"><b>'), text, F.lit('</b></td></tr></table><label><input name="CheckAns" value="A" checked>A. yes</label><label><input name="CheckAns" value="B">B. no</label><img src="/logo.png"><img src="/x.png">'))
+    made = parsers.parsed(table(spark, d, "documents").select("doc_id", page.alias("page")), "html", "doc_id", "page")
+    found = parsers.parsed(table(spark, d, "pages").select("page_id", "html"), "html", "page_id", "html")
+    return made.unionByName(found, allowMissingColumns=True)
 
 
 @query()
 def markdown_exam_parse(spark, d):
-    """Exam pages made of the documents' lines, and parsed back."""
-    stem = F.regexp_replace(F.substring("text", 1, 120), r"[\n.|*:]+", " ")
-    text = F.concat(F.lit("**1.** Q "), stem, F.lit("\n- A. one\n- B. two\n- C. three\n- D. four\nCorrect answer: B\n"))
-    return parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "markdown_exam", "doc_id", "page")
+    """Exam pages made of the whole documents, line by line, and parsed back."""
+    text = F.concat(F.lit("**1.** Q "), escaped("text", ".):|!}"), F.lit("\n- A. one\n- B. two\n- C. three\n- D. four\nCorrect answer: B\n"))
+    return unescaped(parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "markdown_exam", "doc_id", "page"))
 
 
 @query()
 def key_format_parse(spark, d):
-    text = F.concat(F.lit("1. Q "), F.regexp_replace(F.substring("text", 1, 80), r"[^\p{L} ]", " "), F.lit(" A. one B. two C. three D. four KEY: C because\n2. 同上\n"))
-    return parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "key", "doc_id", "page")
+    """Numbered questions made of the whole documents, and parsed back."""
+    text = F.concat(F.lit("1. Q "), escaped("text", r"\p{Nd}.．、:"), F.lit(" A. one B. two C. three D. four KEY: C because\n2. 同上\n"))
+    return unescaped(parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "key", "doc_id", "page"))
 
 
 @query()

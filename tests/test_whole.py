@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from examloom.functions import text as X
@@ -60,3 +61,20 @@ def test_nearest_late_in_blocks(spark):
 def test_keyed_sets_have_all_members(spark, tmp_path):
     d = tables(spark, tmp_path, events=([("a", 50), ("a", 7), ("b", 3), ("a", 7)], "event_type string, user_id long"))
     assert {r.event_type: r.users for r in QUERIES["keyed_set_upsert"](spark, d).collect()} == {"a": [7, 50], "b": [3]}
+
+
+MARKS = r"""Line one & <b>two</b> &amp; "x" 'y'. In 1990. The C. next (B) of A) \\ \. 3\n\n2. Second [12] * 4 + **7.** x
+| A. | B. | one | two |\n<!-- page 4 --> {5}------------ Correct answer: C KEY: A D．z A、w ñA. q 同上""".replace("\\n", "\n")
+
+
+@pytest.mark.parametrize("name", ["html_page_extract", "markdown_exam_parse", "key_format_parse"])
+def test_parsers_get_whole_texts(spark, tmp_path, name):
+    docs = [(1, MARKS), (2, "word " * 30000 + "end of it"), (3, None)]
+    quiz = '<h3>Inland Only</h3><td colspan="3"><b>Which of these holds?</b></td><label><input value="A" checked>A. yes</label>'
+    d = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), pages=([(9, quiz), (8, "<p>nothing</p>")], "page_id long, html string"))
+    rows = QUERIES[name](spark, d).collect()
+    head = "" if name == "html_page_extract" else "Q "
+    assert {r.doc_id: r.question for r in rows if r.doc_id} == {i: head + " ".join(t.split()) for i, t in docs if t}
+    assert all(r.answer == {"html_page_extract": "A", "markdown_exam_parse": "B", "key_format_parse": "C"}[name] and r.number == 1 for r in rows)
+    if name == "html_page_extract":
+        assert [(r.page_id, r.question) for r in rows if r.doc_id is None] == [(9, "Which of these holds?")]
