@@ -13,10 +13,12 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (a single machine, tests) one of our own."""
+    """The cluster's shared folder; on a single machine (tests) without one, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="examloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -27,4 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again: later steps do not depend on how it was made."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing still to be run depends on."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
