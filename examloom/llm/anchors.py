@@ -6,15 +6,19 @@ anchors at equal places inside them, so a window that occurs twice has an
 anchor whose hash occurs twice.  Neighbouring windows with the same anchor make
 a segment of at most 2w - m units; each window lies in exactly one segment.
 Only segments whose anchors occur twice are ever compared.
+
+Long texts are taken in pieces that overlap by w - 1 units: memory is bounded by
+the piece, and a segment that a piece's end cuts is two segments.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from examloom.llm.blocks import Rolling
+from examloom.llm.blocks import Rolling, range_hashes
 
-_PLACE = np.uint64((1 << 28) - 1)
+PIECE = 1 << 20
+_PLACE = np.uint64((1 << 21) - 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -27,12 +31,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(rolling: Rolling, bounds: np.ndarray, w: int, m: int) -> dict[str, np.ndarray]:
-    """Of texts laid end to end with the given bounds, their segments: text, the anchor's hash h, the segment's hash f (which knows the anchor's place), and start, anchor and end in the text."""
-    n = int(bounds[-1])
-    if n < w:
-        return {k: np.zeros(0, dtype=np.int64) for k in ("text", "h", "f", "start", "anchor", "end")}
-    grams = rolling.windows(m)
+def _piece(values: np.ndarray, bounds: np.ndarray, w: int, m: int) -> dict[str, np.ndarray]:
+    """The segments of texts laid end to end with the given bounds."""
+    n = len(values)
+    # Of bytes, a hash by which windows are ordered; of words, which are hashes, the same.
+    grams = Rolling((values.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).windows(m)
     least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), w - m + 1)
     # Windows must not leave their text.
     step = np.zeros(n + 1, dtype=np.int32)
@@ -46,10 +49,28 @@ def segments(rolling: Rolling, bounds: np.ndarray, w: int, m: int) -> dict[str,
     last = np.append(first[1:], len(at)) - 1
     good = at[first] >= 0
     start, end, anchor = first[good], last[good] + w, at[first[good]]
-    text = np.searchsorted(bounds, start, side="right") - 1
-    base = bounds[text]
-    f = rolling.ranges(start, end) ^ ((anchor - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return {"text": text, "h": grams[anchor].view(np.int64), "f": f.view(np.int64), "start": start - base, "anchor": anchor - base, "end": end - base}
+    size = values.itemsize
+    f = range_hashes(values.view(np.uint8), start * size, end * size) ^ ((anchor - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return {"h": grams[anchor].view(np.int64), "f": f.view(np.int64), "start": start, "anchor": anchor, "end": end}
+
+
+def segments(values: np.ndarray, bounds: np.ndarray, w: int, m: int) -> dict[str, np.ndarray]:
+    """Of texts laid end to end with the given bounds, their segments: text, the anchor's hash h, the segment's hash f (which knows the anchor's place), and start, anchor and end in the text."""
+    n = int(bounds[-1])
+    parts = []
+    for lo in range(0, max(1, n - w + 1), PIECE):
+        hi = min(n, lo + PIECE + w - 1)
+        if hi - lo >= w:
+            got = _piece(np.ascontiguousarray(values[lo:hi]), np.clip(bounds - lo, 0, hi - lo), w, m)
+            for k in ("start", "anchor", "end"):
+                got[k] = got[k] + lo
+            parts.append(got)
+    if not parts:
+        return {k: np.zeros(0, dtype=np.int64) for k in ("text", "h", "f", "start", "anchor", "end")}
+    out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    out["text"] = np.searchsorted(bounds, out["start"], side="right") - 1
+    base = bounds[out["text"]]
+    return out | {k: out[k] - base for k in ("start", "anchor", "end")}
 
 
 def runs_of(mask: np.ndarray, w: int) -> list[int]:

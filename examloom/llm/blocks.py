@@ -1,4 +1,4 @@
-"""Vectorised views of Arrow text batches: words, rolling hashes and lines.
+"""Vectorised views of Arrow text batches: words, hashes and lines.
 
 Everything here works on one bounded block of documents at a time, so memory
 does not depend on the table's size.  Words are maximal runs of bytes that are
@@ -8,15 +8,21 @@ inside a character, hence byte-level splitting equals splitting on characters.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 MAX_ROWS = 1024
+#: Powers kept between blocks; those that longer blocks need are made anew and dropped.
+KEPT_POWERS = 1 << 21
+#: Longer byte ranges are hashed by BLAKE2b, shorter ones eight bytes a step.
+STEPPED = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
@@ -26,27 +32,28 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-BYTE_VALUE = np.random.RandomState(20240607).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def configure(spark) -> None:
     """Keep Arrow batches small enough for Python workers whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown when needed."""
+    """Powers of an odd base and of its inverse modulo 2**64."""
 
     def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def reach(self, n: int) -> None:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(pow(_BASE, -1, 1 << 64), m, 1 << 64))])
+    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self.up, self.down
+        while len(up) < n:
+            m = len(up)
+            up = np.concatenate([up, up * np.uint64(pow(_BASE, m, 1 << 64))])
+            down = np.concatenate([down, down * np.uint64(pow(pow(_BASE, -1, 1 << 64), m, 1 << 64))])
+        if len(self.up) < len(up) <= KEPT_POWERS:
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 POWERS = _Powers()
@@ -62,22 +69,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_SEED = np.uint64(0x243F6A8885A308D3)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes.
+
+    Every eight bytes go through a full mix of all bits, so that no text, however
+    regular, collides by its form (as polynomials modulo 2**64 do).
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) ^ _SEED)
+    if not len(h):
+        return h
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= STEPPED))
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > STEPPED).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Rolling:
-    """Hashes of any range of a sequence of 64-bit values, from prefix sums."""
+    """Rolling (Karp-Rabin) hashes of windows of a sequence of 64-bit values, from prefix sums.
+
+    For windows of few values which are hashes themselves; whatever is cut
+    from raw bytes and must be told apart takes ``range_hashes``.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
         n = len(values)
-        POWERS.reach(n + 1)
+        up, self.down = POWERS.reach(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * POWERS.up[:n], out=self.sums[1:])
+        np.cumsum(values * up[:n], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * POWERS.down[start] + (end - start).astype(np.uint64))
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def windows(self, width: int) -> np.ndarray:
         """Hashes of every window of the width, one for each start."""
         n = max(0, len(self.sums) - width)
-        return mix((self.sums[width:] - self.sums[:n]) * POWERS.down[:n] + np.uint64(width))
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width))
 
 
 class Block:
@@ -114,8 +152,10 @@ class Block:
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def byte_hash(self) -> Rolling:
-        return Rolling(BYTE_VALUE[self.data])
+    def word_hashes(self) -> np.ndarray:
+        """A hash of every word; splits the block."""
+        self.split()
+        return range_hashes(self.data, self.start, self.end)
 
     def per_doc(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sums of values between consecutive bounds."""

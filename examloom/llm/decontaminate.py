@@ -38,19 +38,13 @@ PARTS[0x30:0x3A] = False
 PARTS[0x61:0x7B] = False
 
 
-def hashes(block: Block) -> np.ndarray:
-    """A hash of every word of a block."""
-    block.split()
-    return block.byte_hash().ranges(block.start, block.end)
-
-
 class Items:
     """One block of test items: their words and an index of their seeds."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         block = Block(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t", lower=True, blank=PARTS)
         self.ids = np.array(ids, dtype=np.int64)
-        self.words = hashes(block)
+        self.words = block.word_hashes()
         self.ptr = block.ptr
         grams = Rolling(self.words).windows(SEED)
         doc = block.doc_of_words()
@@ -101,7 +95,7 @@ def tiles(p: np.ndarray, q: np.ndarray, size: int) -> list[tuple[int, int, int]]
 
 def matches(block: Block, items: Items, least: float = 0.0) -> list[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, words in tiles) of pairs that share a seed and may reach the least coverage."""
-    grams = Rolling(hashes(block)).windows(SEED)
+    grams = Rolling(block.word_hashes()).windows(SEED)
     doc = block.doc_of_words()
     left = block.ptr[1:][doc] - np.arange(len(doc))
     at = np.flatnonzero(left >= SEED)

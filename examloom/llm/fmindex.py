@@ -2,13 +2,17 @@
 
 A shard holds the distinct segments around its anchors (see ``repeats``), as
 words.  Its FM-index is a wavelet matrix of packed bits over the Burrows-Wheeler
-transform.  The segments are streamed through backward search, all windows side
-by side; a window whose interval shrinks to itself is left at once.  Matching
-statistics that reach the window's length report the interval of its equals,
+transform.  Of the documents, exactly the parts that can repeat, their segments
+around anchors that occur again, are streamed through backward search, all
+places side by side, which gives the matching statistics of each place up to
+the window's length: how many words before it stand elsewhere too.  Where they
+reach the window's length, the interval of the search holds the window's equals,
 whose first occurrence in the corpus is kept and all others are covered.
 
 Null or empty text, and texts shorter than a window, lose nothing.  Equal
-documents keep the one with the smallest id.  Ids should be unique.
+documents keep the one with the smallest id; a null id comes after all others.
+Of rows with equal ids the one whose text has the smaller hash comes first, and
+of rows with equal ids and texts one is kept and the others lose every window.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from examloom.llm.anchors import runs_of
 from examloom.llm.blocks import blocks, configure
-from examloom.llm.repeats import Units, covered_mask, covers, with_runs
+from examloom.llm.repeats import Units, covered_mask, covers, identified, with_runs
+from examloom.storage import discard, stored
 
 WINDOW = 20
 ANCHOR = 6
@@ -83,7 +89,20 @@ class FMIndex:
         return self.less[c] + both[: len(c)], self.less[c] + both[len(c) :]
 
 
-def shard(columns: dict[str, list], w: int = WINDOW) -> Iterator[tuple[int, int, list[int], list[int]]]:
+def statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matching statistics, up to w, at the given ends of windows: how many symbols before the end occur elsewhere too, and the interval of those w symbols."""
+    matched = np.full(len(end), w)
+    lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), len(text), dtype=np.int64)
+    live = np.arange(len(end))
+    for k in range(1, w + 1):
+        lo[live], hi[live] = index.extend(text[end[live] - k], lo[live], hi[live])
+        alone = hi[live] - lo[live] < 2  # found at this end only
+        matched[live[alone]] = k - 1
+        live = live[~alone]
+    return matched, lo, hi
+
+
+def shard(columns: dict[str, list], w: int = WINDOW) -> Iterator[tuple[int, list[int], list[int]]]:
     """Which windows of a shard's segments occur again, and what all occurrences and the first one have covered."""
     parts = [np.frombuffer(x, dtype=np.uint64) for x in columns["content"]]
     size = np.array([len(x) for x in parts])
@@ -93,64 +112,76 @@ def shard(columns: dict[str, list], w: int = WINDOW) -> Iterator[tuple[int, int,
     text = np.zeros(base[-1], dtype=np.int64)
     place = np.arange(len(flat)) + np.repeat(np.arange(len(parts)), size)
     text[place] = codes + 1
-    symbols = len(known) + 1
-    index = FMIndex(text, symbols, w)
+    index = FMIndex(text, len(known) + 1, w)
 
     count = size - w + 1
     owner = np.repeat(np.arange(len(parts)), count)
     offset = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-    start = base[owner] + offset
-    times = np.array(columns["n"])
-    lo, hi = np.zeros(len(owner), dtype=np.int64), np.full(len(owner), len(text), dtype=np.int64)
-    live = np.arange(len(owner))
-    for k in range(w - 1, -1, -1):
-        lo[live], hi[live] = index.extend(text[start[live] + k], lo[live], hi[live])
-        live = live[hi[live] - lo[live] > 1]
-    # Only windows still in live have equals in other segments.
-    repeated = times[owner] > 1
-    repeated[live] = True
-    order = np.lexsort((np.array(columns["s"])[owner] + offset, np.array(columns["id"])[owner]))
+    matched, lo, _ = statistics(index, text, base[owner] + offset + w, w)
+    elsewhere = np.flatnonzero(matched == w)
+    # A segment that occurs again has all its windows again.
+    repeated = np.array(columns["n"])[owner] > 1
+    repeated[elsewhere] = True
+    # Of the segments that hold a window, the one that occurs first has its first occurrence.
+    documents = [(x is None, 0 if x is None else x, t) for x, t in zip(columns["id"], columns["th"], strict=True)]
+    place = {x: i for i, x in enumerate(sorted({d for d in documents if not d[0]}) + sorted({d for d in documents if d[0]}))}
+    of_document = np.array([place[d] for d in documents])
+    by = np.lexsort((np.array(columns["s"])[owner] + offset, of_document[owner]))
     turn = np.empty(len(owner), dtype=np.int64)
-    turn[order] = np.arange(len(owner))
+    turn[by] = np.arange(len(owner))
     first = np.ones(len(owner), dtype=bool)
-    if len(live):
-        by = live[np.argsort(lo[live], kind="stable")]
+    if len(elsewhere):
+        by = elsewhere[np.argsort(lo[elsewhere], kind="stable")]
         cut = np.flatnonzero(np.concatenate([[True], lo[by[1:]] != lo[by[:-1]]]))
         least = np.minimum.reduceat(turn[by], cut)
         first[by] = turn[by] == np.repeat(least, np.diff(np.append(cut, len(by))))
     at = np.concatenate([[0], np.cumsum(count)])
-    for i, (h, f) in enumerate(zip(columns["h"], columns["f"], strict=True)):
+    for i in range(len(parts)):
         mine = slice(at[i], at[i + 1])
         if repeated[mine].any():
-            yield h, f, runs_of(repeated[mine], w), runs_of(repeated[mine] & ~first[mine], w)
+            yield i, runs_of(repeated[mine], w), runs_of(repeated[mine] & ~first[mine], w)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with a repeat: id and what is covered, in words."""
-    return covers(docs, Units(True, WINDOW, ANCHOR), shard, keep_first=True, key=key, text=text)
+    """Per distinct document with a repeat: id, th and what is covered, in words."""
+    return covers(docs, Units(True, WINDOW, ANCHOR), shard, key=key, text=text)
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: n_words, n_removed and the kept words joined by one blank."""
     configure(docs.sparkSession)
+    some = docs.select(key, text)
+    marked, runs_column = with_runs(some, repeats(docs, key, text), key, text)
+    # Rows with equal ids and texts, which only their number tells apart: all but one of them come later.
+    twice = stored(some.select(*identified(some, key, text)).groupBy("id", "th").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             block.split()
-            runs, n, gone, kept = block.batch.column("__runs").to_pylist(), [], [], []
+            runs, n, gone, kept = block.batch.column(runs_column).to_pylist(), [], [], []
+            copies = block.batch.column("copies").to_pylist() if "copies" in block.batch.schema.names else [1] * len(block)
+            rows = []
             data = block.data.tobytes()
             for i, (a, b) in enumerate(zip(block.ptr[:-1].tolist(), block.ptr[1:].tolist(), strict=True)):
-                out = covered_mask(b - a, runs[i])
-                n.append(b - a)
-                gone.append(int(out.sum()))
-                if b > a and not runs[i]:
-                    kept.append(b" ".join(data[block.off[i] : block.off[i + 1]].split()))
-                else:
-                    kept.append(b" ".join([data[s:e] for s, e in zip(block.start[a:b][~out].tolist(), block.end[a:b][~out].tolist(), strict=True)]))
-            yield pa.RecordBatch.from_arrays([block.batch.column(key), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.large_string()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=[key, "n_words", "n_removed", "kept_text", "kept_sha256"])
-
-    marked = with_runs(docs.select(key, text), repeats(docs, key, text), key)
-    return marked.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+                for copy in range(copies[i]):
+                    out = covered_mask(b - a, runs[i]) if not copy or b - a < WINDOW else np.ones(b - a, dtype=bool)
+                    rows.append(i)
+                    n.append(b - a)
+                    gone.append(int(out.sum()))
+                    if b > a and not out.any():
+                        kept.append(b" ".join(data[block.off[i] : block.off[i + 1]].split()))
+                    else:
+                        kept.append(b" ".join([data[s:e] for s, e in zip(block.start[a:b][~out].tolist(), block.end[a:b][~out].tolist(), strict=True)]))
+            yield pa.RecordBatch.from_arrays([block.batch.column(key).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.large_string()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=[key, "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    if twice.isEmpty():
+        discard(twice)
+        return marked.mapInArrow(run, schema)
+    same = marked[key].eqNullSafe(twice["id"]) & (F.xxhash64(marked[text]) == twice["th"])
+    single = marked.join(twice, same, "left_anti").mapInArrow(run, schema)
+    several = marked.join(twice, same).dropDuplicates([key, "th"]).select(key, text, runs_column, "copies").mapInArrow(run, schema)
+    return single.unionByName(several)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

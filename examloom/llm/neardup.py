@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from examloom.llm.blocks import Block, Rolling, blocks, configure, mix
 from examloom.llm.components import components
-from examloom.llm.shared import stored
+from examloom.storage import stored
 
 BUCKETS, MANTISSA = 128, 10
 ROWS, BANDS = 4, 32
@@ -51,8 +51,7 @@ _TAIL = 37  # bits of a hash below its bucket's
 
 def shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of a block, sorted by row and hash: rows, hashes and where each row begins."""
-    block.split()
-    words = block.byte_hash().ranges(block.start, block.end)
+    words = block.word_hashes()
     rolling, doc = Rolling(words), block.doc_of_words()
     grams = rolling.windows(width)
     at = np.flatnonzero(block.ptr[1:][doc] - np.arange(len(doc)) >= width)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from examloom.llm.blocks import Block, Rolling, blocks, configure, covered
+from examloom.llm.blocks import Block, Rolling, blocks, configure, covered, range_hashes
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -52,14 +52,13 @@ def repeated(keys: np.ndarray, later_only: bool = False) -> np.ndarray:
 
 def measure(block: Block) -> dict[str, np.ndarray]:
     """All the measures of a block's documents."""
-    block.split()
+    words = block.word_hashes()
     data, off, ptr = block.data, block.off, block.ptr
     n_words = block.count
     letters = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
     chars = letters[block.end] - letters[block.start]
     out = {"n_words": n_words, "word_chars": block.per_doc(chars, ptr), "n_symbols": block.per_doc(_SYMBOL[data], off)}
-    by_byte = block.byte_hash()
     doc = block.doc_of_words()
     salt = (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,14 +71,14 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     after = np.searchsorted(block.start, stop)
     begin, stop, first, after = (x[after > first] for x in (begin, stop, first, after))
     owner = np.searchsorted(off, begin, side="right") - 1
-    key = by_byte.ranges(begin, stop) ^ ((owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    key = range_hashes(data, begin, stop) ^ ((owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     dup = repeated(key, later_only=True)
     out["n_dup_lines"] = np.bincount(owner[dup], minlength=len(block))
     so_far = np.concatenate([[0], np.cumsum(chars)])
     total = np.maximum(out["word_chars"], 1)
     out["line_share"] = np.bincount(owner[dup], weights=(so_far[after] - so_far[first])[dup], minlength=len(block)) / total
 
-    grams = Rolling(by_byte.ranges(block.start, block.end))
+    grams = Rolling(words)
     left = ptr[1:][doc] - np.arange(len(doc))
     for n in sorted({*MAX_NGRAM_SHARE, WINDOW}):
         at = np.flatnonzero(left >= n)

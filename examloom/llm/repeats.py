@@ -1,16 +1,24 @@
 """The frame shared by the operators that find long repeats in the corpus.
 
 1. Every document gives the segments around its anchors (map side only).
-2. Segments are counted by anchor, pre-aggregated before the shuffle; anchors
-   that occur once are done with.  Where all segments of an anchor are equal,
-   all their windows are repeats.
-3. For the other anchors one representative of each distinct segment is read
-   from its document and sent, by anchor, to a shard, whose index (given by the
-   operator) tells which windows occur in other segments too.
+2. Anchors are counted, pre-aggregated before the shuffle; a window whose anchor
+   occurs once cannot occur twice, so those segments are done with.
+3. Of each distinct segment of the other anchors one representative is read from
+   its document and sent, by anchor, to a shard, with the number of its
+   occurrences.  The operator's index over the shard tells which windows occur
+   again.
 4. What is covered goes back to the documents.
 
-Joins on hot anchors are plain equi joins, which adaptive execution can split.
-Ids should be unique; rows without id take no part and stay as they are.
+Skew: an anchor with more than ``HOT`` distinct segments (the edge of a passage
+that very many documents share) is split.  Its segments are cut into single
+windows, which are counted by their own hash, pre-aggregated; each window that
+occurs again is a representative by itself and has a shard key of its own.  So no
+group in a shard exceeds ``HOT`` segments, and a shard is indexed in portions of
+about ``PORTION`` of them.  The joins on hot keys are plain equi joins of two
+shuffled sides, which adaptive execution splits.
+
+A document is a row: rows are told apart by id and a hash of their text, so null
+and repeated ids need no care.  Rows with both equal count as often as they occur.
 """
 
 from __future__ import annotations
@@ -23,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examloom.llm.anchors import segments
-from examloom.llm.blocks import Block, Rolling, blocks, configure
-from examloom.llm.shared import stored
+from examloom.llm.blocks import BATCH_ROWS, Block, blocks, configure, range_hashes
+from examloom.storage import discard, stored
+
+#: Distinct segments of an anchor beyond which its windows are taken one by one.
+HOT = 1_000
+#: Representatives indexed together, and by one task on average.
+PORTION, SHARD = 8_000, 24_000
 
-#: Representatives a shard holds on average.
-SHARD = 30_000
+Index = Callable[[dict[str, list]], Iterator[tuple[int, list[int], list[int]]]]
 
 
 class Units:
@@ -36,24 +48,38 @@ class Units:
     def __init__(self, words: bool, w: int, m: int) -> None:
         self.words, self.w, self.m = words, w, m
 
-    def rolling(self, block: Block) -> tuple[Rolling, np.ndarray]:
-        if not self.words:
-            return block.byte_hash(), block.off
-        return Rolling(self.values(block)), block.ptr
-
-    def values(self, block: Block) -> np.ndarray:
+    def values(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The units of a block (words by their hashes) and where each text begins."""
         if not self.words:
-            return block.data
-        block.split()
-        return block.byte_hash().ranges(block.start, block.end)
+            return block.data, block.off
+        return block.word_hashes(), block.ptr
 
 
 def _segments(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            got = segments(*units.rolling(block), units.w, units.m)
-            ids = block.batch.column("id").take(pa.array(got["text"]))
-            yield pa.RecordBatch.from_arrays([pa.array(got["h"]), pa.array(got["f"]), ids, *(pa.array(got[k].astype(np.int32)) for k in ("start", "anchor", "end"))], names=["h", "f", "id", "s", "a", "e"])
+            got = segments(*units.values(block), units.w, units.m)
+            text = pa.array(got["text"])
+            yield pa.RecordBatch.from_arrays([pa.array(got["h"]), pa.array(got["f"]), *(block.batch.column(k).take(text) for k in ("id", "th")), *(pa.array(got[k].astype(np.int32)) for k in ("start", "anchor", "end"))], names=["h", "f", "id", "th", "s", "a", "e"])
+
+    return run
+
+
+def _windows(units: Units):
+    """Every window of the wanted segments, as a segment of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            values, bounds = units.values(block)
+            size = values.itemsize
+            for i, (base, wanted) in enumerate(zip(bounds[:-1].tolist(), block.batch.column("wanted").to_pylist(), strict=True)):
+                spans = sorted({(x["s"], x["e"]) for x in wanted})
+                for at in range(0, len(spans), BATCH_ROWS):
+                    start = np.concatenate([np.arange(s, e - units.w + 1) for s, e in spans[at : at + BATCH_ROWS]])
+                    f = pa.array(range_hashes(np.ascontiguousarray(values).view(np.uint8), (base + start) * size, (base + start + units.w) * size).view(np.int64))
+                    row = pa.array(np.full(len(start), i))
+                    s = pa.array(start.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([f, f, *(block.batch.column(k).take(row) for k in ("id", "th")), s, s, pa.array((start + units.w).astype(np.int32))], names=["h", "f", "id", "th", "s", "a", "e"])
 
     return run
 
@@ -61,74 +87,130 @@ def _segments(units: Units):
 def _contents(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            _, bounds = units.rolling(block)
-            values = units.values(block)
-            wanted = block.batch.column("wanted").to_pylist()
-            ids = block.batch.column("id").to_pylist()
-            rows = [(x["h"], x["f"], x["n"], i, x["s"], x["a"] - x["s"], values[b + x["s"] : b + x["e"]].tobytes()) for i, b, xs in zip(ids, bounds[:-1].tolist(), wanted, strict=True) for x in xs]
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "f", "n", "id", "s", "at", "content"])
+            values, bounds = units.values(block)
+            for i, (b, wanted) in enumerate(zip(bounds[:-1].tolist(), block.batch.column("wanted").to_pylist(), strict=True)):
+                for at in range(0, len(wanted), BATCH_ROWS):
+                    some = wanted[at : at + BATCH_ROWS]
+                    row = pa.array([i] * len(some))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([x[k] for x in some], pa.int64()) for k in "hfn"), *(block.batch.column(k).take(row) for k in ("id", "th")), *(pa.array([x[k] for x in some], pa.int32()) for k in "sa"), pa.array([values[b + x["s"] : b + x["e"]].tobytes() for x in some], pa.binary())],
+                        names=["h", "f", "n", "id", "th", "s", "a", "content"],
+                    )
 
     return run
 
 
-def covers(docs: DataFrame, units: Units, index: Callable[[dict[str, list]], Iterator[tuple[int, int, list[int], list[int]]]], keep_first: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with repeats: id and runs, the list of (begin, cover) of its segments; cover is a flat list relative to begin.
+def _indexed(index: Index):
+    """Runs the index over a shard sorted by h, portion by portion; an anchor's segments stay together."""
+
+    def told(columns: dict[str, list]) -> pa.RecordBatch:
+        which, cover, first = [], [], []
+        for i, c, f in index(columns):
+            which.append(i)
+            cover.append(c)
+            first.append(f)
+        take = lambda k, t: pa.array([columns[k][i] for i in which], t)
+        return pa.RecordBatch.from_arrays([take("h", pa.int64()), take("f", pa.int64()), pa.array(cover, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int32())), pa.array([columns["id"][i] for i in which], columns["kind"]), take("th", pa.int64()), take("a", pa.int32())], names=["h", "f", "cover", "first_cover", "rid", "rth", "ra"])
 
-    index(columns of a shard) yields, per representative, h, f, what all its
-    occurrences have covered, and what the first of them has covered.
-    keep_first: the first occurrence of a window is not a repeat.
+    def portion(table: pa.Table) -> pa.RecordBatch:
+        columns = {c: table.column(c).to_pylist() for c in table.column_names}
+        # Rows with id and text equal each send their segments.
+        once = list({(h, f): i for i, (h, f) in enumerate(zip(columns["h"], columns["f"], strict=True))}.values())
+        if len(once) < table.num_rows:
+            columns = {c: [x[i] for i in once] for c, x in columns.items()}
+        return told(columns | {"kind": table.schema.field("id").type})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= PORTION:
+                table = pa.Table.from_batches(waiting)
+                h = table.column("h").to_numpy()
+                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+                if cut:
+                    yield portion(table.slice(0, cut))
+                    waiting, n = table.slice(cut).to_batches(), len(h) - cut
+        if n:
+            yield portion(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def identified(docs: DataFrame, key: str, text: str) -> list:
+    """The columns that tell rows apart: id and a hash of the text."""
+    return [docs[key].alias("id"), F.xxhash64(docs[text]).alias("th")]
+
+
+def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per distinct document with repeats: id, th and runs, the list of (s, cover) of its segments; cover is a flat list relative to s.
+
+    settle: an anchor with one distinct segment, which occurs twice or more, is
+    not indexed but covered as a whole (wherever that is the index's only answer).
+
+    index(columns of a portion) yields, by their place in the columns, the
+    representatives with repeats: what all occurrences have covered, and what the
+    first of them has.  First is the smallest id (null last), then the smallest
+    hash of the text, then the place.
     """
     spark = docs.sparkSession
     configure(spark)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    found = rows.mapInArrow(_segments(units), "h long, f long, id long, s int, a int, e int")
-    # Written, so that the join below shuffles both sides by itself and adaptive execution can split hot anchors.
-    by_anchor = stored(found.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.min(F.struct("id", "a")).alias("first")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("uniform"), F.col("first.id").alias("first_id"), F.col("first.a").alias("first_a")), "anchors")
-    again = stored(found.join(by_anchor, "h"), "again")
-
-    whole = F.array(F.lit(0), F.col("e") - F.col("s"))
-    uniform = again.where("uniform")
-    if keep_first:
-        uniform = uniform.where("id <> first_id OR a <> first_a")
-    marks = uniform.select("id", "s", whole.alias("cover"))
-
-    mixed = again.where("NOT uniform")
-    reps = stored(mixed.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "a", "s", "e")).alias("r")), "reps")
-    wanted = reps.groupBy(F.col("r.id").alias("id")).agg(F.collect_list(F.struct("h", "f", "n", F.col("r.s").alias("s"), F.col("r.a").alias("a"), F.col("r.e").alias("e"))).alias("wanted"))
-    contents = rows.join(wanted, "id").mapInArrow(_contents(units), "h long, f long, n long, id long, s int, at int, content binary")
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(*identified(docs, key, text), docs[text].alias("text"))
+    schema = f"h long, f long, id {kind}, th long, s int, a int, e int"
+    found = rows.mapInArrow(_segments(units), schema)
+    anchors = stored(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
+    again = stored(found.join(anchors, "h").select(found.columns), "again")
+
+    def representatives(df: DataFrame) -> DataFrame:
+        first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "a", "s", "e")).alias("r")
+        return df.groupBy("h", "f").agg(F.count("*").alias("n"), first)
+
+    def read(wanted: DataFrame, run, schema: str) -> DataFrame:
+        """What run makes of the documents with something wanted."""
+        named = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
+        return rows.join(named, rows["id"].eqNullSafe(named["wid"]) & (rows["th"] == named["wth"])).select("id", "th", "text", "wanted").mapInArrow(run, schema)
+
+    reps = stored(representatives(again), "reps")
+    groups = stored(reps.groupBy("h").agg(F.count("*").alias("k")), "groups")
+    hot, lone = groups.where(F.col("k") > HOT).select("h"), groups.where("k = 1").select("h")
+    used = [anchors, again, reps, groups]
+    whole = F.array(F.lit(0), F.col("r.e") - F.col("r.s"))
+    wholes = reps.join(lone, "h").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
+    if settle:
+        reps = reps.join(lone, "h", "left_anti")
+    if not hot.isEmpty():
+        split = again.join(hot, "h").groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("wanted"))
+        windows = stored(read(split, _windows(units), schema), "windows")
+        several = stored(representatives(windows).where("n > 1"), "reps")
+        again = again.join(hot, "h", "left_anti").unionByName(windows)
+        reps = reps.join(hot, "h", "left_anti").unionByName(several)
+        used += [windows, several]
+    wanted = reps.groupBy("r.id", "r.th").agg(F.collect_list(F.struct("h", "f", "n", F.col("r.s").alias("s"), F.col("r.a").alias("a"), F.col("r.e").alias("e"))).alias("wanted"))
+    contents = read(wanted, _contents(units), f"h long, f long, n long, id {kind}, th long, s int, a int, content binary")
     shards = max(2 * spark.sparkContext.defaultParallelism, reps.count() // SHARD)
-
-    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        out: list[tuple] = []
-        for row in index({c: table.column(c).to_pylist() for c in table.column_names}):
-            out.append(row)
-            if len(out) == 20_000:
-                yield _result(out)
-                out = []
-        if out:
-            yield _result(out)
-
-    told = stored(contents.repartition(shards, "h").mapInArrow(sharded, "h long, f long, cover array<int>, first_cover array<int>"), "told")
-    told = told.join(reps.select("h", "f", F.col("r.id").alias("rid"), F.col("r.a").alias("ra")), ["h", "f"])
-    own = F.when((F.col("id") == F.col("rid")) & (F.col("a") == F.col("ra")), F.col("first_cover")).otherwise(F.col("cover"))
-    marks = marks.unionByName(mixed.join(told, ["h", "f"]).select("id", "s", own.alias("cover")).where(F.size("cover") > 0))
-    return marks.groupBy("id").agg(F.collect_list(F.struct("s", "cover")).alias("runs"))
-
-
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    h, f, cover, first = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(f, pa.int64()), pa.array(cover, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int32()))], names=["h", "f", "cover", "first_cover"])
-
-
-def with_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs and a column __runs, null where nothing is covered."""
-    named = runs.select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))
-    return docs.join(named, docs[key].cast("long") == named["__id"], "left").drop("__id")
+    told = shown = stored(contents.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_indexed(index), f"h long, f long, cover array<int>, first_cover array<int>, rid {kind}, rth long, ra int"), "told")
+    if settle:
+        told = told.unionByName(wholes)
+    own = F.when(F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")) & (F.col("a") == F.col("ra")), F.col("first_cover")).otherwise(F.col("cover"))
+    marks = again.join(told, ["h", "f"]).select("id", "th", "s", own.alias("cover")).where(F.size("cover") > 0)
+    runs = stored(marks.groupBy("id", "th").agg(F.collect_list(F.struct("s", "cover")).alias("runs")), "runs")
+    discard(*used, shown)
+    return runs
+
+
+def with_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """docs and one more column of the runs, null where nothing is covered, whose name none of docs' columns has."""
+    name = "runs"
+    while name in docs.columns:
+        name += "_"
+    named = runs.select(F.col("id").alias(f"{name}_id"), F.col("th").alias(f"{name}_th"), F.col("runs").alias(name))
+    same = docs[key].eqNullSafe(named[f"{name}_id"]) & (F.xxhash64(docs[text]) == named[f"{name}_th"])
+    return docs.join(named, same, "left").select(*(docs[c] for c in docs.columns), named[name]), name
 
 
 def covered_mask(n: int, runs: list[dict] | None) -> np.ndarray:
