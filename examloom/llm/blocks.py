@@ -192,3 +192,30 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1) if len(starts) < 64 else step.__iadd__(np.bincount(starts, minlength=len(step)).astype(np.int32))
     step[width:] -= step[: len(step) - width].copy()
     return np.cumsum(step[:n]) > 0
+
+
+class Recent(dict):
+    """A cache of bounded bytes in two halves: a full younger half becomes the older one, whose entries come back on use.
+
+    size(key, value) tells an entry's bytes besides what any entry takes; an entry
+    of more than a 64th of the room is made anew each time.
+    """
+
+    ENTRY = 160
+
+    def __init__(self, room: int, make, size=None) -> None:
+        self.room, self.make, self.size, self.used, self.old = room, make, size, 0, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        own = self.ENTRY + (self.size(key, got) if self.size else 0)
+        if own > self.room >> 6:
+            return got
+        if self.used + own > self.room:
+            self.old, self.used = dict(self), 0
+            self.clear()
+        self.used += own
+        self[key] = got
+        return got

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from examloom.llm.automaton import SuffixAutomaton
-from examloom.llm.blocks import configure
+from examloom.llm.blocks import Recent, configure
 
-#: Entries of a cache's younger half; the older half holds as many.
-CACHED_WORDS = 250_000
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 500_000
+#: Bytes of a cache's younger half; the older half holds as many.
+CACHED_WORDS = 40 << 20
+CACHED_PIECES = 24 << 20
+CACHED_PAIRS = 16 << 20
 _INF = 1 << 60
 #: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
 _KNOWN = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -40,23 +40,6 @@ _PLAIN = re.compile(r"[!-~]+").fullmatch
 _PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
-class Recent(dict):
-    """A cache in two halves: a full younger half becomes the older one, whose entries come back on use."""
-
-    def __init__(self, size: int, make) -> None:
-        self.size, self.make, self.old = size, make, {}
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
 class Vocabulary:
     """What encoding needs of a tokenizers BPE file with an end-of-word suffix; small, bounded by the vocabulary."""
 
@@ -151,8 +134,8 @@ class Encoder:
         self.at = [v.at.get(s, ()) for s in range(len(self.up))]
         self.plain = json.loads(v.json)["pre_tokenizer"] == _KNOWN
         self.pairs = Recent(CACHED_PAIRS, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
-        self.pieces = Recent(CACHED_PIECES, self.piece)
-        self.words = Recent(CACHED_WORDS, self.word)
+        self.pieces = Recent(CACHED_PIECES, self.piece, lambda k, got: 4 * len(k) + len(got))
+        self.words = Recent(CACHED_WORDS, self.word, lambda k, got: 100 + len(k) + len(got[0]) + len(got[1]))
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, as bytes."""
@@ -253,7 +236,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     configure(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(path))
     tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return docs.select(key, text).mapInArrow(_mapped(key, text, shared, not digest), f"{key} {dict(docs.dtypes)[key]}, n_tokens long, {tail}")
+    return docs.select(key, text).mapInArrow(_mapped(key, text, shared, not digest), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, {tail}")
 
 
 def default_path() -> str:

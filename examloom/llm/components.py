@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examloom.storage import stored
+from examloom.storage import discard, stored
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -28,5 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = stored(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
+        last, now = now, stored(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
+        discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

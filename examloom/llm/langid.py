@@ -169,7 +169,7 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     """Per row the language and a score: by how much the second best needs more phrases."""
     configure(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(key, text).mapInArrow(_mapped(key, text, shared), f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(_mapped(key, text, shared), f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -15,13 +15,19 @@ classes that are connected so need no further comparison.  Classes of one
 leader that are still apart are then compared where their common items with the
 leader, or rare items besides (a prefix filter), allow for enough similarity;
 both are exact bounds.  So a group of m near copies costs about m comparisons,
-not their square, and no candidate is dropped.
+not their square, and no candidate is dropped.  Both waves of pairs are dropped
+by the registers' estimate first and then confirmed on the full sets.
 
 Empty buckets of small sets borrow the register of the next full one, so all
 bands are usable; small sets also carry their size class in the band's key.
 
 Null or empty text: no shingles, linked with nothing.  Fewer words than a
-shingle: the whole sequence is one.  Rows with equal ids count as one document.
+shingle: the whole sequence is one.  Ids are integers below 2**62.  Rows with
+equal ids count as one document, linked with all that any of its texts is
+similar to.  A row without
+id is a document that links others; its class is the smallest id of its group,
+null if none of them has one.  Sets are compared by 54 bits of a hash of each
+shingle, and counted as equal by their size and two sums of 64 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 
 from examloom.llm.blocks import Block, Rolling, blocks, configure, mix
 from examloom.llm.components import components
-from examloom.storage import stored
+from examloom.storage import discard, stored
 
 BUCKETS, MANTISSA = 128, 10
 ROWS, BANDS = 4, 32
@@ -46,6 +52,8 @@ HOT, OFTEN = 16, 32
 SIGMAS = 6
 #: Sets of more shingles than this are not told apart by size in the bands.
 SIZED = 256
+#: Classes of rows without id only are named by numbers from here on; ids are smaller.
+NAMELESS = 1 << 62
 _TAIL = 37  # bits of a hash below its bucket's
 
 
@@ -122,19 +130,19 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tu
 
 
 def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """id, n (set size), two hashes of the set, registers."""
+    """id, th (the text's hash), n (set size), two hashes of the set, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text, lower=True):
+        for block in blocks(batches, "text", lower=True):
             row, h, bounds = shingles(block, width)
             # Sets are compared by hashes cut to 54 bits, which is what a block of many rows has.
             h &= ~np.uint64((1 << 10) - 1)
             one, two = mix(h), mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A))
             sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[bounds]).view(np.int64) for x in (one, two)]
             regs = sketch(row, h, len(block))
-            yield pa.RecordBatch.from_arrays([block.batch.column(key).cast(pa.int64()), pa.array(np.diff(bounds)), *map(pa.array, sums), pa.array([x.tobytes() for x in regs], pa.binary())], names=["id", "n", "s1", "s2", "regs"])
+            yield pa.RecordBatch.from_arrays([*(block.batch.column(c) for c in ("id", "th")), pa.array(np.diff(bounds)), *map(pa.array, sums), pa.array([x.tobytes() for x in regs], pa.binary())], names=["id", "th", "n", "s1", "s2", "regs"])
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "id long, th long, n long, s1 long, s2 long, regs binary")
 
 
 def _banded(share: float):
@@ -148,12 +156,12 @@ def _banded(share: float):
     return run
 
 
-def _sets(width: int, key: str, text: str):
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text, lower=True):
+        for block in blocks(batches, "text", lower=True):
             _, h, bounds = shingles(block, width)
             h &= ~np.uint64((1 << 10) - 1)
-            yield pa.RecordBatch.from_arrays([block.batch.column(key).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([block.batch.column("rep"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "items"])
 
     return run
 
@@ -176,7 +184,10 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     share = percent / 100
     rows = stored(sketches(docs, width, key, text), "sketches")
     one = ["n", "s1", "s2"]
-    reps = stored(rows.where("n > 0").groupBy(*one).agg(F.min("id").alias("rep"), F.first("regs").alias("regs")), "classes")
+    # A class is named by its smallest id, or by a number above all ids if it has none.
+    name = F.coalesce("r.id", F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(*one), 2)).alias("rep")
+    grouped = rows.where("n > 0").groupBy(*one).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th")).alias("r"), F.first("regs").alias("regs"))
+    reps = stored(grouped.select(*one, name, F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), "regs"), "classes")
     # Smaller sets than this link with equal ones only.
     wide = reps.where(F.col("n") >= math.floor(share / (1 - share) + 1e-9))
     bands = wide.select("rep", "n", "regs").mapInArrow(_banded(share), "band long, rep long")
@@ -188,7 +199,10 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     lead = known.groupBy("band").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("leader"))
     shared = known.select("band", "rep").join(lead, "band")
     members = shared.select("rep").distinct()
-    sets = stored(docs.select(key, text).join(members, F.col(key) == F.col("rep"), "left_semi").mapInArrow(_sets(width, key, text), "id long, items array<long>"), "sets")
+    wanted = reps.join(members, "rep", "left_semi").select("rep", "rid", "rth")
+    found = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    found = found.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("rep", "text")
+    sets = stored(found.mapInArrow(_sets(width), "id long, items array<long>"), "sets")
     facts = reps.join(members, "rep", "left_semi").select(F.col("rep"), "n", "regs")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -206,19 +220,21 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         x = x.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(share), "a long, b long")
         return compared(x).where(similar).select("a", "b").distinct()
 
-    # Every class with the leaders of its buckets: how much they have in common, and what the class has besides, of
-    # which as many items as the prefix filter needs (two sets that are similar enough share one of these).
-    pairs = shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    prefix = F.col("na") - F.ceil(F.lit(percent) * F.col("na") / 100) + 1
-    extra = F.array_except("xa", "xb")
-    first = stored(compared(pairs).select("a", "b", "na", "nb", "i", F.slice(F.array_sort(extra), F.lit(1), (prefix + HOT).cast("int")).alias("extra"), prefix.cast("int").alias("p")), "pairs")
-    linked = stored(first.where(similar).select("a", "b"), "links")
+    # First wave: every class with the leaders of its buckets.
+    pairs = stored(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    linked = stored(links(pairs), "links")
     part = components(linked)
     # Classes of one leader that are still in different components: they can only be similar if they share an item that
     # the leader lacks, or if what both have in common with the leader is enough by itself.
-    placed = first.join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    placed = pairs.join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
     mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
-    apart = stored(placed.join(mixed, "b", "left_semi"), "apart")
+    # How much they have in common with the leader, and what they have besides, of which as many items as the prefix
+    # filter needs (two sets that are similar enough share one of these).
+    left = placed.join(mixed, "b", "left_semi")
+    prefix = F.col("na") - F.ceil(F.lit(percent) * F.col("na") / 100) + 1
+    extra = F.array_except("xa", "xb")
+    met = compared(left.select("a", "b")).select("a", "b", "na", "nb", "i", F.slice(F.array_sort(extra), F.lit(1), (prefix + HOT).cast("int")).alias("extra"), prefix.cast("int").alias("p"))
+    apart = stored(met.join(left, ["a", "b"]), "apart")
     # The prefix filter takes any order of items that is the same for all: here what the leader lacks comes first, but
     # for the few items that most others have, and what the leader has comes last.
     items = apart.select("b", F.explode("extra").alias("item"), "a", "c", "p")
@@ -233,20 +249,23 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     most = F.least("i", "iy")
     by_leader = plain.join(far, "b").where((F.col("c") != F.col("cy")) & (100 * most >= percent * (F.col("na") + F.col("ny") - most))).select("a", "y")
     second = by_item.unionByName(by_leader).select(F.greatest("a", "y").alias("a"), F.least("a", "y").alias("b")).distinct()
-    more = stored(links(stored(second, "pairs")), "links")
+    second = stored(second, "pairs")
+    more = stored(links(second), "links")
     if more.isEmpty():
         whole = part
     else:
         whole = components(linked.unionByName(more))
     classes = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("component", "rep").alias("component"))
-    found = rows.select("id", *one).join(classes, one, "left")
-    return found.select("id", "n", F.coalesce("component", "id").alias("component"))
+    found = rows.select("id", *one).join(classes, one, "left").withColumn("component", F.coalesce("component", "id"))
+    out = stored(found.select("id", "n", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component")), "components")
+    discard(rows, reps, sized, known, sets, pairs, linked, apart, items, second, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that are the smallest id of their class, with their own columns only; rows without id stay."""
-    gone = near_classes(docs, width, percent, key, text).where(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    gone = near_classes(docs, width, percent, key, text).where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
+    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
 
 
 def op6_minhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """key and the measures of every row's text."""
     configure(docs.sparkSession)
     some = docs.select(key, text)
-    return some.mapInArrow(_measured([key], text), f"{key} {dict(docs.dtypes)[key]}, {SCHEMA}")
+    return some.mapInArrow(_measured([key], text), f"`{key}` {dict(docs.dtypes)[key]}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:

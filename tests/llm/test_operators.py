@@ -93,6 +93,16 @@ def test_near_duplicates(docs, texts, width, percent):
     assert got == {i: (len(sets[i]), comp[i]) for i in range(len(texts))}
 
 
+def test_near_odd_rows(spark):
+    """Rows without id link others, rows of equal ids are one document; a column's name may clash."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base, 1), (4, base + " x", 2), (9, "y " + base, 3), (9, "quite another text here", 4), (None, "all alone here", 5), (None, "all alone here", 6), (2, None, 7), (7, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep int").withColumn("component", F.lit(1))
+    got = sorted((r.id is None, r.id or 0, r.n, r.component) for r in neardup.near_classes(df, 3, 85).collect())
+    assert got == sorted([(True, 0, 58, 4), (False, 4, 59, 4), (False, 9, 59, 4), (False, 9, 2, 4), (True, 0, 1, None), (True, 0, 1, None), (False, 2, 0, 2), (False, 7, 0, 7)])
+    assert neardup.one_of_each(df, 3, 85).columns == df.columns
+
+
 def test_near_group_with_outliers(spark):
     """One group of many near copies around the threshold, which leaders alone don't settle."""
     dice = random.Random(9)
