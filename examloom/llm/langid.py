@@ -1,19 +1,23 @@
 """Language identification by cross-parsing entropy (operator 9).
 
 For each language a suffix automaton of labelled text is built.  A text is
-parsed greedily into the longest phrases that occur in that text; the language
-whose automaton needs fewest phrases, per symbol of the normalised text, wins.
-Texts are lower-cased, everything but letters becomes one blank.  All texts of
-a block are parsed side by side in numpy, in pieces of ``PIECE`` symbols, so
-that long texts take no more memory than short ones.  No shuffle of texts.
+parsed greedily into the longest phrases that occur in that text.  A letter that
+does not occur there is a phrase of its own, and counts twice, as it has to be
+spelled out besides.  The language that needs fewest phrases for the normalised
+text wins.  Texts are lower-cased, everything but
+letters becomes one blank.  Every text is parsed whole, from its first symbol to
+its last: those of a batch side by side in numpy, and what is left of the few
+longest of them one after the other.  No shuffle of texts.
 
 The labelled text is a bounded sample: at most ``SAMPLE_DOCS`` documents and
 ``SAMPLE_CHARS`` symbols a language, of each document at most ``DOC_CHARS``,
 drawn by a hash of the id over all learning rows.  With many languages the
-symbols a language shrink so that all automata stay within ``TOTAL_CHARS``.
+symbols a language shrink so that all automata stay within ``TOTAL_CHARS``.  All
+letters of the sample are told apart.
 
 Null text, or text without a letter: ``und`` with score 0.  Ties go to the
 language whose name sorts first.  With no labelled row all texts get ``und``.
+Rows are judged one by one, whatever their id.
 """
 
 from __future__ import annotations
@@ -34,12 +38,11 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 40_000
 DOC_CHARS = 4_000
 TOTAL_CHARS = 400_000
-MAX_SYMBOLS = 120
-PIECE = 256
-LANES = 8_192
+#: Texts parsed side by side: at most, and at least.
+LANES, FEW = 8_192, 24
 UNDECIDED = "und"
 
-_RESTART = 1 << 30
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _letters() -> np.ndarray:
@@ -47,7 +50,7 @@ def _letters() -> np.ndarray:
 
 
 class Model:
-    """The languages' automata as one dense table of steps."""
+    """The languages' automata: their steps in one hash table, those from the roots in an array."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.langs = sorted(texts)
@@ -58,15 +61,15 @@ class Model:
         for lang in self.langs:
             points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts[lang]]
             normal[lang] = [np.where(letter[p], p, 0x20) for p in points]
-        every = np.concatenate([np.zeros(0, dtype="<u4"), *(p for ps in normal.values() for p in ps)])
-        found, n = np.unique(every[every != 0x20], return_counts=True)
-        found = np.sort(found[np.lexsort((found, -n))][:MAX_SYMBOLS])
-        # Codes: 0 pads, 1 is the blank, 2 any other letter, then the sample's letters.
-        self.known = found.astype(np.uint32)
-        self.width = len(found) + 3
+        every = np.unique(np.concatenate([np.zeros(0, dtype="<u4"), *(p for ps in normal.values() for p in ps)]))
+        # Codes: 0 is a letter that the sample has not, 1 the blank, then come the sample's letters.
+        self.known = every[every != 0x20].astype(np.uint32)
+        self.width = len(self.known) + 2
         code = self.codes()
-        tables = []
-        for lang in self.langs:
+        keys, to, size = [], [], 0
+        self.base = np.zeros(len(self.langs), dtype=np.int64)
+        self.first = np.zeros((len(self.langs), self.width), dtype=np.int64)
+        for i, lang in enumerate(self.langs):
             words, left = [], most
             for p in normal[lang]:
                 w = squeeze(code[p], np.array([0, len(p)]))[0][:left]
@@ -74,22 +77,61 @@ class Model:
                 if len(w):
                     words.append(w.tolist())
             automaton = SuffixAutomaton(words)
-            table = np.full((len(automaton.next), self.width), -1, dtype=np.int32)
+            self.base[i], self.first[i] = size, size
             for s, step in enumerate(automaton.next):
-                table[s, list(step)] = list(step.values())
-            table[:, 2] = -1  # a letter never seen is a phrase of its own
-            root = np.maximum(table[0], 0) | _RESTART
-            table = np.where(table < 0, root, table)
-            table[:, 0] = 0
-            tables.append(table)
-        self.base = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-        shifted = [t + b for t, b in zip(tables, self.base, strict=True)]
-        self.table = np.concatenate(shifted).astype(np.int32).ravel() if shifted else np.zeros(0, dtype=np.int32)
+                if s:
+                    keys += [(size + s) * self.width + c for c in step]
+                    to += [size + x for x in step.values()]
+            for c, x in automaton.next[0].items():
+                self.first[i, c] = size + x
+            size += len(automaton.next)
+        self.keys, self.to = self._table(np.array(keys, dtype=np.int64), np.array(to, dtype=np.int32))
+
+    def _slot(self, key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _table(self, keys: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Open addressing, a quarter full at most; -1 marks an empty slot."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        table, value = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        slot = self._slot(keys, self.bits)
+        while len(keys):
+            _, one = np.unique(slot, return_index=True)
+            free = one[table[slot[one]] < 0]
+            table[slot[free]], value[slot[free]] = keys[free], to[free]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[free] = False
+            keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+        return table, value
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of states by language (rows) and text: the next ones, and what a phrase that begins costs: 1, or 2 for a letter never seen."""
+        key = (state * self.width + code).ravel()
+        slot = self._slot(key, self.bits)
+        at = self.keys[slot]
+        out = np.where(at == key, self.to[slot], -1)
+        more = np.flatnonzero((at != key) & (at >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & (len(self.keys) - 1)
+            at = self.keys[slot[more]]
+            good = at == key[more]
+            out[more[good]] = self.to[slot[more[good]]]
+            more = more[~good & (at >= 0)]
+        out = out.reshape(state.shape)
+        fresh = out < 0
+        out = np.where(fresh, self.first[:, code], out)
+        return out, fresh.astype(np.int64) + (out == self.base[:, None])
+
+    def steps(self) -> list[dict[int, int]]:
+        """The hash table's steps as dictionaries by language."""
+        used = np.flatnonzero(self.keys >= 0)
+        lang = np.searchsorted(self.base, self.keys[used] // self.width, side="right") - 1
+        return [dict(zip(self.keys[x].tolist(), self.to[x].tolist(), strict=True)) for x in (used[lang == i] for i in range(len(self.langs)))]
 
     def codes(self) -> np.ndarray:
         """Code of each code point."""
-        out = np.where(np.unpackbits(self.letters).astype(bool), 2, 1).astype(np.uint8)
-        out[self.known] = np.arange(3, 3 + len(self.known))
+        out = np.where(np.unpackbits(self.letters).astype(bool), 0, 1).astype(np.int32)
+        out[self.known] = np.arange(2, 2 + len(self.known))
         return out
 
 
@@ -102,33 +144,45 @@ def squeeze(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[keep], place[bounds]
 
 
-def phrases(model: Model, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Phrases of each text (rows) in each language (columns)."""
+def _tail(model: Model, lang: int, steps: dict[int, int], state: int, codes: np.ndarray) -> int:
+    """The cost of the phrases that begin in the rest of a text."""
+    get, width, first, n, root = steps.get, model.width, model.first[lang].tolist(), 0, int(model.base[lang])
+    for at in range(0, len(codes), 1 << 16):
+        for c in codes[at : at + (1 << 16)].tolist():
+            x = get(state * width + c)
+            if x is None:
+                x = first[c]
+                n += 1 + (x == root)
+            state = x
+    return n
+
+
+def phrases(model: Model, steps: list[dict[int, int]], codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Phrases of each text (rows) in each language (columns), letters never seen counted twice."""
     sizes = np.diff(bounds)
-    pieces = -(-sizes // PIECE)
-    owner = np.repeat(np.arange(len(sizes)), pieces)
-    start = bounds[:-1][owner] + (np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]) * PIECE
-    stop = np.minimum(start + PIECE, bounds[1:][owner])
     out = np.zeros((len(sizes), len(model.langs)), dtype=np.int64)
-    order = np.argsort(start - stop, kind="stable")  # long pieces first: the lanes still at work are a prefix
-    padded = np.concatenate([codes, np.zeros(PIECE, dtype=codes.dtype)])
+    order = np.argsort(-sizes, kind="stable")  # long texts first: those still at work stand in front
     for at in range(0, len(order), LANES):
         some = order[at : at + LANES]
-        s, size = start[some], (stop - start)[some]
-        state = np.repeat(model.base[:, None], len(some), axis=1).astype(np.int32)
-        n = np.ones((len(model.langs), len(some)), dtype=np.int32)
-        for i in range(int(size[0])):
+        start, size = bounds[:-1][some], sizes[some]
+        state = np.repeat(model.base[:, None], len(some), axis=1)
+        n = np.zeros(state.shape, dtype=np.int64)
+        together = int(size[FEW]) if len(some) > FEW else 0
+        for i in range(together):
             live = int(np.searchsorted(-size, -i, side="left"))  # sizes above i
-            x = model.table.take(state[:, :live] * model.width + padded[s[:live] + i])
-            n[:, :live] += x >> 30
-            state[:, :live] = x & (_RESTART - 1)
-        np.add.at(out, owner[some], n.T)
+            state[:, :live], cost = model.step(state[:, :live], codes[start[:live] + i])
+            n[:, :live] += cost
+        for k in np.flatnonzero(size > together).tolist():
+            for lang in range(len(model.langs)):
+                n[lang, k] += _tail(model, lang, steps[lang], int(state[lang, k]), codes[start[k] + together : start[k] + size[k]])
+        out[some] = n.T
     return out
 
 
 def _mapped(key: str, text: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        steps = model.steps()
         code, letter = model.codes(), np.unpackbits(model.letters).astype(bool)
         names = np.array([*model.langs, UNDECIDED], dtype=object)
         for batch in batches:
@@ -139,7 +193,7 @@ def _mapped(key: str, text: str, shared):
             score = np.zeros(len(texts))
             pick = np.full(len(texts), len(model.langs))
             if model.langs and has.any():
-                n = phrases(model, *squeeze(code[points], bounds))
+                n = phrases(model, steps, *squeeze(code[points], bounds))
                 best = n.argmin(axis=1)
                 pick = np.where(has, best, pick)
                 if len(model.langs) > 1:

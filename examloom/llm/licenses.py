@@ -1,20 +1,21 @@
 """License scans by diagonal voting (operator 4), in DataFrame functions only.
 
-Every k consecutive words of a text form a gram; its rolling hash is joined to
-the grams of all templates.  A match at word p of the text and word q of the
-template votes for the diagonal p - q.  Votes are summed by diagonal, diagonals
-next to each other (an inserted or missing word) are merged, and each merged
-span is verified: for a whole phrase every gram must have voted on one single
-diagonal, for a longer notice ``MIN_COVER`` of its grams.
-
-The join carries the gram itself, so that equal hashes of different words do
-not count.  Texts are never exploded together with their grams; per gram a row
-holds the id, the place and the gram.  Only matching rows are shuffled, and
-they are pre-aggregated by diagonal.  The templates are a constant of this
-module, hence broadcast with a known size.
+Every k consecutive words of a text form a gram with a rolling hash over the
+words' hashes; it is joined to the grams of all templates.  A match at word p of
+the text and word q of the template votes for the diagonal p - q.  Votes are
+summed by diagonal, diagonals next to each other (an inserted or missing word)
+are merged, and each merged span is verified: for a whole phrase every gram must
+have voted on one single diagonal, for a longer notice ``MIN_COVER`` of its grams.
+
+Inside each row, before anything is exploded, a sieve of bits over the
+templates' hashes stops all grams that no template has.  The join carries the
+gram itself, so that equal hashes of different words do not count.  Only
+matching rows are shuffled, and they are pre-aggregated by diagonal.  The
+templates are a constant of this module, hence broadcast with a known size.
 
 Null or empty text: 0 words, no labels, score 0, null places.  Texts shorter
-than a gram match nothing.  Repeated rows with distinct ids are each scanned.
+than a gram match nothing.  Rows are told apart by id and a hash of the text:
+repeated and null ids are scanned like others.
 """
 
 from __future__ import annotations
@@ -51,37 +52,75 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), lambda w: w != "")
 
 
+#: Modulus and base of the rolling hash over the words' hashes.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+SIEVE_BITS = 1 << 14
+
+
+def word_hash(w: Column) -> Column:
+    return F.pmod(F.xxhash64(w), F.lit(PRIME))
+
+
+def rolled(h: list[Column]) -> Column:
+    """The rolling hash of consecutive words' hashes, from the first to the last."""
+    out = h[0]
+    for x in h[1:]:
+        out = (out * F.lit(BASE) + x) % F.lit(PRIME)
+    return out
+
+
 def templates(spark) -> DataFrame:
-    """One row per gram of each template: template, label, whether it is a phrase, number of grams, gram and place."""
+    """One row per gram of each template: template, label, whether it is a phrase, number of grams, gram, its rolling hash and place."""
     rows = []
     for i, (label, text, k) in enumerate([*((v, p, PHRASE_K) for p, v in PHRASES.items()), *((v, t, NOTICE_K) for v, t in NOTICES.items())]):
         w = text.split()
-        grams = [" ".join(w[q : q + k]) for q in range(len(w) - k + 1)]
+        grams = [w[q : q + k] for q in range(len(w) - k + 1)]
         rows += [(i, label, k == PHRASE_K, len(grams), k, g, q) for q, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, k int, gram string, q int")
+    made = spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, k int, words array<string>, q int")
+    h = F.when(F.col("k") == PHRASE_K, rolled([word_hash(F.get("words", F.lit(i))) for i in range(PHRASE_K)])).otherwise(rolled([word_hash(F.get("words", F.lit(i))) for i in range(NOTICE_K)]))
+    return made.select("template", "label", "phrase", "n_grams", "k", F.concat_ws(" ", "words").alias("gram"), h.alias("h"), "q")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The words of every row (key, n_words), and the verified spans (key, label, phrase, first, last, n, cover)."""
-    known = F.broadcast(templates(docs.sparkSession).withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "tgram"))
-    split = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
+    """The words of every row (id, th, n_words), and the verified spans of its text (id, th, label, phrase, first, n, cover)."""
+    made = templates(docs.sparkSession)
+    known = F.broadcast(made.select("template", "label", "phrase", "n_grams", F.col("k").alias("tk"), F.col("gram").alias("tgram"), F.col("h").alias("th_"), "q"))
+    # A sieve of bits over the templates' hashes: grams that it stops are in no template.
+    bits: dict[int, set[int]] = {PHRASE_K: set(), NOTICE_K: set()}
+    for r in made.select("k", "h").collect():
+        bits[r.k].add(r.h % SIEVE_BITS)
+    split = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), words_of(F.col(text)).alias("w"))
+    hashed = split.select("id", "th", "w", F.transform("w", word_hash).alias("hs"))
 
     def grams(k: int) -> Column:
         places = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda p: F.concat_ws(" ", *(F.get(F.col("w"), p + i) for i in range(k))))
+        full = [0] * (SIEVE_BITS // 63 + 1)
+        for b in bits[k]:
+            full[b // 63] |= 1 << (b % 63)
+        sieve = F.lit(full).cast("array<long>")
+
+        def gram_hash(p: Column) -> Column:
+            return rolled([F.get("hs", p + i) for i in range(k)])
+
+        def passes(p: Column) -> Column:
+            b = (gram_hash(p) % SIEVE_BITS).cast("int")
+            return F.getbit(F.get(sieve, F.floor(b / 63).cast("int")), b % 63) == 1
+
+        return F.transform(F.filter(places, passes), lambda p: F.struct(F.lit(k).alias("k"), p.alias("p"), gram_hash(p).alias("h"), F.concat_ws(" ", F.slice("w", p + 1, k)).alias("gram")))
 
-    rows = split.select("key", F.explode(F.array(F.struct(F.lit(PHRASE_K).alias("k"), grams(PHRASE_K).alias("g")), F.struct(F.lit(NOTICE_K).alias("k"), grams(NOTICE_K).alias("g")))).alias("x"))
-    rows = rows.select("key", F.col("x.k").alias("gk"), F.posexplode("x.g").alias("p", "gram"))
-    hits = rows.join(known, (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("tgram")) & (F.col("gk") == F.col("k")))
-    votes = hits.groupBy("key", "template", "label", "phrase", "n_grams", (F.col("p") - F.col("q")).alias("d")).agg(F.count("*").alias("votes"))
+    rows = hashed.select("id", "th", F.explode(F.concat(grams(PHRASE_K), grams(NOTICE_K))).alias("x")).select("id", "th", "x.*")
+    hits = rows.join(known, (F.col("h") == F.col("th_")) & (F.col("gram") == F.col("tgram")) & (F.col("k") == F.col("tk")))
+    # Rows with equal ids and texts find the same places: each counts once.
+    same = ["id", "th", "template", "label", "phrase", "n_grams"]
+    votes = hits.select(*same, "p", (F.col("p") - F.col("q")).alias("d")).distinct().groupBy(*same, "d").agg(F.count("*").alias("votes"))
 
-    own = Window.partitionBy("key", "template").orderBy("d")
+    own = Window.partitionBy("id", "th", "template").orderBy("d")
     # A phrase stands at every diagonal with all its votes; a notice's neighbouring diagonals make one span.
     fresh = (F.col("phrase") | (F.col("d") - F.lag("d").over(own) > SLACK)).cast("int")
     runs = votes.withColumn("run", F.sum(F.coalesce(fresh, F.lit(1))).over(own))
-    spans = runs.groupBy("key", "template", "label", "phrase", "n_grams", "run").agg(F.sum("votes").alias("votes"), F.min("d").alias("d"))
+    spans = runs.groupBy(*same, "run").agg(F.sum("votes").alias("votes"), F.min("d").alias("d"))
     spans = spans.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-    return split.select("key", F.size("w").alias("n_words")), spans.where(F.when(F.col("phrase"), F.col("votes") == F.col("n_grams")).otherwise(F.col("cover") >= MIN_COVER))
+    return split.select("id", "th", F.size("w").alias("n_words")), spans.where(F.when(F.col("phrase"), F.col("votes") == F.col("n_grams")).otherwise(F.col("cover") >= MIN_COVER))
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +131,7 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         return F.concat_ws(",", F.array_sort(F.collect_set(c)))
 
     base = F.col("phrase")
-    found = spans.groupBy("key").agg(
+    found = spans.groupBy("id", "th").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("d"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("d"))).cast("long").alias("last_word"),
@@ -100,8 +139,9 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         joined(F.col("label")).alias("labels"),
         F.max("cover").alias("score"),
     )
-    return words.join(found, "key", "left").select(
-        F.col("key").alias(key),
+    found = found.withColumnsRenamed({"id": "fid", "th": "fth"})
+    return words.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left").select(
+        F.col("id").alias(key),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         "first_word",

@@ -257,6 +257,39 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predicted(df, empty).collect()} == {"und"}
 
 
+def test_phrases_are_greedy():
+    """Against a plain parse by substring search, with large alphabets, unknown letters, and texts of very different lengths."""
+    dice = random.Random(6)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(1500)], "bb": [chr(0xAC00 + i) for i in range(1500)], "cc": list("abc ")}
+    sample = {k: ["".join(dice.choice(v) for _ in range(dice.choice([5, 400, 3000]))) for _ in range(6)] for k, v in scripts.items()}
+    model = langid.Model(sample)
+    code = model.codes()
+    texts = ["".join(dice.choice(scripts[dice.choice(list(scripts))] + ["д"]) for _ in range(k)) for k in (0, 1, 3)] + ["".join(dice.choice(scripts[k]) for _ in range(n)) for k in scripts for n in [3, 40, 900] * 5 + [20_000]]
+    texts += [sample["cc"][0], "дд" + sample["aa"][1]]
+    codes = [langid.squeeze(code[np.frombuffer(t.encode("utf-32-le"), "<u4")], np.array([0, len(t)]))[0] for t in texts]
+    seen = {k: ["".join(chr(c) for c in langid.squeeze(code[np.frombuffer(t.encode("utf-32-le"), "<u4")], np.array([0, len(t)]))[0]) for t in v] for k, v in sample.items()}
+    got = langid.phrases(model, model.steps(), np.concatenate(codes), np.concatenate([[0], np.cumsum([len(c) for c in codes])]))
+    for i, c in enumerate(codes):
+        t = "".join(map(chr, c.tolist()))
+        if len(t) > 2000:
+            continue
+        for j, lang in enumerate(model.langs):
+            at = n = 0
+            while at < len(t):
+                k = 1
+                while at + k < len(t) and any(t[at : at + k + 1] in x for x in seen[lang]):
+                    k += 1
+                n += 1 if any(t[at : at + k] in x for x in seen[lang]) else 2
+                at += k
+            assert got[i, j] == n
+    assert got[:, :2].max() > 1000
+    for k in ("aa", "bb"):
+        right = ["".join(dice.choice(scripts[k]) for _ in range(40)) for _ in range(30)]
+        codes = [code[np.frombuffer(t.encode("utf-32-le"), "<u4")] for t in right]
+        n = langid.phrases(model, model.steps(), np.concatenate(codes), np.arange(31) * 40)
+        assert (n.argmin(axis=1) == model.langs.index(k)).all()
+
+
 def test_licenses(spark):
     notice = licenses.NOTICES["mit"]
     rows = [(1, "Under the MIT License, or the mit-license; Apache License too"), (2, notice.replace("free of charge", "free, of all charge")), (3, "GNU General Public License"), (4, None), (5, ""), (6, "license mit general license")]
