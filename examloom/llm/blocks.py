@@ -121,8 +121,8 @@ class Rolling:
 class Block:
     """Some rows and their texts as one array of bytes."""
 
-    def __init__(self, batch: pa.RecordBatch, column: str, lower: bool = False, blank: np.ndarray = BLANK) -> None:
-        self.batch, self._blank = batch, blank
+    def __init__(self, batch: pa.RecordBatch, column: str, lower: bool = False, blank: np.ndarray = BLANK, unspaced: bool = False) -> None:
+        self.batch, self._blank, self._unspaced = batch, blank, unspaced
         text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
         _, ends, data = text.buffers()
         off = np.frombuffer(ends, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
@@ -140,6 +140,11 @@ class Block:
         solid = ~self._blank[self.data]
         edge = np.zeros(len(solid) + 1, dtype=bool)
         edge[self.off] = True
+        if self._unspaced:
+            # U+3000 to U+9FFF, three bytes each: every character is a word.
+            lead = np.flatnonzero((self.data >= 0xE3) & (self.data <= 0xE9))
+            edge[lead] = True
+            edge[np.minimum(lead + 3, len(solid))] = True
         fresh = solid.copy()
         fresh[1:] &= ~solid[:-1] | edge[1:-1]
         last = solid.copy()
@@ -164,7 +169,7 @@ class Block:
         return np.diff(sums[bounds])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK, unspaced: bool = False) -> Iterator[Block]:
     """Cut batches to about size bytes of text and MAX_ROWS rows; one longer text makes a block of its own."""
     for batch in batches:
         n = batch.num_rows
@@ -175,7 +180,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
         while at < n:
             used = total[at - 1] if at else 0
             to = min(at + MAX_ROWS, max(at + 1, int(np.searchsorted(total, used + size, side="right"))))
-            yield Block(batch.slice(at, to - at), column, lower, blank)
+            yield Block(batch.slice(at, to - at), column, lower, blank, unspaced)
             at = to
 
 

@@ -1,35 +1,42 @@
 """Benchmark decontamination by greedy string tiling (operator 1).
 
-Words are compared in lower case, without punctuation.  Documents and test
-items that share a seed (``SEED`` consecutive words, by rolling hash) are tiled:
-running Karp-Rabin finds the matches of still unmarked words, the longest are
-marked on both sides, and so on until no match of ``SEED`` words is left.  The
-share of the item's words that tiles cover is its coverage; since tiles may
-stand in any order, reordered passages are caught too.  A document holds an
-item if the coverage reaches ``COVERAGE``.
-
-Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is
-broadcast is bounded whatever the benchmark's size; each block is one pass over
-the documents.  Documents are never shuffled.
-
-Null or empty texts hold nothing.  Items with fewer words than a seed cannot be
-told from chance and match nothing.  Equal items are each reported.
+Words are compared in lower case, without punctuation; in scripts without
+blanks each character is a word.  Documents and test items that share a seed
+(``SEED`` consecutive words, by rolling hash) are tiled: running Karp-Rabin finds
+the matches of still unmarked words, the longest are marked on both sides, and
+so on until no match of ``SEED`` words is left.  The share of the item's words
+that tiles cover is its coverage; since tiles may stand in any order, reordered
+passages are caught too.  A document holds an item if the coverage reaches
+``COVERAGE``.  An item with fewer words than a seed is held where all its words
+stand consecutively, which makes one tile.
+
+Test items are taken in blocks of about ``BLOCK_WORDS`` words and ``BLOCKS`` of
+these in a pass over the documents, so what is broadcast is bounded whatever
+the benchmark's size.  Documents are never shuffled.  Places of equal seeds are
+expanded for at most about ``HITS`` pairs at once, or for one document and item.
+
+Null or empty texts, on either side, hold nothing and are held by nothing.
+Equal items and rows are each reported, null ids as null.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from examloom.llm.blocks import Block, Rolling, blocks, configure, spread
 
 SEED = 5
 COVERAGE = 0.5
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, BLOCKS = 1_000_000, 4
+HITS = 2_000_000
 
 #: All of ASCII but digits and lower-case letters parts words.
 PARTS = np.ones(256, dtype=bool)
@@ -39,28 +46,34 @@ PARTS[0x61:0x7B] = False
 
 
 class Items:
-    """One block of test items: their words and an index of their seeds."""
+    """One block of test items: their words and an index of their seeds; short items by their whole word sequence."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        block = Block(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t", lower=True, blank=PARTS)
-        self.ids = np.array(ids, dtype=np.int64)
-        self.words = block.word_hashes()
+    def __init__(self, ids: list, texts: list[str]) -> None:
+        block = Block(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t", lower=True, blank=PARTS, unspaced=True)
+        self.ids = ids
+        words = block.word_hashes()
         self.ptr = block.ptr
-        grams = Rolling(self.words).windows(SEED)
-        doc = block.doc_of_words()
+        rolling, doc = Rolling(words), block.doc_of_words()
+        grams = rolling.windows(SEED)
         at = np.flatnonzero(self.ptr[1:][doc] - np.arange(len(doc)) >= SEED)
         order = at[np.argsort(grams[at], kind="stable")]
         self.seeds, self.place, self.item = grams[order], order - self.ptr[:-1][doc[order]], doc[order]
         self.sieve = np.zeros(1 << 20, dtype=bool)
         self.sieve[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of grams and of seeds that are equal."""
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SEED):
+            some = np.flatnonzero(block.count == n)
+            if len(some):
+                whole = rolling.ranges(self.ptr[some], self.ptr[some] + n)
+                by = np.argsort(whole, kind="stable")
+                self.short[n] = whole[by], some[by]
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of grams that are seeds too, and for each the first of these and their number."""
         some = np.flatnonzero(self.sieve[(grams >> np.uint64(44)).astype(np.int64)])
         lo = np.searchsorted(self.seeds, grams[some], side="left")
         n = np.searchsorted(self.seeds, grams[some], side="right") - lo
-        run, k = spread(n)
-        return some[run], lo[run] + k
+        return some[n > 0], lo[n > 0], n[n > 0]
 
 
 def tiles(p: np.ndarray, q: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -93,35 +106,61 @@ def tiles(p: np.ndarray, q: np.ndarray, size: int) -> list[tuple[int, int, int]]
     return out
 
 
-def matches(block: Block, items: Items, least: float = 0.0) -> list[tuple[int, int, float, int, int]]:
-    """(row, item, coverage, tiles, words in tiles) of pairs that share a seed and may reach the least coverage."""
-    grams = Rolling(block.word_hashes()).windows(SEED)
-    doc = block.doc_of_words()
-    left = block.ptr[1:][doc] - np.arange(len(doc))
-    at = np.flatnonzero(left >= SEED)
-    p, k = items.hits(grams[at])
-    p = at[p]
-    if not len(p):
-        return []
-    row, item, q = doc[p], items.item[k], items.place[k]
+def _tiled(row: np.ndarray, p: np.ndarray, k: np.ndarray, items: Items, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """Tilings of all pairs of a row and an item in the places p of seeds k."""
+    item, q = items.item[k], items.place[k]
     order = np.lexsort((item, row))
     row, item, p, q = row[order], item[order], p[order], q[order]
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]]))
-    out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        r, i = int(row[a]), int(item[a])
+        i = int(item[a])
         size = int(items.ptr[i + 1] - items.ptr[i])
         if len(np.unique(q[a:b])) * SEED < least * size:
             continue  # its seeds, all apart, would not cover it
         found = tiles(p[a:b], q[a:b], size)
         n = sum(x[2] for x in found)
-        out.append((r, i, n / size, len(found), n))
+        yield int(row[a]), i, n / size, len(found), n
+
+
+def matches(block: Block, items: Items, least: float = 0.0) -> list[tuple[int, int, float, int, int]]:
+    """(row, item, coverage, tiles, words in tiles) of pairs that share a seed and may reach the least coverage."""
+    rolling = Rolling(block.word_hashes())
+    doc = block.doc_of_words()
+    left = block.ptr[1:][doc] - np.arange(len(doc))
+    out = []
+    for n, (whole, which) in items.short.items():
+        at = np.flatnonzero(left >= n)
+        grams = rolling.windows(n)[at]
+        lo, hi = np.searchsorted(whole, grams, side="left"), np.searchsorted(whole, grams, side="right")
+        run, k = spread(hi - lo)
+        pairs = {(int(r), int(i)) for r, i in zip(doc[at[run]], which[lo[run] + k], strict=True)}
+        out += [(r, i, 1.0, 1, n) for r, i in sorted(pairs)]
+    at = np.flatnonzero(left >= SEED)
+    some, lo, n = items.hits(rolling.windows(SEED)[at])
+    if not len(some):
+        return out
+    p, row = at[some], doc[at[some]]
+    # Rows together while their pairs of places are few; a row with more goes by itself, item by item.
+    by_row = np.bincount(row, weights=n, minlength=len(block))
+    group = np.floor(np.cumsum(by_row) / HITS).astype(np.int64)
+    for g in np.unique(group[row]).tolist():
+        mine = np.flatnonzero(group[row] == g)
+        if n[mine].sum() <= 2 * HITS:
+            run, k = spread(n[mine])
+            out += _tiled(row[mine][run], p[mine][run], lo[mine][run] + k, items, least)
+            continue
+        seeds = np.unique(np.concatenate([np.arange(a, a + b) for a, b in {*zip(lo[mine].tolist(), n[mine].tolist(), strict=True)}]))
+        for i in np.unique(items.item[seeds]).tolist():
+            own = seeds[items.item[seeds] == i]
+            a, b = np.searchsorted(own, lo[mine]), np.searchsorted(own, lo[mine] + n[mine])
+            run, k = spread(b - a)
+            out += _tiled(row[mine][run], p[mine][run], own[a[run] + k], items, least)
     return out
 
 
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Items]:
     """The benchmark in blocks of bounded size, one at a time."""
-    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    rows = benchmark.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 + int(size) // (5 * BLOCK_WORDS)
     for i in range(n):
@@ -130,28 +169,33 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
             yield Items([r.id for r in got], [r.t for r in got])
 
 
+def _passes(benchmark: DataFrame) -> Iterator[list]:
+    """The benchmark's blocks, broadcast, for each pass over the documents."""
+    context = benchmark.sparkSession.sparkContext
+    yield from itertools.batched((context.broadcast(x) for x in item_blocks(benchmark)), BLOCKS)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The documents that hold a test item: key, item_id, coverage, n_tiles, n_words in tiles; one row per pair."""
     spark = docs.sparkSession
     configure(spark)
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, item_id long, coverage double, n_tiles int, n_words int"
+    kind = next(f.dataType for f in benchmark.schema if f.name == "item_id")
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, item_id {kind.simpleString()}, coverage double, n_tiles int, n_words int"
+    arrow = to_arrow_type(kind)
 
     def mapped(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for block in blocks(batches, text, lower=True, blank=PARTS):
-                got = [x for x in matches(block, items, coverage) if x[2] >= coverage]
-                if got:
-                    row, item, share, n, words = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([block.batch.column(key).take(pa.array(row)), pa.array(items.ids[list(item)]), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(words, pa.int32())], names=[key, "item_id", "coverage", "n_tiles", "n_words"])
+            for block in blocks(batches, text, lower=True, blank=PARTS, unspaced=True):
+                for items in shared:
+                    got = [x for x in matches(block, items.value, coverage) if x[2] >= coverage]
+                    if got:
+                        row, item, share, n, words = zip(*got, strict=True)
+                        yield pa.RecordBatch.from_arrays([block.batch.column(key).take(pa.array(row)), pa.array([items.value.ids[i] for i in item], arrow), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(words, pa.int32())], names=[key, "item_id", "coverage", "n_tiles", "n_words"])
 
         return run
 
-    out = spark.createDataFrame([], schema)
-    for i, items in enumerate(item_blocks(benchmark)):
-        part = docs.select(key, text).mapInArrow(mapped(spark.sparkContext.broadcast(items)), schema)
-        out = part if not i else out.unionByName(part)
-    return out
+    parts = [docs.select(key, text).mapInArrow(mapped(shared), schema) for shared in _passes(benchmark)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -160,16 +204,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cov
 
     def mapped(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for block in blocks(batches, text, lower=True, blank=PARTS):
+            for block in blocks(batches, text, lower=True, blank=PARTS, unspaced=True):
                 clean = np.ones(len(block), dtype=bool)
-                clean[[x[0] for x in matches(block, items, coverage) if x[2] >= coverage]] = False
+                for items in shared:
+                    clean[[x[0] for x in matches(block, items.value, coverage) if x[2] >= coverage]] = False
                 yield block.batch.filter(pa.array(clean))
 
         return run
 
-    for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(mapped(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    for shared in _passes(benchmark):
+        docs = docs.mapInArrow(mapped(shared), docs.schema)
     return docs
 
 

@@ -192,13 +192,62 @@ def test_wavelet_matrix():
 def test_tiles_reordered(spark):
     item = "the quick brown fox jumps over the lazy dog near a river bank while nine grey geese fly south today"
     w = item.split()
-    texts = [(1, "intro words here " + item.upper() + "."), (2, " ".join(w[10:]) + " filler stuff " + " ".join(w[:10])), (3, " ".join(w[:6]) + " and nothing else of it"), (4, None), (5, "")]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
+    texts = [(1, "intro words here " + item.upper() + "."), (2, " ".join(w[10:]) + " filler stuff " + " ".join(w[:10])), (3, " ".join(w[:6]) + " and nothing else of it"), (4, None), (5, ""), (6, "far too short, indeed"), (7, "我们都喜欢在海边看日出啊")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame([("7", item), ("8", None), ("9", "Too short"), (None, "喜欢在海边看日出"), ("10", " . ")], "item_id string, text string")
     got = {r.doc_id: r for r in decontaminate.leaks(df, bench).collect()}
-    assert set(got) == {1, 2} and got[1].coverage == 1.0 and got[2].n_tiles == 2
-    assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {3, 4, 5}
-    assert decontaminate.leaks(df, bench.limit(0)).count() == 0
+    assert {k: r.item_id for k, r in got.items()} == {1: "7", 2: "7", 6: "9", 7: None} and got[1].coverage == 1.0 and got[2].n_tiles == 2
+    clean = decontaminate.without_leaks(df, bench)
+    assert {r.doc_id for r in clean.collect()} == {3, 4, 5} and clean.columns == df.columns
+    assert decontaminate.leaks(df, bench.limit(0)).count() == decontaminate.leaks(df.limit(0), bench).count() == 0
+
+
+def plain_coverage(doc, item):
+    """Greedy string tiling by comparing all places."""
+    a, b, n = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best, found = 5, []
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k > best:
+                    best, found = k, []
+                if k == best:
+                    found.append((j - i, i, j))
+        for _, i, j in sorted(found, key=lambda x: (-x[0], x[1])):
+            if not any(a[i : i + best]) and not any(b[j : j + best]):
+                a[i : i + best] = [True] * best
+                b[j : j + best] = [True] * best
+                n += best
+        if not found:
+            return n / len(item)
+
+
+@pytest.mark.parametrize("most", [decontaminate.HITS, 1])
+def test_tiling_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "HITS", most)
+    dice = random.Random(12)
+    items = [[dice.choice("abcdef") for _ in range(dice.choice([2, 4, 9, 20, 30]))] for _ in range(12)] + [["a"] * 9]
+    docs = []
+    for _ in range(40):
+        w = [dice.choice("abcdefgh") for _ in range(40)]
+        for _ in range(3):
+            x = dice.choice(items)
+            at, cut = dice.randrange(len(w)), dice.randrange(len(x))
+            w[at:at] = x[cut:]
+        docs.append(w)
+    docs.append(["a"] * 300)
+    want = {}
+    for i, d in enumerate(docs):
+        for j, x in enumerate(items):
+            c = plain_coverage(d, x) if len(x) >= 5 else float(any(d[k : k + len(x)] == x for k in range(len(d))))
+            if c >= 0.5:
+                want[i, j] = round(c, 9)
+    block = decontaminate.Block(decontaminate.pa.RecordBatch.from_pydict({"t": [" ".join(d) for d in docs]}), "t", lower=True, blank=decontaminate.PARTS, unspaced=True)
+    got = {(r, i): round(c, 9) for r, i, c, _, _ in decontaminate.matches(block, decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items]), 0.5) if c >= 0.5}
+    assert len(want) > 50 and got == want
 
 
 def test_automaton():
