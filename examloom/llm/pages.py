@@ -398,7 +398,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         return f"<{(h := dice.choice(['h2', 'h3', 'h4', 'p', 'strong', 'h1']))}>{says(kind)}</{h}>"
 
     def replies() -> str:
-        one = lambda: dice.choice(["<li><b>{a}</b> <p>{t}</p><a href=/>{r}</a></li>", "<div><p>{a}</p><p>{t}</p></div>", "<p>{a}: {t}</p>", "<article><header>{a}</header><p>{t}</p></article>"]).format(a=text(1, 2), t=text(4, 30, True), r=says("reply"))
+        one = lambda: dice.choice(["<li><b>{a}</b> <p>{t}</p><a href=/>{r}</a></li>", "<div><p>{a}</p><p>{t}</p></div>", "<p>{a}: {t}</p>", "<article><header>{a}</header><p>{t}</p></article>"]).format(a=text(1, 2), t=text(4, 30, dice.random() < 0.75), r=says("reply"))
         return dice.choice(["<ol>{}</ol>", "<div>{}</div>", "{}"]).format("".join(one() for _ in range(dice.randint(1, 5))))
 
     def prose() -> str:
