@@ -432,7 +432,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         "side": lambda: named(dice.choice(["aside", "aside", "div"]), "side", heading("side") + dice.choice([links("side"), f"<p>{text(3, 25, True)}</p>", f"<p>{text(3, 9)}</p>{links('side')}"])), "share": lambda: named(dice.choice(["div", "ul"]), "share", dice.choice([heading("share"), links("share", 2, 4)])),
         "related": lambda: named(dice.choice(["div", "section", "aside", "nav"]), "related", heading("related") + links("related")), "comments": lambda: named(dice.choice(["div", "section", "section", "ol"]), "comments", heading("comments") + replies()), "replies": replies, "heading": lambda: heading("comments"),
         "form": lambda: named("form", "form", f"{heading('form')}<p>{text(2, 12)}</p><input><button>{says('form')}</button>"), "crumbs": lambda: named(dice.choice(["nav", "div", "ol"]), "crumbs", " / ".join(f"<a href=/>{text(1, 2)}</a>" for _ in range(3))), "pager": lambda: named("div", "pager", links("nav", 2, 4)),
-        "tags": lambda: named(dice.choice(["div", "ul", "p"]), "tags", parts["plainlinks"]()), "byline": lambda: named("p", "byline", f"By {text(1, 2)}, 3 May 2024"), "title": lambda: f"<{(h := dice.choice(['h1', 'h1', 'h2']))}>{text(2, 10)}</{h}>" if dice.random() < 0.85 else "", "sub": lambda: f"<p>{text(3, 15, True)}</p>" if dice.random() < 0.5 else "",
+        "tags": lambda: named(dice.choice(["div", "ul", "p"]), "tags", parts["plainlinks"]()), "byline": lambda: named("p", "byline", f"{text(1, 2)}, 3 May 2024"), "title": lambda: f"<{(h := dice.choice(['h1', 'h1', 'h2']))}>{text(2, 10)}</{h}>" if dice.random() < 0.85 else "", "sub": lambda: f"<p>{text(3, 15, True)}</p>" if dice.random() < 0.5 else "",
         "prose": prose, "text": lambda: text(8, 60, True), "words": lambda: text(2, 8), "linklist": lambda: f"<ul>{''.join(f'<li><a href=/>{text(2, 9)}</a></li>' for _ in range(dice.randint(2, 5)))}</ul>",
     }
     labels = {" b": ' data-label="boilerplate"', " c": ' data-label="content"', " f": ' data-label="frame"'}
