@@ -160,9 +160,11 @@ def content_key(source: Column | str, method: Column | str, start: Column | str,
 
 
 def fnv1a(c: Column | str) -> Column:
-    """32-bit FNV-1a over the characters of ASCII text."""
-    chars = F.filter(F.split(_col(c), ""), lambda x: x != "")
-    return F.aggregate(F.transform(chars, lambda x: F.ascii(x).cast("long")), F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """32-bit FNV-1a over UTF-16 code units."""
+    units = F.hex(F.encode(_col(c), "UTF-16BE"))
+    places = F.when(F.length(units) > 0, F.sequence(F.lit(1), F.length(units), F.lit(4))).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places, lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(one, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
 def canonical_json(c: Column | str) -> Column:

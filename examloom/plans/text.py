@@ -97,11 +97,15 @@ def canonical_json_keys(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(j, "$.k").alias("k"), j.isNotNull().alias("ok"))
 
 
-@query(f"""WITH t AS (SELECT b.item_id, d.doc_id, {LEAK.format('d.text')} AS q, {LEAK.format('b.text')} AS a FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
-k AS (SELECT *, list_filter(string_split(a, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS}) AS ta, list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS}) AS tq FROM t)
-SELECT item_id, doc_id, coalesce(q <> '' AND a <> '' AND ((length(a) >= 8 AND contains(q, a)) OR (len(ta) >= 3 AND len(list_filter(ta, lambda x: list_contains(tq, x))) / len(ta) >= 0.8)), false) AS leak FROM k""")
+@query(f"""WITH q AS MATERIALIZED (SELECT doc_id, {LEAK.format('text')} AS q FROM documents), a AS MATERIALIZED (SELECT item_id, {LEAK.format('text')} AS a FROM benchmark),
+kq AS MATERIALIZED (SELECT doc_id, q, list_distinct(list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS})) AS tq FROM q),
+ka AS MATERIALIZED (SELECT item_id, a, list_filter(string_split(a, ' '), lambda x: length(x) >= 3 AND x NOT IN {STOPS}) AS ta FROM a),
+w AS (SELECT item_id, unnest(ta) AS x FROM ka), u AS (SELECT doc_id, unnest(tq) AS x FROM kq),
+m AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS n FROM w JOIN u USING (x) GROUP BY ALL) JOIN ka USING (item_id) WHERE len(ta) >= 3 AND n / len(ta) >= 0.8),
+c AS (SELECT item_id, doc_id FROM ka, kq WHERE q <> '' AND length(a) >= 8 AND contains(q, a))
+SELECT item_id, doc_id, true AS leak FROM (SELECT * FROM m UNION SELECT * FROM c)""")
 def answer_leakage(spark, d):
-    """The leaking pairs of all documents and all items.  The SQL has every pair of equal residue modulo 40 only, leaking or not."""
+    """The leaking pairs of all documents and all items."""
     pairs = leakage.leaking_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
     return pairs.withColumn("leak", F.lit(True))
 
@@ -157,34 +161,76 @@ def escaped(c, marks):
     return F.regexp_replace(c, rf"([\\{marks}])", r"\\$1")
 
 
-def unescaped(questions):
-    return questions.withColumn("question", F.regexp_replace("question", r"\\(.)", "$1"))
+def parsed_back(df, parser, key="doc_id", unescape=True):
+    """Number, question, options and answer of what the parser finds in df's pages."""
+    got = parsers.parsed(df, parser, key, "page")
+    question = F.regexp_replace("question", r"\\(.)", "$1") if unescape else F.col("question")
+    return got.select(key, "number", question.alias("question"), *(F.element_at("options", k).alias(f"option_{k.lower()}") for k in "ABCD"), "answer", "explanation", "repairs")
 
 
-@query()
+#: White space as the parsers know it.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+STEM = f"trim(regexp_replace('Q ' || text, '{SPACE}', ' ', 'g'))"
+LETTERS = "trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'))"
+
+
+def letters(c):
+    """A text's ASCII letters, blanks for all else: the whole text in one line that no mark of a grammar stands in."""
+    return F.regexp_replace(c, "[^A-Za-z ]", " ")
+
+
+@query(f"""SELECT doc_id, NULL::BIGINT AS page_id, 1 AS number, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS question, 'yes' AS option_a, 'no' AS option_b, NULL::VARCHAR AS option_c, NULL::VARCHAR AS option_d, 'A' AS answer, 'both' AS explanation, 0 AS repairs
+FROM documents WHERE length(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) > 10""")
 def html_page_extract(spark, d):
-    """Questions made into quiz pages of the whole documents, and parsed back; and those of all pages, with page_id instead of doc_id."""
+    """Questions made into quiz pages of the whole documents, and parsed back; and those of all pages, with page_id instead of doc_id (the given ones hold none)."""
     text = F.col("text")
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(mark), F.lit(entity))
     page = F.concat(F.lit('<h3>Both International and Inland</h3><table><tr><td colspan="3"><b>'), text, F.lit('</b></td></tr></table><label><input name="CheckAns" value="A" checked>A. yes</label><label><input name="CheckAns" value="B">B. no</label><img src="/logo.png"><img src="/x.png">'))
-    made = parsers.parsed(table(spark, d, "documents").select("doc_id", page.alias("page")), "html", "doc_id", "page")
-    found = parsers.parsed(table(spark, d, "pages").select("page_id", "html"), "html", "page_id", "html")
+    made = parsed_back(table(spark, d, "documents").select("doc_id", page.alias("page")), "html", unescape=False)
+    found = parsed_back(table(spark, d, "pages").select("page_id", F.col("html").alias("page")), "html", "page_id", unescape=False)
     return made.unionByName(found, allowMissingColumns=True)
 
 
-@query()
+@query(f"SELECT doc_id, 1 AS number, {STEM} AS question, 'one' AS option_a, 'two' AS option_b, 'three' AS option_c, 'four' AS option_d, 'B' AS answer, NULL::VARCHAR AS explanation, 0 AS repairs FROM documents WHERE text IS NOT NULL")
 def markdown_exam_parse(spark, d):
     """Exam pages made of the whole documents, line by line, and parsed back."""
     text = F.concat(F.lit("**1.** Q "), escaped("text", ".):|!}"), F.lit("\n- A. one\n- B. two\n- C. three\n- D. four\nCorrect answer: B\n"))
-    return unescaped(parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "markdown_exam", "doc_id", "page"))
+    return parsed_back(table(spark, d, "documents").select("doc_id", text.alias("page")), "markdown_exam")
 
 
-@query()
+@query(f"SELECT doc_id, 1 AS number, {STEM} AS question, 'one' AS option_a, 'two' AS option_b, 'three' AS option_c, 'four' AS option_d, 'C' AS answer, 'because' AS explanation, 0 AS repairs FROM documents WHERE text IS NOT NULL")
 def key_format_parse(spark, d):
     """Numbered questions made of the whole documents, and parsed back."""
     text = F.concat(F.lit("1. Q "), escaped("text", r"\p{Nd}.．、:"), F.lit(" A. one B. two C. three D. four KEY: C because\n2. 同上\n"))
-    return unescaped(parsers.parsed(table(spark, d, "documents").select("doc_id", text.alias("page")), "key", "doc_id", "page"))
+    return parsed_back(table(spark, d, "documents").select("doc_id", text.alias("page")), "key")
+
+
+#: Every document is two questions: with the answer in front of the stem, and inside it.
+@query(f"""SELECT doc_id, n AS number, CASE n WHEN 1 THEN {LETTERS} ELSE regexp_replace('Note that ______ ' || {LETTERS}, ' +', ' ', 'g') END AS question, 'one' AS option_a, 'two' AS option_b, 'three' AS option_c, NULL::VARCHAR AS option_d, CASE n WHEN 1 THEN 'B' ELSE 'C' END AS answer, NULL::VARCHAR AS explanation, 0 AS repairs
+FROM documents, (VALUES (1), (2)) t(n) WHERE {LETTERS} <> ''""")
+def embedded_answer_parse(spark, d):
+    x = letters("text")
+    page = F.concat(F.lit("0001. B "), x, F.lit("\nA．one B．two\nC．three\n0036. Note that \tC\t"), x, F.lit("\nA. one\nB. two\nC. three"))
+    return parsed_back(table(spark, d, "documents").where(F.trim(x) != "").select("doc_id", page.alias("page")), "embedded", unescape=False)
+
+
+@query(f"""SELECT doc_id, n AS number, CASE n WHEN 1 THEN trim('Note ______ ' || regexp_replace(text, '[^A-Za-z ]', ' ', 'g')) ELSE 'Note that it is ______' END AS question, 'one' AS option_a, 'two' AS option_b, NULL::VARCHAR AS option_c, NULL::VARCHAR AS option_d, CASE n WHEN 1 THEN 'B' ELSE 'A' END AS answer, NULL::VARCHAR AS explanation, 0 AS repairs
+FROM documents, (VALUES (1), (3)) t(n) WHERE text IS NOT NULL""")
+def blank_answer_parse(spark, d):
+    """Every document is a question with a blank, one without an answer, and one whose answer stands in the next line."""
+    page = F.concat(F.lit("0001. Note ___B___ "), letters("text"), F.lit("\n说明\nA．one B．two\n0002. no answer\nA. x\nB. y\n0003. Note that\nit is __A__\nA. one\nB. two"))
+    return parsed_back(table(spark, d, "documents").select("doc_id", page.alias("page")), "blank", unescape=False)
+
+
+@query(f"""SELECT doc_id, n AS number, CASE n WHEN 1 THEN {LETTERS} ELSE 'Next' END AS question, 'one' AS option_a, 'two' AS option_b, CASE n WHEN 1 THEN 'three' END AS option_c, CASE n WHEN 1 THEN 'four' END AS option_d, CASE n WHEN 1 THEN 'C' ELSE 'A' END AS answer, NULL::VARCHAR AS explanation, 0 AS repairs
+FROM documents, (VALUES (1), (2)) t(n) WHERE {LETTERS} <> ''""")
+def coloured_answer_parse(spark, d):
+    x = letters("text")
+    page = F.concat(F.lit("【单选】"), x, F.lit('\nA.one\nB.two <font color="#FF6600">C</font>.three D.four\n【单选】Next A.one\nB.two'), F.lit('\n【单选】Next\n<font color="#FF0000">A.one</font>\nB.two'))
+    got = parsed_back(table(spark, d, "documents").where(F.trim(x) != "").select("doc_id", page.alias("page")), "coloured", unescape=False)
+    # The second one has no coloured option.
+    return got.where("answer <> ''").withColumn("number", F.when(F.col("number") == 3, 2).otherwise(F.col("number")))
 
 
 @query()
