@@ -77,6 +77,45 @@ def lookup_judge(choices: dict[tuple[str, str], str]):
     return run
 
 
+def judged_correctness(judge, answer, reference):
+    """score, label and error of an open answer by a judge's choice; an empty answer is an error without score."""
+    from examloom.functions.text import choice_score
+
+    empty = answer.isNull() | (F.trim(answer) == "")
+    choice = F.when(~empty, judge(answer, reference))
+    return F.struct(choice_score(choice).alias("score"), choice.alias("label"), F.when(empty, "empty answer").when(choice.isNull(), "no choice").alias("error"))
+
+
+#: Waits in seconds between tries.
+WAITS = (1.0, 2.0, 4.0)
+
+
+def with_retries(call: Callable, waits: tuple[float, ...] = WAITS, sleep: Callable[[float], None] | None = None):
+    """call(), tried again after each wait; the last failure is raised."""
+    import time
+
+    for wait in (*waits, None):
+        try:
+            return call()
+        except Exception:
+            if wait is None:
+                raise
+            (sleep or time.sleep)(wait)
+
+
+def embedded_in_batches(df, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], size: int = 50, waits: tuple[float, ...] = WAITS):
+    """key and vector of every text, embedded `size` texts a call with retries; tasks run side by side, as many as the cluster has cores."""
+
+    def run(parts):
+        for part in parts:
+            for at in range(0, len(part), size):
+                some = part.iloc[at : at + size]
+                vectors = with_retries(lambda some=some: embed(some["t"].fillna("").tolist()), waits)
+                yield pd.DataFrame({"k": some["k"], "vector": vectors})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {dict(df.dtypes)[key]}, vector array<float>").withColumnRenamed("k", key)
+
+
 def register_evaluator(name: str, column: Callable) -> None:
     """An evaluator maps columns (predicted, expected) to struct(score, label)."""
     EVALUATORS[name] = column

@@ -59,10 +59,26 @@ def annotation_stats(df: DataFrame, name: Column, score: Column) -> DataFrame:
 
 def counts_over_sets(df: DataFrame, sets: list[list[str]], columns: list[str]) -> DataFrame:
     """Counts for several sets of columns at once."""
-    view = "__counts_over_sets"
-    df.createOrReplaceTempView(view)
-    named = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    return df.sparkSession.sql(f"SELECT {', '.join(columns)}, grouping_id({', '.join(columns)}) AS level, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({named})")
+    keys = [[F.col(c) for c in x] for x in sets]
+    return df.groupingSets(keys, *columns).agg(F.grouping_id(*columns).alias("level"), F.count("*").alias("n"))
+
+
+def mode_label(mode: Column, custom: Column) -> Column:
+    """The failure mode; of mode "other" with what the analyst called it."""
+    return F.when((mode == "other") & (F.length(F.trim(F.coalesce(custom, F.lit("")))) > 0), F.concat(F.lit("other: "), F.trim(custom))).otherwise(mode)
+
+
+def failure_modes(df: DataFrame, mode: str, dataset: str, model: str) -> DataFrame:
+    """Counts of modes overall (with their percentage), by dataset, by model and by both."""
+    n = counts_over_sets(df, [[mode], [dataset, mode], [model, mode], [dataset, model, mode]], [dataset, model, mode])
+    total = df.agg(F.count("*").alias("total"))
+    share = F.when(F.col("level") == 6, F.floor(F.col("n") * 1000.0 / F.col("total") + 0.5) / 10)
+    return n.crossJoin(F.broadcast(total)).withColumn("pct", share).drop("total")
+
+
+def mode_groups(df: DataFrame, label: str, example: str) -> DataFrame:
+    """The groups of a label, the largest first: their size and examples, each once."""
+    return df.groupBy(label).agg(F.count("*").alias("n"), F.countDistinct(example).alias("examples")).orderBy(F.desc("n"), label)
 
 
 def dense_counts(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
@@ -73,5 +89,6 @@ def dense_counts(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return every.join(F.broadcast(found), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value._jc.toString()})")
+def nearest_rank(column: str, p: float) -> Column:
+    """The value at the p-th share of the sorted ones."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{column}`)")

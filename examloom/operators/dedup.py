@@ -16,9 +16,9 @@ def keep_one(df: DataFrame, keys: list[Column | str], order: list[Column]) -> Da
 
 
 def groups(df: DataFrame, key: Column, id_: str, size: Column) -> DataFrame:
-    """Per key the survivor (largest, then smallest id), the group's size and the removed ids."""
+    """Per key (by its 128-bit hash) the survivor (largest, then smallest id), the group's size and the removed ids."""
     best = F.max_by(id_, F.struct(size, -F.col(id_)))
-    agg = df.withColumn("__k", key).groupBy("__k").agg(best.alias("keep_id"), F.count("*").alias("group_size"), F.array_sort(F.collect_list(id_)).alias("all_ids"))
+    agg = df.withColumn("__k", F.md5(key)).groupBy("__k").agg(best.alias("keep_id"), F.count("*").alias("group_size"), F.array_sort(F.collect_list(id_)).alias("all_ids"))
     return agg.select("keep_id", "group_size", F.array_remove("all_ids", F.col("keep_id")).alias("removed_ids"))
 
 

@@ -43,6 +43,17 @@ def valid_image(uri: Column) -> Column:
     return F.coalesce(uri.rlike(r"^https?://[^\s/]+"), F.lit(False))
 
 
+def split_example(df: DataFrame, question: str, options: str, correct: str, metadata: list[str]) -> DataFrame:
+    """A question as an example of a data set: input (without the right answer), expected, metadata."""
+    rest = [c for c in df.columns if c not in (question, options, correct, *metadata)]
+    return df.select(*rest, F.struct(F.col(question).alias("questionText"), F.col(options).alias("options")).alias("input"), F.col(correct).alias("expected"), F.struct(*metadata).alias("metadata"))
+
+
+def expected_of(runs: DataFrame, examples: DataFrame, key: str, expected: str) -> DataFrame:
+    """Runs with the expected answer of their example; those of unknown examples have none."""
+    return runs.join(examples.select(key, expected), key, "left")
+
+
 def repair_targets(runs: DataFrame, annotations: str, name: str, label: str, words: str) -> DataFrame:
     """Runs whose first annotation of the name has the label and the words in its explanation."""
     first = F.get(F.filter(annotations, lambda a: a["name"] == name), F.lit(0))

@@ -48,6 +48,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def create(spark: SparkSession, path: str, schema: str) -> bool:
+    """An empty table at the path, unless there is one; whether it was made."""
+    if exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    return True
+
+
+def count_points(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Whether there was a table to delete."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def file_key(name: Column) -> Column:
     return F.md5(name)
 
@@ -58,12 +76,14 @@ def not_indexed(files: DataFrame, indexed: DataFrame, name: str = "source", cont
     return files.withColumn("file_key", key).join(indexed.select("file_key").distinct(), "file_key", "left_anti")
 
 
-def migrated(points: DataFrame, sizes: dict[str, int], method: str, force: tuple[str, ...] = ()) -> DataFrame:
-    """Per vector whether it is reused or must be made anew; missing chunk keys are filled."""
-    out = points.withColumn("chunk_key", F.coalesce("chunk_key", content_key("source", F.lit(method), "start_index", "end_index", "text")))
+def migrated(points: DataFrame, sizes: dict[str, int], method: str, force: tuple[str, ...] = (), relaxed: bool = False) -> DataFrame:
+    """Per vector whether it is reused or must be made anew (relaxed: any vector is reused); missing chunk keys are filled and noted."""
+    out = points.withColumn("had_key", F.col("chunk_key").isNotNull()).withColumn("chunk_key", F.coalesce("chunk_key", content_key("source", F.lit(method), "start_index", "end_index", "text")))
     for name, size in sizes.items():
         v = F.col(name)
-        if name == "sparse":
+        if relaxed:
+            good = v.isNotNull()
+        elif name == "sparse":
             good = v.isNotNull() & (F.size(v["indices"]) == F.size(v["values"]))
         elif name == "late":
             good = v.isNotNull() & (F.size(F.get(v, F.lit(0))) == size)
@@ -73,5 +93,8 @@ def migrated(points: DataFrame, sizes: dict[str, int], method: str, force: tuple
     return out
 
 
-def migration_report(plan: DataFrame, names: list[str]) -> DataFrame:
-    return plan.agg(F.count("*").alias("points"), *(F.count_if(F.col(f"{n}_plan") == p).alias(f"{n}_{p}") for n in names for p in ("reuse", "recompute")))
+def migration_report(plan: DataFrame, names: list[str], samples: int = 25) -> DataFrame:
+    """Counts by vector and plan, how many points had no chunk key, and the first of these."""
+    missing = F.when(~F.col("had_key"), F.col("chunk_key"))
+    first = plan.where("NOT had_key").orderBy("source", "start_index").limit(samples).agg(F.sort_array(F.collect_list("source")).alias("keyless"))
+    return plan.agg(F.count(missing).alias("without_key"), F.count("*").alias("points"), *(F.count_if(F.col(f"{n}_plan") == p).alias(f"{n}_{p}") for n in names for p in ("reuse", "recompute"))).crossJoin(F.broadcast(first))

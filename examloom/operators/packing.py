@@ -37,6 +37,11 @@ def batches(df: DataFrame, order: list[Column], size: int, keys: list[str] | Non
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def seeded_sample(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
+    """n rows drawn by a hash of the seed and the id: the same on every run, in any order of the rows."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), id_).limit(n)
+
+
 def percent_sample(df: DataFrame, dataset: str, id_: str, percent: float) -> DataFrame:
     """The share of each dataset's ids with the smallest hashes; at least one; repeated ids all stay."""
     if percent <= 0 or percent >= 100:

@@ -37,6 +37,22 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def without_annotation(runs: DataFrame, annotations: DataFrame, run: str, names: list[str]) -> DataFrame:
+    """The second phase's work: every finished run (no error) and evaluator that has no annotation yet."""
+    every = runs.where("error IS NULL").select("*", F.explode(F.array(*map(F.lit, names))).alias("name"))
+    return every.join(annotations.select(run, "name").distinct(), [run, "name"], "left_anti")
+
+
+def evaluated_later(runs: DataFrame, annotations: DataFrame, run: str, evaluators: dict[str, Callable]) -> DataFrame:
+    """Annotations of what an experiment-only phase left: run, name, score, label by each evaluator of (output, expected)."""
+    work = without_annotation(runs, annotations, run, list(evaluators))
+    result = None
+    for name, evaluate in evaluators.items():
+        case = F.when(F.col("name") == name, evaluate(F.col("output"), F.col("expected")))
+        result = case if result is None else F.coalesce(result, case)
+    return work.withColumn("r", result).select(run, "name", F.col("r.score").alias("score"), F.col("r.label").alias("label"))
+
+
 def progress(entries: DataFrame, selected: int) -> DataFrame:
     return entries.agg(F.lit(selected).alias("selected"), F.count("*").alias("processed"), F.count_if(F.col("status") == "converted").alias("converted"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 

@@ -11,20 +11,26 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): lower-case words of letters and digits."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    some = df.select(key, words.alias("w")).where(F.size("w") > 0)
-    return some.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+#: Query terms up to this number are broadcast to the documents' words; more are joined by a shuffle.
+FEW_TERMS = 200_000
+
+
+def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w): lower-case words of letters and digits of the texts that have any."""
+    return df.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w")).where(F.size("w") > 0)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str, text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """The k best documents of each query: (query_key, key, score, rank); ties by key."""
-    t = terms(docs, key, text)
-    sizes = t.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = terms(queries, query_key, query_text).select(query_key, "term").distinct()
-    # Only the queries' terms go on; the vocabulary of a stated query set is small and Spark broadcasts it if it is.
-    hits = t.join(wanted.select("term").distinct(), "term", "left_semi")
+    split = words_of(docs, key, text)
+    sizes = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_length"))
+    wanted = words_of(queries, query_key, query_text).select(query_key, F.explode("w").alias("term")).distinct()
+    # Only the queries' terms leave the documents: before anything is counted or shuffled, if they are few.
+    vocabulary = wanted.select("term").distinct()
+    if vocabulary.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        vocabulary = F.broadcast(vocabulary)
+    every = split.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    hits = every.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     w = hits.join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,7 +83,8 @@ def retrieve(queries: DataFrame, docs: DataFrame, query_key: str, key: str, *, d
     return rrf(lists, query_key, key, limit) if how == "fusion" else rerank(lists, queries, docs, query_key, key, *late, limit)
 
 
-def numbered_context(results: DataFrame, query_key: str, text: str) -> DataFrame:
-    """Per query its results as one numbered text."""
+def numbered_context(results: DataFrame, query_key: str, text: str, queries: DataFrame | None = None) -> DataFrame:
+    """Per query its results as one numbered text; with queries given, "(no context)" for those without results."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("t")))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["t"]))
-    return results.groupBy(query_key).agg(F.array_join(parts, "\n\n").alias("context"))
+    found = results.groupBy(query_key).agg(F.array_join(parts, "\n\n").alias("context"))
+    return found if queries is None else queries.select(query_key).join(found, query_key, "left").withColumn("context", F.coalesce("context", F.lit("(no context)")))

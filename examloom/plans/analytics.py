@@ -69,7 +69,7 @@ def overlap_analysis(spark, d):
     return table(spark, d, "documents").select(n.alias("n")).where("n > 0").agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multiple"), F.round(F.avg("n"), 2).alias("mean"))
 
 
-BUCKETS = {"license": ["license", "licence"], "contact": ["@", "http"], "junk": ["###", "***"]}
+BUCKETS = {"license": ["license", "licence"], "contact": ["@", "http"], "question": ["?"], "article": ["the ", "der ", "las "]}
 
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) AS n, list(conv_id ORDER BY conv_id, turn)[1:3] AS examples FROM conversations WHERE {' OR '.join(f'''contains(lower(text), '{k}')''' for k in ks)} HAVING count(*) > 0" for p, ks in BUCKETS.items()))
@@ -84,13 +84,13 @@ def pattern_buckets(spark, d):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def nearest_rank_percentile(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return table(spark, d, "events").groupBy("event_type").agg(A.nearest_rank("value", 0.5).alias("p50"), A.nearest_rank("value", 0.95).alias("p95"))
 
 
-@query("SELECT event_type, count(*) AS n, round(count(*) * 60.0 / greatest(1, date_diff('second', min(ts), max(ts))), 6)::DOUBLE AS per_minute, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(count(*) * 60.0 / greatest(1, date_diff('second', min(ts), max(ts))), 6)::DOUBLE AS per_minute, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def throughput(spark, d):
     seconds = F.greatest(F.lit(1), F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count("*") * 60.0 / seconds, 6).alias("per_minute"), F.round(F.avg("value"), 6).alias("mean"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count("*") * 60.0 / seconds, 6).alias("per_minute"), F.round(F.avg("value"), 6).alias("mean"), A.nearest_rank("value", 0.5).alias("p50"), A.nearest_rank("value", 0.95).alias("p95"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examloom.functions import text as X
-from examloom.operators import dedup, similarity
+from examloom.operators import dedup, filters, similarity
 from examloom.plans.base import query, table
 from examloom.plans.text import NORMAL
 
@@ -32,13 +32,14 @@ def exact_dedup_keep_best(spark, d):
     return dedup.keep_one(docs, ["k"], [F.desc("o"), F.desc("q"), F.col("doc_id")]).select("doc_id", "n_chars")
 
 
-REASON = "CASE WHEN lang = 'de' AND doc_id % 13 = 0 THEN 'short_answer' WHEN quality IS NULL THEN 'null_answer' WHEN doc_id % 17 = 0 THEN 'null_options' ELSE 'kept' END"
+REASON = "CASE WHEN source IN ('src1', 'src2') THEN 'short_answer' WHEN quality IS NULL THEN 'null_answer' WHEN n_chars < 300 THEN 'null_options' ELSE 'kept' END"
 
 
 @query(f"SELECT {REASON} AS reason, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def drop_reason_counters(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    reason = F.when((F.col("lang") == "de") & (F.col("doc_id") % 13 == 0), "short_answer").when(F.col("quality").isNull(), "null_answer").when(F.col("doc_id") % 17 == 0, "null_options").otherwise("kept")
+    options = F.create_map(F.lit("A"), F.lit(" "), F.lit("B"), F.when(F.col("n_chars") >= 300, F.col("lang")))
+    reason = F.coalesce(filters.drop_reason(F.col("source"), F.col("quality").cast("string"), options, ["src1", "src2"]), F.lit("kept"))
     return docs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -47,11 +48,14 @@ def embedding_near_pairs(spark, d):
     return similarity.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT i, j, row_number() OVER (ORDER BY sim DESC, i, j) AS r, sim, CASE WHEN wi > wj OR (wi = wj AND i < j) THEN j ELSE i END AS loser FROM (
+SELECT a.vec_id AS i, b.vec_id AS j, a.label::BIGINT AS wi, b.label::BIGINT AS wj, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE sim >= {NEAR}),
+g(r, gone, hit) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT p.r, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END, NOT (list_contains(gone, i) OR list_contains(gone, j)) FROM g JOIN p ON p.r = g.r + 1)
+SELECT CASE WHEN loser = i THEN j ELSE i END AS kept, loser AS removed, round(sim, 6) AS similarity FROM g JOIN p USING (r) WHERE hit""")
 def embedding_greedy_dedup(spark, d):
     vectors = table(spark, d, "embeddings")
     pairs = similarity.near_pairs(vectors, "vec_id", "embedding", NEAR)
-    return dedup.greedy(pairs, vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("weight")), by_similarity=True)
+    return dedup.greedy(pairs, vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("weight")), by_similarity=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -70,7 +74,7 @@ def fuzzy_greedy_dedup(spark, d):
 def leader_clusters(spark, d):
     items = table(spark, d, "benchmark")
     q = X.normalize_text("text")
-    some = items.select(F.col("item_id").alias("pos"), F.col("item_id").cast("string").alias("id"), (F.col("item_id") % 4).cast("string").alias("answer_key"), q.alias("question_blob"), F.substring(q, 1, 30).alias("options_blob"), F.array().cast("array<string>").alias("image_ids"), F.length("text").alias("size"))
+    some = items.select(F.col("item_id").alias("pos"), F.col("item_id").cast("string").alias("id"), F.element_at(F.split(q, " "), -1).alias("answer_key"), q.alias("question_blob"), q.alias("options_blob"), F.array().cast("array<string>").alias("image_ids"), F.length("text").alias("size"))
     return dedup.leader_clusters(some, 50.0)
 
 

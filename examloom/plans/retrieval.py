@@ -100,7 +100,7 @@ def index_skip_existing(spark, d):
     return indexing.not_indexed(files, files.where("source IN ('src1', 'src2')").select(F.md5("source").alias("file_key")))
 
 
-@query("SELECT count(*) AS points, count(*) FILTER (vec_id % 3 <> 0) AS dense_reuse, count(*) FILTER (vec_id % 3 = 0) AS dense_recompute FROM embeddings")
+@query("SELECT count(*) AS without_key, (SELECT list(s ORDER BY s) FROM (SELECT vec_id::VARCHAR AS s FROM embeddings ORDER BY s LIMIT 25)) AS keyless, count(*) AS points, count(*) FILTER (vec_id % 3 <> 0) AS dense_reuse, count(*) FILTER (vec_id % 3 = 0) AS dense_recompute FROM embeddings")
 def migrate_vector_reuse(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("source"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index"), F.lit("t").alias("text"), F.lit(None).cast("string").alias("chunk_key"), F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("dense"))
     return indexing.migration_report(indexing.migrated(points, {"dense": 64}, "fast"), ["dense"])

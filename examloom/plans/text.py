@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from examloom.functions import text as X
@@ -233,9 +234,9 @@ def coloured_answer_parse(spark, d):
     return got.where("answer <> ''").withColumn("number", F.when(F.col("number") == 3, 2).otherwise(F.col("number")))
 
 
-@query()
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '; ' || lang || '; third' WHEN 1 THEN lang || '; third' ELSE 'plain' END AS resolved FROM documents")
 def roman_selector_expand(spark, d):
-    resolve = F.udf(parsers.selected_statements, "string")
+    resolve = F.pandas_udf(lambda o, q: pd.Series([parsers.selected_statements(a, b) for a, b in zip(o, q, strict=True)], dtype="object"), "string")
     q = F.concat(F.lit("Which hold? Ⅰ "), F.col("source"), F.lit("; Ⅱ "), F.col("lang"), F.lit("; Ⅲ third."))
     option = F.when(F.col("doc_id") % 3 == 0, "I-III").when(F.col("doc_id") % 3 == 1, "Ⅱ、Ⅲ").otherwise("plain")
     return table(spark, d, "documents").select("doc_id", resolve(option, q).alias("resolved"))

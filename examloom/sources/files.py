@@ -19,7 +19,11 @@ def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def questions(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFrame:
     """Questions of all JSON files, each an object with a list of questions or the bare list; other files give none."""
-    raw = documents(spark, path, "*.json")
+    return questions_of(documents(spark, path, "*.json"), schema)
+
+
+def questions_of(raw: DataFrame, schema: str = QUESTION) -> DataFrame:
+    """Questions of the texts of files (path, text)."""
     schema = T.StructType.fromDDL(schema)
     bare = F.from_json("text", T.ArrayType(schema))
     wrapped = F.from_json("text", T.StructType([T.StructField("questions", T.ArrayType(schema))]))["questions"]
@@ -29,8 +33,12 @@ def questions(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFra
 
 def question_groups(spark: SparkSession, path: str, schema: str = MCQ) -> DataFrame:
     """Questions of files with groups, one row each with its group's id and place."""
+    return flattened(documents(spark, path, "*.json"), schema)
+
+
+def flattened(raw: DataFrame, schema: str = MCQ) -> DataFrame:
+    """Questions of the texts of files with groups (path, text)."""
     group = T.StructType([T.StructField("id", T.StringType()), T.StructField("metadata", T.StringType()), T.StructField("questions", T.ArrayType(T.StructType.fromDDL(schema)))])
-    raw = documents(spark, path, "*.json")
     groups = raw.select("path", F.posexplode_outer(F.from_json("text", T.ArrayType(group))).alias("group_pos", "g"))
     return groups.select("path", "group_pos", F.col("g.id").alias("group_id"), F.posexplode("g.questions").alias("pos", "q")).select("path", "group_pos", "group_id", "pos", "q.*")
 
@@ -73,10 +81,32 @@ def write_split(df: DataFrame, path: str) -> None:
     df.withColumn("modality", F.when(has_image(F.col("images"), F.col("options")), "multimodal").otherwise("text")).write.mode("overwrite").partitionBy("modality").json(path)
 
 
-def write_report(df: DataFrame, path: str, kind: str = "type") -> None:
-    """Questions and, beside them, their counts by type."""
+def write_report(df: DataFrame, path: str, kind: str = "type", removed: DataFrame | None = None) -> None:
+    """Questions and, beside them, their counts by type; and, for removed pairs (stage, similarity), how many each stage removed and how similar they were."""
     df.write.mode("overwrite").json(f"{path}/questions")
     df.groupBy(F.coalesce(kind, F.lit("unknown")).alias("type")).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
+    if removed is not None:
+        removed.groupBy("stage").agg(F.count("*").alias("removed"), F.min("similarity").alias("least"), F.max("similarity").alias("most")).coalesce(1).write.mode("overwrite").json(f"{path}/deduplication")
+
+
+def upsert_in_batches(points: DataFrame, key: str, pos: str, budget: int, send, sent) -> DataFrame:
+    """Send the points as JSON in batches of bounded bytes, one task a key: (key, batch, points, bytes, what sent() makes of a reply).
+
+    A point above the budget by itself is an error.
+    """
+    import pandas as pd
+
+    from examloom.operators.packing import pack
+
+    body = points.withColumn("body", F.to_json(F.struct(*points.columns))).withColumn("size", F.octet_length("body"))
+    packed = pack(body.select(key, pos, "body", F.col("size").cast("long").alias("size")), key, pos, "size", budget, strict=True)
+
+    def run(keys, part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values(pos)
+        reply = send("[" + ",".join(rows["body"]) + "]")
+        return pd.DataFrame({key: [keys[0]], "batch": [int(keys[1])], "points": [len(rows)], "bytes": [int(rows["size"].sum())], "reply": [sent(reply)]})
+
+    return packed.groupBy(key, "bin").applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, batch int, points int, bytes long, reply string")
 
 
 def write_rows(df: DataFrame, path: str, form: str = "json") -> None:

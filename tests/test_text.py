@@ -112,3 +112,52 @@ def test_parsers():
     assert parsers.answer_table("1. Q one A. x B. y\nAnswers\n1. B")[0]["answer"] == "B"
     assert parsers.marked_option("1. Q one A. x **B. y**\n")[0]["answer"] == "B"
     assert parsers.columns_format("1  What is it  B\nA. x\nB. y\n")[0]["options"] == {"A": "x", "B": "y"}
+
+
+def test_answers_in_the_stem():
+    text = "0001.  D\tare published for the correction of charts. [12]\nA．Charts B．Notices\n译文\nC. Lists D．Notices to Mariners\n0036. Attention is \tD  the advice [3]\nA．x\nB．y\n0002. no answer here\n0040. It is so  C ．\nA. one\n0041. nothing after B ."
+    got = parsers.embedded_answer(text)
+    assert [(q["number"], q["answer"]) for q in got] == [(1, "D"), (2, "D"), (3, "C")]
+    assert got[0]["question"] == "are published for the correction of charts." and got[0]["options"] == {"A": "Charts", "B": "Notices", "C": "Lists", "D": "Notices to Mariners"}
+    assert got[1]["question"] == "Attention is ______ the advice" and got[1]["options"] == {"A": "x", "B": "y"}
+    assert got[2]["question"] == "It is so ______"
+    assert parsers.embedded_answer("") == parsers.embedded_answer("A. x\nB. y") == []
+
+
+def test_answers_in_blanks():
+    text = "head\n0001. The ___B___ of it\n说明\nA．one B．two\nB. again\n0002. none\nA. x\nB. y\n0003. Goes on\nhere __A__ so\nsome x参考C．z A. w\n0004. one option ___A___\nA. x"
+    got = parsers.blank_answer(text)
+    assert [(q["number"], q["question"], q["answer"], q["options"]) for q in got] == [(1, "The ______ of it", "B", {"A": "one", "B": "two"}), (3, "Goes on here ______ so", "A", {"C": "z", "A": "w"})]
+
+
+def test_coloured_answers():
+    text = '【单选】Which one is it?\nA.red\n<font color="#FF6600">B.green</font>\nC.blue D.none\n【单选】Goes\non [7]\nA.x <font color="FF0000">B</font>.y\n【单选】Beside A.first\nB.second\n<font color="00FF00">C.third</font>\n【单选】no options'
+    got = parsers.coloured_answer(text)
+    assert [(q["question"], q["answer"], q["options"]) for q in got] == [("Which one is it?", "B", {"A": "red", "B": "green", "C": "blue", "D": "none"}), ("Goes on", "B", {"A": "x", "B": "y"}), ("Beside", "", {"A": "first", "B": "second", "C": "third"})]
+
+
+def test_two_labels_before_their_texts():
+    assert parsers._cells("| A. | B. | one | two | three | four |") == ["A. one", "B. two", "three", "four"]
+    assert parsers._cells("| A. | one | B. | two |") == ["A. one", "B. two"]
+
+
+def test_fnv_hashes_code_units(spark):
+    assert one(spark, X.fnv1a(F.lit("a😀b"))) == 2412414209
+    assert one(spark, X.fnv1a(F.lit(""))) == 2166136261
+
+
+def test_retries():
+    from examloom import hooks
+
+    waited, left = [], [3]
+
+    def call():
+        left[0] -= 1
+        if left[0]:
+            raise ConnectionError
+        return "done"
+
+    assert hooks.with_retries(call, sleep=waited.append) == "done" and waited == [1.0, 2.0]
+    left[0] = 9
+    with pytest.raises(ConnectionError):
+        hooks.with_retries(call, waits=(0.0,), sleep=waited.append)
