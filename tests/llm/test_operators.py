@@ -456,6 +456,147 @@ def test_empty_tables(none, spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, runs string, copies int"
+
+
+def odd_rows(spark):
+    """Repeated rows, equal ids with other texts, rows without id or text, and columns whose names clash."""
+    dice = random.Random(3)
+    words = lambda k: " ".join("".join(dice.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    one, two, three = words(80), words(80), words(80)
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, three), (None, three), (2, None), (3, ""), (4, words(10) + " " + two[: 5 * 60] + " " + words(10)), (5, words(90))]
+    return spark.createDataFrame([(i, t, "xx", "s", None if t is None else len(t), "r", 7) for i, t in rows], ODD).repartition(3), [x[1] for x in rows]
+
+
+def test_passages_of_odd_rows(spark):
+    df, texts = odd_rows(spark)
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(x[i : i + 200] for x in data for i in range(len(x) - 199))
+    want = Counter()
+    for x in data:
+        gone = {j for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1 for j in range(i, i + 200)}
+        want[len(x), len(gone)] += 1
+    assert Counter((r.n_bytes, r.n_removed) for r in bcr.removed(df).collect()) == want
+    cut = bcr.without_repeats(df)
+    assert cut.columns == df.columns and cut.count() == len(texts)
+
+
+def test_words_removed_from_odd_rows(spark):
+    """Of rows with equal ids and texts one keeps its words; rows without id come last."""
+    df, texts = odd_rows(spark)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in fmindex.removed(df).collect()))
+    assert [x for x in got if x[:2] == (False, 1)] == [(False, 1, 80, 0), (False, 1, 80, 0), (False, 1, 80, 80)]
+    assert [x for x in got if x[0]] == [(True, 0, 80, 0), (True, 0, 80, 80), (True, 0, 80, 80)]
+    assert got[3:5] == [(False, 2, 0, 0), (False, 3, 0, 0)] and got[5][3] >= 20 and got[6] == (False, 5, 90, 0)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_are_split(docs, texts, monkeypatch, hot):
+    """The same results where anchors with few distinct segments count as hot already, and portions are small."""
+    from examloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PORTION", 20)
+    test_passages(docs, texts)
+    test_words_removed(docs, texts)
+
+
+def test_every_removed_word_comes_from_the_index(docs, monkeypatch):
+    """An index that reports nothing leaves every word where it is."""
+    assert fmindex.removed(docs).where("n_removed > 0").count() > 0
+    blind = lambda columns: iter(())
+    monkeypatch.setattr(fmindex, "shard", blind)
+    assert fmindex.removed(docs).where("n_removed > 0").count() == 0
+
+
+def test_statistics_are_matching_statistics():
+    """Against the longest repeated word sequences before each end, found by plain search."""
+    dice = np.random.RandomState(5)
+    text = np.concatenate([np.append(dice.randint(1, 4, 30), 0) for _ in range(6)])
+    index = fmindex.FMIndex(text, 4, 6)
+    ends = np.array([i + 6 for i in range(len(text) - 6) if 0 not in text[i : i + 6]])
+    matched, lo, hi = fmindex.statistics(index, text, ends, 6)
+    as_text = "".join(map(str, text.tolist()))
+    times = lambda x: sum(as_text.startswith(x, i) for i in range(len(as_text)))
+    for e, m, a, b in zip(ends.tolist(), matched.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        want = max((k for k in range(7) if times(as_text[e - k : e]) > 1), default=0)
+        assert m == want and (m < 6 or b - a == times(as_text[e - 6 : e]))
+
+
+def test_quality_lines_do_not_collide(spark):
+    """Long lines that a polynomial modulo 2**64 can't tell apart."""
+    line = "a"
+    for _ in range(11):
+        line += line.translate({97: 98, 98: 97})
+    other = line.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, line + "\n" + other), (2, line + "\n" + line), (2, line + "\n" + line), (None, None)], "doc_id long, text string").withColumn("kept", F.lit("x"))
+    assert sorted((r.n_dup_lines, r.n_words) for r in quality.measures(df).collect()) == [(0, 0), (0, 2), (1, 2), (1, 2)]
+    assert quality.keep_good(df).columns == df.columns
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(1, "under the mit license here"), (1, "under the mit license here"), (None, "mit license"), (2, "x"), (2, "apache license"), (None, None), (3, "word " * 30_000 + "general public license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS th", "3 AS id", "4 AS key")
+    got = Counter((r.doc_id or 0, r.n_base, r.base_labels, r.first_word) for r in licenses.licenses(df).collect())
+    assert got == Counter([(1, 1, "mit", 2), (1, 1, "mit", 2), (0, 1, "mit", 0), (2, 0, "", None), (2, 1, "apache", 0), (0, 0, "", None), (3, 1, "gpl", 30_000)])
+
+
+def test_caches_stay_small():
+    from examloom.llm.blocks import Recent
+
+    cache = Recent(100_000, lambda k: k * 2, lambda k, got: len(k) + len(got))
+    for i in range(5000):
+        assert cache[f"{i}".encode()] == f"{i}".encode() * 2
+    assert len(cache) + len(cache.old) <= 2 * 100_000 // Recent.ENTRY
+    assert cache[b"x" * 10_000] == b"x" * 20_000 and b"x" * 10_000 not in cache
+
+
+def test_op_queries_against_sql(spark):
+    """The registered queries with SQL, on the smallest tables."""
+    import duckdb
+
+    from examloom.llm.registry import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    flat = lambda v: round(v, 9) if isinstance(v, float) else v
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, d)
+        cols = sorted(df.columns)
+        cur = con.execute(sql)
+        at = [[x[0] for x in cur.description].index(c) for c in cols]
+        assert Counter(tuple(flat(r[c]) for c in cols) for r in df.collect()) == Counter(tuple(flat(r[i]) for i in at) for r in cur.fetchall()), name
+
+
+def test_op_queries_without_sql(spark):
+    """The other registered queries run over their whole tables and return a row for every row (decontamination: for every pair)."""
+    from examloom.llm.registry import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs, pages_ = spark.read.parquet(f"{d}/documents.parquet").count(), spark.read.parquet(f"{d}/pages.parquet").count()
+    for name in QUERIES.keys() - ORACLE_SQL.keys():
+        n = QUERIES[name](spark, d).count()
+        assert n == (pages_ if name.startswith("op2") else docs) or name.startswith("op1_") and n > 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Every stage by itself: rows without text or id, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    df, texts = odd_rows(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, df, d), stage(spark, df.limit(0), d)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "encoding":
+            assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == len(texts)
+        else:
+            assert out.columns == df.columns and 0 < out.count() <= len(texts)
+    kept = corpus_pipeline.passage_dedup(spark, df, d)
+    assert all((r.text is None and r.n_chars is None) or len(r.text) == r.n_chars for r in kept.collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
