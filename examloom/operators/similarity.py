@@ -70,6 +70,10 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_
     return best.where(F.col("o") == F.col("i")).select("i", "j", "sim")
 
 
+#: Most numbers in the vectors of one pass's queries: 80 MB as doubles.
+QUERY_NUMBERS = 10_000_000
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, query_vector: str, vector: str, k: int) -> DataFrame:
     """The k best of the corpus for each query by cosine: (query_key, key, score, rank); ties by key.
 
@@ -77,7 +81,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, que
     each task keeps its own k best before anything is shuffled.
     """
     some = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))
-    if some.count() > 100_000:
+    numbers = some.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers > QUERY_NUMBERS:
         raise ValueError("too many queries for one pass; call with blocks of queries")
     got = some.collect()
     ids, x = [r.q for r in got], _unit(pd.Series([r.v for r in got])) if got else np.zeros((0, 1))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from examloom.operators import chunking, indexing, retrieval, similarity
 from examloom.plans.base import query, table
+from examloom.plans.text import SPACE
 
 
 @query(r"SELECT doc_id, 0 AS chunk, text, 0 AS start_index, length(text)::INT AS end_index, len(regexp_split_to_array(text, '\s+'))::INT AS token_count FROM documents")
@@ -13,7 +14,15 @@ def chunk_whole(spark, d):
     return chunking.chunk(table(spark, d, "documents"), "whole")
 
 
-@query()
+@query(rf"""WITH RECURSIVE h AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, list(s ORDER BY i) AS c FROM (SELECT doc_id, i, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM h) GROUP BY 1),
+t AS (SELECT doc_id, text, length(text) AS n, c FROM documents JOIN b USING (doc_id)),
+r(doc_id, k, a, z) AS (SELECT doc_id, -1, 0::BIGINT, 0::BIGINT FROM t UNION ALL
+SELECT doc_id, k + 1, z, CASE WHEN m < n AND length(regexp_extract(text[z + 1:m], '(?s)^.*[
+.?]')) > 0 THEN z + length(regexp_extract(text[z + 1:m], '(?s)^.*[
+.?]')) ELSE m END
+FROM (SELECT r.doc_id, k, z, n, text, greatest(z + 1, z + len(list_filter(c[z + 1:z + 1024], lambda x: x - CASE WHEN z = 0 THEN 0 ELSE c[z] END <= 1024))) AS m FROM r JOIN t USING (doc_id) WHERE z < n))
+SELECT doc_id, k::INT AS chunk, text[a + 1:z] AS text, a::INT AS start_index, z::INT AS end_index, len(regexp_extract_all(text[a + 1:z], '{SPACE.replace('[', '[^', 1)}'))::INT AS token_count FROM r JOIN t USING (doc_id) WHERE k >= 0""")
 def chunk_delimited(spark, d):
     return chunking.chunk(table(spark, d, "documents"), "fast", chunk_size=1024)
 
@@ -65,7 +74,9 @@ def rrf_fusion(spark, d):
 
     v = table(spark, d, "embeddings").select("vec_id")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"))
-    near = v.join(q, F.abs(F.col("vec_id") - F.col("q_id")) <= 40)
+    # Ids at most 40 apart lie in the same bucket of 41 or in neighbouring ones, so that keys can be joined.
+    buckets = q.select("q_id", F.explode(F.array(*(F.floor(F.col("q_id") / 41) + i for i in (-1, 0, 1)))).alias("bucket"))
+    near = v.withColumn("bucket", F.floor(F.col("vec_id") / 41)).join(buckets, "bucket").where(F.abs(F.col("vec_id") - F.col("q_id")) <= 40).drop("bucket")
     other = near.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.abs(F.col("vec_id") - F.col("q_id")), "vec_id"))).where("rank <= 20")
     return retrieval.rrf([_dense(spark, d, 20), other], "q_id", "vec_id", 10)
 
