@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 DIMENSION = 64
 EMBEDDERS: dict[str, Callable[[str], list[float]]] = {}
 EVALUATORS: dict[str, Callable] = {}
+TASKS: dict[str, Callable[[list[str]], list[str]]] = {}
 
 
 def hash_embedding(text: str, size: int = DIMENSION) -> list[float]:
@@ -116,6 +117,28 @@ def embedded_in_batches(df, key: str, text: str, embed: Callable[[list[str]], li
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {dict(df.dtypes)[key]}, vector array<float>").withColumnRenamed("k", key)
 
 
+def register_task(name: str, task: Callable[[list[str]], list[str]]) -> None:
+    """A task maps prompts to outputs (JSON), one each, in order."""
+    TASKS[name] = task
+
+
+def task_runs(df, key: str, prompt: str, name: str, size: int = 20, waits: tuple[float, ...] = WAITS):
+    """key, output and error of the named task over every prompt, `size` prompts a call, with retries; a call that fails for good is an error of its rows."""
+    task = TASKS[name]
+
+    def run(parts):
+        for part in parts:
+            for at in range(0, len(part), size):
+                some = part.iloc[at : at + size]
+                try:
+                    out, error = with_retries(lambda some=some: task(some["t"].tolist()), waits), None
+                except Exception as e:
+                    out, error = [None] * len(some), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"k": some["k"], "output": out, "error": [error] * len(some)})
+
+    return df.select(F.col(key).alias("k"), F.col(prompt).alias("t")).mapInPandas(run, f"k {dict(df.dtypes)[key]}, output string, error string").withColumnRenamed("k", key)
+
+
 def register_evaluator(name: str, column: Callable) -> None:
     """An evaluator maps columns (predicted, expected) to struct(score, label)."""
     EVALUATORS[name] = column

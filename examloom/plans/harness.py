@@ -278,3 +278,32 @@ def embedded_with_retries(spark, d):
 
     got = hooks.embedded_in_batches(table(spark, d, "documents"), "doc_id", "text", embed, waits=(0.0, 0.0))
     return got.select("doc_id", F.size("vector").alias("size"), F.exists("vector", lambda x: x != 0).alias("filled"))
+
+
+@query("SELECT doc_id, CASE WHEN lang <> 'es' THEN '{\"answerId\": \"' || upper(lang) || '\"}' END AS output, CASE WHEN lang = 'es' THEN 'ValueError: no Spanish' END AS error FROM documents")
+def task_plug_in(spark, d):
+    """A registered task over prompts, one a call; those it can't do are errors."""
+
+    def task(prompts):
+        if "es" in prompts:
+            raise ValueError("no Spanish")
+        return [f'{{"answerId": "{p.upper()}"}}' for p in prompts]
+
+    hooks.register_task("upper", task)
+    return hooks.task_runs(table(spark, d, "documents"), "doc_id", "lang", "upper", size=1, waits=())
+
+
+@query("SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 128 AS page FROM embeddings")
+def scrolled_pages(spark, d):
+    return files.scrolled(table(spark, d, "embeddings").select("vec_id"), "vec_id")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+m AS (SELECT doc_id, p, replace(line, 'q', '船') AS line, length(line) - length(replace(line, 'q', '')) AS n FROM l),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m WHERE n > 0),
+s AS (SELECT doc_id, run, sum(n) AS n, min(p) AS p, string_agg(line, chr(10) ORDER BY p) AS t FROM r GROUP BY ALL)
+SELECT doc_id, coalesce(t, '') AS longest FROM documents LEFT JOIN (SELECT doc_id, arg_min(t, struct_pack(a := -n, b := p)) AS t FROM s GROUP BY 1) USING (doc_id)""")
+def longest_cjk_runs(spark, d):
+    """Every q of the documents a CJK character: the run of lines that holds most of them."""
+    longest = F.pandas_udf(lambda lines: lines.map(lambda x: parsers.longest_cjk_run(list(x))), "string")
+    return table(spark, d, "documents").select("doc_id", longest(F.split(F.replace("text", F.lit("q"), F.lit("船")), "\n")).alias("longest"))

@@ -66,6 +66,13 @@ def merged_pages(pages: DataFrame, document: str, name: str, text: str, image_pr
     return pages.groupBy(document).agg(F.array_join(parts, "\n\n").alias("text"))
 
 
+def scrolled(df: DataFrame, key: str, size: int = 128) -> DataFrame:
+    """Rows with the page they come in when the table is scrolled in the order of its key."""
+    from examloom.operators.packing import renumbered
+
+    return renumbered(df, [F.col(key)], "place").withColumn("page", F.floor((F.col("place") - 1) / size)).drop("place")
+
+
 def spans(spark: SparkSession, path: str) -> DataFrame:
     """Exported trace spans, one JSON object a line, in Parquet or JSON."""
     kind = "id STRING, parent_id STRING, name STRING, start STRING, end STRING, cost DOUBLE, tokens BIGINT, input STRING, output STRING"
