@@ -36,19 +36,22 @@ def image_extraction(spark, d):
     return table(spark, d, "documents").select("doc_id", X.image_sources(html).alias("sources"), X.images_valid(html).alias("valid"), X.without_images(html).alias("plain"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_options, CASE WHEN doc_id % 2 = 0 THEN 'true_false' ELSE 'single_choice' END AS type FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars >= 2000 THEN 1 WHEN lang IN ('de', 'es') THEN 2 ELSE 0 END::BIGINT AS n_options, CASE WHEN lang IN ('de', 'es') THEN 'true_false' WHEN lang = 'fr' THEN 'single_choice' ELSE lang END AS type FROM documents")
 def true_false_defaults(spark, d):
-    kind = F.when(F.col("doc_id") % 2 == 0, "判断题").otherwise("单选题")
-    options = X.default_options(kind, F.create_map().cast("map<string,string>"))
+    kind = F.when(F.col("lang").isin("de", "es"), "判断题").when(F.col("lang") == "fr", "单选题").otherwise(F.col("lang"))
+    options = X.default_options(kind, F.when(F.col("n_chars") >= 2000, F.create_map(F.lit("A"), F.col("source"))).otherwise(F.create_map().cast("map<string,string>")))
     return table(spark, d, "documents").select("doc_id", F.size(options).cast("long").alias("n_options"), X.type_name(kind).alias("type"))
 
 
-TEXTS = ("INLAND ONLY rule D010SA", "International only", "Both INLAND and International D010sa D012", "nothing")
+SCOPED = "CASE lang WHEN 'en' THEN 'Inland only: ' WHEN 'de' THEN 'INTERNATIONAL ONLY ' WHEN 'fr' THEN 'US INLAND, INLAND and international D' || lpad((n_chars % 1000)::VARCHAR, 3, '0') || 'sa ' ELSE '' END || regexp_replace(text, '[^A-Za-z ]', ' ', 'g')"
 
 
-@query(f"SELECT doc_id, {_case('doc_id', 4, 'inland', 'international', 'both', 'unknown')} AS scope, {_case('doc_id', 4, 'US INLAND ONLY rule D010SA', 'International only', 'Both US INLAND and International D010sa D012', 'nothing')} AS clear, CASE doc_id % 4 WHEN 0 THEN ['D010SA'] WHEN 2 THEN ['D010SA', 'D012'] ELSE [] END AS figures FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, {SCOPED} AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(upper(t), 'INLAND ONLY') THEN 'inland' WHEN contains(upper(t), 'INTERNATIONAL ONLY') THEN 'international' WHEN contains(upper(t), 'INTERNATIONAL') AND contains(upper(t), 'INLAND') THEN 'both' ELSE 'unknown' END AS scope,
+replace(regexp_replace(regexp_replace(t, '\bUS INLAND\b', chr(1), 'g'), '\bINLAND\b', 'US INLAND', 'g'), chr(1), 'US INLAND') AS clear, list_distinct(regexp_extract_all(upper(t), '\b(D\d{{3}}[A-Z]*)\b', 1)) AS figures FROM t""")
 def scope_and_figures(spark, d):
-    t = _mod("doc_id", 4, *TEXTS)
+    head = F.when(F.col("lang") == "en", "Inland only: ").when(F.col("lang") == "de", "INTERNATIONAL ONLY ").when(F.col("lang") == "fr", F.concat(F.lit("US INLAND, INLAND and international D"), F.lpad((F.col("n_chars") % 1000).cast("string"), 3, "0"), F.lit("sa "))).otherwise("")
+    t = F.concat(head, F.regexp_replace("text", "[^A-Za-z ]", " "))
     return table(spark, d, "documents").select("doc_id", X.scope_category(t).alias("scope"), X.clarify_inland(t).alias("clear"), X.distinct_matches(t, r"\b(D\d{3}[A-Z]*)\b").alias("figures"))
 
 
@@ -60,10 +63,10 @@ def trace_id_decode(spark, d):
     return table(spark, d, "documents").select("doc_id", X.trace_id(F.when(k == 0, one).when(k == 1, two).otherwise("plain")).alias("trace"))
 
 
-@query("SELECT doc_id, lpad(CASE WHEN doc_id % 2 = 0 THEN (doc_id % 700 + 1)::VARCHAR ELSE (doc_id % 50 + 1)::VARCHAR END, 4, '0') AS number FROM documents")
+@query("SELECT doc_id, CASE WHEN length(x) < 4 THEN lpad(x, 4, '0') ELSE x END AS number FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(source || '.' || n_chars, '[^0-9]', '', 'g'), '^0+', ''), ''), (doc_id + 1)::VARCHAR) AS x FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'src' END AS source, CASE WHEN lang = 'de' THEN n_chars::VARCHAR ELSE '' END AS n_chars FROM documents))")
 def question_number_pad(spark, d):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Q0"), (F.col("doc_id") % 700 + 1).cast("string"))).otherwise("none")
-    return table(spark, d, "documents").select("doc_id", X.question_number(raw, F.col("doc_id") % 50 + 1).alias("number"))
+    raw = F.concat(F.when(F.col("lang") == "en", F.col("source")).otherwise("src"), F.lit("."), F.when(F.col("lang") == "de", F.col("n_chars").cast("string")).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", X.question_number(raw, F.col("doc_id") + 1).alias("number"))
 
 
 @query(f"SELECT doc_id, {_case('doc_id', 5, 'DUPLICATE', 'DIFFERENT', 'DUPLICATE', 'DIFFERENT', None)} AS verdict, {_case('doc_id', 5, 'GOOD', 'BAD', 'GOOD', 'BAD', None)} AS quality FROM documents")
@@ -80,15 +83,14 @@ def experiment_filter_label(spark, d):
     return filters.usable_experiments(rows, "model", "meta", "source", exclude_models=["m3"], exclude_words=["SRC1"]).select("doc_id", "label")
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'short_question' WHEN doc_id % 7 = 1 THEN 'few_options' WHEN doc_id % 7 = 2 THEN 'no_answer' WHEN doc_id % 7 = 3 THEN 'unknown_answer' ELSE 'valid' END AS reason FROM documents) GROUP BY 1")
+@query(r"SELECT CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 5 THEN 'short_question' WHEN n_chars < 500 THEN 'few_options' WHEN quality IS NULL THEN 'no_answer' WHEN quality = 0 THEN 'unknown_answer' ELSE 'valid' END AS reason, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def question_validation(spark, d):
-    k = F.col("doc_id") % 7
-    question = F.when(k == 0, " ab ").otherwise("What is it?")
-    two = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
-    options = F.when(k == 1, F.create_map(F.lit("A"), F.lit("x"))).otherwise(two)
-    answer = F.when(k == 2, "null").when(k == 3, "Z").otherwise("A")
-    reason = F.coalesce(filters.question_problem(question, options, answer), F.lit("valid"))
-    return table(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Documents as questions: short ones have one option, and a label is the answer."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    two = F.create_map(F.lit("0"), F.col("source"), F.lit("1"), F.col("lang"))
+    options = F.when(F.col("n_chars") < 500, F.create_map(F.lit("1"), F.col("lang"))).otherwise(two)
+    answer = F.when(F.col("quality") == 0, "Z").otherwise(F.col("quality").cast("string"))
+    return docs.groupBy(F.coalesce(filters.question_problem(F.col("text"), options, answer), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 1 OR o_orderstatus = 'P'")
@@ -150,9 +152,12 @@ def embed_input_lengths(spark, d):
     return docs.select("doc_id", F.col("text").isNull().cast("long").alias("missing"), n.cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents), h AS (SELECT doc_id, md5(w) AS h FROM w),
+d AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, ('0x' || h[1:2])::INT % 64 AS slot, sum(CASE WHEN ('0x' || h[3:4])::INT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL) WHERE v <> 0 GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT i) AS n, min(i) AS least FROM (SELECT doc_id, ('0x' || h[1:8])::BIGINT & 2147483647 AS i FROM h) GROUP BY 1)
+SELECT doc_id, coalesce(d.n, 0)::INT AS dense_used, coalesce(s.n, 0)::INT AS n_terms, s.least::INT AS least_term FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def embed_dense_and_sparse(spark, d):
     from examloom import hooks
 
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", hooks.dense()("text").alias("dense"), hooks.sparse("text").alias("sparse"))
+    v = table(spark, d, "documents").select("doc_id", hooks.dense()("text").alias("dense"), hooks.sparse("text").alias("sparse"))
+    return v.select("doc_id", F.size(F.filter("dense", lambda x: x != 0)).alias("dense_used"), F.size("sparse.indices").alias("n_terms"), F.array_min("sparse.indices").alias("least_term"))
