@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,51 +17,45 @@ BLOCK_WORDS = 1_000_000
 
 
 class Items:
-    """One block of items (id, normalised text, weighty words) and words of which a leaking document has one at least.
+    """One block of items (id, normalised text, weighty words), indexed for both ways to leak.
 
-    Of an item whose words may leak, so many of the rarest are taken that without
-    all of them fewer than 4 in 5 are left.  A text of three words or more that
-    stands in a document has its inner words there as whole words, so the rarest
-    of these is taken.  Shorter texts have no such word; they are looked for in
-    every document.
+    Every weighty word lists its items with its number there, so one sum over a
+    document's words tells of all items how many of their words it has.  A text
+    of three words or more that stands in a document has its inner words there
+    as whole words, so it is looked for where the rarest of these is; shorter
+    texts have no such word and are looked for in every document.
     """
 
     def __init__(self, rows: list[tuple]) -> None:
         self.ids = [r[0] for r in rows]
         self.texts = [r[1] for r in rows]
-        self.words = [Counter(r[2]) for r in rows]
-        self.sizes = [len(r[2]) for r in rows]
+        self.enough = np.array([0.8 * len(r[2]) if len(r[2]) >= 3 else np.inf for r in rows])
+        lists: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, r in enumerate(rows):
+            for w, n in Counter(r[2]).items():
+                lists[w].append((i, n))
+        self.words = {w: np.array(x).T for w, x in lists.items()}
         self.by_word: dict[str, list[int]] = defaultdict(list)
         self.short: list[int] = []
         used = Counter(w for t in self.texts for w in set(t.split(" ")))
-        for i, (text, words, size) in enumerate(zip(self.texts, self.words, self.sizes, strict=True)):
-            keys = set()
-            if size >= 3:
-                left = size
-                for w in sorted(words, key=lambda w: (used[w], w)):
-                    if left < 0.8 * size:
-                        break
-                    keys.add(w)
-                    left -= words[w]
+        for i, text in enumerate(self.texts):
             if len(text) >= 8:
                 inner = text.split(" ")[1:-1]
                 if inner:
-                    keys.add(min(inner, key=lambda w: (used[w], w)))
+                    self.by_word[min(inner, key=lambda w: (used[w], w))].append(i)
                 else:
                     self.short.append(i)
-            for w in keys:
-                self.by_word[w].append(i)
 
     def leaks(self, q: str) -> list[int]:
         """The items that leak into a normalised document, as answer_leaks() has it."""
         known = set(q.split(" "))
         some = {i for w in known & self.by_word.keys() for i in self.by_word[w]}.union(self.short)
-        return [i for i in sorted(some) if self._leaks(i, q, known)]
-
-    def _leaks(self, i: int, q: str, known: set[str]) -> bool:
-        if len(self.texts[i]) >= 8 and self.texts[i] in q:
-            return True
-        return self.sizes[i] >= 3 and sum(n for w, n in self.words[i].items() if w in known) >= 0.8 * self.sizes[i]
+        found = {i for i in some if self.texts[i] in q}
+        hits = [self.words[w] for w in known & self.words.keys()]
+        if hits:
+            item, n = np.concatenate(hits, axis=1)
+            found.update(np.flatnonzero(np.bincount(item, n, len(self.ids)) >= self.enough).tolist())
+        return sorted(found)
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
