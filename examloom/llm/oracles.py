@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from examloom.llm import fmindex, licenses, quality
+from examloom.llm import bcr, fmindex, licenses, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,7 +55,20 @@ c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id"""
 
 
+def passages_sql(w: int = bcr.WINDOW) -> str:
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+l AS (SELECT r, range(octet_length(x)) AS ps, x FROM d),
+w AS MATERIALIZED (SELECT r, unnest(ps) AS p, unnest(list_transform(ps, lambda i: CASE WHEN i + {w} <= octet_length(x) THEN md5(x[i + 1:i + {w}]) END)) AS k, unnest(list_transform(ps, lambda i: hex(x[i + 1:i + 1]))) AS c FROM l),
+t AS (SELECT r, p, c, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS t FROM w),
+g AS (SELECT r, p, c, max(t) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS g FROM t),
+e AS (SELECT *, g = 1 AND coalesce(lag(g) OVER (PARTITION BY r ORDER BY p), 0) = 0 AS begins FROM g),
+s AS (SELECT r, sum(g) AS gone, count(*) FILTER (begins) AS spans, string_agg(c, '' ORDER BY p) FILTER (g = 0) AS kept FROM e GROUP BY 1)
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (r)"""
+
+
 ORACLE_SQL = {
+    "op3_suffix_dedup": passages_sql(),
     "op4_license_scan": licenses.ORACLE_SQL,
     "op6_minhash_neardup": neardup_sql(),
     "op7_substring_dedup": substring_sql(),

@@ -302,6 +302,7 @@ def test_languages(spark):
     assert sum(got[i].lang_pred == k for i, _, k in held) >= 0.95 * len(held)
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.predicted(df.limit(0), model).count() == 0
     empty = langid.fit(df.limit(0))
     assert {r.lang_pred for r in langid.predicted(df, empty).collect()} == {"und"}
 
