@@ -10,8 +10,9 @@ candidates that no band proposes: for a pair right at the threshold s the
 chance is (1 - s**ROWS)**BANDS, 5e-11 at 0.85 and 5e-8 at 0.8.
 
 Skew: equal sets are first merged into one class, by pre-aggregation.  Within a
-bucket each class is compared with one leader only, its most typical member;
-classes that are connected so need no further comparison.  Classes of one
+bucket each class is compared with one leader only, its most typical member, and
+with the leader of most of its buckets first; classes that are connected so need
+no further comparison.  Classes of one
 leader that are still apart are then compared where their common items with the
 leader, or rare items besides (a prefix filter), allow for enough similarity;
 both are exact bounds.  So a group of m near copies costs about m comparisons,
@@ -159,9 +160,10 @@ def _banded(share: float):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", lower=True):
-            _, h, bounds = shingles(block, width)
+            row, h, bounds = shingles(block, width)
             h &= ~np.uint64((1 << 10) - 1)
-            yield pa.RecordBatch.from_arrays([block.batch.column("rep"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "items"])
+            regs = sketch(row, h, len(block))
+            yield pa.RecordBatch.from_arrays([block.batch.column("rep"), pa.array([x.tobytes() for x in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "regs", "items"])
 
     return run
 
@@ -202,14 +204,14 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     wanted = reps.join(members, "rep", "left_semi").select("rep", "rid", "rth")
     found = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     found = found.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("rep", "text")
-    sets = stored(found.mapInArrow(_sets(width), "id long, items array<long>"), "sets")
+    sets = stored(found.mapInArrow(_sets(width), "id long, regs binary, items array<long>"), "sets")
     facts = reps.join(members, "rep", "left_semi").select(F.col("rep"), "n", "regs")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) on their full sets: sizes na, nb and common items i."""
-        x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
+        """Pairs (a, b) on their full sets: sizes na, nb and common items i; and a's registers."""
+        x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa"), F.col("regs").alias("ra")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
         both = F.size(F.array_intersect("xa", "xb"))
-        return x.select("a", "b", "xa", "xb", F.size("xa").alias("na"), F.size("xb").alias("nb"), both.alias("i"))
+        return x.select("a", "b", "ra", "xa", "xb", F.size("xa").alias("na"), F.size("xb").alias("nb"), both.alias("i"))
 
     similar = 100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))
 
@@ -217,23 +219,36 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         """Those of the pairs (a, b) that are similar enough: by size, by estimate, then on the sets."""
         x = pairs.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         x = x.join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-        x = x.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(share), "a long, b long")
-        return compared(x).where(similar).select("a", "b").distinct()
-
-    # First wave: every class with the leaders of its buckets.
-    pairs = stored(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    linked = stored(links(pairs), "links")
+        return confirmed(likely(x))
+
+    def likely(x: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, na, nb, ra, rb) that sizes and estimates allow."""
+        return x.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(share), "a long, b long")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return compared(pairs).where(similar).select("a", "b").distinct()
+
+    # First wave: every class with its nearest leader, the one it shares most buckets with; then with its other leaders,
+    # where the two are not connected by now.
+    pairs = stored(shared.where("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands")), "pairs")
+    nearest = pairs.groupBy("a").agg((-F.max(F.struct("bands", (-F.col("b")).alias("b")))["b"]).alias("b"))
+    near = stored(links(nearest), "links")
+    part = components(near)
+    of = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    other = stored(open_pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    linked = stored(near.unionByName(links(other)), "links")
     part = components(linked)
     # Classes of one leader that are still in different components: they can only be similar if they share an item that
     # the leader lacks, or if what both have in common with the leader is enough by itself.
-    placed = pairs.join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    placed = pairs.select("a", "b").join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
     mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
     # How much they have in common with the leader, and what they have besides, of which as many items as the prefix
     # filter needs (two sets that are similar enough share one of these).
     left = placed.join(mixed, "b", "left_semi")
     prefix = F.col("na") - F.ceil(F.lit(percent) * F.col("na") / 100) + 1
     extra = F.array_except("xa", "xb")
-    met = compared(left.select("a", "b")).select("a", "b", "na", "nb", "i", F.slice(F.array_sort(extra), F.lit(1), (prefix + HOT).cast("int")).alias("extra"), prefix.cast("int").alias("p"))
+    met = compared(left.select("a", "b")).select("a", "b", "ra", "na", "nb", "i", F.slice(F.array_sort(extra), F.lit(1), (prefix + HOT).cast("int")).alias("extra"), prefix.cast("int").alias("p"))
     apart = stored(met.join(left, ["a", "b"]), "apart")
     # The prefix filter takes any order of items that is the same for all: here what the leader lacks comes first, but
     # for the few items that most others have, and what the leader has comes last.
@@ -242,15 +257,17 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     hot = often.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "item"))).where(F.col("r") <= HOT).select("b", "item", F.lit(1).alias("hot"))
     items = items.join(hot, ["b", "item"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("hot", F.lit(0)), "item"))).where("r <= p").select("b", "item", "a", "c")
     several = items.groupBy("b", "item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b", "item")
-    items = stored(items.join(several, ["b", "item"], "left_semi"), "items")
-    by_item = items.join(items.select("b", "item", F.col("a").alias("y"), F.col("c").alias("cy")), ["b", "item"]).where("c < cy").select("a", "y")
+    # The registers join what is left only.
+    items = stored(items.join(several, ["b", "item"], "left_semi").join(apart.select("b", "a", "na", "ra"), ["b", "a"]), "items")
+    other_item = items.select("b", "item", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("ra").alias("ry"))
+    sides = [F.col("a"), F.col("y").alias("b"), F.col("na"), F.col("ny").alias("nb"), F.col("ra"), F.col("ry").alias("rb")]
+    by_item = items.join(other_item, ["b", "item"]).where("c < cy").select(*sides)
     plain = apart.where("na - i < p").drop("extra", "p")
-    far = plain.where(~similar).select("b", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("i").alias("iy"))
+    far = plain.where(~similar).select("b", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("i").alias("iy"), F.col("ra").alias("ry"))
     most = F.least("i", "iy")
-    by_leader = plain.join(far, "b").where((F.col("c") != F.col("cy")) & (100 * most >= percent * (F.col("na") + F.col("ny") - most))).select("a", "y")
-    second = by_item.unionByName(by_leader).select(F.greatest("a", "y").alias("a"), F.least("a", "y").alias("b")).distinct()
-    second = stored(second, "pairs")
-    more = stored(links(second), "links")
+    by_leader = plain.join(far, "b").where((F.col("c") != F.col("cy")) & (100 * most >= percent * (F.col("na") + F.col("ny") - most))).select(*sides)
+    second = stored(likely(by_item.unionByName(by_leader)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    more = stored(confirmed(second), "links")
     if more.isEmpty():
         whole = part
     else:
@@ -258,7 +275,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     classes = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("component", "rep").alias("component"))
     found = rows.select("id", *one).join(classes, one, "left").withColumn("component", F.coalesce("component", "id"))
     out = stored(found.select("id", "n", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component")), "components")
-    discard(rows, reps, sized, known, sets, pairs, linked, apart, items, second, more)
+    discard(rows, reps, sized, known, sets, pairs, near, other, linked, apart, items, second, more)
     return out
 
 
