@@ -169,8 +169,14 @@ class Block:
         return np.diff(sums[bounds])
 
 
+#: What tokenizing operators keep in a Python worker between their tasks; other operators' tasks in that worker drop it.
+KEPT: list[dict] = []
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK, unspaced: bool = False) -> Iterator[Block]:
     """Cut batches to about size bytes of text and MAX_ROWS rows; one longer text makes a block of its own."""
+    for kept in KEPT:
+        kept.clear()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from examloom.llm.automaton import SuffixAutomaton
-from examloom.llm.blocks import Recent, configure
+from examloom.llm.blocks import KEPT, Recent, configure
 
 #: Bytes of a cache's younger half; the older half holds as many.
-CACHED_WORDS = 40 << 20
-CACHED_PIECES = 24 << 20
-CACHED_PAIRS = 16 << 20
+CACHED_WORDS = 80 << 20
+CACHED_PIECES = 40 << 20
+CACHED_PAIRS = 32 << 20
 _INF = 1 << 60
 #: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
 _KNOWN = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -188,6 +188,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def _words(v: Vocabulary) -> Recent:
