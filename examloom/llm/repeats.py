@@ -165,6 +165,7 @@ def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, ke
     found = rows.mapInArrow(_segments(units), schema)
     anchors = stored(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     again = stored(found.join(anchors, "h").select(found.columns), "again")
+    discard(anchors)
 
     def representatives(df: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "a", "s", "e")).alias("r")
@@ -178,7 +179,7 @@ def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, ke
     reps = stored(representatives(again), "reps")
     groups = stored(reps.groupBy("h").agg(F.count("*").alias("k")), "groups")
     hot, lone = groups.where(F.col("k") > HOT).select("h"), groups.where("k = 1").select("h")
-    used = [anchors, again, reps, groups]
+    used = [again, reps, groups]
     whole = F.array(F.lit(0), F.col("r.e") - F.col("r.s"))
     wholes = reps.join(lone, "h").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
     if settle:
