@@ -10,9 +10,8 @@ candidates that no band proposes: for a pair right at the threshold s the
 chance is (1 - s**ROWS)**BANDS, 5e-11 at 0.85 and 5e-8 at 0.8.
 
 Skew: equal sets are first merged into one class, by pre-aggregation.  Within a
-bucket each class is compared with one leader only, its most typical member, and
-with the leader of most of its buckets first; classes that are connected so need
-no further comparison.  Classes of one
+bucket each class is compared with one leader only, its most typical member;
+classes that are connected so need no further comparison.  Classes of one
 leader that are still apart are then compared where their common items with the
 leader, or rare items besides (a prefix filter), allow for enough similarity;
 both are exact bounds.  So a group of m near copies costs about m comparisons,
@@ -228,20 +227,14 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     def confirmed(pairs: DataFrame) -> DataFrame:
         return compared(pairs).where(similar).select("a", "b").distinct()
 
-    # First wave: every class with its nearest leader, the one it shares most buckets with; then with its other leaders,
-    # where the two are not connected by now.
-    pairs = stored(shared.where("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands")), "pairs")
-    nearest = pairs.groupBy("a").agg((-F.max(F.struct("bands", (-F.col("b")).alias("b")))["b"]).alias("b"))
-    near = stored(links(nearest), "links")
-    part = components(near)
-    of = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    other = stored(open_pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    linked = stored(near.unionByName(links(other)), "links")
+    # First wave: every class with the leaders of its buckets.
+    pairs = stored(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    discard(sized)
+    linked = stored(links(pairs), "links")
     part = components(linked)
     # Classes of one leader that are still in different components: they can only be similar if they share an item that
     # the leader lacks, or if what both have in common with the leader is enough by itself.
-    placed = pairs.select("a", "b").join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    placed = pairs.join(part.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
     mixed = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
     # How much they have in common with the leader, and what they have besides, of which as many items as the prefix
     # filter needs (two sets that are similar enough share one of these).
@@ -275,7 +268,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     classes = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("component", "rep").alias("component"))
     found = rows.select("id", *one).join(classes, one, "left").withColumn("component", F.coalesce("component", "id"))
     out = stored(found.select("id", "n", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component")), "components")
-    discard(rows, reps, sized, known, sets, pairs, near, other, linked, apart, items, second, more)
+    discard(rows, reps, known, sets, pairs, linked, apart, items, second, more)
     return out
 
 
