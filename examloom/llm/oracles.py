@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from examloom.llm import bcr, fmindex, licenses, quality
+from examloom.llm import bcr, fmindex, hardneg, licenses, merkle, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,10 +67,64 @@ s AS (SELECT r, sum(g) AS gone, count(*) FILTER (begins) AS spans, string_agg(c,
 SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (r)"""
 
 
+def negatives_sql() -> str:
+    return f"""
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {hardneg.POSITIVES}),
+n AS (SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS k FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  WHERE {hardneg.LEAST} * positive_score <= 100 * score AND 100 * score <= {hardneg.MOST} * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= {hardneg.NEGATIVES}"""
+
+
+def manifest_sql(depth: int = 7) -> str:
+    """For groups of up to 16 ** depth nodes."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(strlen(CAST({x} AS VARCHAR)), ':', {x}) END"
+    leaf = lambda text: "sha256(concat(" + ", ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + "))"
+    # CRC-32 of the decimal id: bytes in turn, eight steps for each.
+    step = "list_reduce([xor(crc, ascii(c)), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: {step.replace('ascii(c)', 'b')}), 4294967295)"
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf('text')} AS leaf, {leaf('text_')} AS shown FROM (SELECT *, CASE WHEN {crc} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS text_ FROM documents))",
+        "l0 AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d)",
+    ]
+
+    def climb(name: str, group: str) -> str:
+        """The levels name0, name1, ... of a tree; pre and post of each node, and its parent."""
+        for k in range(depth):
+            run = f"PARTITION BY {group}, idx // {merkle.FAN} ORDER BY idx"
+            sides = ", ".join(f"CASE WHEN n > 1 THEN coalesce(string_agg(digest, '') OVER ({run} ROWS BETWEEN {a} AND {b}), '') END AS {side}" for side, a, b in (("pre", "UNBOUNDED PRECEDING", "1 PRECEDING"), ("post", "1 FOLLOWING", "UNBOUNDED FOLLOWING")))
+            parts.append(f"{name}s{k} AS (SELECT {group}, idx, n, digest, {sides} FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS (SELECT {group}, idx // {merkle.FAN} AS idx, (max(n) + {merkle.FAN - 1}) // {merkle.FAN} AS n, CASE WHEN max(n) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest FROM {name}{k} GROUP BY 1, 2)")
+        return f"{name}{depth}"
+
+    subroots = climb("l", "g")
+    parts.append(f"t0 AS (SELECT 0 AS one, g, digest, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM {subroots})")
+    root = climb("t", "one")
+    parts.append("j AS (SELECT l0.*, t0.idx AS top, t0.digest AS subroot FROM l0 JOIN t0 USING (g))")
+    joins, siblings = "", []
+    for name, at, on in (("l", "j.idx", "{0}.g = j.g AND "), ("t", "j.top", "")):
+        for k in range(depth):
+            x = f"{name}s{k}"
+            joins += f" JOIN {x} ON {on.format(x)}{x}.idx = {at} // {merkle.FAN**k}"
+            siblings += [f"{x}.pre", f"{x}.post"]
+    columns = ", ".join(f"{x}.pre AS p{i}, {x}.post AS q{i}" for i, x in enumerate(s[:-4] for s in siblings[::2]))
+    parts.append(f"w AS (SELECT doc_id, leaf, shown, subroot, {root}.digest AS root, {columns} FROM j{joins} JOIN {root} ON true)")
+    last = "w"
+    for i in range(2 * depth):
+        parts.append(f"f{i} AS (SELECT * REPLACE (CASE WHEN p{i} IS NULL THEN shown ELSE sha256(concat(p{i}, shown, q{i})) END AS shown) FROM {last})")
+        last = f"f{i}"
+    all_siblings = ", ".join(f"p{i}, q{i}" for i in range(2 * depth))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(concat({all_siblings})) AS proof_sha256, shown AS folded_root, shown = root AS verified FROM {last}"
+
+
 ORACLE_SQL = {
     "op3_suffix_dedup": passages_sql(),
     "op4_license_scan": licenses.ORACLE_SQL,
     "op6_minhash_neardup": neardup_sql(),
     "op7_substring_dedup": substring_sql(),
     "op8_quality_rules": quality_sql(),
+    "op12_hard_negatives": negatives_sql(),
+    "op13_merkle_manifest": manifest_sql(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from examloom.llm import bcr, bpe, decontaminate, fmindex, langid, licenses, neardup, pages, quality, tokencount
+from examloom.llm import bcr, bpe, decontaminate, fmindex, hardneg, langid, licenses, merkle, neardup, pages, quality, simhash, tokencount
 from examloom.llm.oracles import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": tokencount.op10_token_counts,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op11_simhash_neardup": simhash.op11_simhash_neardup,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
