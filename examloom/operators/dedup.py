@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.functions.textsim import indel_ratio, token_set_ratio
-from examloom.storage import stored
+from examloom.functions.textsim import indel_ratio, token_set, token_set_ratio
+from examloom.operators.similarity import in_blocks, sides
+from examloom.storage import discard, stored
 
 
 def keep_one(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
@@ -47,32 +53,138 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     live = edges.join(w.select(F.col("id").alias("i"), F.col("weight").alias("wi")), "i").join(w.select(F.col("id").alias("j"), F.col("weight").alias("wj")), "j")
     first_wins = (F.col("wi") > F.col("wj")) | ((F.col("wi") == F.col("wj")) & (F.col("i") < F.col("j")))
     live = stored(live.select("i", "j", "rank", F.when(first_wins, F.col("i")).otherwise(F.col("j")).alias("kept"), F.when(first_wins, F.col("j")).otherwise(F.col("i")).alias("removed")), "edges")
-    out = None
+    decided = [stored(live.select("kept", "removed", "rank").where("false"), "decided")]
     while not live.isEmpty():
         ends = live.select(F.col("i").alias("v"), "rank").unionByName(live.select(F.col("j").alias("v"), "rank"))
         best = ends.groupBy("v").agg(F.min("rank").alias("m"))
         marked = live.join(best.select(F.col("v").alias("i"), F.col("m").alias("mi")), "i").join(best.select(F.col("v").alias("j"), F.col("m").alias("mj")), "j")
         done = stored(marked.where((F.col("rank") == F.col("mi")) & (F.col("rank") == F.col("mj"))).select("kept", "removed", "rank"), "decided")
-        out = done if out is None else out.unionByName(done)
+        decided.append(done)
         dead = done.select(F.col("removed").alias("v"))
-        live = live.join(done.select("rank"), "rank", "left_anti")
-        live = stored(live.join(dead, F.col("i") == F.col("v"), "left_anti").join(dead, F.col("j") == F.col("v"), "left_anti"), "edges")
-    return out if out is not None else live.select("kept", "removed", "rank")
+        left = live.join(done.select("rank"), "rank", "left_anti")
+        last, live = live, stored(left.join(dead, F.col("i") == F.col("v"), "left_anti").join(dead, F.col("j") == F.col("v"), "left_anti"), "edges")
+        discard(last)
+    out = stored(functools.reduce(DataFrame.unionByName, decided), "resolved")
+    discard(live, *decided)
+    return out
+
+
+#: Bins of characters and of pairs of characters in words, by which texts are told apart before they are compared.
+LETTERS, BIGRAMS = 32, 96
+TEXT_BLOCK = 1024
+
+
+def _bins(words: list[str]) -> np.ndarray:
+    """How often the characters of the joined words, and the pairs of characters in words, fall into each bin."""
+    out = np.zeros(LETTERS + BIGRAMS, dtype=np.int32)
+    for w in words:
+        for c in w:
+            out[ord(c) % LETTERS] += 1
+        for c, d in itertools.pairwise(w):
+            out[LETTERS + (ord(c) * 31 + ord(d)) % BIGRAMS] += 1
+    out[ord(" ") % LETTERS] += max(0, len(words) - 1)
+    return out
 
 
-def fuzzy_pairs(df: DataFrame, id_: str, text: str, threshold: float) -> DataFrame:
+def _may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows whose ratio may reach the threshold by their bins and lengths.
+
+    With L characters common in order, n = nx + ny - 2 L characters are in excess.
+    Both have at least L in common whatever the order, and each character in
+    excess changes three pairs of characters at most.
+    """
+    least = threshold / 200 * (nx[:, None] + ny[None, :]) - 1e-9
+    letters, bigrams = np.zeros(least.shape, dtype=np.int32), np.zeros(least.shape, dtype=np.int32)
+    for k in range(LETTERS):
+        if x[:, k].any() and y[:, k].any():
+            letters += np.minimum(x[:, k][:, None], y[:, k][None, :])
+    excess = nx[:, None] + ny[None, :] - 2 * least
+    good = letters >= least
+    if threshold > 200 / 3:
+        for k in range(LETTERS, LETTERS + BIGRAMS):
+            if x[:, k].any() and y[:, k].any():
+                bigrams += np.minimum(x[:, k][:, None], y[:, k][None, :])
+        good &= 2 * bigrams >= x[:, LETTERS:].sum(axis=1)[:, None] + y[:, LETTERS:].sum(axis=1)[None, :] - 3 * excess
+    return np.nonzero(good)
+
+
+def fuzzy_pairs(df: DataFrame, id_: str, text: str, threshold: float, block: int = TEXT_BLOCK, compared=None) -> DataFrame:
     """All pairs i < j whose token-set ratio reaches the threshold (0-100).
 
-    Any subset of words scores 100, so no length or overlap bound is valid but
-    one: pairs without a common word are compared by characters only.  All pairs
-    are compared, in blocks.
+    A pair reaches it in one of two ways, each with its own index:
+
+    * By its common words alone, against one side: these are then at least a
+      share t / (200 - t) of that side's characters (all of it, if the other side
+      has every word).  Of a side's words, the rarest first, so many are taken
+      that the rest has less than this; one of these is common.  So few words of
+      one side meet all words of the other, through the words.
+    * By its texts as a whole: lengths then differ by the factor (200 - t) / t at
+      most, so texts meet those of their own and the next class of lengths, in
+      blocks; pairs whose characters, or pairs of characters in words, can't
+      reach the threshold in any order are dropped before they are compared.
+
+    Both bounds are exact.  compared: an accumulator of the texts compared.  Null
+    texts take no part; one without words is similar to nothing (0).
     """
-    n = max(1, -(-df.count() // 2048))
-    rows = df.select(F.col(id_).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("b"))
-    left = rows.select(F.col("k").alias("i"), F.col("t").alias("a"), F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
-    right = rows.select(F.col("k").alias("j"), F.col("t").alias("c"), F.col("b").alias("y"))
-    pairs = left.join(right, "y").where("i < j")
-    return pairs.select("i", "j", token_set_ratio("a", "c").alias("sim")).where(F.col("sim") >= threshold)
+    spark, kind = df.sparkSession, dict(df.dtypes)[id_]
+
+    def split(parts):
+        for part in parts:
+            words = [sorted(set(t.split())) for t in part["t"]]
+            n = np.array([sum(map(len, w)) + max(0, len(w) - 1) for w in words], dtype=np.int64)
+            yield pd.DataFrame({"k": part["k"], "t": part["t"], "words": words, "n": n})
+
+    some = df.select(F.col(id_).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    rows = stored(some.mapInPandas(split, f"k {kind}, t string, words array<string>, n long"), "words")
+    if threshold <= 0:
+        rows_of = rows
+    else:
+        rows_of = rows.where("n > 0")
+
+    # By common words.
+    t = float(threshold)
+    words = rows_of.select("k", "n", F.explode("words").alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("k").orderBy("df", "w")
+    after = F.col("n") + 1 - F.sum(F.length("w") + 1).over(order)  # what is left behind a word, with a blank each
+    marked = words.join(often, "w").select("k", "w", (after + F.length("w") + 1).alias("left"), (F.floor(t * F.col("n") / (200 - t) - 1e-9) + 1).alias("need"))
+    # Words up to which as much as is needed is left.
+    rare = marked.where("left >= need").select(F.col("k").alias("i"), "w")
+    met = rare.join(words.select(F.col("k").alias("j"), "w"), "w").where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    left, right = rows.select(F.col("k").alias("i"), F.col("t").alias("a"), F.col("words").alias("x"), F.col("n").alias("nx")), rows.select(F.col("k").alias("j"), F.col("t").alias("c"), F.col("words").alias("y"), F.col("n").alias("ny"))
+    both = met.join(left, "i").join(right, "j").withColumn("common", F.array_intersect("x", "y"))
+    shared = F.length(F.array_join("common", " "))
+    inside = F.size("common") == F.least(F.size("x"), F.size("y"))
+    by_words = both.where((shared > 0) & (inside | (200 * shared >= (t - 1e-9) * (shared + F.least("nx", "ny"))))).select("i", "j", token_set_ratio("a", "c").alias("sim"))
+
+    # As a whole, by classes of length.
+    step = math.log((200 - t) / t) + 1e-9 if 0 < t < 100 else None
+    if t <= 0:
+        cell = F.lit(0)
+    elif step is None:
+        cell = F.col("n").cast("int")
+    else:
+        cell = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    home = rows_of.select("k", "t", "words", "n", cell.alias("cell"), F.lit(False).alias("copy"))
+    placed = home if t <= 0 or step is None else home.unionByName(home.withColumns({"cell": F.col("cell") + 1, "copy": F.lit(True)}))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        a, b, same = sides(part)
+        none = pd.DataFrame({"i": part["k"].iloc[:0], "j": part["k"].iloc[:0], "sim": []})
+        if not len(a) or not len(b):
+            return none
+        x, y = (np.array([_bins(w) for w in s["words"]]) for s in (a, b))
+        p, q = _may_reach(x, y, a["n"].to_numpy(), b["n"].to_numpy(), t)
+        ka, kb, ta, tb = a["k"].to_numpy(), b["k"].to_numpy(), a["t"].to_numpy(), b["t"].to_numpy()
+        keep = ka[p] < kb[q] if same else ka[p] != kb[q]
+        p, q = p[keep], q[keep]
+        if compared is not None:
+            compared.add(len(p))
+        sim = np.array([token_set(ta[i], tb[j]) for i, j in zip(p.tolist(), q.tolist(), strict=True)])
+        return pd.DataFrame({"i": np.minimum(ka[p], kb[q]), "j": np.maximum(ka[p], kb[q]), "sim": sim})
+
+    whole = in_blocks(placed, block).groupBy("cell", "x", "y").applyInPandas(compare, f"i {kind}, j {kind}, sim double")
+    return by_words.unionByName(whole).where(F.col("sim") >= threshold).dropDuplicates(["i", "j"])
 
 
 def greedy(pairs: DataFrame, nodes: DataFrame, by_similarity: bool) -> DataFrame:

@@ -37,32 +37,130 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_k: int | None = None, block: int = BLOCK) -> DataFrame:
+#: Cells of the metric partition at most, and rows of the sample that they are chosen from.
+CELLS, SAMPLE = 4096, 4096
+
+
+class Cells:
+    """Unit vectors parted by their nearest pivot, and how far over a cell's border a similar vector can be.
+
+    A vector y of cell c is nearer to c's pivot than to any other, so y.n <= 0
+    for the normal n = (h - c) / |h - c| of the border with the cell h of x.  The
+    angle between x and y is at least the one between x and that border, whose
+    sine is x.n.  So x meets all similar vectors of c if it is copied there
+    whenever x.n is at most the sine of the threshold's angle.
+    """
+
+    def __init__(self, pivots: np.ndarray, threshold: float) -> None:
+        self.pivots = pivots
+        # From a right angle on, anything may be similar across any border.
+        self.reach = float(np.sqrt(1 - threshold**2)) + 1e-9 if threshold > 0 else np.inf
+        self.apart = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 1e-30)) if len(pivots) <= 512 else None
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row; and (row, cell) of its copies, which go to cells before its home only, so that a pair meets once."""
+        s = x @ self.pivots.T
+        home = s.argmax(axis=1)
+        own = s[np.arange(len(x)), home][:, None]
+        if self.apart is not None:
+            wide = self.apart[home]
+        else:
+            wide = np.sqrt(np.maximum(2 - 2 * (self.pivots[home] @ self.pivots.T), 1e-30))
+        near = own - s <= self.reach * wide
+        near &= np.arange(len(self.pivots))[None, :] < home[:, None]
+        row, cell = np.nonzero(near)
+        return home, row, cell
+
+
+def _cells(rows: DataFrame, n: int, threshold: float, block: int, cells: int) -> Cells:
+    """The number of cells that costs least on a sample, which decides on speed only."""
+    drawn = rows.orderBy(F.xxhash64("k")).limit(min(SAMPLE, max(64, n))).collect()
+    x = np.unique(_unit(pd.Series([r.v for r in drawn])), axis=0) if drawn else np.zeros((1, 1))
+    x = x[np.random.default_rng(0).permutation(len(x))]
+    least, best, cost = max(1, -(-n // block)), None, np.inf
+    m = min(cells, len(x), max(least, int(np.ceil(2 * np.sqrt(n)))))
+    while True:
+        got = Cells(x[:m], threshold)
+        home, row, cell = got.place(x)
+        own, more = np.bincount(home, minlength=m) * (n / len(x)), np.bincount(cell, minlength=m) * (n / len(x))
+        # Products, and rows that are moved at what some dozens of products cost.
+        now = float((own * (own / 2 + more)).sum() + 64 * (n + more.sum()))
+        if now < cost:
+            best, cost = got, now
+        if m <= least:
+            return best
+        m = max(least, m // 4)
+
+
+def in_blocks(placed: DataFrame, block: int) -> DataFrame:
+    """Rows (k, ..., cell, copy) dealt to products of two blocks of a cell: grouped by cell, x and y, each has all that sides() needs.
+
+    Rows at home in a cell meet each other and the copies there; copies don't
+    meet.  Every such pair of rows is in one product.
+    """
+    columns = placed.columns
+    sizes = placed.groupBy("cell").agg(F.count_if(~F.col("copy")).alias("own"), F.count_if("copy").alias("more")).where("own > 0")
+    plan = sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("blocks"), F.ceil(F.col("more") / block).cast("int").alias("others"))
+    # A line for each cell, whose number is bounded by a parameter or by the logarithm of the texts' lengths.
+    plan = placed.sparkSession.createDataFrame([tuple(r) for r in plan.collect()], "cell int, blocks int, others int")
+    dealt = placed.join(F.broadcast(plan), "cell")
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("k"), F.when(F.col("copy"), F.col("others")).otherwise(F.col("blocks"))).cast("int"))
+    # A row at home is in the products of its block with all blocks, once for each; a copy in those of its block with all blocks of rows at home.
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.transform(blocks, lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    across = F.when(F.col("others") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("others"), F.lit(1)) - 1), lambda o: F.struct(F.col("b").alias("x"), (-1 - o).alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    products = F.when(F.col("copy"), F.transform(blocks, lambda o: F.struct(o.alias("x"), (-1 - F.col("b")).alias("y")))).otherwise(F.concat(own, across))
+    return dealt.select(*columns, "b", F.explode(products).alias("p")).select(*columns, "b", "p.x", "p.y")
+
+
+def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two sides of a product, and whether they are the same rows."""
+    x, y = part["x"].iloc[0], part["y"].iloc[0]
+    return part[~part["copy"] & (part["b"] == x)], part[part["copy"]] if y < 0 else part[part["b"] == y], x == y
+
+
+def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_k: int | None = None, block: int = BLOCK, cells: int = CELLS, compared=None) -> DataFrame:
     """All pairs i < j with cosine of at least the threshold: (i, j, sim).
 
-    Rows are dealt to blocks by a hash of their key, and every pair of blocks is
-    one matrix product; no task holds more than two blocks.  top_k keeps each
-    row's best neighbours only (a limit that is the feature, off by default).
+    Vectors are parted into cells around pivots; one near a border, as the
+    threshold has it, is copied across it (see Cells), so a cell meets all pairs
+    that can be similar and no others.  A cell with more rows than a block is
+    several blocks, and every pair of these a product of its own; no task holds
+    more than two.  top_k keeps each row's best neighbours only (a limit that is
+    the feature, off by default).  compared: an accumulator of the products made.
+
+    Null vectors take no part; a zero vector is similar to nothing (0).  Rows
+    with equal keys are not paired with each other.
     """
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y")))
-    paired = dealt.select("k", "v", "b", F.explode(others).alias("p")).select("k", "v", "b", "p.x", "p.y")
-    kind = dict(vectors.dtypes)[key]
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("k").isNotNull())
+    found = _cells(rows, rows.count(), threshold, block, cells)
+    shared = spark.sparkContext.broadcast(found)
+
+    def place(parts):
+        for part in parts:
+            if len(part):
+                x = _unit(part["v"])
+                home, row, cell = shared.value.place(x)
+                at = np.concatenate([np.arange(len(x)), row])
+                yield pd.DataFrame({"k": part["k"].to_numpy()[at], "v": list(x[at]), "cell": np.concatenate([home, cell]), "copy": np.repeat([False, True], [len(x), len(row)])})
+
+    placed = rows.mapInPandas(place, f"k {kind}, v array<double>, cell int, copy boolean")
+    units = in_blocks(placed, block)
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part["x"].iloc[0], part["y"].iloc[0]
-        a, b = part[part["b"] == x], part[part["b"] == y]
+        a, b, same = sides(part)
         if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "sim": []})
-        s = _unit(a["v"]) @ _unit(b["v"]).T
+            return pd.DataFrame({"i": part["k"].iloc[:0], "j": part["k"].iloc[:0], "sim": []})
+        if compared is not None:
+            compared.add(len(a) * (len(a) - 1) // 2 if same else len(a) * len(b))
+        s = np.array(a["v"].to_list()) @ np.array(b["v"].to_list()).T
         p, q = np.nonzero(s >= threshold - 1e-12)
         ka, kb, s = a["k"].to_numpy()[p], b["k"].to_numpy()[q], s[p, q]
-        keep = ka < kb if x == y else ka != kb
+        keep = ka < kb if same else ka != kb
         return pd.DataFrame({"i": np.minimum(ka, kb)[keep], "j": np.maximum(ka, kb)[keep], "sim": s[keep]})
 
-    pairs = paired.groupBy("x", "y").applyInPandas(multiply, f"i {kind}, j {kind}, sim double").where(F.col("sim") >= threshold)
+    pairs = units.groupBy("cell", "x", "y").applyInPandas(multiply, f"i {kind}, j {kind}, sim double").where(F.col("sim") >= threshold)
     if top_k is None:
         return pairs
     both = pairs.select(F.col("i").alias("o"), "i", "j", "sim").unionByName(pairs.select(F.col("j").alias("o"), "i", "j", "sim"))

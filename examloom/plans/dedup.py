@@ -58,15 +58,29 @@ def embedding_greedy_dedup(spark, d):
     return dedup.greedy(pairs, vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("weight")), by_similarity=True).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+FUZZY = 50.0
+#: Token-set ratios of all pairs of benchmark items: the longest common subsequence column by column of a table with a row for each place of x.
+TOKEN_SETS = f"""w AS (SELECT item_id, list_sort(list_distinct(list_filter(string_split({NORMAL.format("text")}, ' '), lambda x: x <> ''))) AS ws, length({NORMAL.format("text")}) AS size FROM benchmark),
+p AS (SELECT a.item_id AS i, b.item_id AS j, a.size AS wi, b.size AS wj, list_filter(a.ws, lambda x: list_contains(b.ws, x)) AS c, list_filter(a.ws, lambda x: NOT list_contains(b.ws, x)) AS ra, list_filter(b.ws, lambda x: NOT list_contains(a.ws, x)) AS rb FROM w a JOIN w b ON a.item_id < b.item_id),
+q AS (SELECT i, j, wi, wj, len(ra) AS na, len(rb) AS nb, array_to_string(c, ' ') AS z, array_to_string(list_concat(c, ra), ' ') AS x, array_to_string(list_concat(c, rb), ' ') AS y FROM p),
+l(i, j, k, s, v) AS (SELECT i, j, unnest(range(0, length(x) + 1)), 0, 0 FROM q
+  UNION ALL SELECT i, j, k, s + 1, max(CASE WHEN hit THEN coalesce(above, 0) + 1 ELSE v END) OVER (PARTITION BY i, j ORDER BY k) FROM (
+    SELECT l.i, l.j, k, s, v, k > 0 AND substr(x, k, 1) = substr(y, s + 1, 1) AS hit, lag(v) OVER (PARTITION BY l.i, l.j ORDER BY k) AS above FROM l JOIN q ON l.i = q.i AND l.j = q.j WHERE s < length(y))),
+ts AS (SELECT q.i, q.j, wi, wj, CASE WHEN z <> '' AND (na = 0 OR nb = 0) THEN 100.0 ELSE greatest(200.0 * v / (length(x) + length(y)), CASE WHEN z <> '' THEN 200.0 * length(z) / (length(z) + least(length(x), length(y))) ELSE 0.0 END) END AS sim
+  FROM q JOIN l ON l.i = q.i AND l.j = q.j AND k = length(x) AND s = length(y) WHERE length(x) > 0 AND length(y) > 0)"""
+
+
+@query(f"WITH RECURSIVE {TOKEN_SETS} SELECT i, j, round(sim, 6) AS sim FROM ts WHERE sim >= {FUZZY}")
 def fuzzy_pairs(spark, d):
-    return dedup.fuzzy_pairs(table(spark, d, "benchmark").select("item_id", X.normalize_text("text").alias("t")), "item_id", "t", 60.0)
+    return dedup.fuzzy_pairs(table(spark, d, "benchmark").select("item_id", X.normalize_text("text").alias("t")), "item_id", "t", FUZZY).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOKEN_SETS}, e AS (SELECT *, row_number() OVER (ORDER BY i, j) AS r, CASE WHEN wi >= wj THEN j ELSE i END AS loser FROM ts WHERE sim >= {FUZZY}),
+g(r, gone, hit) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT e.r, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END, NOT (list_contains(gone, i) OR list_contains(gone, j)) FROM g JOIN e ON e.r = g.r + 1)
+SELECT CASE WHEN loser = i THEN j ELSE i END AS kept, loser AS removed, NULL::DOUBLE AS similarity FROM g JOIN e USING (r) WHERE hit""")
 def fuzzy_greedy_dedup(spark, d):
     items = table(spark, d, "benchmark").select("item_id", X.normalize_text("text").alias("t"))
-    pairs = dedup.fuzzy_pairs(items, "item_id", "t", 60.0)
+    pairs = dedup.fuzzy_pairs(items, "item_id", "t", FUZZY)
     return dedup.greedy(pairs, items.select(F.col("item_id").alias("id"), F.length("t").cast("long").alias("weight")), by_similarity=False)
 
 
