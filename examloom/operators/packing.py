@@ -141,13 +141,46 @@ def seeded_sample(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), id_).limit(n)
 
 
+#: Leading bits of a value that one pass of a selection looks at.
+RADIX = 12
+
+
+def lowest(df: DataFrame, group: str, value: str, bits: int, ties: list[str], n: DataFrame) -> DataFrame:
+    """The rows of each group with the smallest values, as many as n (group, n) has for it; equal values in order of the ties.
+
+    A radix selection: each pass counts, by group, the rows whose value begins
+    like the cut found so far, by their next bits; the sums tell where the cut
+    lies among these.  When all bits are known one filter takes what is below the
+    cut, and only rows with exactly its value are ranked.  No group is sorted;
+    counts are aggregated before they are shuffled.
+    """
+    rows = df.where(F.col(group).isNotNull())
+    cut = n.select(F.col(group).alias("__g"), F.lit(0).cast("long").alias("cut"), F.col("n").cast("long").alias("need"))
+    known = 0
+    while known < bits:
+        step = min(RADIX, bits - known)
+        rest = bits - known - step
+        here = rows.join(cut, F.col(group) == F.col("__g")).where(F.shiftright(value, bits - known) == F.col("cut")) if known else rows.join(cut, F.col(group) == F.col("__g"))
+        counts = here.groupBy("__g", "cut", "need", F.shiftright(value, rest).alias("next")).agg(F.count("*").alias("c"))
+        # At most 2 ** RADIX lines a group.
+        upto = F.sum("c").over(Window.partitionBy("__g").orderBy("next"))
+        all_ = F.sum("c").over(Window.partitionBy("__g"))
+        counts = counts.withColumn("upto", upto).withColumn("need", F.least("need", all_))
+        last = counts.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
+        cut = stored(last.select("__g", F.col("next").alias("cut"), (F.col("need") - F.col("upto") + F.col("c")).alias("need")), "cut")
+        known += step
+    told = rows.join(cut, F.col(group) == F.col("__g"))
+    at = told.where(F.col(value) == F.col("cut")).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*ties))).where("__r <= need")
+    return told.where(F.col(value) < F.col("cut")).select(*df.columns).unionByName(at.select(*df.columns))
+
+
 def percent_sample(df: DataFrame, dataset: str, id_: str, percent: float) -> DataFrame:
     """The share of each dataset's ids with the smallest hashes; at least one; repeated ids all stay."""
     if percent <= 0 or percent >= 100:
         return df
-    ids = df.select(dataset, id_).distinct().withColumn("h", fnv1a(F.concat(F.col(dataset), F.lit("::"), F.col(id_).cast("string"))))
+    ids = df.select(dataset, id_).distinct().withColumn("__h", fnv1a(F.concat(F.col(dataset), F.lit("::"), F.col(id_).cast("string"))))
     n = df.groupBy(dataset).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * percent / 100)).alias("n"))
-    chosen = ids.join(n, dataset).withColumn("r", F.row_number().over(Window.partitionBy(dataset).orderBy("h", id_))).where("r <= n")
+    chosen = lowest(ids, dataset, "__h", 32, [id_], n)
     return df.join(chosen.select(dataset, id_), [dataset, id_], "left_semi")
 
 

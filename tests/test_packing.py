@@ -45,3 +45,27 @@ def test_one_key_is_packed_in_many_tasks(spark):
     got = packing.pack(df, "k", "p", "c", 50, tasks=16)
     rows = sorted((r.p, r.bin) for r in got.collect())
     assert [b for _, b in rows] == plain_bins([p * 7919 % 13 for p, _ in rows], 50)
+
+
+@pytest.mark.parametrize("percent", [1, 20, 50, 99])
+def test_percent_sample_takes_the_smallest_hashes(spark, percent):
+    def fnv(text):
+        h = 2166136261
+        for c in text.encode("utf-16-le")[::2]:
+            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+        return h
+
+    sizes = {"a": 400, "b": 1, "c": 37}
+    rows = [(k, i) for k, n in sizes.items() for i in range(n)]
+    got = packing.percent_sample(spark.createDataFrame(rows, "dataset string, id int"), "dataset", "id", percent)
+    want = {(k, i) for k, n in sizes.items() for i in sorted(range(n), key=lambda i: (fnv(f"{k}::{i}"), i))[: max(1, -(-n * percent // 100))]}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "__h" not in plan[plan.index("Window") : plan.index("\n", plan.index("Window"))]
+
+
+def test_selection_ranks_ties_only(spark):
+    df = spark.createDataFrame([("g", v, i) for i, v in enumerate([5, 5, 5, 5, 1, 9, 4095, 1 << 23])], "g string, v long, i int")
+    for n in range(1, 10):
+        got = packing.lowest(df, "g", "v", 24, ["i"], spark.createDataFrame([("g", n)], "g string, n int"))
+        assert sorted((r.v, r.i) for r in got.collect()) == sorted((r.v, r.i) for r in df.collect())[:n]
