@@ -13,7 +13,10 @@ stand consecutively, which makes one tile.
 Test items are taken in blocks of about ``BLOCK_WORDS`` words and ``BLOCKS`` of
 these in a pass over the documents, so what is broadcast is bounded whatever
 the benchmark's size.  Documents are never shuffled.  Places of equal seeds are
-expanded for at most about ``HITS`` pairs at once, or for one document and item.
+expanded for at most about ``HITS`` pairs at once.  A document and an item with
+more of them (both repeat themselves) are tiled without their pairs: a longest
+match is found by the hashes of all windows of a length, in memory of both texts'
+size, with the same tiles.
 
 Null or empty texts, on either side, hold nothing and are held by nothing.
 Equal items and rows are each reported, null ids as null.
@@ -36,7 +39,7 @@ from examloom.llm.blocks import Block, Rolling, blocks, configure, spread
 SEED = 5
 COVERAGE = 0.5
 BLOCK_WORDS, BLOCKS = 1_000_000, 4
-HITS = 2_000_000
+HITS = 500_000
 
 #: All of ASCII but digits and lower-case letters parts words.
 PARTS = np.ones(256, dtype=bool)
@@ -51,7 +54,7 @@ class Items:
     def __init__(self, ids: list, texts: list[str]) -> None:
         block = Block(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t", lower=True, blank=PARTS, unspaced=True)
         self.ids = ids
-        words = block.word_hashes()
+        words = self.words = block.word_hashes()
         self.ptr = block.ptr
         rolling, doc = Rolling(words), block.doc_of_words()
         grams = rolling.windows(SEED)
@@ -106,6 +109,48 @@ def tiles(p: np.ndarray, q: np.ndarray, size: int) -> list[tuple[int, int, int]]
     return out
 
 
+def long_tiles(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """The tiles of two sequences of word hashes, as from all places of equal seeds, one after another and without those places."""
+    out: list[tuple[int, int, int]] = []
+    sides = [(Rolling(x), np.zeros(len(x) + 1, dtype=np.int64), np.zeros(len(x), dtype=bool)) for x in (doc, item)]
+
+    def free(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Starts and hashes of the unmarked windows of a length that both sides have."""
+        got = []
+        for rolling, busy, marked in sides:
+            at = np.flatnonzero(busy[n:] == busy[: len(busy) - n])
+            got.append((at, rolling.windows(n)[at]))
+        (p, hp), (q, hq) = got
+        p_in, q_in = np.isin(hp, hq), np.isin(hq, hp)
+        return [(p[p_in], hp[p_in]), (q[q_in], hq[q_in])]
+
+    longest = min(len(doc), len(item))
+    while longest >= SEED:
+        low, high = SEED - 1, longest
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(free(n)[0][0]) else (low, n - 1)
+        longest = low
+        if longest < SEED:
+            break
+        while True:
+            (p, hp), (q, hq) = free(longest)
+            if not len(p):
+                break
+            # Of each window the first place here and the last one there; of these the smallest difference, then the first.
+            known, first = np.unique(hp, return_index=True)
+            last = np.zeros(len(known), dtype=np.int64)
+            np.maximum.at(last, np.searchsorted(known, hq), q)
+            a = p[first]
+            best = np.lexsort((a, a - last))[0]
+            at = int(a[best]), int(last[best])
+            out.append((*at, longest))
+            for (_, busy, marked), x in zip(sides, at, strict=True):
+                marked[x : x + longest] = True
+                np.cumsum(marked, out=busy[1:])
+    return out
+
+
 def _tiled(row: np.ndarray, p: np.ndarray, k: np.ndarray, items: Items, least: float) -> Iterator[tuple[int, int, float, int, int]]:
     """Tilings of all pairs of a row and an item in the places p of seeds k."""
     item, q = items.item[k], items.place[k]
@@ -124,7 +169,8 @@ def _tiled(row: np.ndarray, p: np.ndarray, k: np.ndarray, items: Items, least: f
 
 def matches(block: Block, items: Items, least: float = 0.0) -> list[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, words in tiles) of pairs that share a seed and may reach the least coverage."""
-    rolling = Rolling(block.word_hashes())
+    words = block.word_hashes()
+    rolling = Rolling(words)
     doc = block.doc_of_words()
     left = block.ptr[1:][doc] - np.arange(len(doc))
     out = []
@@ -153,6 +199,14 @@ def matches(block: Block, items: Items, least: float = 0.0) -> list[tuple[int, i
         for i in np.unique(items.item[seeds]).tolist():
             own = seeds[items.item[seeds] == i]
             a, b = np.searchsorted(own, lo[mine]), np.searchsorted(own, lo[mine] + n[mine])
+            if (b - a).sum() > HITS:
+                for r in np.unique(row[mine]).tolist():
+                    text, size = words[block.ptr[r] : block.ptr[r + 1]], int(items.ptr[i + 1] - items.ptr[i])
+                    found = long_tiles(text, items.words[items.ptr[i] : items.ptr[i + 1]])
+                    covered = sum(x[2] for x in found)
+                    if found and covered >= least * size:
+                        out.append((r, i, covered / size, len(found), covered))
+                continue
             run, k = spread(b - a)
             out += _tiled(row[mine][run], p[mine][run], own[a[run] + k], items, least)
     return out
