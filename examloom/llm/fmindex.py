@@ -2,7 +2,7 @@
 
 A shard holds the distinct segments around its anchors (see ``repeats``), as
 words.  Its FM-index is a wavelet matrix of packed bits over the Burrows-Wheeler
-transform.  Of the documents, exactly the parts that can repeat, their segments
+transform, with the number of times that each segment occurs.  Of the documents, exactly the parts that can repeat, their segments
 around anchors that occur again, are streamed through backward search, all
 places side by side, which gives the matching statistics of each place up to
 the window's length: how many words before it stand elsewhere too.  Where they
@@ -89,14 +89,19 @@ class FMIndex:
         return self.less[c] + both[: len(c)], self.less[c] + both[len(c) :]
 
 
-def statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matching statistics, up to w, at the given ends of windows: how many symbols before the end occur elsewhere too, and the interval of those w symbols."""
+def statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, w: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matching statistics, up to w, at the given ends of windows: how many symbols before the end occur elsewhere too, and the interval of those w symbols.
+
+    weight: how often the text around each place occurs; what an interval weighs
+    is how often its pattern occurs in all.
+    """
+    upto = np.concatenate([[0], np.cumsum(weight[index.suffixes])])
     matched = np.full(len(end), w)
     lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), len(text), dtype=np.int64)
     live = np.arange(len(end))
     for k in range(1, w + 1):
         lo[live], hi[live] = index.extend(text[end[live] - k], lo[live], hi[live])
-        alone = hi[live] - lo[live] < 2  # found at this end only
+        alone = upto[hi[live]] - upto[lo[live]] < 2  # found at this end only
         matched[live[alone]] = k - 1
         live = live[~alone]
     return matched, lo, hi
@@ -117,11 +122,9 @@ def shard(columns: dict[str, list], w: int = WINDOW) -> Iterator[tuple[int, list
     count = size - w + 1
     owner = np.repeat(np.arange(len(parts)), count)
     offset = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-    matched, lo, _ = statistics(index, text, base[owner] + offset + w, w)
-    elsewhere = np.flatnonzero(matched == w)
-    # A segment that occurs again has all its windows again.
-    repeated = np.array(columns["n"])[owner] > 1
-    repeated[elsewhere] = True
+    matched, lo, _ = statistics(index, text, base[owner] + offset + w, w, np.repeat(np.array(columns["n"], dtype=np.int64), size + 1))
+    repeated = matched == w
+    elsewhere = np.flatnonzero(repeated)
     # Of the segments that hold a window, the one that occurs first has its first occurrence.
     documents = [(x is None, 0 if x is None else x, t) for x, t in zip(columns["id"], columns["th"], strict=True)]
     place = {x: i for i, x in enumerate(sorted({d for d in documents if not d[0]}) + sorted({d for d in documents if d[0]}))}

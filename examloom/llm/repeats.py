@@ -199,7 +199,8 @@ def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, ke
         told = told.unionByName(wholes)
     own = F.when(F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")) & (F.col("a") == F.col("ra")), F.col("first_cover")).otherwise(F.col("cover"))
     marks = again.join(told, ["h", "f"]).select("id", "th", "s", own.alias("cover")).where(F.size("cover") > 0)
-    runs = stored(marks.groupBy("id", "th").agg(F.collect_list(F.struct("s", "cover")).alias("runs")), "runs")
+    # Rows with id and text equal have their segments once.
+    runs = stored(marks.groupBy("id", "th").agg(F.collect_set(F.struct("s", "cover")).alias("runs")), "runs")
     discard(*used, shown)
     return runs
 
