@@ -204,6 +204,10 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     found = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     found = found.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("rep", "text")
     sets = stored(found.mapInArrow(_sets(width), "id long, regs binary, items array<long>"), "sets")
+    twice = sets.groupBy("id").count().where("count > 1")
+    if not twice.isEmpty():  # rows with id and text equal
+        sets, every = stored(sets.dropDuplicates(["id"]), "sets"), sets
+        discard(every)
     facts = reps.join(members, "rep", "left_semi").select(F.col("rep"), "n", "regs")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -273,9 +277,28 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are the smallest id of their class, with their own columns only; rows without id stay."""
-    gone = near_classes(docs, width, percent, key, text).where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    """One row of each class of similar texts, with its own columns only: the one of the smallest id (null last), then of the text with the smaller hash.
+
+    Rows are told apart by id and text: one id may stand for several texts, which
+    are taken each by itself, and of rows equal in both one stays.  A row without
+    shingles is similar to nothing and stays.
+    """
+    configure(docs.sparkSession)
+    th = F.xxhash64(docs[text])
+    row = F.shiftrightunsigned(F.xxhash64(docs[key], th), 2)
+    rows = stored(docs.select(row.alias("row"), docs[key].alias("id"), th.alias("th")).groupBy("row", "id", "th").agg(F.count("*").alias("copies")), "rows")
+    # Empty texts go by the row; all others by their class.
+    found = near_classes(docs.select(row.alias("row"), docs[text].alias("text")), width, percent, "row", "text")
+    classes = found.where("n > 0").select(F.col("id").alias("row"), "component").distinct()
+    best = rows.join(classes, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "row", "copies")).alias("r")).select("r.row", "r.copies")
+    kept = best.select("row", F.when(F.col("copies") > 1, True).alias("several")).unionByName(found.where("n = 0").select(F.col("id").alias("row")).distinct().withColumn("several", F.lit(False)))
+    kept = stored(kept.select(F.col("row").alias("kept_row"), F.coalesce("several", F.lit(False)).alias("several")), "kept")
+    discard(rows)
+    if kept.where("several").isEmpty():
+        return docs.join(kept, row == F.col("kept_row"), "left_semi")
+    once = docs.join(kept.where("NOT several"), row == F.col("kept_row"), "left_semi")
+    one = docs.join(kept.where("several"), row == F.col("kept_row")).dropDuplicates(["kept_row"]).select(*(docs[c] for c in docs.columns))
+    return once.unionByName(one)
 
 
 def op6_minhash_neardup(spark, sf_dir: str) -> DataFrame:

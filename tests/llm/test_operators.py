@@ -516,7 +516,7 @@ def test_statistics_are_matching_statistics():
     text = np.concatenate([np.append(dice.randint(1, 4, 30), 0) for _ in range(6)])
     index = fmindex.FMIndex(text, 4, 6)
     ends = np.array([i + 6 for i in range(len(text) - 6) if 0 not in text[i : i + 6]])
-    matched, lo, hi = fmindex.statistics(index, text, ends, 6)
+    matched, lo, hi = fmindex.statistics(index, text, ends, 6, np.ones(len(text), dtype=np.int64))
     as_text = "".join(map(str, text.tolist()))
     times = lambda x: sum(as_text.startswith(x, i) for i in range(len(as_text)))
     for e, m, a, b in zip(ends.tolist(), matched.tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -560,7 +560,8 @@ def test_op_queries_against_sql(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     flat = lambda v: round(v, 9) if isinstance(v, float) else v
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, d)

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from examloom.llm import hardneg, merkle, simhash
+from examloom.llm import bcr, decontaminate, fmindex, hardneg, merkle, neardup, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, start string, id string, g string"
 
@@ -258,3 +260,58 @@ def test_one_source_with_most_rows_is_ranked_in_many_tasks(spark):
     got = merkle.ranked(df, "g", ["k"])
     assert sorted(r.idx for r in got.collect()) == list(range(5000))
     assert got.where("k = 0").agg(F.max("idx")).first()[0] < got.where("k = 1").agg(F.min("idx")).first()[0]
+
+
+# Rows that are equal, and texts that repeat themselves
+
+
+def test_one_row_of_each_class_whatever_its_id(spark):
+    t, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"z{i}" for i in range(40))
+    rows = [(1, t), (1, t), (None, t), (None, t), (9, t + " x"), (9, other), (None, None), (3, ""), (3, ""), (None, "alone here"), (None, "alone here")]
+    df = spark.createDataFrame([(*r, "a", k) for k, r in enumerate(rows)], "doc_id long, text string, component string, row int").repartition(3)
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect()), key=repr) == sorted([(1, t), (9, other), (0, ""), (3, ""), (3, ""), (0, "alone here")], key=repr)
+
+
+def test_many_equal_rows_have_their_segments_once(spark):
+    dice = random.Random(1)
+    text = " ".join("".join(dice.choice("abcdefg") for _ in range(6)) for _ in range(400))
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    began = time.time()
+    assert bcr.repeats(df).select(F.size("runs").alias("n")).first().n < 100
+    assert fmindex.repeats(df).select(F.size("runs").alias("n")).where("n >= 200").isEmpty()
+    kept = fmindex.removed(df)
+    assert kept.count() == 3000 and kept.where("n_removed = 0").count() == 1
+    assert time.time() - began < 120
+
+
+def test_intervals_decide_by_weight():
+    """A segment that stands alone in its shard but occurs twice is covered by the interval's weight, not by its number."""
+    words = np.arange(1, 26, dtype=np.uint64).tobytes()
+    for n in (1, 2):
+        columns = {"content": [words], "n": [n], "id": [1], "th": [2], "s": [0]}
+        assert bool(list(fmindex.shard(columns))) == (n == 2)
+
+
+def test_tiling_of_texts_that_repeat_themselves():
+    items = decontaminate.Items([0, 1], ["zero " * 400, "one two " * 100])
+    block = decontaminate.Block(decontaminate.pa.RecordBatch.from_pydict({"t": ["zero " * 160_000, "one two three " * 40 + "one two " * 30_000]}), "t", lower=True, blank=decontaminate.PARTS, unspaced=True)
+    tracemalloc.start()
+    began = time.time()
+    got = decontaminate.matches(block, items, 0.5)
+    took, most = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r, i, c) for r, i, c, _, _ in got) == [(0, 0, 1.0), (1, 1, 1.0)]
+    assert took < 20 and most < 300e6
+
+
+def test_long_tiles_are_the_tiles_of_all_places():
+    dice = random.Random(6)
+    for _ in range(300):
+        a, b = ([dice.choice([1, 1, 2, 3]) for _ in range(dice.randint(0, 60))] for _ in range(2))
+        if a and dice.random() < 0.5:
+            b[len(b) // 2 : len(b) // 2] = a[: dice.randint(0, len(a))]
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        p, q = (np.array(z, dtype=np.int64) for z in zip(*[(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]], strict=True)) if any(a[i : i + 5] == b[j : j + 5] for i in range(len(a) - 4) for j in range(len(b) - 4)) else (np.zeros(0, dtype=np.int64),) * 2
+        assert decontaminate.long_tiles(x, y) == decontaminate.tiles(p, q, len(b))
