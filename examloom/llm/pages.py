@@ -4,7 +4,7 @@ The DOM's elements are the variables; each is boilerplate, content or a frame
 (an element around content).  Node potentials come from what the element is (its
 tag, the kind of section it stands in), from its text (length, share inside
 links, prose or not, the words of short texts), from all text below it, and from
-the words of its class, id and role.  Edge potentials say how a child's state
+the words of its own and its parent's class, id and role.  Edge potentials say how a child's state
 follows its parent's.  Both are counted, with additive smoothing, on labelled
 pages.  Sum-product messages go from the leaves up and from the root down, and
 yield each element's marginals; text is kept where content has the largest share.
@@ -232,7 +232,11 @@ def features(node: Node) -> list[str]:
         share = node.linked_below / node.below
         out.append(f"below {0 if node.below < 60 else 1 if node.below < 250 else 2} {0 if share < 0.3 else 1 if share < 0.7 else 2}")
     out += [f"says {w}" for w in node.said[:1]]
+    if size < 30 and node.said:
+        out.append(f"whole {' '.join(node.said)}")
     out += [f"mark {w}" for w in set(node.marks)]
+    if node.parent:
+        out += [f"under {w}" for w in set(node.parent.marks)]
     return out
 
 
@@ -359,21 +363,30 @@ LAYOUTS = [
     "<body f>{top}<main f><article c>{title}{prose}{ad}{form}{prose}{comments}</article></main>{foot}</body>",
     "<body f>{top}<div f><div c>{title}{prose}{related}{comments}</div></div>{foot}</body>",
     "<body f>{dialog}{top}<div f>{side}<div c>{title}{prose}{prose}</div></div>{foot}</body>",
+    "<body f>{top}<article c>{title}{prose}<div b id=comments class=content>{heading}{replies}</div></article>{foot}</body>",
+    "<body f>{top}<article c>{title}{prose}{nested}{prose}</article>{foot}</body>",
+    "<body f><article c>{nested}</article></body>",
+    "<body f>{top}<main f><article c>{title}{prose}{comments}</article></main>{side}{foot}</body>",
+    "<body f>{top}<main c>{title}{text}{prose}{nameless}</main>{foot}</body>",
+    "<body f>{top}<article c>{title}<p>{text}</p>{nameless}<p>{text}</p>{prose}</article>{foot}</body>",
+    "<body f>{top}<article c>{title}<p>{text}</p><p>{text}</p>{nameless}</article>{foot}</body>",
+    "<body f>{top}<article c>{title}<p>{text}</p>{signup}<p>{text}</p>{prose}</article>{foot}</body>",
+    "<body f>{top}<main f><div f>{crumbs}<div c>{title}{prose}{nested}{ad}{prose}</div>{related}</div></main>{foot}</body>",
 ]
 #: Class names of the parts; two in five are left out or replaced by meaningless ones.
 NAMES = {
     "ad": "ad ads advert advertisement sponsor sponsored promo banner adsense werbung", "notice": "notice cookie consent alert gdpr banner popup overlay hinweis", "nav": "nav menu navbar navigation navi topnav", "head": "header masthead banner topbar site-header",
     "foot": "footer copyright legal contentinfo colophon", "side": "sidebar aside widget complementary rail", "comments": "comments comment discussion responses disqus kommentare replies comentarios commentaires", "share": "share social sharing", "tags": "tags meta topics",
-    "related": "related recommended more teaser", "form": "search newsletter login subscribe signup contact", "crumbs": "breadcrumb breadcrumbs", "pager": "pagination pager", "byline": "byline author dateline", "dialog": "modal dialog popup",
+    "related": "related recommended more teaser", "form": "search newsletter login subscribe signup contact mailing", "crumbs": "breadcrumb breadcrumbs", "pager": "pagination pager", "byline": "byline author dateline", "dialog": "modal dialog popup",
 }
 #: What short texts of boilerplate say.
 SAYS = {
-    "ad": ["Advertisement", "Anzeige", "Sponsored"], "notice": ["We use cookies", "Accept", "Wir verwenden Cookies"], "share": ["Share this", "Tweet", "Teilen"], "related": ["Related articles", "Read more", "You may also like", "Mehr zum Thema"], "comments": ["Comments", "3 Comments", "Kommentare", "Leave a reply", "Commentaires"],
+    "ad": ["Advertisement", "Anzeige", "Sponsored"], "notice": ["We use cookies", "Accept", "Wir verwenden Cookies"], "share": ["Share this", "Tweet", "Teilen", "Share on Facebook", "Share by mail", "Follow us"], "related": ["Related articles", "Related stories", "Read more", "More stories", "You may also like", "Mehr zum Thema"], "comments": ["Comments", "3 Comments", "Kommentare", "Leave a reply", "Commentaires"],
     "reply": ["Reply", "Antworten", "Like"], "form": ["Subscribe", "Search", "Log in", "Sign up", "Newsletter"], "foot": ["© 2024", "Copyright", "All rights reserved", "Privacy policy", "Imprint", "Impressum"], "nav": ["Home", "News", "About", "Contact", "Start", "Blog"], "side": ["Popular", "Archive", "Categories", "Latest"],
 }
 
 
-def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 1200, seed: int = 11) -> list[str]:
     """The layouts in turn, filled with invented text and with names drawn anew."""
     dice = random.Random(seed)
 
@@ -401,6 +414,24 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         one = lambda: dice.choice(["<li><b>{a}</b> <p>{t}</p><a href=/>{r}</a></li>", "<div><p>{a}</p><p>{t}</p></div>", "<p>{a}: {t}</p>", "<article><header>{a}</header><p>{t}</p></article>"]).format(a=text(1, 2), t=text(4, 30, dice.random() < 0.75), r=says("reply"))
         return dice.choice(["<ol>{}</ol>", "<div>{}</div>", "{}"]).format("".join(one() for _ in range(dice.randint(1, 5))))
 
+    def nested(depth: int = 2) -> str:
+        """A list whose items may hold lists."""
+        item = lambda: text(1, 4) if dice.random() < 0.5 else text(2, 25, True)
+        inner = lambda: nested(depth - 1) if depth and dice.random() < 0.6 else ""
+        return f"<{(u := dice.choice(['ul', 'ul', 'ol']))}>{''.join(f'<li>{item()}{inner()}</li>' for _ in range(dice.randint(1, 4)))}</{u}>"
+
+    def nameless() -> str:
+        """Boxes that only their words and links tell from the article."""
+        kind = dice.choice(["related", "share", "ad"])
+        box = dice.choice(["div", "section", "div", "aside"])
+        if kind == "related":
+            return f"<{box} b><{(h := dice.choice(['h2', 'h3', 'h4']))}>{dice.choice(SAYS[kind])}</{h}>{parts['linklist']()}</{box}>"
+        said = dice.choice(SAYS[kind])
+        return f"<{box} b>{dice.choice(['{}', '{}', '<p>{}</p>', '<a href=/>{}</a> <a href=/>{}</a>']).format(said, text(1, 2))}</{box}>"
+
+    def signup() -> str:
+        return f"<{(t := dice.choice(['div', 'section', 'aside']))} b class={dice.choice(NAMES['form'].split())}>{dice.choice(['<p>{}</p>', '<h3>{1}</h3><p>{0}</p>', '{}']).format(text(5, 14, True), says('form'))}</{t}>"
+
     def prose() -> str:
         out = []
         for _ in range(dice.randint(1, 5)):
@@ -415,8 +446,10 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
                 out.append(f"<p>{t}</p>")
             elif kind < 0.7:
                 out.append(f"<{(h := dice.choice(['h2', 'h3', 'h4']))}>{text(1, 8)}</{h}>")
-            elif kind < 0.8:
+            elif kind < 0.78:
                 out.append(parts["linklist"]())
+            elif kind < 0.8:
+                out.append(nested())
             elif kind < 0.85:
                 out.append(f"<{(u := dice.choice(['ul', 'ol']))}>{''.join(f'<li>{text(2, 15, True)}</li>' for _ in range(3))}</{u}>")
             else:
@@ -433,7 +466,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         "related": lambda: named(dice.choice(["div", "section", "aside", "nav"]), "related", heading("related") + links("related")), "comments": lambda: named(dice.choice(["div", "section", "section", "ol"]), "comments", heading("comments") + replies()), "replies": replies, "heading": lambda: heading("comments"),
         "form": lambda: named("form", "form", f"{heading('form')}<p>{text(2, 12)}</p><input><button>{says('form')}</button>"), "crumbs": lambda: named(dice.choice(["nav", "div", "ol"]), "crumbs", " / ".join(f"<a href=/>{text(1, 2)}</a>" for _ in range(3))), "pager": lambda: named("div", "pager", links("nav", 2, 4)),
         "tags": lambda: named(dice.choice(["div", "ul", "p"]), "tags", parts["plainlinks"]()), "byline": lambda: named("p", "byline", f"{text(1, 2)}, 3 May 2024"), "title": lambda: f"<{(h := dice.choice(['h1', 'h1', 'h2']))}>{text(2, 10)}</{h}>" if dice.random() < 0.85 else "", "sub": lambda: f"<p>{text(3, 15, True)}</p>" if dice.random() < 0.5 else "",
-        "prose": prose, "text": lambda: text(8, 60, True), "words": lambda: text(2, 8), "linklist": lambda: f"<ul>{''.join(f'<li><a href=/>{text(2, 9)}</a></li>' for _ in range(dice.randint(2, 5)))}</ul>",
+        "prose": prose, "nested": nested, "nameless": nameless, "signup": signup, "text": lambda: text(8, 60, True), "words": lambda: text(2, 8), "linklist": lambda: f"<ul>{''.join(f'<li><a href=/>{text(2, 9)}</a></li>' for _ in range(dice.randint(2, 5)))}</ul>",
     }
     labels = {" b": ' data-label="boilerplate"', " c": ' data-label="content"', " f": ' data-label="frame"'}
     pages = []

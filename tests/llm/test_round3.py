@@ -315,3 +315,61 @@ def test_long_tiles_are_the_tiles_of_all_places():
         x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
         p, q = (np.array(z, dtype=np.int64) for z in zip(*[(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]], strict=True)) if any(a[i : i + 5] == b[j : j + 5] for i in range(len(a) - 4) for j in range(len(b) - 4)) else (np.zeros(0, dtype=np.int64),) * 2
         assert decontaminate.long_tiles(x, y) == decontaminate.tiles(p, q, len(b))
+
+
+# Pages: lists in lists, comments and boxes inside articles
+
+S1 = "The harbour master wrote down every ship that came in during the long winter of that year."
+S2 = "Nobody at the station could say for certain when the old line had last been used by trains."
+S3 = "A second survey of the coast was made in spring, and it found the same shallow channels again."
+REPLY = "I was there too and loved it."
+
+
+def around(body):
+    return f"<html><head><title>t</title></head><body><header><a href=/>Site</a><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav></header>{body}<footer><p>© 2024 Site</p></footer></body></html>"
+
+
+def article(inside, tag="article"):
+    return around(f"<{tag}><h1>Head line</h1><p>{S1}</p><p>{S2}</p>{inside}</{tag}>")
+
+
+PAGES = [
+    (around(f"<article><h1>Title of it</h1><p>{S1}</p><ul><li>one<ul><li>two</li></ul></li><li>three</li></ul><p>{S2}</p></article>"), f"Title of it\n{S1}\none\ntwo\nthree\n{S2}"),
+    ("<article><ul><li>one<ul><li>two</li></ul></li><li>three</li></ul></article>", "one\ntwo\nthree"),
+    (around(f"<article><p>{S1}</p><ol><li>{S2}<ul><li>{S3}</li></ul></li><li>Next step.</li></ol></article>"), f"{S1}\n{S2}\n{S3}\nNext step."),
+    (around(f"<main><h1>How to</h1><p>{S1}</p><ul><li>First<ul><li>Second<ul><li>Third</li></ul></li></ul></li></ul></main>"), f"How to\n{S1}\nFirst\nSecond\nThird"),
+    (article(f"<div id='comments' class='content'><h3>2 Comments</h3><div><b>ann</b><p>{REPLY}</p></div><div><b>bob</b><p>Great piece, thank you.</p></div></div>"), f"Head line\n{S1}\n{S2}"),
+    (article("<section><h2>Related stories</h2><ul><li><a href=/x>Other story of the day</a></li><li><a href=/y>Another story told</a></li></ul></section>", "main"), f"Head line\n{S1}\n{S2}"),
+    (article(f"<div>Advertisement</div><p>{S3}</p>"), f"Head line\n{S1}\n{S2}\n{S3}"),
+    (article(f"<div class='signup'><p>Get our best stories in your inbox every week.</p></div><p>{S3}</p>"), f"Head line\n{S1}\n{S2}\n{S3}"),
+    (article("<div>Share on Facebook</div>"), f"Head line\n{S1}\n{S2}"),
+    (article("<div><h3>You may also like</h3><ul><li><a href=/x>Other story of the day</a></li></ul></div>"), f"Head line\n{S1}\n{S2}"),
+    (around(f"<article><h1>Comments on a law</h1><p>{S1}</p><h2>Comments</h2><p>{S2}</p></article>"), f"Comments on a law\n{S1}\nComments\n{S2}"),
+]
+
+
+@pytest.fixture(scope="module")
+def reader():
+    from examloom.llm import pages
+
+    return pages.train()
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_lists_comments_and_boxes(reader, page, want):
+    assert reader.extract(page) == want
+
+
+def test_pages_of_other_makes(reader):
+    made = []
+    for tag, mark in itertools.product(["div", "section", "ul", "aside"], ["id=comments class=content", "class=comments", "class='comment-list'", "id=discussion"]):
+        reply = f"<li><p>ann</p><p>{REPLY}</p></li>" if tag == "ul" else f"<h3>Comments</h3><div><b>ann</b><p>{REPLY}</p></div>"
+        made += [(article(f"<{tag} {mark}>{reply}</{tag}>", core), [S1, S2], [REPLY, "ann"]) for core in ("article", "main")]
+    for tag, said in itertools.product(["div", "section", "aside"], ["Related articles", "Read more", "Mehr zum Thema"]):
+        made.append((article(f"<{tag}><h3>{said}</h3><ul><li><a href=/x>Other story of the day</a></li><li><a href=/y>One more of them</a></li></ul></{tag}>"), [S1, S2], [said, "Other story of the day"]))
+    for tag, mark in itertools.product(["div", "section"], ["newsletter", "subscribe", "ad", "sponsored", "share"]):
+        made.append((article(f"<{tag} class={mark}><p>Have all of it in your box each week.</p></{tag}><p>{S3}</p>"), [S1, S2, S3], ["Have all of it in your box each week."]))
+    for outer, inner in itertools.product(["ul", "ol"], repeat=2):
+        made += [(article(f"<{outer}><li>{a}<{inner}><li>{b}</li><li>{c}</li></{inner}></li></{outer}>", core), [S1, S2, a, b, c], []) for core in ("article", "main") for a, b, c in [("alpha", "beta", "gamma"), (S3, "beta", "gamma")]]
+    wrong = [(keep, drop) for page, keep, drop in made if not set(keep) <= set(got := reader.extract(page).split("\n")) or set(drop) & set(got)]
+    assert len(made) >= 60 and len(wrong) <= 0.05 * len(made), wrong
