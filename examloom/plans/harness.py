@@ -207,13 +207,13 @@ def upserted_rows(spark, d):
 BODY = "length('{\"event_type\":\"' || event_type || '\",\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}')"
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT event_type, event_id, {BODY} AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE user_id < 20),
+@query(f"""WITH RECURSIVE o AS (SELECT event_type, event_id, {BODY} AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
 p AS (SELECT event_type, r, 0 AS bin, c AS used, c FROM o WHERE r = 1 UNION ALL
 SELECT o.event_type, o.r, CASE WHEN p.used + o.c > 2000 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.used + o.c > 2000 THEN o.c ELSE p.used + o.c END, o.c FROM p JOIN o ON o.event_type = p.event_type AND o.r = p.r + 1)
 SELECT event_type, bin::INT AS batch, count(*)::INT AS points, sum(c)::BIGINT AS bytes, (sum(c) + count(*) + 1)::VARCHAR AS reply FROM p GROUP BY event_type, bin""")
 def byte_bounded_upserts(spark, d):
-    """The events of a few users sent in batches of 2,000 bytes; a reply tells the length of what was sent."""
-    points = table(spark, d, "events").where("user_id < 20").select("event_type", "event_id", "user_id")
+    """All events sent in batches of 2,000 bytes; a reply tells the length of what was sent."""
+    points = table(spark, d, "events").select("event_type", "event_id", "user_id")
     return files.upsert_in_batches(points, "event_type", "event_id", 2000, send=len, sent=str)
 
 
