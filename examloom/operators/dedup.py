@@ -194,38 +194,111 @@ def greedy(pairs: DataFrame, nodes: DataFrame, by_similarity: bool) -> DataFrame
     return resolve(ranked.select("i", "j", "rank"), nodes).select("kept", "removed", F.when(F.lit(by_similarity), -F.col("rank.a")).alias("similarity")) if order else ranked
 
 
-def leader_clusters(df: DataFrame, threshold: float) -> DataFrame:
+def similar_questions(rows: DataFrame, threshold: float, block: int = TEXT_BLOCK) -> DataFrame:
+    """Pairs (a, b), both ways, of rows (k, key, q, o, images) of one key whose questions, and whose options or images, are similar enough; every row with itself."""
+    t = float(threshold)
+    n = F.length("q")
+    some = rows.select("k", "key", "q", "o", "images", n.cast("long").alias("n"))
+    step = math.log((200 - t) / t) + 1e-9 if 0 < t < 100 else None
+    level = F.lit(0) if t <= 0 else F.col("n").cast("int") if step is None else F.when(F.col("n") == 0, -2).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int")
+    cell = lambda more: F.concat(level.cast("int") + more, F.lit(":"), F.col("key"))
+    home = some.select("*", cell(0).alias("cell"), F.lit(False).alias("copy"))
+    placed = home if t <= 0 or step is None else home.unionByName(some.select("*", cell(1).alias("cell"), F.lit(True).alias("copy")))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        a, b, same = sides(part)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = (np.array([_bins([c for c in s.split(" ")]) for s in side["q"]]) for side in (a, b))
+        p, q = _may_reach(x, y, a["n"].to_numpy(), b["n"].to_numpy(), t)
+        ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
+        keep = ka[p] < kb[q] if same else ka[p] != kb[q]
+        qa, qb, oa, ob = a["q"].to_numpy(), b["q"].to_numpy(), a["o"].to_numpy(), b["o"].to_numpy()
+        ia, ib = ([set() if i is None else set(i) for i in side["images"]] for side in (a, b))
+        found = [(ka[i], kb[j]) for i, j in zip(p[keep].tolist(), q[keep].tolist(), strict=True) if indel_ratio(qa[i], qb[j]) >= t and (ia[i] & ib[j] or indel_ratio(oa[i], ob[j]) >= t)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    one = in_blocks(placed, block, many=True).groupBy("cell", "x", "y").applyInPandas(compare, "a long, b long")
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(rows.select(F.col("k").alias("a"), F.col("k").alias("b")))
+
+
+def leader_clusters(df: DataFrame, threshold: float, block: int = TEXT_BLOCK) -> DataFrame:
     """Leader clustering in input order within each answer key.
 
-    df: pos, id, answer_key, question_blob, options_blob, image_ids (array), size.
+    df: pos (distinct), id, answer_key, question_blob, options_blob, image_ids (array), size.
     An exact copy of a cluster's first question and key joins it; else the first
     cluster whose question, and whose options or images, are similar enough; the
     best question (with images, more images, longer) becomes the canonical one.
-    Output: canonical_id, sources, method, cluster_size.
+    Output: canonical_id, sources, method, cluster_size.  Null texts count as empty.
+
+    Equal to the walk from row to row, but in rounds; no task holds a key.  Which
+    texts are similar is found once, in blocks with bounds by length and
+    characters.  In each round those rows are decided whose outcome no undecided
+    row can change:
+
+    * a copy of the first question of a cluster (if it becomes the canonical one,
+      once nothing earlier can);
+    * a row similar to the canonical question of a cluster, if no earlier
+      undecided row can replace that one, nor found or change a cluster that
+      comes before it, nor found one with the row's very question;
+    * a row without undecided similar rows before it: it joins the first similar
+      cluster, if nothing earlier can replace its canonical question, or founds one.
+
+    The first undecided row of a key is always one of these.  Near copies, however
+    many, take a round for each change of their canonical question.
     """
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
-        exact: dict[str, int] = {}
-        for r in part.sort_values("pos").itertuples():
-            images = set() if r.image_ids is None else set(r.image_ids)
-            score = (len(images) > 0, len(images), r.size)
-            at = exact.get(r.question_blob)
-            if at is None:
-                at = next((i for i, c in enumerate(found) if indel_ratio(r.question_blob, c["q"]) >= threshold and (indel_ratio(r.options_blob, c["o"]) >= threshold or images & c["images"])), None)
-                if at is None:
-                    exact[r.question_blob] = len(found)
-                    found.append({"id": r.id, "q": r.question_blob, "o": r.options_blob, "images": images, "score": score, "sources": {r.id}, "fuzzy": False})
-                    continue
-                found[at]["fuzzy"] = True
-            c = found[at]
-            c["sources"].add(r.id)
-            if score > c["score"]:
-                c.update(id=r.id, q=r.question_blob, o=r.options_blob, images=images, score=score)
-        return pd.DataFrame({"canonical_id": [c["id"] for c in found], "sources": [sorted(c["sources"]) for c in found], "method": [("mixed" if c["fuzzy"] else "exact") if len(c["sources"]) > 1 else None for c in found], "cluster_size": [len(c["sources"]) for c in found]})
-
-    kind = dict(df.dtypes)["id"]
-    return df.groupBy("answer_key").applyInPandas(cluster, f"canonical_id {kind}, sources array<{kind}>, method string, cluster_size long")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    images = F.array_sort(F.array_distinct(F.coalesce(F.col("image_ids"), F.array().cast("array<string>"))))
+    key = F.coalesce(F.concat(F.lit("="), F.col("answer_key").cast("string")), F.lit(""))
+    rows = df.select(F.col("pos").cast("long").alias("r"), "id", key.alias("key"), text("question_blob").alias("q"), text("options_blob").alias("o"), images.alias("images"), F.coalesce(F.col("size").cast("long"), F.lit(-1).cast("long")).alias("size"))
+    rows = rows.withColumn("kind", F.xxhash64("key", "q", "o", "images")).withColumn("copy", F.xxhash64("key", "q"))
+    rows = stored(rows.withColumn("score", F.struct((F.size("images") > 0).alias("a"), F.size("images").alias("b"), F.col("size").alias("c"))), "rows")
+    kinds = stored(rows.select(F.col("kind").alias("k"), "key", "q", "o", "images").dropDuplicates(["k"]), "kinds")
+    near = stored(similar_questions(kinds, threshold, block), "near")
+    left = stored(rows.select("r", "key", "kind", "copy", "score"), "left")
+    # Canonical questions: of cluster c (named by its first row) the row k with its kind and score, up to the next change.
+    heads = stored(left.where("false").select("key", F.col("r").alias("c"), F.col("r").alias("k"), F.col("kind").alias("kkind"), F.col("copy").alias("ccopy"), F.col("score").alias("kscore")), "heads")
+    joined: list[DataFrame] = []
+    while not left.isEmpty():
+        until = F.coalesce(F.lead("k").over(Window.partitionBy("c").orderBy("k")), F.lit((1 << 62)))
+        line = heads.withColumn("until", until)
+        at = (F.col("k") < F.col("r")) & (F.col("r") <= F.col("until"))
+        met = left.join(near, left["kind"] == near["a"]).drop("a").join(line.select("c", "k", F.col("kkind").alias("b"), "kscore", "until"), "b").where(at).select("r", "c", "kscore", "score")
+        exact = left.join(line.select("c", "k", F.col("ccopy").alias("copy"), "kscore", "until"), "copy").where(at).select("r", "c", "kscore", "score")
+        met, exact = stored(met, "met"), stored(exact, "exact")
+        change = met.unionByName(exact).where(F.col("score") > F.col("kscore")).groupBy("c").agg(F.min("r").alias("changed"))
+        change = stored(change, "change")
+        by_key = change.join(heads.select("c", "key").distinct(), "c").groupBy("key").agg(F.min("c").alias("first_c"), F.min("changed").alias("first_change"))
+        best = met.groupBy("r").agg(F.min("c").alias("c"), F.min_by("kscore", "c").alias("kscore"))
+        # Undecided rows before a row: similar ones, its own copies with other options, its very copies.
+        open_ = left.groupBy("kind").agg(F.min("r").alias("first"))
+        before = left.select("kind").distinct().join(near, F.col("kind") == near["a"]).join(open_.select(F.col("kind").alias("b"), "first"), "b").groupBy("kind").agg(F.min("first").alias("nearest"), F.min(F.when(F.col("b") != F.col("kind"), F.col("first"))).alias("other"))
+        copies = left.groupBy("copy").agg(F.min("r").alias("copied"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+        first_open = left.groupBy("key").agg(F.min("r").alias("key_first"))
+        told = left.join(before, "kind").join(first_open, "key").join(copies, "copy").join(best, "r", "left").join(exact.groupBy("r").agg(F.min("c").alias("ec"), F.min("kscore").alias("ekscore")), "r", "left").join(change, "c", "left").join(by_key, "key", "left").join(change.select(F.col("c").alias("ec"), F.col("changed").alias("echanged")), "ec", "left")
+        calm = F.coalesce(F.col("changed") >= F.col("r"), F.lit(True))
+        alone = (F.col("nearest") >= F.col("r")) & (F.col("copied") >= F.col("r"))
+        sure = F.col("c").isNotNull() & calm & ((F.col("nearest") >= F.col("r")) | (F.col("key_first") > F.col("c"))) & ((F.col("lo") == F.col("hi")) | (F.col("copied") >= F.col("r"))) & ~F.coalesce((F.col("first_c") < F.col("c")) & (F.col("first_change") < F.col("r")), F.lit(False))
+        # A copy joins in any case, but what becomes the canonical question must be known in order.
+        goes = F.when(F.col("ec").isNotNull(), F.when((F.col("score") <= F.col("ekscore")) | F.coalesce(F.col("echanged") >= F.col("r"), F.lit(True)), F.col("ec"))).when(sure, F.col("c")).when(alone & calm, F.coalesce("c", "r"))
+        made = told.select("r", "key", "kind", "copy", "score", goes.alias("to"), F.when(F.col("ec").isNotNull(), F.col("ekscore")).otherwise(F.col("kscore")).alias("kscore"), F.col("ec").isNull().alias("fuzzy")).where("to IS NOT NULL")
+        made = stored(made.withColumn("head", (F.col("to") == F.col("r")) | (F.col("score") > F.col("kscore"))), "made")
+        joined.append(made)
+        new = made.where("head").join(heads.select("c", F.col("ccopy").alias("fcopy")).distinct(), F.col("to") == F.col("c"), "left").select("key", F.col("to").alias("c"), F.col("r").alias("k"), F.col("kind").alias("kkind"), F.coalesce("fcopy", "copy").alias("ccopy"), F.col("score").alias("kscore"))
+        old_left, old_heads = left, heads
+        heads = stored(heads.unionByName(new), "heads")
+        left = stored(left.join(made.select("r"), "r", "left_anti"), "left")
+        discard(old_left, old_heads, met, exact, change)
+    kind_of = dict(df.dtypes)["id"]
+    if not joined:
+        return df.sparkSession.createDataFrame([], f"canonical_id {kind_of}, sources array<{kind_of}>, method string, cluster_size long")
+    members = functools.reduce(DataFrame.unionByName, joined).select("r", F.col("to").alias("c"), (F.col("fuzzy") & (F.col("to") != F.col("r"))).alias("fuzzy")).join(rows.select("r", "id"), "r")
+    last = heads.groupBy("c").agg(F.max("k").alias("k")).join(rows.select(F.col("r").alias("k"), F.col("id").alias("canonical_id")), "k").select("c", "canonical_id")
+    found = members.groupBy("c").agg(F.array_sort(F.collect_set("id")).alias("sources"), F.max("fuzzy").alias("fuzzy")).join(last, "c")
+    size = F.size("sources").cast("long")
+    out = stored(found.select("canonical_id", "sources", F.when(size > 1, F.when(F.col("fuzzy"), "mixed").otherwise("exact")).alias("method"), size.alias("cluster_size")), "clusters")
+    discard(rows, kinds, near, left, heads, *joined)
+    return out
 
 
 def verification_split(pairs: DataFrame, same_answer: Column, similarity: Column, by_embedding: Column, trusted: float = 0.97, same: float = 0.85) -> DataFrame:

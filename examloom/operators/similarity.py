@@ -92,18 +92,20 @@ def _cells(rows: DataFrame, n: int, threshold: float, block: int, cells: int) ->
         m = max(least, m // 4)
 
 
-def in_blocks(placed: DataFrame, block: int) -> DataFrame:
+def in_blocks(placed: DataFrame, block: int, many: bool = False) -> DataFrame:
     """Rows (k, ..., cell, copy) dealt to products of two blocks of a cell: grouped by cell, x and y, each has all that sides() needs.
 
     Rows at home in a cell meet each other and the copies there; copies don't
-    meet.  Every such pair of rows is in one product.
+    meet.  Every such pair of rows is in one product.  many: there may be as many
+    cells as rows, so their sizes are joined instead of broadcast.
     """
     columns = placed.columns
     sizes = placed.groupBy("cell").agg(F.count_if(~F.col("copy")).alias("own"), F.count_if("copy").alias("more")).where("own > 0")
     plan = sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("blocks"), F.ceil(F.col("more") / block).cast("int").alias("others"))
     # A line for each cell, whose number is bounded by a parameter or by the logarithm of the texts' lengths.
-    plan = placed.sparkSession.createDataFrame([tuple(r) for r in plan.collect()], "cell int, blocks int, others int")
-    dealt = placed.join(F.broadcast(plan), "cell")
+    if not many:
+        plan = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in plan.collect()], "cell int, blocks int, others int"))
+    dealt = placed.join(plan, "cell")
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("k"), F.when(F.col("copy"), F.col("others")).otherwise(F.col("blocks"))).cast("int"))
     # A row at home is in the products of its block with all blocks, once for each; a copy in those of its block with all blocks of rows at home.
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
