@@ -104,6 +104,38 @@ def with_retries(call: Callable, waits: tuple[float, ...] = WAITS, sleep: Callab
             (sleep or time.sleep)(wait)
 
 
+def patiently(call: Callable, probe: Callable[[], bool] | None = None, attempts: int = 10, first: float = 1.0, most: float = 1800.0, jitter: float = 300.0, poll: float = 10.0, clock: tuple[Callable, Callable, Callable] | None = None):
+    """call(), for services that limit their callers.
+
+    An error with a reset_at (seconds since 1970) is waited out until a second
+    after it.  When the connection fails and there is a probe, it is asked every
+    poll seconds until it answers, and the call is made again.  Any other error
+    waits first, twice, four times that ... seconds, most at most, and a random
+    part of the jitter besides, but of no more than that wait.  The error of the
+    last of the attempts is raised.  clock: (now, sleep, a random number from 0 to
+    1), for tests.
+    """
+    import random
+    import time
+
+    now, sleep, dice = clock or (time.time, time.sleep, random.random)
+    for k in range(1, attempts + 1):
+        try:
+            return call()
+        except Exception as e:
+            if k == attempts:
+                raise
+            reset = getattr(e, "reset_at", None)
+            if reset is not None:
+                sleep(max(0.0, reset + 1 - now()))
+            elif probe is not None and isinstance(e, ConnectionError | TimeoutError):
+                while not probe():
+                    sleep(poll)
+            else:
+                wait = min(most, first * 2 ** (k - 1))
+                sleep(wait + dice() * min(jitter, wait))
+
+
 def embedded_in_batches(df, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], size: int = 50, waits: tuple[float, ...] = WAITS):
     """key and vector of every text, embedded `size` texts a call with retries; tasks run side by side, as many as the cluster has cores."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from examloom import hooks
+
 SCHEMA = "chunk int, text string, start_index int, end_index int, token_count int"
 Chunks = Iterator[tuple[int, int, int]]
 
@@ -82,29 +86,46 @@ def recursive(text: str, chunk_size: int = 2048, min_characters: int = 24) -> Ch
         yield a, b, count(a, b)
 
 
-def semantic(text: str, threshold: float = 0.8, chunk_size: int = 2048, window: int = 3) -> Chunks:
-    """Sentences stay together while each looks like the window before it (cosine of character trigrams)."""
-    from collections import Counter
+def _cosine(x: list[float], y: list[float]) -> float:
+    n = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return sum(v * w for v, w in zip(x, y, strict=True)) / n if n else 0.0
+
+
+def semantic(text: str, threshold: float = 0.8, chunk_size: int = 2048, window: int = 3, skip: int = 0, embedder: str = "hash") -> Chunks:
+    """Sentences of one meaning together, by the vectors of a registered embedder.
 
+    A sentence that is less similar than the threshold to the window of sentences
+    before it begins a group.  With skip, a group takes in the farthest of the
+    skip + 1 groups after it that is similar to it, and all between, as when a
+    topic is left for a remark and taken up again.  Groups of more words than
+    chunk_size are cut between sentences.
+    """
+    embed = hooks.EMBEDDERS[embedder]
     cuts = [m.end() for m in re.finditer(r"[.!?]\s+|\n+", text)]
     bounds = [0, *cuts, *([len(text)] if not cuts or cuts[-1] < len(text) else [])]
-    spans = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
-
-    def vector(a: int, b: int) -> Counter:
-        t = text[a:b].lower()
-        return Counter(t[i : i + 3] for i in range(max(1, len(t) - 2)))
-
-    def cosine(x: Counter, y: Counter) -> float:
-        n = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
-        return sum(v * y[k] for k, v in x.items()) / n if n else 0.0
-
-    start = 0
-    for i, (a, b) in enumerate(spans):
-        if i and (cosine(vector(spans[max(0, i - window)][0], a), vector(a, b)) < threshold or len(text[start:b].split()) > chunk_size):
-            yield start, a, len(text[start:a].split())
-            start = a
-    if spans:
-        yield start, spans[-1][1], len(text[start : spans[-1][1]].split())
+    spans = [(a, b) for a, b in itertools.pairwise(bounds) if a < b]
+    if not spans:
+        return
+    vectors = [embed(text[a:b]) for a, b in spans]
+    begins = [0] + [i for i in range(1, len(spans)) if _cosine(embed(text[spans[max(0, i - window)][0] : spans[i][0]]), vectors[i]) < threshold]
+    groups = [[a, b] for a, b in itertools.pairwise([*begins, len(spans)])]
+    if skip:
+        of = [embed(text[spans[a][0] : spans[b - 1][1]]) for a, b in groups]
+        merged, at = [], 0
+        while at < len(groups):
+            to = max([at, *(j for j in range(at + 1, min(at + 2 + skip, len(groups))) if _cosine(of[at], of[j]) >= threshold)])
+            merged.append([groups[at][0], groups[to][1]])
+            at = to + 1
+        groups = merged
+    for first, end in groups:
+        start, used = spans[first][0], 0
+        for a, b in spans[first:end]:
+            n = len(text[a:b].split())
+            if used and used + n > chunk_size:
+                yield start, a, used
+                start, used = a, 0
+            used += n
+        yield start, spans[end - 1][1], used
 
 
 def needs_model(*_args, **_kw) -> Chunks:

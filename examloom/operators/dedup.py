@@ -310,3 +310,14 @@ def recovered(removed: DataFrame, verdicts: DataFrame, kept: DataFrame, key: str
     """The kept rows and those removed ones whose verdict is DIFFERENT; without a clear verdict they stay removed."""
     back = removed.join(verdicts.where(F.col("verdict") == "DIFFERENT").select(key), key, "left_semi")
     return kept.unionByName(back.select(*kept.columns))
+
+
+def verdict_lists(pairs: DataFrame, verdict: Column) -> DataFrame:
+    """Pairs (.., sim) with the list they go to and their place in it: recovered if the verdict is DIFFERENT, else removed; each by falling similarity, then by the pairs' other columns."""
+    from examloom.operators.packing import renumbered
+
+    told = pairs.withColumn("list", F.when(verdict == "DIFFERENT", "recovered").otherwise("removed"))
+    others = [c for c in pairs.columns if c != "sim"]
+    placed = renumbered(told, [F.col("list"), F.desc("sim"), *map(F.col, others)], "__n")
+    first = placed.groupBy("list").agg(F.min("__n").alias("__first"))
+    return placed.join(F.broadcast(first), "list").withColumn("place", F.col("__n") - F.col("__first") + 1).drop("__n", "__first")

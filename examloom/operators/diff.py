@@ -45,3 +45,15 @@ def rebuilt(groups: DataFrame, rows: DataFrame, group: str, pos: str, row: list[
     arrays = grouped(rows, group, F.col(pos), row)
     none = F.array().cast(dict(arrays.dtypes)["questions"])
     return groups.join(arrays, group, "left").withColumn("questions", F.coalesce("questions", none))
+
+
+def remapped(rows: DataFrame, files: DataFrame, exact: list[str], by: str, order: str, value: str, name: str = "found") -> DataFrame:
+    """rows with the value of the file that has all their exact keys, else of the first file (by the order) with the same `by`; rows with neither go, equal results stay once.
+
+    Of several files with the same exact keys the first counts.
+    """
+    first = lambda keys: files.groupBy(*keys).agg(F.min_by(value, F.struct(order, value)).alias("__v"))
+    own = first(exact).withColumnRenamed("__v", "__exact")
+    other = first([by]).withColumnRenamed("__v", "__other")
+    out = rows.join(own, exact, "left").join(other, by, "left").withColumn(name, F.coalesce("__exact", "__other"))
+    return out.where(F.col(name).isNotNull()).select(*rows.columns, name).distinct()

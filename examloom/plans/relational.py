@@ -76,3 +76,22 @@ def keyed_set_upsert(spark, d):
 def selected_ids_semi(spark, d):
     keep = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, d, "lineitem").select("l_orderkey").join(keep, "l_orderkey", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
+
+
+@query("""SELECT o_orderkey, coalesce(e.l_partkey, f.l_partkey) AS part FROM (SELECT o_orderkey, o_orderkey % 5 + 1 AS l_linenumber FROM orders) o
+LEFT JOIN (SELECT l_orderkey, l_linenumber, arg_min(l_partkey, l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) e ON o_orderkey = e.l_orderkey AND o.l_linenumber = e.l_linenumber
+LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, struct_pack(a := l_linenumber, b := l_partkey)) AS l_partkey FROM lineitem GROUP BY 1) f ON o_orderkey = f.l_orderkey WHERE coalesce(e.l_partkey, f.l_partkey) IS NOT NULL""")
+def remap_with_fallback(spark, d):
+    """The part of one line of every order, or else of its first line."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("l_linenumber"))
+    files = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey")
+    got = diff.remapped(rows, files.withColumn("line", F.col("l_linenumber")), ["l_orderkey", "l_linenumber"], "l_orderkey", "line", "l_partkey", "part")
+    return got.select(F.col("l_orderkey").alias("o_orderkey"), "part")
+
+
+@query("SELECT c.conv_id, coalesce(t.texts, []) AS texts FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, list(role || ': ' || text ORDER BY turn) AS texts FROM conversations WHERE role = 'user' GROUP BY 1) t USING (conv_id)")
+def rebuilt_contents(spark, d):
+    """Groups with their rows looked up again, in order; those without stay empty."""
+    rows = table(spark, d, "conversations")
+    out = diff.rebuilt(rows.select("conv_id").distinct(), rows.where("role = 'user'"), "conv_id", "turn", ["role", "text"])
+    return out.select("conv_id", F.transform("questions", lambda q: F.concat(q["role"], F.lit(": "), q["text"])).alias("texts"))

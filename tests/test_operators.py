@@ -179,3 +179,46 @@ def test_stream_index(spark, tmp_path):
     spark.createDataFrame([("c", "four.")], "source string, text string").write.mode("append").parquet(src)
     index_stream(spark, src, "source string, text string", idx, cp)
     assert {r.source for r in spark.read.parquet(idx).collect()} == {"a", "b", "c"}
+
+
+def test_semantic_chunker_by_vectors():
+    from examloom import hooks
+
+    hooks.EMBEDDERS["topics"] = lambda t: [float(t.count("sea")), float(t.count("sun")), float(t.count("ice"))]
+    cut = lambda text, **k: [text[a:b].strip() for a, b, _ in chunking.semantic(text, embedder="topics", **k)]
+    text = "The sea one. A sea two. Now sun. More sun here. The sea again. And ice."
+    assert cut(text, threshold=0.5, window=1) == ["The sea one. A sea two.", "Now sun. More sun here.", "The sea again.", "And ice."]
+    assert cut(text, threshold=0.5, window=1, skip=1) == ["The sea one. A sea two. Now sun. More sun here. The sea again.", "And ice."]
+    assert cut(text, threshold=0.5, window=1, chunk_size=3) == ["The sea one.", "A sea two.", "Now sun.", "More sun here.", "The sea again.", "And ice."]
+    # A window of three sentences still knows the sea, so that the last one is not apart from what is before it.
+    assert cut("The sea. A sea. Deep sea. The sun. And sea.", threshold=0.5, window=3) == ["The sea. A sea. Deep sea.", "The sun. And sea."]
+    assert cut("", threshold=0.5) == []
+    del hooks.EMBEDDERS["topics"]
+
+
+def test_patient_retries():
+    from examloom import hooks
+
+    class Limited(Exception):
+        reset_at = 107.0
+
+    slept, errors, alive = [], [Limited(), ConnectionError(), ValueError(), ValueError()], [True, False, False]
+
+    def call():
+        if errors:
+            raise errors.pop(0)
+        return "done"
+
+    clock = (lambda: 100.0, slept.append, lambda: 0.5)
+    assert hooks.patiently(call, alive.pop, first=2.0, clock=clock) == "done"
+    assert slept == [8.0, 10.0, 10.0, 8.0 + 4.0, 16.0 + 8.0]
+    errors += [ValueError()] * 9
+    with pytest.raises(ValueError):
+        hooks.patiently(call, attempts=3, clock=clock)
+
+
+def test_remap_takes_the_exact_file_first(spark):
+    rows = spark.createDataFrame([("e", 1, "a"), ("e", 1, "b"), ("e", 2, "x"), ("e", 2, "y"), ("e", 3, "a")], "exam string, id int, name string")
+    files = spark.createDataFrame([("e", 1, "a", "2.png"), ("e", 1, "c", "1.png"), ("e", 2, "z", "3.png")], "exam string, id int, name string, file string")
+    got = diff.remapped(rows, files, ["exam", "id", "name"], "id", "file", "file")
+    assert sorted((r.id, r.name, r.found) for r in got.collect()) == [(1, "a", "2.png"), (1, "b", "1.png"), (2, "x", "3.png"), (2, "y", "3.png")]
