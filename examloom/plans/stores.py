@@ -33,7 +33,7 @@ def points_written(spark, d):
 
 @query("SELECT c_custkey, c_acctbal * 2 AS doubled FROM customer")
 def job_in_steps(spark, d):
-    """Customers worked through with a checkpoint after every 200 of them, results in input order."""
+    """Customers worked through in files of 200, with a checkpoint after each file or hundredth of the work; results in input order."""
     work = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return grouping.resumable(work, place(spark, "job"), lambda batch: batch.select("c_custkey", (F.col("c_acctbal") * 2).alias("doubled")), "c_custkey", 200)
 

@@ -75,9 +75,17 @@ def grouped_stream(rows: DataFrame, key: str, value: str, size: int = 50, wait_m
     return some.groupBy("key").transformWithStateInPandas(_Groups(size, wait_ms, shape), f"key {kinds[key]}, number long, size int, values array<{kinds[value]}>", "Append", "none" if wait_ms is None else "processingTime")
 
 
-def resumable(work: DataFrame, folder: str, step: Callable[[DataFrame], DataFrame], order: str, size: int = 10, at_once: int = 1) -> DataFrame:
+#: Batches of a job in steps: a batch costs the driver about half a second, whatever is in it.
+BATCHES = 100
+
+
+def resumable(work: DataFrame, folder: str, step: Callable[[DataFrame], DataFrame], order: str, size: int = 10, at_once: int | None = None) -> DataFrame:
     """step over all of the work, with a checkpoint after every `at_once` files of `size` rows; all results in input order.
 
+    Without at_once it is one file, or as many as make BATCHES checkpoints where
+    there are more files than that; a stop loses one batch at most, that is, one
+    file or a hundredth of the work.
+
     The work is laid out once in files of that size; one streaming query goes
     through them and keeps its place in its checkpoint.  A batch overwrites the
     results under its own number, so one that is repeated after a failure counts
@@ -96,6 +104,8 @@ def resumable(work: DataFrame, folder: str, step: Callable[[DataFrame], DataFram
     def one(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
 
+    if at_once is None:
+        at_once = max(1, -(-len(spark.read.schema(work.schema).parquet(laid).inputFiles()) // BATCHES))
     stream = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", at_once).parquet(laid)
     stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     if not exists(spark, f"{folder}/results"):

@@ -163,3 +163,15 @@ def test_job_goes_on_where_it_stopped(spark, tmp_path):
     before = len(done)
     assert grouping.resumable(work, folder, step, "id", 10).count() == 95 and len(done) == before
     assert max(done) <= 10 and sum(done) < 95 + 11
+
+
+def test_job_of_many_files_takes_a_bounded_number_of_batches(spark, tmp_path):
+    work, sizes = spark.range(1050).select("id"), []
+
+    def step(batch):
+        sizes.append(batch.count())
+        return batch.withColumn("y", F.col("id") + 1)
+
+    out = grouping.resumable(work, str(tmp_path / "job"), step, "id", 3)
+    assert [(r.id, r.y) for r in out.collect()] == [(i, i + 1) for i in range(1050)]
+    assert sum(sizes) == 1050 and len(sizes) <= grouping.BATCHES
