@@ -45,9 +45,11 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Walking edges by rank, an edge whose ends both live kills its loser: the one
     of smaller weight, else the later one (nodes: id, weight).  Done in rounds:
-    an edge that is the best of both its ends depends on no other, so all of
-    these are decided at once; then edges of dead nodes go.  Ranks must be
-    distinct.  Only one flag per round reaches the driver.
+    an edge that is the best of both its ends depends on no other.  If a node
+    wins there, its next edge is decided too, if it is the best of its other end,
+    and so on until the node loses or meets an edge that is not: so a node that
+    has many copies takes them all in one round.  Then edges of dead nodes go.
+    Ranks must be distinct.  Only one flag per round reaches the driver.
     """
     w = nodes.select("id", "weight")
     live = edges.join(w.select(F.col("id").alias("i"), F.col("weight").alias("wi")), "i").join(w.select(F.col("id").alias("j"), F.col("weight").alias("wj")), "j")
@@ -57,13 +59,20 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while not live.isEmpty():
         ends = live.select(F.col("i").alias("v"), "rank").unionByName(live.select(F.col("j").alias("v"), "rank"))
         best = ends.groupBy("v").agg(F.min("rank").alias("m"))
-        marked = live.join(best.select(F.col("v").alias("i"), F.col("m").alias("mi")), "i").join(best.select(F.col("v").alias("j"), F.col("m").alias("mj")), "j")
-        done = stored(marked.where((F.col("rank") == F.col("mi")) & (F.col("rank") == F.col("mj"))).select("kept", "removed", "rank"), "decided")
+        marked = stored(live.join(best.select(F.col("v").alias("i"), F.col("m").alias("mi")), "i").join(best.select(F.col("v").alias("j"), F.col("m").alias("mj")), "j").select("i", "j", "rank", "kept", "removed", (F.col("rank") == F.col("mi")).alias("of_i"), (F.col("rank") == F.col("mj")).alias("of_j")), "marked")
+        # Of each node the first edge that is not the best of its other end, and the first of the others where the node loses.
+        side = lambda v, other: marked.select(F.col(v).alias("v"), "rank", F.col(other).alias("free"), (F.col(v) == F.col("removed")).alias("loses"))
+        until = side("i", "of_j").unionByName(side("j", "of_i")).groupBy("v").agg(F.min(F.when(~F.col("free"), F.col("rank"))).alias("barred"), F.min(F.when(F.col("free") & F.col("loses"), F.col("rank"))).alias("lost"))
+        reach = lambda v: until.select(F.col("v").alias(v), F.col("barred").alias(f"b{v}"), F.col("lost").alias(f"l{v}"))
+        walked = lambda v, free: F.col(free) & F.coalesce(F.col("rank") < F.col(f"b{v}"), F.lit(True)) & F.coalesce(F.col("rank") <= F.col(f"l{v}"), F.lit(True))
+        # Only edges that are the best of an end can be decided.
+        tops = marked.where("of_i OR of_j").join(reach("i"), "i").join(reach("j"), "j")
+        done = stored(tops.where(walked("i", "of_j") | walked("j", "of_i")).select("kept", "removed", "rank"), "decided")
         decided.append(done)
         dead = done.select(F.col("removed").alias("v"))
-        left = live.join(done.select("rank"), "rank", "left_anti")
-        last, live = live, stored(left.join(dead, F.col("i") == F.col("v"), "left_anti").join(dead, F.col("j") == F.col("v"), "left_anti"), "edges")
-        discard(last)
+        # A decided edge has a dead end.
+        last, live = live, stored(live.join(dead, F.col("i") == F.col("v"), "left_anti").join(dead, F.col("j") == F.col("v"), "left_anti"), "edges")
+        discard(last, marked)
     out = stored(functools.reduce(DataFrame.unionByName, decided), "resolved")
     discard(live, *decided)
     return out

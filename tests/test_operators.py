@@ -222,3 +222,21 @@ def test_remap_takes_the_exact_file_first(spark):
     files = spark.createDataFrame([("e", 1, "a", "2.png"), ("e", 1, "c", "1.png"), ("e", 2, "z", "3.png")], "exam string, id int, name string, file string")
     got = diff.remapped(rows, files, ["exam", "id", "name"], "id", "file", "file")
     assert sorted((r.id, r.name, r.found) for r in got.collect()) == [(1, "a", "2.png"), (1, "b", "1.png"), (2, "x", "3.png"), (2, "y", "3.png")]
+
+
+def test_greedy_takes_all_copies_of_a_node_in_few_rounds(spark, monkeypatch):
+    n = 60
+    weight = [(i * 7) % 5 for i in range(n)]
+    edges = [(i, j, i * n + j) for i in range(n) for j in range(i + 1, n) if i % 4 == j % 4]
+    gone, want = set(), []
+    for i, j, rank in edges:
+        if i not in gone and j not in gone:
+            kept, removed = (i, j) if weight[i] >= weight[j] else (j, i)
+            gone.add(removed)
+            want.append((kept, removed, rank))
+    rounds = []
+    stored = dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    out = dedup.resolve(spark.createDataFrame(edges, "i long, j long, rank long"), spark.createDataFrame(list(enumerate(weight)), "id long, weight long"))
+    assert sorted((r.kept, r.removed, r["rank"]) for r in out.collect()) == sorted(want)
+    assert rounds.count("decided") <= 7
