@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 #: Cells of one product.
 SLICE = 4_000_000
+#: Numbers of one slice in the join of near pairs, and rows that a task gives out at once.
+PART, ROWS = 500_000, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -121,6 +125,30 @@ def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return part[~part["copy"] & (part["b"] == x)], part[part["copy"]] if y < 0 else part[part["b"] == y], x == y
 
 
+def placements(found: Cells, keys: np.ndarray, vectors: pd.Series) -> Iterator[pd.DataFrame]:
+    """Rows (k, v, cell, copy) at home and copied; as a vector may have a copy in every cell, in frames of bounded size."""
+    step = max(1, PART // len(found.pivots))
+    for a in range(0, len(keys), step):
+        x = _unit(vectors.iloc[a : a + step])
+        home, row, cell = found.place(x)
+        at, cell, copy = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell]), np.repeat([False, True], [len(x), len(row)])
+        for b in range(0, len(at), ROWS):
+            some = slice(b, b + ROWS)
+            yield pd.DataFrame({"k": keys[a + at[some]], "v": list(x[at[some]]), "cell": cell[some], "copy": copy[some]})
+
+
+def products(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> Iterator[pd.DataFrame]:
+    """Similar pairs (i, j, sim) of two blocks; as all of them may be similar, in frames of bounded size."""
+    step = max(1, PART // len(kb))
+    for at in range(0, len(ka), step):
+        s = x[at : at + step] @ y.T
+        p, q = np.nonzero(s >= threshold - 1e-12)
+        i, j, s = ka[at + p], kb[q], s[p, q]
+        keep = i < j if same else i != j
+        if keep.any():
+            yield pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": s[keep]})
+
+
 def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_k: int | None = None, block: int = BLOCK, cells: int = CELLS, compared=None) -> DataFrame:
     """All pairs i < j with cosine of at least the threshold: (i, j, sim).
 
@@ -141,26 +169,18 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_
 
     def place(parts):
         for part in parts:
-            if len(part):
-                x = _unit(part["v"])
-                home, row, cell = shared.value.place(x)
-                at = np.concatenate([np.arange(len(x)), row])
-                yield pd.DataFrame({"k": part["k"].to_numpy()[at], "v": list(x[at]), "cell": np.concatenate([home, cell]), "copy": np.repeat([False, True], [len(x), len(row)])})
+            yield from placements(shared.value, part["k"].to_numpy(), part["v"])
 
     placed = rows.mapInPandas(place, f"k {kind}, v array<double>, cell int, copy boolean")
     units = in_blocks(placed, block)
 
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = sides(part)
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b, same = sides(pd.concat(list(parts)))
         if not len(a) or not len(b):
-            return pd.DataFrame({"i": part["k"].iloc[:0], "j": part["k"].iloc[:0], "sim": []})
+            return
         if compared is not None:
             compared.add(len(a) * (len(a) - 1) // 2 if same else len(a) * len(b))
-        s = np.array(a["v"].to_list()) @ np.array(b["v"].to_list()).T
-        p, q = np.nonzero(s >= threshold - 1e-12)
-        ka, kb, s = a["k"].to_numpy()[p], b["k"].to_numpy()[q], s[p, q]
-        keep = ka < kb if same else ka != kb
-        return pd.DataFrame({"i": np.minimum(ka, kb)[keep], "j": np.maximum(ka, kb)[keep], "sim": s[keep]})
+        yield from products(a["k"].to_numpy(), np.array(a["v"].to_list()), b["k"].to_numpy(), np.array(b["v"].to_list()), same, threshold)
 
     pairs = units.groupBy("cell", "x", "y").applyInPandas(multiply, f"i {kind}, j {kind}, sim double").where(F.col("sim") >= threshold)
     if top_k is None:

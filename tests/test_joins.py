@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from examloom.functions.textsim import token_set
@@ -82,3 +83,17 @@ def test_fuzzy_pairs_compare_few(spark):
     assert got == plain_fuzzy(texts, 90.0)
     assert n.value < len(texts) ** 2 / 2 / 10
     assert dedup.fuzzy_pairs(spark.createDataFrame([], "id long, t string"), "id", "t", 90.0).collect() == []
+
+
+def test_near_pairs_are_placed_and_made_in_frames_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(similarity, "PART", 4000)
+    monkeypatch.setattr(similarity, "ROWS", 100)
+    x = unit(np.random.default_rng(3).normal(size=(300, 8)) + 5)
+    keys = np.arange(300)
+    frames = list(similarity.placements(similarity.Cells(x[:20], 0.2), keys, pd.Series(list(x))))
+    assert max(map(len, frames)) <= 100
+    placed = pd.concat(frames)
+    assert sorted(placed["k"][~placed["copy"]]) == list(range(300)) and placed["copy"].sum() > 300
+    assert np.allclose(np.array(placed["v"].to_list()), x[placed["k"]])
+    frames = list(similarity.products(keys, x, keys, x, True, 0.2))
+    assert max(map(len, frames)) <= 4000 and sum(map(len, frames)) == 300 * 299 // 2
