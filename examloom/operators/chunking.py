@@ -5,14 +5,17 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examloom import hooks
+from examloom.session import small_batches
 
+#: Characters of the chunks that a task gives out at once, unless a single one has more.
+HELD = 1 << 20
 SCHEMA = "chunk int, text string, start_index int, end_index int, token_count int"
 Chunks = Iterator[tuple[int, int, int]]
 
@@ -135,6 +138,21 @@ def needs_model(*_args, **_kw) -> Chunks:
 METHODS: dict[str, Callable[..., Chunks]] = {"fast": fast, "recursive": recursive, "semantic": semantic, "late": needs_model, "neural": needs_model, "slumber": needs_model}
 
 
+def frames(rows: Iterable[tuple], held: int = HELD) -> Iterator[pd.DataFrame]:
+    """Rows of chunks in frames of bounded size."""
+    columns = ["k", "chunk", "text", "start_index", "end_index", "token_count"]
+    waiting, size = [], 0
+    for row in rows:
+        # A short chunk counts for what its other columns take.
+        waiting.append(row)
+        size += len(row[2]) + 100
+        if size >= held:
+            yield pd.DataFrame(waiting, columns=columns)
+            waiting, size = [], 0
+    if waiting:
+        yield pd.DataFrame(waiting, columns=columns)
+
+
 def chunk(df: DataFrame, method: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Chunks of every text by the named method."""
     if method == "whole":
@@ -145,10 +163,12 @@ def chunk(df: DataFrame, method: str, key: str = "doc_id", text: str = "text", *
     if cut is needs_model:
         needs_model()
 
+    small_batches(df.sparkSession)
+
     def run(parts):
         for part in parts:
-            rows = [(k, i, t[a:b], a, b, n) for k, t in zip(part["k"], part["t"], strict=True) if isinstance(t, str) for i, (a, b, n) in enumerate(cut(t, **options))]
-            yield pd.DataFrame(rows, columns=["k", "chunk", "text", "start_index", "end_index", "token_count"])
+            texts = ((k, t) for k, t in zip(part["k"], part["t"], strict=True) if isinstance(t, str))
+            yield from frames((k, i, t[a:b], a, b, n) for k, t in texts for i, (a, b, n) in enumerate(cut(t, **options)))
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, {SCHEMA}").withColumnRenamed("k", key)

@@ -19,3 +19,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of bounded rows and bytes, so that a worker's memory does not grow with a task's share."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
