@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examloom.session import small_batches
+
 BLOCK = 2048
 #: Cells of one product.
 SLICE = 4_000_000
@@ -163,6 +165,7 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_
     with equal keys are not paired with each other.
     """
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
+    small_batches(spark)
     rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("k").isNotNull())
     found = _cells(rows, rows.count(), threshold, block, cells)
     shared = spark.sparkContext.broadcast(found)
@@ -194,6 +197,12 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_
 QUERY_NUMBERS = 10_000_000
 
 
+def firsts(s: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row and what they belong to; of equal ones those that stand first."""
+    order = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(c, order, axis=1)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, query_vector: str, vector: str, k: int) -> DataFrame:
     """The k best of the corpus for each query by cosine: (query_key, key, score, rank); ties by key.
 
@@ -209,17 +218,26 @@ def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, que
     shared = corpus.sparkSession.sparkContext.broadcast((ids, x))
     qkind, kind = dict(queries.dtypes)[query_key], dict(corpus.dtypes)[key]
 
+    small_batches(corpus.sparkSession)
+
     def run(parts):
         ids, x = shared.value
+        if not len(ids):
+            return
+        step, best, top = max(1, PART // len(ids)), None, None
         for part in parts:
             part = part[part["v"].notna()]
-            if not len(part) or not len(ids):
-                continue
-            part = part.sort_values("c", kind="stable")
-            s = x @ _unit(part["v"]).T
-            keys = part["c"].to_numpy()
-            top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "c": keys[top].ravel(), "s": np.take_along_axis(s, top, axis=1).ravel()})
+            for a in range(0, len(part), step):
+                some = part.iloc[a : a + step].sort_values("c", kind="stable")
+                s, c = firsts(x @ _unit(some["v"]).T, np.broadcast_to(some["c"].to_numpy(), (len(ids), len(some))), k)
+                if best is not None:
+                    s, c = np.hstack([best, s]), np.hstack([top, c])
+                    by_key = np.argsort(c, axis=1, kind="stable")
+                    s, c = firsts(np.take_along_axis(s, by_key, axis=1), np.take_along_axis(c, by_key, axis=1), k)
+                best, top = s, c
+        for a in range(0, len(ids) if best is not None else 0, ROWS):
+            to = slice(a, a + ROWS)
+            yield pd.DataFrame({"q": np.repeat(ids[to], top.shape[1]), "c": top[to].ravel(), "s": best[to].ravel()})
 
     best = corpus.select(F.col(key).alias("c"), F.col(vector).alias("v")).mapInPandas(run, f"q {qkind}, c {kind}, s double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 12)), "c"))).where(F.col("rank") <= k)
