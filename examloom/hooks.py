@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.session import small_batches
+
 DIMENSION = 64
 EMBEDDERS: dict[str, Callable[[str], list[float]]] = {}
 EVALUATORS: dict[str, Callable] = {}
@@ -28,7 +30,17 @@ def hash_embedding(text: str, size: int = DIMENSION) -> list[float]:
     return [x / n for x in v]
 
 
+def count_embedding(text: str, size: int = DIMENSION) -> list[float]:
+    """Hashed words of ASCII letters, digits and _, counted and scaled to length 1: without signs, so words never cancel each other out."""
+    v = [0.0] * size
+    for w in re.findall(r"\w+", text.lower(), re.ASCII):
+        v[hashlib.md5(w.encode()).digest()[0] % size] += 1.0
+    n = math.sqrt(sum(x * x for x in v)) or 1.0
+    return [x / n for x in v]
+
+
 EMBEDDERS["hash"] = hash_embedding
+EMBEDDERS["counts"] = count_embedding
 
 
 def dense(name: str = "hash"):
@@ -138,6 +150,7 @@ def patiently(call: Callable, probe: Callable[[], bool] | None = None, attempts:
 
 def embedded_in_batches(df, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], size: int = 50, waits: tuple[float, ...] = WAITS):
     """key and vector of every text, embedded `size` texts a call with retries; tasks run side by side, as many as the cluster has cores."""
+    small_batches(df.sparkSession)
 
     def run(parts):
         for part in parts:

@@ -240,3 +240,33 @@ def test_greedy_takes_all_copies_of_a_node_in_few_rounds(spark, monkeypatch):
     out = dedup.resolve(spark.createDataFrame(edges, "i long, j long, rank long"), spark.createDataFrame(list(enumerate(weight)), "id long, weight long"))
     assert sorted((r.kept, r.removed, r["rank"]) for r in out.collect()) == sorted(want)
     assert rounds.count("decided") <= 7
+
+
+def test_chunks_are_given_out_in_frames_of_bounded_size():
+    rows = [("d", i, "x" * 50, 0, 50, 1) for i in range(1000)]
+    got = list(chunking.frames(iter(rows), 3000))
+    assert max(map(len, got)) <= 20 and [tuple(r) for f in got for r in f.itertuples(index=False)] == rows
+    assert list(chunking.frames(iter([]))) == []
+
+
+def test_nearest_keeps_its_best_from_slice_to_slice(spark, monkeypatch):
+    """A slice of one row at a time, many equal scores: ties by key, and k rows a query and task leave it."""
+    monkeypatch.setattr(similarity, "PART", 3)
+    rows = [(f"k{(i * 37) % 90:02d}", [1.0, float(i % 3)]) for i in range(90)]
+    corpus = spark.createDataFrame(rows, "c string, v array<double>").repartition(2)
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 2.0]), ("z", [0.0, 0.0])], "q string, w array<double>")
+    got = {(r.q, r.c, r["rank"]) for r in similarity.nearest(queries, corpus, "q", "c", "w", "v", 4).collect()}
+    best = lambda m: sorted(k for k, v in rows if m is None or v[1] == m)[:4]
+    assert got == {(q, c, n + 1) for q, m in (("a", 0.0), ("b", 2.0), ("z", None)) for n, c in enumerate(best(m))}
+
+
+def test_embedding_of_the_retries_never_cancels_words():
+    import re
+
+    from examloom import hooks
+
+    lone = {w: hooks.hash_embedding(w) for w in (f"w{i}" for i in range(400))}
+    a, b = next((a, b) for a in lone for b in lone if [-x for x in lone[a]] == lone[b])
+    assert not any(hooks.hash_embedding(f"{a} {b}"))
+    for text in (f"{a} {b}", "a", "", "-", "жук", "жук 1"):
+        assert any(hooks.count_embedding(text)) == bool(re.search(r"\w", text, re.ASCII))
