@@ -11,7 +11,7 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-#: Query terms up to this number are broadcast to the documents' words; more are joined by a shuffle.
+#: Terms of all queries up to this number are broadcast to the documents' words; more are joined by a shuffle.
 FEW_TERMS = 200_000
 
 
@@ -21,21 +21,24 @@ def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str, text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """The k best documents of each query: (query_key, key, score, rank); ties by key."""
+    """The k best documents of each query: (query_key, key, score, rank); ties by key.
+
+    The documents' words are shuffled once, by document; what is made of them, a
+    row for each query that a term meets, is summed where its document is.
+    """
     split = words_of(docs, key, text)
     sizes = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_length"))
     wanted = words_of(queries, query_key, query_text).select(query_key, F.explode("w").alias("term")).distinct()
-    # Only the queries' terms leave the documents: before anything is counted or shuffled, if they are few.
-    vocabulary = wanted.select("term").distinct()
-    if vocabulary.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    every = split.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    hits = every.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # Only the queries' terms go on from the documents' words, before anything is counted.
+    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else lambda x: x
+    every = split.repartition(F.col(key)).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    hits = every.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    w = hits.join(df, "term").crossJoin(F.broadcast(sizes))
+    w = hits.join(small(df), "term").crossJoin(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = w.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = w.select(key, "term", weight.alias("w")).join(small(wanted), "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k).select(query_key, key, "score", "rank")
 
