@@ -187,3 +187,10 @@ def task_runs(df, key: str, prompt: str, name: str, size: int = 20, waits: tuple
 def register_evaluator(name: str, column: Callable) -> None:
     """An evaluator maps columns (predicted, expected) to struct(score, label)."""
     EVALUATORS[name] = column
+
+
+def evaluated_totals(df, name: str, predicted, expected):
+    """label, its number of rows (n) and the sum of their scores (score) by the named evaluator, which sees each distinct pair of answers once."""
+    pairs = df.groupBy(predicted.alias("predicted"), expected.alias("expected")).agg(F.count("*").alias("n"))
+    told = pairs.select(EVALUATORS[name](F.col("predicted"), F.col("expected")).alias("r"), "n")
+    return told.groupBy("r.label").agg(F.sum("n").alias("n"), F.sum(F.col("r.score") * F.col("n")).alias("score"))

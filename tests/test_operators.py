@@ -270,3 +270,29 @@ def test_embedding_of_the_retries_never_cancels_words():
     assert not any(hooks.hash_embedding(f"{a} {b}"))
     for text in (f"{a} {b}", "a", "", "-", "жук", "жук 1"):
         assert any(hooks.count_embedding(text)) == bool(re.search(r"\w", text, re.ASCII))
+
+
+def test_bm25_shuffles_words_by_document_only(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 3 + 1) + f"x{i}") for i in range(20)], "d long, t string")
+    queries = spark.createDataFrame([("p", "a x3"), ("q", "b x4 x5")], "q string, t string")
+    got = retrieval.bm25_topk(queries, docs, "q", "d", "t", "t", 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(d#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "d#" in x and ("term#" in x or ", d#" in x)]
+    assert {(r.q, r.d) for r in got.collect() if r["rank"] == 1} in ({("p", 3), ("q", 4)}, {("p", 3), ("q", 5)})
+
+
+def test_evaluator_sees_each_distinct_pair_once(spark):
+    from examloom import hooks
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        calls.add(1)
+        return 0.25 * len(x)
+
+    hooks.register_evaluator("counted", lambda p, e: F.struct(score(p).alias("score"), F.lit("x").alias("label")))
+    rows = spark.createDataFrame([(["a"],), (["a", "b"],), (None,)] * 50, "p array<string>").where("p IS NOT NULL")
+    got = hooks.evaluated_totals(rows, "counted", F.col("p"), F.array(F.lit("a"))).collect()
+    assert [tuple(r) for r in got] == [("x", 100, 37.5)] and calls.value <= 4
