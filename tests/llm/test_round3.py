@@ -373,3 +373,15 @@ def test_pages_of_other_makes(reader):
         made += [(article(f"<{outer}><li>{a}<{inner}><li>{b}</li><li>{c}</li></{inner}></li></{outer}>", core), [S1, S2, a, b, c], []) for core in ("article", "main") for a, b, c in [("alpha", "beta", "gamma"), (S3, "beta", "gamma")]]
     wrong = [(keep, drop) for page, keep, drop in made if not set(keep) <= set(got := reader.extract(page).split("\n")) or set(drop) & set(got)]
     assert len(made) >= 60 and len(wrong) <= 0.05 * len(made), wrong
+
+
+def test_counts_do_not_depend_on_the_sample(spark, monkeypatch):
+    from examloom.llm import tokencount
+
+    docs = spark.createDataFrame([(i, f"some words {i} and  more\nof them " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    frequent = tokencount.frequent_pretokens
+    got = []
+    for choose in (frequent, lambda d, text: frequent(d, text, rows=1), lambda d, text: []):
+        monkeypatch.setattr(tokencount, "frequent_pretokens", choose)
+        got.append(sorted(tuple(r) for r in tokencount.counts(docs, tokencount.default_path()).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
