@@ -296,3 +296,13 @@ def test_evaluator_sees_each_distinct_pair_once(spark):
     rows = spark.createDataFrame([(["a"],), (["a", "b"],), (None,)] * 50, "p array<string>").where("p IS NOT NULL")
     got = hooks.evaluated_totals(rows, "counted", F.col("p"), F.array(F.lit("a"))).collect()
     assert [tuple(r) for r in got] == [("x", 100, 37.5)] and calls.value <= 4
+
+
+def test_collection_names_come_from_the_table(spark, tmp_path):
+    from examloom.plans.registry import QUERIES
+
+    rows = [(1, [0.0] * 8, 3), (2, [0.0] * 8, 3), (3, [0.0] * 5, 4), (4, None, 5), (5, [0.0] * 2, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.label: (r.name, r["size"]) for r in QUERIES["collection_name"](spark, str(tmp_path)).collect()}
+    want = indexing.table_name("fast", {"dense": {"model": "label3", "size": 8}, "sparse": {"model": "bm25"}})
+    assert got[3] == (want, 8) and got[4][1] == 5 and got[5] == (None, None) and got[None] == (None, 2)
