@@ -13,8 +13,9 @@ Skew: equal sets are first merged into one class, by pre-aggregation.  Within a
 bucket each class is compared with one leader only, its most typical member;
 classes that are connected so need no further comparison.  Classes of one
 leader that are still apart are then compared where their common items with the
-leader, or rare items besides (a prefix filter), allow for enough similarity;
-both are exact bounds.  So a group of m near copies costs about m comparisons,
+leader, or rare items besides (a prefix filter, with what each has after the item
+and what both have of the leader's), allow for enough similarity; all are exact
+bounds.  So a group of m near copies costs about m comparisons,
 not their square, and no candidate is dropped.  Both waves of pairs are dropped
 by the registers' estimate first and then confirmed on the full sets.
 
@@ -252,13 +253,17 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     items = apart.select("b", F.explode("extra").alias("item"), "a", "c", "p")
     often = items.groupBy("b", "item").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     hot = often.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "item"))).where(F.col("r") <= HOT).select("b", "item", F.lit(1).alias("hot"))
-    items = items.join(hot, ["b", "item"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("hot", F.lit(0)), "item"))).where("r <= p").select("b", "item", "a", "c")
+    items = items.join(hot, ["b", "item"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("hot", F.lit(0)), "item"))).where("r <= p").select("b", "item", "a", "c", "r")
     several = items.groupBy("b", "item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b", "item")
     # The registers join what is left only.
-    items = stored(items.join(several, ["b", "item"], "left_semi").join(apart.select("b", "a", "na", "ra"), ["b", "a"]), "items")
-    other_item = items.select("b", "item", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("ra").alias("ry"))
+    items = stored(items.join(several, ["b", "item"], "left_semi").join(apart.select("b", "a", "na", "i", "ra"), ["b", "a"]), "items")
+    other_item = items.select("b", "item", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("i").alias("iy"), F.col("r").alias("py"), F.col("ra").alias("ry"))
+    # The first item of both prefixes that two sets share tells how many more they can: what each has besides the leader's
+    # after it, and what both have of the leader's.  Later shared items of a pair may miss the bound, its first does not.
+    most = 1 + F.least(F.col("na") - F.col("i") - F.col("r"), F.col("ny") - F.col("iy") - F.col("py")) + F.least("i", "iy")
+    reach = 100 * most >= percent * (F.col("na") + F.col("ny") - most)
     sides = [F.col("a"), F.col("y").alias("b"), F.col("na"), F.col("ny").alias("nb"), F.col("ra"), F.col("ry").alias("rb")]
-    by_item = items.join(other_item, ["b", "item"]).where("c < cy").select(*sides)
+    by_item = items.join(other_item, ["b", "item"]).where((F.col("c") < F.col("cy")) & reach).select(*sides)
     plain = apart.where("na - i < p").drop("extra", "p")
     far = plain.where(~similar).select("b", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("i").alias("iy"), F.col("ra").alias("ry"))
     most = F.least("i", "iy")

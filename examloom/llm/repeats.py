@@ -10,9 +10,13 @@
 4. What is covered goes back to the documents.
 
 Skew: an anchor with more than ``HOT`` distinct segments (the edge of a passage
-that very many documents share) is split.  Its segments are cut into single
-windows, which are counted by their own hash, pre-aggregated; each window that
-occurs again is a representative by itself and has a shard key of its own.  So no
+that very many documents share) is split.  Its windows are classed by where the
+anchor stands in them; the windows of a class that are in one segment make a part,
+whose key is what all windows of the class have in common around the anchor, up
+to nearly a whole window.  Equal windows have equal keys, and parts whose key
+occurs once are done with.  Keys that still have too many are split again, until
+a class is a single place and its key the window itself.  So a segment makes at
+most ``SPLIT`` rows a round, in a few rounds, not a row for each of its windows, no
 group in a shard exceeds ``HOT`` segments, and a shard is indexed in portions of
 about ``PORTION`` of them.  The joins on hot keys are plain equi joins of two
 shuffled sides, which adaptive execution splits.
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examloom.llm.anchors import segments
-from examloom.llm.blocks import BATCH_ROWS, Block, blocks, configure, range_hashes
+from examloom.llm.blocks import BATCH_ROWS, Block, blocks, configure, mix, range_hashes, spread
 from examloom.storage import discard, stored
 
-#: Distinct segments of an anchor beyond which its windows are taken one by one.
-HOT = 1_000
+#: Distinct segments of a key beyond which they are split, and into how many parts at a time.
+HOT, SPLIT = 1_000, 4
 #: Representatives indexed together, and by one task on average.
 PORTION, SHARD = 8_000, 24_000
 
@@ -65,21 +69,28 @@ def _segments(units: Units):
     return run
 
 
-def _windows(units: Units):
-    """Every window of the wanted segments, as a segment of its own."""
+def _parts(units: Units, n: int):
+    """The wanted segments cut by where in a window the anchor stands, into n classes of places: what the windows of a class have in common is the key of their part."""
+    span = units.w - units.m + 1
+    edge = -(-np.arange(n + 1) * span // n)  # class p has the places edge[p] to edge[p + 1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             values, bounds = units.values(block)
             size = values.itemsize
+            data = np.ascontiguousarray(values).view(np.uint8)
             for i, (base, wanted) in enumerate(zip(bounds[:-1].tolist(), block.batch.column("wanted").to_pylist(), strict=True)):
-                spans = sorted({(x["s"], x["e"]) for x in wanted})
-                for at in range(0, len(spans), BATCH_ROWS):
-                    start = np.concatenate([np.arange(s, e - units.w + 1) for s, e in spans[at : at + BATCH_ROWS]])
-                    f = pa.array(range_hashes(np.ascontiguousarray(values).view(np.uint8), (base + start) * size, (base + start + units.w) * size).view(np.int64))
-                    row = pa.array(np.full(len(start), i))
-                    s = pa.array(start.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([f, f, *(block.batch.column(k).take(row) for k in ("id", "th")), s, s, pa.array((start + units.w).astype(np.int32))], names=["h", "f", "id", "th", "s", "a", "e"])
+                for at in range(0, len(wanted), BATCH_ROWS):
+                    s, a, e = np.array([(x["s"], x["a"], x["e"]) for x in wanted[at : at + BATCH_ROWS]]).T
+                    low, high = ((x * n) // span for x in (a - e + units.w, a - s))
+                    which, step = spread(high - low + 1)
+                    c, s, a, e = low[which] + step, s[which], a[which], e[which]
+                    s, e = np.maximum(s, a - edge[c + 1] + 1), np.minimum(e, a - edge[c] + units.w)
+                    hashes = lambda x, y: range_hashes(data, (base + x) * size, (base + y) * size)  # noqa: B023, E731
+                    h = mix(hashes(a - edge[c], a - edge[c + 1] + 1 + units.w) ^ (c + (n << 16)).astype(np.uint64))
+                    f = hashes(s, e) ^ ((a - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    row = pa.array(np.full(len(s), i))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h, f)), *(block.batch.column(k).take(row) for k in ("id", "th")), *(pa.array(x.astype(np.int32)) for x in (s, a, e))], names=["h", "f", "id", "th", "s", "a", "e"])
 
     return run
 
@@ -166,34 +177,43 @@ def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, ke
     anchors = stored(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     again = stored(found.join(anchors, "h").select(found.columns), "again")
     discard(anchors)
+    used = [again]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(stored(df, name))
+        return used[-1]
 
-    def representatives(df: DataFrame) -> DataFrame:
+    def representatives(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The distinct segments, with k, how many of them their key has; and the keys with theirs."""
         first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "a", "s", "e")).alias("r")
-        return df.groupBy("h", "f").agg(F.count("*").alias("n"), first)
+        reps = kept(df.groupBy("h", "f").agg(F.count("*").alias("n"), first), "reps")
+        # A key that occurs once has no window that occurs again.
+        groups = kept(reps.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("c")).where("c > 1").select("h", "k"), "groups")
+        return reps.join(groups, "h"), groups
 
     def read(wanted: DataFrame, run, schema: str) -> DataFrame:
         """What run makes of the documents with something wanted."""
         named = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
         return rows.join(named, rows["id"].eqNullSafe(named["wid"]) & (rows["th"] == named["wth"])).select("id", "th", "text", "wanted").mapInArrow(run, schema)
 
-    reps = stored(representatives(again), "reps")
-    groups = stored(reps.groupBy("h").agg(F.count("*").alias("k")), "groups")
-    hot, lone = groups.where(F.col("k") > HOT).select("h"), groups.where("k = 1").select("h")
-    used = [again, reps, groups]
+    reps, groups = representatives(again)
+    now, n, many = again, 1, [groups]
+    while not (hot := groups.where(F.col("k") > HOT).select("h")).isEmpty():
+        n = min(n * SPLIT, units.w - units.m + 1)
+        split = now.join(hot, "h").groupBy("id", "th").agg(F.collect_set(F.struct("s", "a", "e")).alias("wanted"))
+        now = kept(read(split, _parts(units, n), schema), "parts")
+        some, groups = representatives(now)
+        # What is split has no answer by its old key, which the join with the answers drops.
+        again, reps = again.unionByName(now), reps.unionByName(some)
+        many.append(groups)
     whole = F.array(F.lit(0), F.col("r.e") - F.col("r.s"))
-    wholes = reps.join(lone, "h").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
-    if settle:
-        reps = reps.join(lone, "h", "left_anti")
-    if not hot.isEmpty():
-        split = again.join(hot, "h").groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("wanted"))
-        windows = stored(read(split, _windows(units), schema), "windows")
-        several = stored(representatives(windows).where("n > 1"), "reps")
-        again = again.join(hot, "h", "left_anti").unionByName(windows)
-        reps = reps.join(hot, "h", "left_anti").unionByName(several)
-        used += [windows, several]
+    wholes = reps.where("k = 1").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
+    indexed = (F.col("k") <= HOT) & (F.col("k") > (1 if settle else 0))
+    reps = reps.where(indexed)
+    strings = sum(g.where(indexed).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] for g in many)
     wanted = reps.groupBy("r.id", "r.th").agg(F.collect_list(F.struct("h", "f", "n", F.col("r.s").alias("s"), F.col("r.a").alias("a"), F.col("r.e").alias("e"))).alias("wanted"))
     contents = read(wanted, _contents(units), f"h long, f long, n long, id {kind}, th long, s int, a int, content binary")
-    shards = max(2 * spark.sparkContext.defaultParallelism, reps.count() // SHARD)
+    shards = max(2 * spark.sparkContext.defaultParallelism, strings // SHARD)
     told = shown = stored(contents.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_indexed(index), f"h long, f long, cover array<int>, first_cover array<int>, rid {kind}, rth long, ra int"), "told")
     if settle:
         told = told.unionByName(wholes)

@@ -1,5 +1,6 @@
 """SimHash classes, hard negatives and the Merkle manifest against brute force, with odd rows."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -385,3 +386,62 @@ def test_counts_do_not_depend_on_the_sample(spark, monkeypatch):
         monkeypatch.setattr(tokencount, "frequent_pretokens", choose)
         got.append(sorted(tuple(r) for r in tokencount.counts(docs, tokencount.default_path()).collect()))
     assert got[0] == got[1] == got[2] and len(got[0]) == 60
+
+
+def test_parts_of_hot_anchors_are_few(spark, monkeypatch):
+    """A segment of a hot anchor makes a few rows, not one for each of its windows."""
+    from examloom.llm import repeats
+
+    dice = random.Random(11)
+    words = lambda k: " ".join("".join(dice.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    passage, made = words(60), []
+    texts = [f"{words(40)} {passage} {words(40)}" for _ in range(120)]
+
+    def counted(df, name, stored=repeats.stored):
+        out = stored(df, name)
+        if name in ("windows", "parts"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    monkeypatch.setattr(repeats, "HOT", 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [t.encode() for t in texts]
+    seen = collections.Counter(x[i : i + 200] for x in data for i in range(len(x) - 199))
+    want = {k: len({j for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1 for j in range(i, i + 200)}) for k, x in enumerate(data)}
+    assert {r.doc_id: r.n_removed for r in bcr.removed(df).collect()} == want
+    assert made and sum(made) < 120 * 40
+
+
+def test_pairs_of_outliers_are_bounded_by_place(spark, monkeypatch):
+    """Sets that share an item late in their order, and little with the leader, make no pair."""
+    dice = random.Random(4)
+    texts = []
+    for _ in range(250):
+        w = [f"w{i}" for i in range(120)]
+        for _ in range(dice.randint(3, 9)):
+            w[dice.randrange(120)] = f"x{dice.randrange(8)}"
+        texts.append(" ".join(w))
+    table, total = neardup._likely, spark.sparkContext.accumulator(0)
+
+    def counted(share):
+        run = table(share)
+
+        def each(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return each
+
+    monkeypatch.setattr(neardup, "_likely", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component for r in neardup.near_classes(df, 3, 85).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in texts]
+    part = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if part[i] != part[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            old, new = max(part[i], part[j]), min(part[i], part[j])
+            part = [new if p == old else p for p in part]
+    assert got == dict(enumerate(part))
+    assert 0 < total.value < 40_000  # without the bound 104,354
