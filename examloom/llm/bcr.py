@@ -49,32 +49,48 @@ _ROW_BITS, _ROW = np.uint32(22), np.uint32((1 << 22) - 1)
 
 
 class Files:
-    """The transform and the common prefixes in external files; each round writes new ones.  (Writing over a file would make it wait for the disk.)"""
+    """The transform and the common prefixes in external files, two of each, which rounds write by turns.
 
-    def __init__(self, folder: str, kinds: tuple) -> None:
-        self.folder, self.kinds, self.round, self.rows = folder, kinds, 0, 0
+    All four stay open and are written over from the front, as each round's are
+    longer than those before.  (Cutting a file first would make it wait for the disk.)
+    """
 
-    def _paths(self, k: int) -> list[str]:
-        return [os.path.join(self.folder, f"{name}.{k}") for name in ("bwt", "lcp")]
+    def __init__(self, folder: str, kinds: tuple) -> None:
+        self.kinds, self.turn, self.rows = kinds, 0, 0
+        self.open = [[open(os.path.join(folder, f"{name}.{k}"), "w+b", buffering=0) for name in ("bwt", "lcp")] for k in range(2)]
+
+    def close(self) -> None:
+        for f in itertools.chain(*self.open):
+            f.close()
+
+    def _part(self, which: int, lo: int) -> np.ndarray:
+        out = np.empty(min(CHUNK, self.rows - lo), dtype=self.kinds[which])
+        f, room = self.open[self.turn][which], memoryview(out).cast("B")
+        f.seek(lo * out.itemsize)
+        while len(room):
+            got = f.readinto(room)
+            if not got:
+                raise EOFError("an external file ends too early")
+            room = room[got:]
+        return out
 
     def read(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, symbols and common prefixes of each chunk."""
-        with open(self._paths(self.round)[0], "rb") as x, open(self._paths(self.round)[1], "rb") as y:
-            for lo in range(0, self.rows, CHUNK):
-                yield lo, np.fromfile(x, self.kinds[0], CHUNK), np.fromfile(y, self.kinds[1], CHUNK)
+        for lo in range(0, self.rows, CHUNK):
+            yield lo, self._part(0, lo), self._part(1, lo)
 
     def write(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
-        """The next round's files, after which this round's go."""
-        n = 0
-        with open(self._paths(self.round + 1)[0], "wb") as x, open(self._paths(self.round + 1)[1], "wb") as y:
-            for bwt, lcp in parts:
-                bwt.astype(self.kinds[0], copy=False).tofile(x)
-                lcp.astype(self.kinds[1], copy=False).tofile(y)
-                n += len(bwt)
-        for p in self._paths(self.round):
-            if os.path.exists(p):
-                os.unlink(p)
-        self.round, self.rows = self.round + 1, n
+        """The next round's files, which then are this round's."""
+        n, to = 0, self.open[1 - self.turn]
+        for f in to:
+            f.seek(0)
+        for columns in parts:
+            for f, x, kind in zip(to, columns, self.kinds, strict=True):
+                data = memoryview(np.ascontiguousarray(x, dtype=kind)).cast("B")
+                while len(data):
+                    data = data[f.write(data) :]
+            n += len(columns[0])
+        self.turn, self.rows = 1 - self.turn, n
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -177,8 +193,13 @@ class Collection:
             if z == a:
                 yield bwt, lcp
                 continue
-            at = old[a:z] - lo
-            yield np.insert(bwt, at, symbol[a:z].astype(bwt.dtype)), np.insert(lcp, at, before[a:z].astype(lcp.dtype))
+            fresh = old[a:z] - lo + np.arange(z - a)
+            kept = np.ones(n + z - a, dtype=bool)
+            kept[fresh] = False
+            columns = np.empty(len(kept), dtype=bwt.dtype), np.empty(len(kept), dtype=lcp.dtype)
+            for to, was, new in zip(columns, (bwt, lcp), (symbol, before), strict=True):
+                to[kept], to[fresh] = was, new[a:z]
+            yield columns
 
     def walk(self) -> tuple[np.ndarray, np.ndarray]:
         """The string and the length of every row's suffix."""
@@ -207,7 +228,10 @@ def construct(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, n
     """Of all suffixes of nonempty strings, in sorted order: the string, the length, and the prefix shared with the suffix before (up to cap)."""
     with tempfile.TemporaryDirectory() as folder:
         made = Collection(strings, cap, folder)
-        return *made.walk(), made.shared()
+        try:
+            return *made.walk(), made.shared()
+        finally:
+            made.files.close()
 
 
 def extents(h: list[int], sides: list[bytes]) -> list[int]:
@@ -269,20 +293,20 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
-            out = []
-            for data, runs in _cut(block, runs_column):
-                mask = covered_mask(len(data), runs)
-                spans = int(np.count_nonzero(mask & ~np.concatenate([[False], mask[:-1]]))) if runs else 0
-                out.append((len(data), int(mask.sum()), spans, hashlib.sha256(data[~mask] if runs else data).hexdigest()))
-            cols = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([block.batch.column(key), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            mask = covered_mask(block.batch.column(runs_column), block.off)
+            begins = mask & ~np.concatenate([[False], mask[:-1]])
+            begins[block.off[:-1][np.diff(block.off) > 0]] |= mask[block.off[:-1][np.diff(block.off) > 0]]
+            gone, spans = block.per_doc(mask, block.off), block.per_doc(begins, block.off)
+            sha = [hashlib.sha256(data[~own] if own is not None else data).hexdigest() for data, own in _cut(block, mask, gone)]
+            yield pa.RecordBatch.from_arrays([block.batch.column(key), *map(pa.array, (np.diff(block.off), gone, spans)), pa.array(sha, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return marked.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut(block, runs_column: str):
-    for a, b, runs in zip(block.off[:-1].tolist(), block.off[1:].tolist(), block.batch.column(runs_column).to_pylist(), strict=True):
-        yield block.data[a:b], runs
+def _cut(block, mask: np.ndarray, gone: np.ndarray):
+    """Each text and what of it is covered, None if nothing is."""
+    for a, b, n in zip(block.off[:-1].tolist(), block.off[1:].tolist(), gone.tolist(), strict=True):
+        yield block.data[a:b], mask[a:b] if n else None
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
@@ -294,8 +318,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             old, new = block.batch.column(text), []
-            for i, (data, runs) in enumerate(_cut(block, runs_column)):
-                new.append(old[i].as_py() if not runs else data[~covered_mask(len(data), runs)].tobytes().decode("utf-8", "ignore"))
+            mask = covered_mask(block.batch.column(runs_column), block.off)
+            for i, (data, own) in enumerate(_cut(block, mask, block.per_doc(mask, block.off))):
+                new.append(old[i].as_py() if own is None else data[~own].tobytes().decode("utf-8", "ignore"))
             cols = {c: block.batch.column(c) for c in names}
             changed = block.batch.column(runs_column).is_valid()
             cols[text] = pa.array(new, pa.string())

@@ -161,17 +161,18 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             block.split()
-            runs, n, gone, kept = block.batch.column(runs_column).to_pylist(), [], [], []
+            mask, n, gone, kept = covered_mask(block.batch.column(runs_column), block.ptr), [], [], []
+            some = block.per_doc(mask, block.ptr).tolist()
             copies = block.batch.column("copies").to_pylist() if "copies" in block.batch.schema.names else [1] * len(block)
             rows = []
             data = block.data.tobytes()
             for i, (a, b) in enumerate(zip(block.ptr[:-1].tolist(), block.ptr[1:].tolist(), strict=True)):
                 for copy in range(copies[i]):
-                    out = covered_mask(b - a, runs[i]) if not copy or b - a < WINDOW else np.ones(b - a, dtype=bool)
+                    out = mask[a:b] if not copy or b - a < WINDOW else np.ones(b - a, dtype=bool)
                     rows.append(i)
                     n.append(b - a)
-                    gone.append(int(out.sum()))
-                    if b > a and not out.any():
+                    gone.append(some[i] if not copy or b - a < WINDOW else b - a)
+                    if b > a and not gone[-1]:
                         kept.append(b" ".join(data[block.off[i] : block.off[i + 1]].split()))
                     else:
                         kept.append(b" ".join([data[s:e] for s, e in zip(block.start[a:b][~out].tolist(), block.end[a:b][~out].tolist(), strict=True)]))

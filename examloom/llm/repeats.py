@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,15 +236,15 @@ def with_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str =
     return docs.join(named, same, "left").select(*(docs[c] for c in docs.columns), named[name]), name
 
 
-def covered_mask(n: int, runs: list[dict] | None) -> np.ndarray:
-    """Which of n units are covered."""
-    if not runs:
-        return np.zeros(n, dtype=bool)
-    step = np.zeros(n + 1, dtype=np.int32)
-    for x in runs:
-        s, c = x["s"], x["cover"]
-        for i in range(0, len(c), 2):
-            if s + c[i] < n:
-                step[s + c[i]] += 1
-                step[min(n, s + c[i + 1])] -= 1
-    return np.cumsum(step[:n]) > 0
+def covered_mask(runs: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Which units of texts, laid end to end with the given bounds, are covered by their runs."""
+    flat = runs.flatten()
+    owner = pc.list_parent_indices(runs).to_numpy(zero_copy_only=False)
+    cover = pc.struct_field(flat, "cover")
+    run = pc.list_parent_indices(cover).to_numpy(zero_copy_only=False)[::2]
+    edge = cover.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
+    base, limit = (bounds[owner] + pc.struct_field(flat, "s").to_numpy(zero_copy_only=False))[run], bounds[owner + 1][run]
+    step = np.zeros(int(bounds[-1]) + 1, dtype=np.int32)
+    for sign, x in ((1, edge[:, 0]), (-1, edge[:, 1])):
+        step += sign * np.bincount(np.minimum(base + x, limit), minlength=len(step)).astype(np.int32)
+    return np.cumsum(step[:-1]) > 0

@@ -9,11 +9,12 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from examloom.llm import bcr, decontaminate, fmindex, hardneg, merkle, neardup, simhash
+from examloom.llm import bcr, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, start string, id string, g string"
 
@@ -390,8 +391,6 @@ def test_counts_do_not_depend_on_the_sample(spark, monkeypatch):
 
 def test_parts_of_hot_anchors_are_few(spark, monkeypatch):
     """A segment of a hot anchor makes a few rows, not one for each of its windows."""
-    from examloom.llm import repeats
-
     dice = random.Random(11)
     words = lambda k: " ".join("".join(dice.choice("abcdefgh") for _ in range(7)) for _ in range(k))
     passage, made = words(60), []
@@ -445,3 +444,28 @@ def test_pairs_of_outliers_are_bounded_by_place(spark, monkeypatch):
             part = [new if p == old else p for p in part]
     assert got == dict(enumerate(part))
     assert 0 < total.value < 40_000  # without the bound 104,354
+
+
+def test_construction_keeps_its_files_open(monkeypatch):
+    """Four files in all, whatever the number of rounds; chunks of any size give the same rows."""
+    opened = []
+    monkeypatch.setattr(bcr, "open", lambda *x, **k: opened.append(x) or open(*x, **k), raising=False)
+    dice = random.Random(2)
+    strings = [bytes(dice.choice(b"ab") for _ in range(dice.randint(1, 60))) for _ in range(40)]
+    want = bcr.construct(strings, 20)
+    assert len(opened) == 4
+    suffixes = [strings[k][len(strings[k]) - n :] for k, n in zip(want[0].tolist(), want[1].tolist(), strict=True)]
+    assert suffixes == sorted(suffixes)
+    monkeypatch.setattr(bcr, "CHUNK", 37)
+    assert all((x == y).all() for x, y in zip(want, bcr.construct(strings, 20), strict=True))
+
+
+def test_covered_units_of_a_block():
+    """Runs of texts end to end, with null and empty lists, runs beyond a text's end, and a slice of a column."""
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("cover", pa.list_(pa.int32()))]))
+    runs = [[{"s": 0, "cover": [0, 9]}], None, [{"s": 2, "cover": [0, 2, 3, 9]}, {"s": 0, "cover": [1, 3]}], [], [{"s": 9, "cover": [0, 3]}, {"s": 0, "cover": []}]]
+    sizes = [4, 3, 7, 5, 6]
+    want = np.concatenate([[any(x["s"] + a <= j < x["s"] + b for x in r or () for a, b in zip(x["cover"][::2], x["cover"][1::2], strict=True)) for j in range(n)] for r, n in zip(runs, sizes, strict=True)])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    assert repeats.covered_mask(pa.array(runs, kind), bounds).tolist() == want.tolist()
+    assert repeats.covered_mask(pa.array(runs, kind).slice(2), bounds[2:] - bounds[2]).tolist() == want[bounds[2] :].tolist()
