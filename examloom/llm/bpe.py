@@ -8,7 +8,8 @@ Back-pointers then give the exact ids, without running merges on the text.
 
 The vocabulary is loaded from the tokenizer file at a path given as parameter.
 Normalisation and pre-tokenisation are the tokenizer's own.  Words repeat, so
-each Python worker keeps bounded caches of encoded words.  No shuffle.
+each Python worker keeps bounded caches of encoded words; the new ones of a batch
+go through the same steps side by side.  No shuffle.
 
 Null or empty text gives no ids and empty decoded text.  Special tokens inside
 a text become their ids, as the tokenizers library does by default.
@@ -33,6 +34,8 @@ from examloom.llm.blocks import KEPT, Recent, configure
 CACHED_WORDS = 80 << 20
 CACHED_PIECES = 40 << 20
 CACHED_PAIRS = 32 << 20
+#: Pre-tokens of at most so many symbols are encoded side by side, so many of a batch's new ones at a time.
+SIDE_BY_SIDE, TOGETHER = 64, 20_000
 _INF = 1 << 60
 #: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
 _KNOWN = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -133,12 +136,25 @@ class Encoder:
         self.near = [s if s in v.at else u for s, u in enumerate(self.up)]
         self.at = [v.at.get(s, ()) for s in range(len(self.up))]
         self.plain = json.loads(v.json)["pre_tokenizer"] == _KNOWN
+        # The same as arrays: transitions by state and symbol, and the tokens of each state one after the other.
+        keys = np.fromiter(v.step, dtype=np.int64, count=len(v.step))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(v.step.values(), dtype=np.int64, count=len(keys))[order]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in self.at])])
+        self.sizes, self.tokens = np.array([y for x in self.at for y in x], dtype=np.int64).reshape(-1, 2).T.copy()
+        self.links, self.lengths, self.ups, self.nearest = (np.array(x, dtype=np.int64) for x in (self.link, self.length, self.up, self.near))
+        self.codes = np.full(max(map(ord, v.symbol)) + 1, -1)
+        self.codes[[ord(c) for c in v.symbol]] = list(v.symbol.values())
+        self.cut: dict[str, list[str]] = {}  # of the batch at hand: its new words' pre-tokens, and what these give
+        self.ready: dict[str, bytes] = {}
         self.pairs = Recent(CACHED_PAIRS, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
         self.pieces = Recent(CACHED_PIECES, self.piece, lambda k, got: 4 * len(k) + len(got))
         self.words = Recent(CACHED_WORDS, self.word, lambda k, got: 100 + len(k) + len(got[0]) + len(got[1]))
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, as bytes."""
+        if (known := self.ready.get(text)) is not None:
+            return known
         w = list(map(self.v.symbol.__getitem__, text))
         w[-1] += self.v.ends
         step, link, length, near, at, fits, up = self.v.step.get, self.link, self.length, self.near, self.at, self.pairs, self.up
@@ -169,8 +185,82 @@ class Encoder:
         out.reverse()
         return array("I", out).tobytes()
 
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """What ``piece`` gives for each, by the same steps on all side by side."""
+        pieces_by = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+        size = np.array([len(pieces[k]) for k in pieces_by])
+        begin = np.cumsum(size) - size
+        flat = self.codes[np.frombuffer("".join([pieces[k] for k in pieces_by]).encode("utf-32-le"), dtype="<u4")]
+        flat[begin + size - 1] += self.v.ends
+        n_all, longest = len(size), int(size[0])
+        last, back = np.full((longest + 1, n_all), -1), np.zeros((longest + 1, n_all), dtype=np.int64)
+        s, n = np.zeros(n_all, dtype=np.int64), np.zeros(n_all, dtype=np.int64)
+        for i in range(1, longest + 1):
+            m = int(np.searchsorted(-size, -i, side="right"))  # those with a symbol here
+            c, todo = flat[begin[:m] + i - 1], np.arange(m)
+            while len(todo):
+                key = s[todo] << 10 | c[todo]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                s[todo[hit]] = self.to[at[hit]]
+                todo = todo[~hit]
+                s[todo] = self.links[s[todo]]
+                n[todo] = self.lengths[s[todo]]
+            n[:m] += 1
+            todo, t = np.arange(m), self.nearest[s[:m]]
+            q = self.first[t]
+            while len(todo):
+                token, wide = self.tokens[q], self.sizes[q]
+                good = wide <= n[todo]
+                u = last[np.maximum(i - wide, 0), todo]
+                ask = np.flatnonzero(good & (wide != i))
+                good[ask] = u[ask] >= 0
+                ask = ask[good[ask]]
+                if len(ask):
+                    kinds, of = np.unique(u[ask] << 32 | token[ask], return_inverse=True)
+                    good[ask] = np.array([self.pairs[k] for k in kinds.tolist()])[of]
+                last[i, todo[good]], back[i, todo[good]] = token[good], i - wide[good]
+                todo, t, q = todo[~good], t[~good], q[~good] + 1
+                over = q == self.first[t + 1]
+                t[over] = self.ups[t[over]]
+                q[over] = self.first[t[over]]
+                todo, t, q = (x[t > 0] for x in (todo, t, q))
+        rows, at, ids, of = np.arange(n_all), size.copy(), [], []
+        while len(rows):
+            ids.append(last[at[rows], rows])
+            of.append(rows)
+            at[rows] = back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        of = np.concatenate(of)[::-1]
+        data = np.concatenate(ids)[::-1][np.argsort(of, kind="stable")].astype("<u4").tobytes()
+        end = np.cumsum(np.bincount(of, minlength=n_all)) * 4
+        out = [b""] * len(pieces)
+        for k, a, b in zip(pieces_by, [0, *end[:-1].tolist()], end.tolist(), strict=True):
+            out[k] = data[a:b]
+        return out
+
+    def prepare(self, texts: list[bytes]) -> None:
+        """Encode the new pre-tokens of a batch's words side by side; they are kept until the next batch."""
+        self.cut, self.ready = {}, {}
+        words, known, older = set().union(*(x.split() for x in texts)), self.words, self.words.old
+        fresh: set[str] = set()
+        for raw in words:
+            if raw not in known and raw not in older:
+                text = raw.decode()
+                for part in self.split.split(text)[::2] if self.split else [text]:
+                    if part:
+                        self.cut[part] = parts = self.parts(part)
+                        fresh.update(parts)
+        wanted = [x for x in fresh if 0 < len(x) <= SIDE_BY_SIDE and x not in self.pieces and x not in self.pieces.old]
+        wanted.sort(key=len)
+        for k in range(0, len(wanted), TOGETHER):
+            some = wanted[k : k + TOGETHER]
+            self.ready.update(zip(some, self.together(some), strict=True))
+
     def parts(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
+        if (known := self.cut.get(text)) is not None:
+            return known
         if self.plain and _PLAIN(text):
             return _PLAIN_PARTS(text.lower())
         return [x for x, _ in self.pretokenise.pre_tokenize_str(self.normalise.normalize_str(text))]
@@ -195,6 +285,7 @@ def _words(v: Vocabulary) -> Recent:
     key = hashlib.sha1(v.json.encode()).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(v)
+        _ENCODERS[key].words.encoder = _ENCODERS[key]
     return _ENCODERS[key].words
 
 
@@ -213,8 +304,10 @@ def _mapped(key: str, text: str, shared, whole: bool):
         words = _words(shared.value)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for value in batch.column(text).cast(pa.large_binary()):
-                ids, decoded = encode(value.as_py() or b"", words)
+            texts = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
+            words.encoder.prepare(texts)
+            for value in texts:
+                ids, decoded = encode(value, words)
                 n.append(len(ids) // 4)
                 if whole:
                     all_ids.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))

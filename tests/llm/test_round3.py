@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from examloom.llm import bcr, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
+from examloom.llm import bcr, bpe, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, start string, id string, g string"
 
@@ -469,3 +469,15 @@ def test_covered_units_of_a_block():
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     assert repeats.covered_mask(pa.array(runs, kind), bounds).tolist() == want.tolist()
     assert repeats.covered_mask(pa.array(runs, kind).slice(2), bounds[2:] - bounds[2]).tolist() == want[bounds[2] :].tolist()
+
+
+def test_pretokens_side_by_side():
+    """The same ids as one by one, in any company and of any length."""
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.default_path()))
+    dice = random.Random(8)
+    letters = [c for c in encoder.v.symbol]
+    some = sorted({"".join(dice.choice("etaoinshrdlu" if dice.random() < 0.9 else letters) for _ in range(dice.randint(1, 64))) for _ in range(400)})
+    assert encoder.together(some) == [encoder.piece(x) for x in some]
+    assert encoder.together(["a"]) == [encoder.piece("a")]
+    encoder.prepare(["two wörds <|endoftext|> don't".encode(), b"", b"x" * 500])
+    assert encoder.ready and all(got == bpe.Encoder(encoder.v).piece(x) for x, got in encoder.ready.items())
