@@ -73,13 +73,21 @@ def segments(values: np.ndarray, bounds: np.ndarray, w: int, m: int) -> dict[str
     return out | {k: out[k] - base for k in ("start", "anchor", "end")}
 
 
-def runs_of(mask: np.ndarray, w: int) -> list[int]:
-    """What the marked windows cover, as a flat list of begin and end."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    out: list[int] = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if out and a <= out[-1]:
-            out[-1] = b - 1 + w
+def runs_within(mask: np.ndarray, bounds: np.ndarray, w: int) -> list[list[int]]:
+    """What the marked windows of each text cover, as a flat list of begin and end; bounds: where each text's windows begin, and the end."""
+    # One unmarked place after each text keeps runs apart.
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    apart = np.zeros(len(mask) + len(bounds) + 1, dtype=np.int8)
+    apart[np.arange(len(mask)) + text + 1] = mask
+    edge = np.flatnonzero(np.diff(apart)).reshape(-1, 2)
+    first = bounds + np.arange(len(bounds))
+    owner = np.searchsorted(first, edge[:, 0], side="right") - 1
+    edge = edge - first[owner][:, None]
+    out: list[list[int]] = [[] for _ in range(len(bounds) - 1)]
+    for i, a, b in zip(owner.tolist(), edge[:, 0].tolist(), edge[:, 1].tolist(), strict=True):
+        own = out[i]
+        if own and a <= own[-1]:
+            own[-1] = b - 1 + w
         else:
-            out += (a, b - 1 + w)
+            own += (a, b - 1 + w)
     return out

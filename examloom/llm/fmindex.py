@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examloom.llm.anchors import runs_of
+from examloom.llm.anchors import runs_within
 from examloom.llm.blocks import blocks, configure
 from examloom.llm.repeats import Units, covered_mask, covers, identified, with_runs
 from examloom.storage import discard, stored
@@ -53,7 +53,9 @@ class WaveletMatrix:
     def walk(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
             word = i >> 6
-            ones = self.sums[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            below = self.bits[k].take(word)
+            below &= (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
+            ones = self.sums[k].take(word) + np.bitwise_count(below)
             i = np.where((c >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, i - ones)
         return i
 
@@ -72,7 +74,7 @@ class FMIndex:
             other = np.zeros(n, dtype=np.int64)
             other[: n - span] = rank[span:] + 1
             key = rank * (n + symbols + 2) + other
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # places equal up to the depth may stand in any order
             fresh = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
             rank = np.empty(n, dtype=np.int64)
             rank[order] = fresh
@@ -100,7 +102,8 @@ def statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, w: int, weight
     lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), len(text), dtype=np.int64)
     live = np.arange(len(end))
     for k in range(1, w + 1):
-        lo[live], hi[live] = index.extend(text[end[live] - k], lo[live], hi[live])
+        c = text[end[live] - k]
+        lo[live], hi[live] = index.extend(c, lo[live], hi[live]) if k > 1 else (index.less[c], index.less[c + 1])
         alone = upto[hi[live]] - upto[lo[live]] < 2  # found at this end only
         matched[live[alone]] = k - 1
         live = live[~alone]
@@ -139,10 +142,10 @@ def shard(columns: dict[str, list], w: int = WINDOW) -> Iterator[tuple[int, list
         least = np.minimum.reduceat(turn[by], cut)
         first[by] = turn[by] == np.repeat(least, np.diff(np.append(cut, len(by))))
     at = np.concatenate([[0], np.cumsum(count)])
-    for i in range(len(parts)):
-        mine = slice(at[i], at[i + 1])
-        if repeated[mine].any():
-            yield i, runs_of(repeated[mine], w), runs_of(repeated[mine] & ~first[mine], w)
+    later = repeated & ~first
+    every, own = runs_within(repeated, at, w), runs_within(later, at, w)
+    for i in np.flatnonzero(np.add.reduceat(repeated, at[:-1])).tolist():
+        yield i, every[i], own[i]
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

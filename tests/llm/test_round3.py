@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from examloom.llm import bcr, bpe, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
+from examloom.llm import anchors, bcr, bpe, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, start string, id string, g string"
 
@@ -471,6 +471,19 @@ def test_covered_units_of_a_block():
     assert repeats.covered_mask(pa.array(runs, kind).slice(2), bounds[2:] - bounds[2]).tolist() == want[bounds[2] :].tolist()
 
 
+def test_runs_of_all_texts_at_once():
+    dice = np.random.RandomState(7)
+    count = [5, 1, 30, 12, 1, 40]
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    mask = dice.rand(bounds[-1]) < 0.3
+    mask[[4, 5, 6]] = True
+    for text, got in enumerate(anchors.runs_within(mask, bounds, 3)):
+        own = mask[bounds[text] : bounds[text + 1]]
+        want = {j for i in np.flatnonzero(own).tolist() for j in range(i, i + 3)}
+        assert {j for a, b in zip(got[::2], got[1::2], strict=True) for j in range(a, b)} == want
+        assert all(b < a for b, a in zip(got[1::2], got[2::2], strict=False))
+
+
 def test_pretokens_side_by_side():
     """The same ids as one by one, in any company and of any length."""
     encoder = bpe.Encoder(bpe.Vocabulary(bpe.default_path()))
