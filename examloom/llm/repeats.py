@@ -15,10 +15,13 @@ anchor stands in them; the windows of a class that are in one segment make a par
 whose key is what all windows of the class have in common around the anchor, up
 to nearly a whole window.  Equal windows have equal keys, and parts whose key
 occurs once are done with.  Keys that still have too many are split again, until
-a class is a single place and its key the window itself.  So a segment makes at
-most ``SPLIT`` rows a round, in a few rounds, not a row for each of its windows, no
+a class is a single place and its key the window itself.  A split starts from the
+distinct segments, not from all that occur, and from their contents, which are
+read with those to index: documents move once, however many rounds there are.  A
+segment makes at most ``SPLIT`` rows a round, not a row for each of its windows, no
 group in a shard exceeds ``HOT`` segments, and a shard is indexed in portions of
-about ``PORTION`` of them.  The joins on hot keys are plain equi joins of two
+about ``PORTION`` of them.  What the parts' index tells is handed to the segments
+they were cut from.  The joins on hot keys are plain equi joins of two
 shuffled sides, which adaptive execution splits.
 
 A document is a row: rows are told apart by id and a hash of their text, so null
@@ -52,6 +55,7 @@ class Units:
 
     def __init__(self, words: bool, w: int, m: int) -> None:
         self.words, self.w, self.m = words, w, m
+        self.size = 8 if words else 1  # bytes of a unit
 
     def values(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The units of a block (words by their hashes) and where each text begins."""
@@ -71,27 +75,31 @@ def _segments(units: Units):
 
 
 def _parts(units: Units, n: int):
-    """The wanted segments cut by where in a window the anchor stands, into n classes of places: what the windows of a class have in common is the key of their part."""
+    """Segments cut by where in a window the anchor stands, into n classes of places: what the windows of a class have in common is the key of their part."""
     span = units.w - units.m + 1
     edge = -(-np.arange(n + 1) * span // n)  # class p has the places edge[p] to edge[p + 1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            values, bounds = units.values(block)
-            size = values.itemsize
-            data = np.ascontiguousarray(values).view(np.uint8)
-            for i, (base, wanted) in enumerate(zip(bounds[:-1].tolist(), block.batch.column("wanted").to_pylist(), strict=True)):
-                for at in range(0, len(wanted), BATCH_ROWS):
-                    s, a, e = np.array([(x["s"], x["a"], x["e"]) for x in wanted[at : at + BATCH_ROWS]]).T
-                    low, high = ((x * n) // span for x in (a - e + units.w, a - s))
-                    which, step = spread(high - low + 1)
-                    c, s, a, e = low[which] + step, s[which], a[which], e[which]
-                    s, e = np.maximum(s, a - edge[c + 1] + 1), np.minimum(e, a - edge[c] + units.w)
-                    hashes = lambda x, y: range_hashes(data, (base + x) * size, (base + y) * size)  # noqa: B023, E731
-                    h = mix(hashes(a - edge[c], a - edge[c + 1] + 1 + units.w) ^ (c + (n << 16)).astype(np.uint64))
-                    f = hashes(s, e) ^ ((a - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    row = pa.array(np.full(len(s), i))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h, f)), *(block.batch.column(k).take(row) for k in ("id", "th")), *(pa.array(x.astype(np.int32)) for x in (s, a, e))], names=["h", "f", "id", "th", "s", "a", "e"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(lo, BATCH_ROWS)
+                contents = some.column("content").to_pylist()
+                data, length = np.frombuffer(b"".join(contents), dtype=np.uint8), np.array([len(x) for x in contents]) // units.size
+                base, s, a, at = np.cumsum(length) - length, *(some.column(k).to_numpy().astype(np.int64) for k in ("s", "a", "at"))
+                e = s + length
+                low, high = ((x * n) // span for x in (a - e + units.w, a - s))
+                which, step = spread(high - low + 1)
+                c, a, first = low[which] + step, a[which], s[which]
+                s, e = np.maximum(first, a - edge[c + 1] + 1), np.minimum(e[which], a - edge[c] + units.w)
+                places = lambda x: (base[which] + x - first) * units.size  # noqa: B023, E731
+                hashes = lambda x, y: range_hashes(data, places(x), places(y))  # noqa: B023, E731
+                h = mix(hashes(a - edge[c], a - edge[c + 1] + 1 + units.w) ^ (c + (n << 16)).astype(np.uint64))
+                f = hashes(s, e) ^ ((a - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                row, made = pa.array(which), {"h": pa.array(h.view(np.int64)), "f": pa.array(f.view(np.int64))}
+                made |= {k: pa.array(x.astype(np.int32)) for k, x in (("s", s), ("a", a), ("at", at[which] + s - first))}
+                made["content"] = pa.array([data[x:y].tobytes() for x, y in zip(places(s).tolist(), places(e).tolist(), strict=True)], pa.binary())
+                names = ["h", "f", "oh", "of", "n", "id", "th", "s", "a", "at", "content"]
+                yield pa.RecordBatch.from_arrays([made[k] if k in made else some.column(k).take(row) for k in names], names=names)
 
     return run
 
@@ -105,8 +113,8 @@ def _contents(units: Units):
                     some = wanted[at : at + BATCH_ROWS]
                     row = pa.array([i] * len(some))
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([x[k] for x in some], pa.int64()) for k in "hfn"), *(block.batch.column(k).take(row) for k in ("id", "th")), *(pa.array([x[k] for x in some], pa.int32()) for k in "sa"), pa.array([values[b + x["s"] : b + x["e"]].tobytes() for x in some], pa.binary())],
-                        names=["h", "f", "n", "id", "th", "s", "a", "content"],
+                        [*(pa.array([x[k] for x in some], pa.int64()) for k in "hfnk"), *(block.batch.column(k).take(row) for k in ("id", "th")), *(pa.array([x[k] for x in some], pa.int32()) for k in "sa"), pa.array([values[b + x["s"] : b + x["e"]].tobytes() for x in some], pa.binary())],
+                        names=["h", "f", "n", "k", "id", "th", "s", "a", "content"],
                     )
 
     return run
@@ -184,40 +192,48 @@ def covers(docs: DataFrame, units: Units, index: Index, settle: bool = False, ke
         used.append(stored(df, name))
         return used[-1]
 
-    def representatives(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def representatives(df: DataFrame, times, last: str) -> tuple[DataFrame, DataFrame]:
         """The distinct segments, with k, how many of them their key has; and the keys with theirs."""
-        first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "a", "s", "e")).alias("r")
-        reps = kept(df.groupBy("h", "f").agg(F.count("*").alias("n"), first), "reps")
+        first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "a", "s", last)).alias("r")
+        reps = kept(df.groupBy("h", "f").agg(times.alias("n"), first), "reps")
         # A key that occurs once has no window that occurs again.
         groups = kept(reps.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("c")).where("c > 1").select("h", "k"), "groups")
         return reps.join(groups, "h"), groups
 
-    def read(wanted: DataFrame, run, schema: str) -> DataFrame:
-        """What run makes of the documents with something wanted."""
-        named = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
-        return rows.join(named, rows["id"].eqNullSafe(named["wid"]) & (rows["th"] == named["wth"])).select("id", "th", "text", "wanted").mapInArrow(run, schema)
-
-    reps, groups = representatives(again)
-    now, n, many = again, 1, [groups]
-    while not (hot := groups.where(F.col("k") > HOT).select("h")).isEmpty():
+    def wholes(reps: DataFrame, length) -> DataFrame:
+        whole = F.array(F.lit(0), length.cast("int"))
+        return reps.where("k = 1").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
+
+    reps, groups = representatives(again, F.count("*"), "e")
+    least = 1 if settle else 0
+    indexed = (F.col("k") <= HOT) & (F.col("k") > least)
+    # The documents are read once, for the segments to index and for those to split.
+    wanted = reps.where(F.col("k") > least).groupBy("r.id", "r.th").agg(F.collect_list(F.struct("h", "f", "n", "k", F.col("r.s").alias("s"), F.col("r.a").alias("a"), F.col("r.e").alias("e"))).alias("wanted"))
+    named = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
+    there = rows.join(named, rows["id"].eqNullSafe(named["wid"]) & (rows["th"] == named["wth"])).select("id", "th", "text", "wanted")
+    contents = kept(there.mapInArrow(_contents(units), f"h long, f long, n long, k long, id {kind}, th long, s int, a int, content binary"), "contents")
+    columns = ["h", "f", "n", "id", "th", "s", "a", "content"]
+    strings, settled, many, n = contents.where(indexed).select(columns), wholes(reps, F.col("r.e") - F.col("r.s")), [groups], 1
+    now, parts = contents.where(F.col("k") > HOT).dropDuplicates(["h", "f"]).select(F.col("h").alias("oh"), F.col("f").alias("of"), "n", "id", "th", "s", "a", F.lit(0).alias("at"), "content"), None
+    while not (hot := many[-1].where(F.col("k") > HOT).select("h")).isEmpty():
+        if parts is not None:
+            now = now.join(hot, "h")
         n = min(n * SPLIT, units.w - units.m + 1)
-        split = now.join(hot, "h").groupBy("id", "th").agg(F.collect_set(F.struct("s", "a", "e")).alias("wanted"))
-        now = kept(read(split, _parts(units, n), schema), "parts")
-        some, groups = representatives(now)
-        # What is split has no answer by its old key, which the join with the answers drops.
-        again, reps = again.unionByName(now), reps.unionByName(some)
+        now = kept(now.mapInArrow(_parts(units, n), f"h long, f long, oh long, of long, n long, id {kind}, th long, s int, a int, at int, content binary"), "parts")
+        some, groups = representatives(now, F.sum("n"), "content")
+        parts = now if parts is None else parts.unionByName(now)
+        strings = strings.unionByName(some.where(indexed).select("h", "f", "n", *(F.col(f"r.{c}").alias(c) for c in columns[3:])))
+        settled = settled.unionByName(wholes(some, F.length("r.content") / units.size))
         many.append(groups)
-    whole = F.array(F.lit(0), F.col("r.e") - F.col("r.s"))
-    wholes = reps.where("k = 1").select("h", "f", whole.alias("cover"), whole.alias("first_cover"), F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.col("r.a").alias("ra"))
-    indexed = (F.col("k") <= HOT) & (F.col("k") > (1 if settle else 0))
-    reps = reps.where(indexed)
-    strings = sum(g.where(indexed).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] for g in many)
-    wanted = reps.groupBy("r.id", "r.th").agg(F.collect_list(F.struct("h", "f", "n", F.col("r.s").alias("s"), F.col("r.a").alias("a"), F.col("r.e").alias("e"))).alias("wanted"))
-    contents = read(wanted, _contents(units), f"h long, f long, n long, id {kind}, th long, s int, a int, content binary")
-    shards = max(2 * spark.sparkContext.defaultParallelism, strings // SHARD)
-    told = shown = stored(contents.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_indexed(index), f"h long, f long, cover array<int>, first_cover array<int>, rid {kind}, rth long, ra int"), "told")
+    count = sum(g.where(indexed).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] for g in many)
+    shards = max(2 * spark.sparkContext.defaultParallelism, count // SHARD)
+    told = shown = stored(strings.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_indexed(index), f"h long, f long, cover array<int>, first_cover array<int>, rid {kind}, rth long, ra int"), "told")
     if settle:
-        told = told.unionByName(wholes)
+        told = told.unionByName(settled)
+    if parts is not None:
+        # A part's answer is one of each segment it was cut from.
+        moved = [F.transform(c, lambda x: x + F.col("at")).alias(c) for c in ("cover", "first_cover")]
+        told = told.unionByName(parts.select("h", "f", "oh", "of", "at").join(told, ["h", "f"]).select(F.col("oh").alias("h"), F.col("of").alias("f"), *moved, "rid", "rth", "ra"))
     own = F.when(F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")) & (F.col("a") == F.col("ra")), F.col("first_cover")).otherwise(F.col("cover"))
     marks = again.join(told, ["h", "f"]).select("id", "th", "s", own.alias("cover")).where(F.size("cover") > 0)
     # Rows with id and text equal have their segments once.

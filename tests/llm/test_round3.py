@@ -412,6 +412,33 @@ def test_parts_of_hot_anchors_are_few(spark, monkeypatch):
     assert made and sum(made) < 120 * 40
 
 
+def test_hot_anchors_are_split_by_distinct_segments(spark, monkeypatch):
+    """However often the segments of a hot anchor occur, they are split once, and the documents are read once for all rounds."""
+    dice = random.Random(12)
+    words = lambda k: " ".join("".join(dice.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    passage, made = words(60), []
+    texts = [f"{words(40)} {passage} {words(40)}" for _ in range(40)]
+
+    def counted(df, name, stored=repeats.stored):
+        out = stored(df, name)
+        made.append((name, out.count() if name == "parts" else 0))
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    monkeypatch.setattr(repeats, "HOT", 5)
+    parts = []
+    for some in (texts, texts + texts[:20] + texts[:20]):
+        made.clear()
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        data = [t.encode() for t in some]
+        seen = collections.Counter(x[i : i + 200] for x in data for i in range(len(x) - 199))
+        want = {k: len({j for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1 for j in range(i, i + 200)}) for k, x in enumerate(data)}
+        assert {r.doc_id: r.n_removed for r in bcr.removed(df).collect()} == want
+        parts.append([n for name, n in made if name == "parts"])
+        assert [name for name, _ in made].count("contents") == 1
+    assert len(parts[0]) > 1 and parts[0] == parts[1]
+
+
 def test_pairs_of_outliers_are_bounded_by_place(spark, monkeypatch):
     """Sets that share an item late in their order, and little with the leader, make no pair."""
     dice = random.Random(4)
