@@ -39,7 +39,6 @@ SIDE_BY_SIDE, TOGETHER = 64, 20_000
 _INF = 1 << 60
 #: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
 _KNOWN = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-_PLAIN = re.compile(r"[!-~]+").fullmatch
 _PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
@@ -145,7 +144,8 @@ class Encoder:
         self.links, self.lengths, self.ups, self.nearest = (np.array(x, dtype=np.int64) for x in (self.link, self.length, self.up, self.near))
         self.codes = np.full(max(map(ord, v.symbol)) + 1, -1)
         self.codes[[ord(c) for c in v.symbol]] = list(v.symbol.values())
-        self.cut: dict[str, list[str]] = {}  # of the batch at hand: its new words' pre-tokens, and what these give
+        self.marks = [x.encode() for x in v.special]
+        self.cut: dict[bytes, list[str]] = {}  # of the batch at hand: its new words' pre-tokens (no special tokens inside), and what these give
         self.ready: dict[str, bytes] = {}
         self.pairs = Recent(CACHED_PAIRS, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
         self.pieces = Recent(CACHED_PIECES, self.piece, lambda k, got: 4 * len(k) + len(got))
@@ -244,13 +244,16 @@ class Encoder:
         self.cut, self.ready = {}, {}
         words, known, older = set().union(*(x.split() for x in texts)), self.words, self.words.old
         fresh: set[str] = set()
+        split = self.split if any(m in x for m in self.marks for x in texts) else None
         for raw in words:
             if raw not in known and raw not in older:
                 text = raw.decode()
-                for part in self.split.split(text)[::2] if self.split else [text]:
-                    if part:
-                        self.cut[part] = parts = self.parts(part)
-                        fresh.update(parts)
+                if split and split.search(text):
+                    for part in split.split(text)[::2]:
+                        fresh.update(self.parts(part) if part else ())
+                else:
+                    self.cut[raw] = parts = self.parts(text)
+                    fresh.update(parts)
         wanted = [x for x in fresh if 0 < len(x) <= SIDE_BY_SIDE and x not in self.pieces and x not in self.pieces.old]
         wanted.sort(key=len)
         for k in range(0, len(wanted), TOGETHER):
@@ -259,21 +262,22 @@ class Encoder:
 
     def parts(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
-        if (known := self.cut.get(text)) is not None:
-            return known
-        if self.plain and _PLAIN(text):
-            return _PLAIN_PARTS(text.lower())
+        if self.plain and text.isascii() and text.isprintable() and " " not in text:
+            return [text.lower()] if text.isalpha() else _PLAIN_PARTS(text.lower())
         return [x for x, _ in self.pretokenise.pre_tokenize_str(self.normalise.normalize_str(text))]
 
     def word(self, raw: bytes) -> tuple[bytes, bytes]:
         """The bytes of the ids and of the decoded text of one word without white space of ASCII."""
-        ids, text = [], raw.decode()
-        for k, part in enumerate(self.split.split(text) if self.split else [text]):
-            if k % 2:
-                ids.append(self.v.special[part].to_bytes(4, "little"))
-            elif part:
-                ids += [self.pieces[x] for x in self.parts(part)]
-        got = b"".join(ids)
+        if (parts := self.cut.get(raw)) is not None:
+            got = self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[x] for x in parts])
+        else:
+            ids, text = [], raw.decode()
+            for k, part in enumerate(self.split.split(text) if self.split else [text]):
+                if k % 2:
+                    ids.append(self.v.special[part].to_bytes(4, "little"))
+                elif part:
+                    ids += [self.pieces[x] for x in self.parts(part)]
+            got = b"".join(ids)
         return got, " ".join(map(self.v.token.__getitem__, memoryview(got).cast("I"))).encode()
 
 

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from examloom.llm import anchors, bcr, bpe, decontaminate, fmindex, hardneg, merkle, neardup, repeats, simhash
+from examloom.llm import anchors, bcr, bpe, decontaminate, fmindex, hardneg, langid, merkle, neardup, repeats, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, start string, id string, g string"
 
@@ -521,3 +521,19 @@ def test_pretokens_side_by_side():
     assert encoder.together(["a"]) == [encoder.piece("a")]
     encoder.prepare(["two wörds <|endoftext|> don't".encode(), b"", b"x" * 500])
     assert encoder.ready and all(got == bpe.Encoder(encoder.v).piece(x) for x, got in encoder.ready.items())
+
+
+def test_words_are_cut_once(monkeypatch):
+    """The pre-tokens of a batch's new words are found once, and special tokens are still told apart."""
+    encoder, cut = bpe.Encoder(bpe.Vocabulary(bpe.default_path())), []
+    monkeypatch.setattr(bpe.Encoder, "parts", lambda self, text, parts=bpe.Encoder.parts: cut.append(text) or parts(self, text))
+    texts = ["Plain words, don't they: WÖRDS 12x \x1c\x1f a b".encode(), b"plain words again"]
+    encoder.prepare(texts)
+    words = {w for x in texts for w in x.split()}
+    got = {w: encoder.words[w] for w in words}
+    assert sorted(cut) == sorted(w.decode() for w in words)
+    slow = bpe.Encoder(encoder.v)
+    assert got == {w: slow.word(w) for w in words}
+    mixed = [b"x<|endoftext|>y", b"<|endoftext|>", b"plain"]
+    encoder.prepare([b" ".join(mixed)])
+    assert [encoder.words[w] for w in mixed] == [slow.word(w) for w in mixed]
