@@ -7,7 +7,9 @@ spelled out besides.  The language that needs fewest phrases for the normalised
 text wins.  Texts are lower-cased, everything but
 letters becomes one blank.  Every text is parsed whole, from its first symbol to
 its last: those of a batch side by side in numpy, and what is left of the few
-longest of them one after the other.  No shuffle of texts.
+longest of them one after the other.  Steps side by side are looked up in one
+array by state and symbol, or in a hash table where the sample's alphabet is too
+large for that.  No shuffle of texts.
 
 The labelled text is a bounded sample: at most ``SAMPLE_DOCS`` documents and
 ``SAMPLE_CHARS`` symbols a language, of each document at most ``DOC_CHARS``,
@@ -40,6 +42,8 @@ DOC_CHARS = 4_000
 TOTAL_CHARS = 400_000
 #: Texts parsed side by side: at most, and at least.
 LANES, FEW = 8_192, 24
+#: Steps of all states in one array, if it has at most so many entries of four bytes; a step's cost stands above its state.
+DENSE, _COST = 1 << 25, 29
 UNDECIDED = "und"
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +89,7 @@ class Model:
             for c, x in automaton.next[0].items():
                 self.first[i, c] = size + x
             size += len(automaton.next)
+        self.size, self.every = size, None
         self.keys, self.to = self._table(np.array(keys, dtype=np.int64), np.array(to, dtype=np.int32))
 
     def _slot(self, key: np.ndarray, bits: int) -> np.ndarray:
@@ -122,6 +127,16 @@ class Model:
         out = np.where(fresh, self.first[:, code], out)
         return out, fresh.astype(np.int64) + (out == self.base[:, None])
 
+    def dense(self) -> np.ndarray | None:
+        """By state and code the next state, times width, and what a phrase that begins costs; None if that is too much.  Made where it is used."""
+        if self.every is None and self.size * self.width <= DENSE:
+            fresh = self.first * self.width | (1 + (self.first == self.base[:, None])) << _COST
+            every = np.repeat(fresh.astype(np.int32), np.diff(self.base, append=self.size), axis=0).ravel()
+            used = self.keys >= 0
+            every[self.keys[used]] = self.to[used] * np.int32(self.width)
+            self.every = every
+        return self.every
+
     def steps(self) -> list[dict[int, int]]:
         """The hash table's steps as dictionaries by language."""
         used = np.flatnonzero(self.keys >= 0)
@@ -159,7 +174,7 @@ def _tail(model: Model, lang: int, steps: dict[int, int], state: int, codes: np.
 
 def phrases(model: Model, steps: list[dict[int, int]], codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Phrases of each text (rows) in each language (columns), letters never seen counted twice."""
-    sizes = np.diff(bounds)
+    sizes, every = np.diff(bounds), model.dense()
     out = np.zeros((len(sizes), len(model.langs)), dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")  # long texts first: those still at work stand in front
     for at in range(0, len(order), LANES):
@@ -168,10 +183,20 @@ def phrases(model: Model, steps: list[dict[int, int]], codes: np.ndarray, bounds
         state = np.repeat(model.base[:, None], len(some), axis=1)
         n = np.zeros(state.shape, dtype=np.int64)
         together = int(size[FEW]) if len(some) > FEW else 0
-        for i in range(together):
-            live = int(np.searchsorted(-size, -i, side="left"))  # sizes above i
-            state[:, :live], cost = model.step(state[:, :live], codes[start[:live] + i])
+        above = np.searchsorted(-size, -np.arange(together), side="left").tolist()  # sizes above i
+        if every is not None:
+            state = (state * model.width).astype(np.int32)
+        for i, live in enumerate(above):
+            code = codes[start[:live] + i]
+            if every is not None:
+                got = every[state[:, :live] + code]
+                n[:, :live] += got >> _COST
+                np.bitwise_and(got, (1 << _COST) - 1, out=state[:, :live])
+                continue
+            state[:, :live], cost = model.step(state[:, :live], code)
             n[:, :live] += cost
+        if every is not None:
+            state //= model.width
         for k in np.flatnonzero(size > together).tolist():
             for lang in range(len(model.langs)):
                 n[lang, k] += _tail(model, lang, steps[lang], int(state[lang, k]), codes[start[k] + together : start[k] + size[k]])

@@ -537,3 +537,19 @@ def test_words_are_cut_once(monkeypatch):
     mixed = [b"x<|endoftext|>y", b"<|endoftext|>", b"plain"]
     encoder.prepare([b" ".join(mixed)])
     assert [encoder.words[w] for w in mixed] == [slow.word(w) for w in mixed]
+
+
+def test_steps_in_one_array_are_those_of_the_hash_table(monkeypatch):
+    dice = random.Random(3)
+    text = lambda letters, k: "".join(dice.choice(letters + " ") for _ in range(k))
+    model = langid.Model({"aa": [text("abcdé", 900), text("abz", 50)], "bb": [text("bcdx", 700)], "cc": [text("жя", 300)]})
+    texts = [text("abcdéxzжяq", dice.randint(0, 300)) for _ in range(200)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    codes = langid.squeeze(model.codes()[np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")], bounds)
+    calls = []
+    monkeypatch.setattr(langid.Model, "step", lambda self, *x, step=langid.Model.step: calls.append(1) or step(self, *x))
+    got = langid.phrases(model, model.steps(), *codes)
+    assert not calls
+    model.every = None
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (got == langid.phrases(model, model.steps(), *codes)).all() and calls
