@@ -173,10 +173,8 @@ class Block:
 KEPT: list[dict] = []
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK, unspaced: bool = False) -> Iterator[Block]:
-    """Cut batches to about size bytes of text and MAX_ROWS rows; one longer text makes a block of its own."""
-    for kept in KEPT:
-        kept.clear()
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches to about size bytes of text and MAX_ROWS rows; one longer text makes a slice of its own."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -186,10 +184,18 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
         while at < n:
             used = total[at - 1] if at else 0
             to = min(at + MAX_ROWS, max(at + 1, int(np.searchsorted(total, used + size, side="right"))))
-            yield Block(batch.slice(at, to - at), column, lower, blank, unspaced)
+            yield batch.slice(at, to - at)
             at = to
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False, size: int = BLOCK_BYTES, blank: np.ndarray = BLANK, unspaced: bool = False) -> Iterator[Block]:
+    """The batches' slices as blocks."""
+    for kept in KEPT:
+        kept.clear()
+    for batch in slices(batches, column, size):
+        yield Block(batch, column, lower, blank, unspaced)
+
+
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of the given lengths: each element's run and its place in it."""
     run = np.repeat(np.arange(len(lengths)), lengths)

@@ -8,7 +8,7 @@ Back-pointers then give the exact ids, without running merges on the text.
 
 The vocabulary is loaded from the tokenizer file at a path given as parameter.
 Normalisation and pre-tokenisation are the tokenizer's own.  Words repeat, so
-each Python worker keeps bounded caches of encoded words; the new ones of a batch
+each Python worker keeps bounded caches of encoded words; the new ones of a block
 go through the same steps side by side.  No shuffle.
 
 Null or empty text gives no ids and empty decoded text.  Special tokens inside
@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from examloom.llm.automaton import SuffixAutomaton
-from examloom.llm.blocks import KEPT, Recent, configure
+from examloom.llm.blocks import KEPT, Recent, configure, slices
 
 #: Bytes of a cache's younger half; the older half holds as many.
 CACHED_WORDS = 80 << 20
 CACHED_PIECES = 40 << 20
 CACHED_PAIRS = 32 << 20
-#: Pre-tokens of at most so many symbols are encoded side by side, so many of a batch's new ones at a time.
+#: Where only ids are asked for, as in a pipeline whose earlier stages fill the executors' memory, caches have one part in so many of that room.
+ROOM_PART = 3
+#: Pre-tokens of at most so many symbols are encoded side by side, so many of a block's new ones at a time.
 SIDE_BY_SIDE, TOGETHER = 64, 20_000
 _INF = 1 << 60
 #: Fixed value: the pre-tokenizer for which printable ASCII can be split by the pattern below instead.
@@ -47,23 +50,27 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            self.json = f.read()
-        spec = json.loads(self.json)
+            text = f.read()
+        spec = json.loads(text)
         model = spec["model"]
+        self.digest = hashlib.sha1(text.encode()).hexdigest()
+        self.rules = json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}})
         suffix = model["end_of_word_suffix"] or ""
         ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         single = {c for t in ids for c in (t[: -len(suffix)] if suffix and t.endswith(suffix) else t)}
         self.symbol = {c: i for i, c in enumerate(sorted(single))}
         self.ends = len(self.symbol) if suffix else 0  # a symbol at a word's end is another one
-        rank: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        # By token: its text, the two tokens that its merge joins and that merge's rank; -1 for tokens without one.
+        self.token = [""] * (1 + max([*ids.values(), *self.special.values()]))
+        for t, i in [*ids.items(), *self.special.items()]:
+            self.token[i] = t
+        self.left, self.right, self.rank = (array("i", [-1]) * len(self.token) for _ in range(3))
         self.merges: dict[int, int] = {}
         for i, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             t = ids[a + b]
-            rank[t] = i
-            self.parts[t] = (ids[a], ids[b])
+            self.left[t], self.right[t], self.rank[t] = ids[a], ids[b], i
             self.merges[ids[a] << 32 | ids[b]] = i
         words = {}
         for t, i in ids.items():
@@ -73,13 +80,12 @@ class Vocabulary:
             w = [self.symbol[c] for c in (t[: -len(suffix)] if end else t)]
             if end:
                 w[-1] += self.ends
-            if i in self.parts or len(w) == 1:
+            if self.rank[i] >= 0 or len(w) == 1:
                 words[i] = tuple(w)
-        self.rank = rank
         # Only tokens that their own text encodes to can occur.
         whole: set[int] = set()
-        for i in sorted(words, key=lambda i: rank.get(i, -1)):
-            if i not in self.parts or (self.parts[i][0] in whole and self.parts[i][1] in whole and self.fits(*self.parts[i], joined=rank[i])):
+        for i in sorted(words, key=self.rank.__getitem__):
+            if self.rank[i] < 0 or (self.left[i] in whole and self.right[i] in whole and self.fits(self.left[i], self.right[i], joined=self.rank[i])):
                 whole.add(i)
         words = {i: w for i, w in words.items() if i in whole}
         automaton = SuffixAutomaton(list(words.values()))
@@ -91,22 +97,27 @@ class Vocabulary:
         for s in order[1:]:
             p = automaton.link[s]
             up[s] = p if p in at else up[p]
-        self.step = {s << 10 | c: t for s, d in enumerate(automaton.next) for c, t in d.items()}
-        self.link, self.length, self.up = np.array(automaton.link, dtype=np.int32), np.array(automaton.length, dtype=np.int16), np.array(up, dtype=np.int32)
-        self.at = {s: sorted(x, reverse=True) for s, x in at.items()}
-        self.token = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-
-    def _spine(self, t: int, side: int) -> list[tuple[int, int]]:
+        # Transitions by state and symbol, in order; of each state also the nearest one with tokens, itself included.
+        steps = sorted((s << 10 | c, t) for s, d in enumerate(automaton.next) for c, t in d.items())
+        self.keys, self.to = array("q", [k for k, _ in steps]), array("i", [t for _, t in steps])
+        self.link, self.length, self.up = array("i", automaton.link), array("i", automaton.length), array("i", up)
+        self.near = array("i", [s if s in at else u for s, u in enumerate(up)])
+        # The tokens of each state one after the other, longest first.
+        tokens = [sorted(at.get(s, ()), reverse=True) for s in range(len(up))]
+        self.first = array("i", np.cumsum([0, *map(len, tokens)]).tolist())
+        self.sizes, self.tokens = (array("i", [y[k] for x in tokens for y in x]) for k in range(2))
+
+    def _spine(self, t: int, side: array) -> list[tuple[int, int]]:
         """The tokens at one edge of t's merge tree from the single symbol up, each with the rank of the merge that ends it."""
         path = [(t, _INF)]
-        while t in self.parts:
-            path.append((self.parts[t][side], self.rank[t]))
-            t = self.parts[t][side]
+        while (rank := self.rank[t]) >= 0:
+            t = side[t]
+            path.append((t, rank))
         return path[::-1]
 
     def fits(self, u: int, t: int, joined: int = _INF) -> bool:
         """Whether no merge over the border of u and t comes before the merges that make them; joined: the rank of their own merge, if that is to be."""
-        left, right, i, j = self._spine(u, 1), self._spine(t, 0), 0, 0
+        left, right, i, j = self._spine(u, self.right), self._spine(t, self.left), 0, 0
         while True:
             (x, p), (y, q) = left[i], right[j]
             r = self.merges.get(x << 32 | y, _INF)
@@ -121,35 +132,31 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes words, with caches; one per Python worker."""
+    """Encodes words, with caches; one per Python worker. decodes: words give their ids and decoded text, else their ids alone."""
 
-    def __init__(self, v: Vocabulary) -> None:
+    def __init__(self, v: Vocabulary, decodes: bool = True) -> None:
         from tokenizers import Tokenizer
 
-        self.v = v
-        library = Tokenizer.from_str(v.json)
+        self.v, self.decodes = v, decodes
+        library = Tokenizer.from_str(v.rules)
         self.normalise, self.pretokenise = library.normalizer, library.pre_tokenizer
         self.split = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
-        self.link, self.length, self.up = v.link.tolist(), v.length.tolist(), v.up.tolist()
-        # The nearest state with tokens, itself included, and the tokens of each state, longest first.
-        self.near = [s if s in v.at else u for s, u in enumerate(self.up)]
-        self.at = [v.at.get(s, ()) for s in range(len(self.up))]
-        self.plain = json.loads(v.json)["pre_tokenizer"] == _KNOWN
-        # The same as arrays: transitions by state and symbol, and the tokens of each state one after the other.
-        keys = np.fromiter(v.step, dtype=np.int64, count=len(v.step))
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.fromiter(v.step.values(), dtype=np.int64, count=len(keys))[order]
-        self.first = np.concatenate([[0], np.cumsum([len(x) for x in self.at])])
-        self.sizes, self.tokens = np.array([y for x in self.at for y in x], dtype=np.int64).reshape(-1, 2).T.copy()
-        self.links, self.lengths, self.ups, self.nearest = (np.array(x, dtype=np.int64) for x in (self.link, self.length, self.up, self.near))
+        self.plain = json.loads(v.rules)["pre_tokenizer"] == _KNOWN
+        # Views of the vocabulary's arrays, for many words at a time.
+        self.keys, self.to = np.frombuffer(v.keys, dtype=np.int64), np.frombuffer(v.to, dtype=np.int32)
+        self.links, self.lengths, self.ups, self.nearest, self.first, self.sizes, self.tokens = (np.frombuffer(x, dtype=np.int32) for x in (v.link, v.length, v.up, v.near, v.first, v.sizes, v.tokens))
         self.codes = np.full(max(map(ord, v.symbol)) + 1, -1)
         self.codes[[ord(c) for c in v.symbol]] = list(v.symbol.values())
         self.marks = [x.encode() for x in v.special]
-        self.cut: dict[bytes, list[str]] = {}  # of the batch at hand: its new words' pre-tokens (no special tokens inside), and what these give
+        self.cut: dict[bytes, list[str]] = {}  # of the block at hand: its new words' pre-tokens (no special tokens inside), and what these give
         self.ready: dict[str, bytes] = {}
-        self.pairs = Recent(CACHED_PAIRS, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
-        self.pieces = Recent(CACHED_PIECES, self.piece, lambda k, got: 4 * len(k) + len(got))
-        self.words = Recent(CACHED_WORDS, self.word, lambda k, got: 100 + len(k) + len(got[0]) + len(got[1]))
+        part = 1 if decodes else ROOM_PART
+        self.pairs = Recent(CACHED_PAIRS // part, lambda k: v.fits(k >> 32, k & 0xFFFFFFFF))
+        self.pieces = Recent(CACHED_PIECES // part, self.piece, lambda k, got: 4 * len(k) + len(got))
+        if decodes:
+            self.words = Recent(CACHED_WORDS, self.word, lambda k, got: 100 + len(k) + len(got[0]) + len(got[1]))
+        else:
+            self.words = Recent(CACHED_WORDS // part, self.ids, lambda k, got: len(k) + len(got))
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, as bytes."""
@@ -157,21 +164,21 @@ class Encoder:
             return known
         w = list(map(self.v.symbol.__getitem__, text))
         w[-1] += self.v.ends
-        step, link, length, near, at, fits, up = self.v.step.get, self.link, self.length, self.near, self.at, self.pairs, self.up
+        v, fits = self.v, self.pairs
+        keys, to, link, length, near, up, first, sizes, tokens = v.keys, v.to, v.link, v.length, v.near, v.up, v.first, v.sizes, v.tokens
         last, back = [-1] * (len(w) + 1), [0] * (len(w) + 1)
         s = n = i = 0
         for c in w:
             i += 1
-            x = step(s << 10 | c)
-            while x is None:
+            while (k := bisect_left(keys, s << 10 | c)) == len(keys) or keys[k] != s << 10 | c:
                 s = link[s]
                 n = length[s]
-                x = step(s << 10 | c)
-            s = x
+            s = to[k]
             n += 1
             t = near[s]
             while t:
-                for size, token in at[t]:
+                for q in range(first[t], first[t + 1]):
+                    size, token = sizes[q], tokens[q]
                     if size <= n and (size == i or (u := last[i - size]) >= 0 and fits[u << 32 | token]):
                         last[i], back[i] = token, i - size
                         t = 0
@@ -193,7 +200,7 @@ class Encoder:
         flat = self.codes[np.frombuffer("".join([pieces[k] for k in pieces_by]).encode("utf-32-le"), dtype="<u4")]
         flat[begin + size - 1] += self.v.ends
         n_all, longest = len(size), int(size[0])
-        last, back = np.full((longest + 1, n_all), -1), np.zeros((longest + 1, n_all), dtype=np.int64)
+        last, back = np.full((longest + 1, n_all), -1, dtype=np.int32), np.zeros((longest + 1, n_all), dtype=np.int8)
         s, n = np.zeros(n_all, dtype=np.int64), np.zeros(n_all, dtype=np.int64)
         for i in range(1, longest + 1):
             m = int(np.searchsorted(-size, -i, side="right"))  # those with a symbol here
@@ -217,7 +224,7 @@ class Encoder:
                 good[ask] = u[ask] >= 0
                 ask = ask[good[ask]]
                 if len(ask):
-                    kinds, of = np.unique(u[ask] << 32 | token[ask], return_inverse=True)
+                    kinds, of = np.unique(u[ask].astype(np.int64) << 32 | token[ask], return_inverse=True)
                     good[ask] = np.array([self.pairs[k] for k in kinds.tolist()])[of]
                 last[i, todo[good]], back[i, todo[good]] = token[good], i - wide[good]
                 todo, t, q = todo[~good], t[~good], q[~good] + 1
@@ -240,7 +247,7 @@ class Encoder:
         return out
 
     def prepare(self, texts: list[bytes]) -> None:
-        """Encode the new pre-tokens of a batch's words side by side; they are kept until the next batch."""
+        """Encode the new pre-tokens of a block's words side by side; they are kept until the next block."""
         self.cut, self.ready = {}, {}
         words, known, older = set().union(*(x.split() for x in texts)), self.words, self.words.old
         fresh: set[str] = set()
@@ -266,29 +273,33 @@ class Encoder:
             return [text.lower()] if text.isalpha() else _PLAIN_PARTS(text.lower())
         return [x for x, _ in self.pretokenise.pre_tokenize_str(self.normalise.normalize_str(text))]
 
-    def word(self, raw: bytes) -> tuple[bytes, bytes]:
-        """The bytes of the ids and of the decoded text of one word without white space of ASCII."""
+    def ids(self, raw: bytes) -> bytes:
+        """The bytes of the ids of one word without white space of ASCII."""
         if (parts := self.cut.get(raw)) is not None:
-            got = self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[x] for x in parts])
-        else:
-            ids, text = [], raw.decode()
-            for k, part in enumerate(self.split.split(text) if self.split else [text]):
-                if k % 2:
-                    ids.append(self.v.special[part].to_bytes(4, "little"))
-                elif part:
-                    ids += [self.pieces[x] for x in self.parts(part)]
-            got = b"".join(ids)
+            return self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[x] for x in parts])
+        ids, text = [], raw.decode()
+        for k, part in enumerate(self.split.split(text) if self.split else [text]):
+            if k % 2:
+                ids.append(self.v.special[part].to_bytes(4, "little"))
+            elif part:
+                ids += [self.pieces[x] for x in self.parts(part)]
+        return b"".join(ids)
+
+    def word(self, raw: bytes) -> tuple[bytes, bytes]:
+        """The same and the bytes of the word's decoded text."""
+        got = self.ids(raw)
         return got, " ".join(map(self.v.token.__getitem__, memoryview(got).cast("I"))).encode()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 KEPT.append(_ENCODERS)
 
 
-def _words(v: Vocabulary) -> Recent:
-    key = hashlib.sha1(v.json.encode()).hexdigest()
+def _words(v: Vocabulary, decodes: bool = True) -> Recent:
+    key = v.digest, decodes
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(v)
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(v, decodes)
         _ENCODERS[key].words.encoder = _ENCODERS[key]
     return _ENCODERS[key].words
 
@@ -303,38 +314,40 @@ def encode(text: bytes, words: Recent) -> tuple[bytes, bytes]:
     return ids, b" ".join(parts)
 
 
-def _mapped(key: str, text: str, shared, whole: bool):
+def _mapped(key: str, text: str, shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
-        for batch in batches:
-            n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
+        words = _words(shared.value, kind != "ids")
+        for batch in slices(batches, text):
             texts = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
             words.encoder.prepare(texts)
-            for value in texts:
-                ids, decoded = encode(value, words)
-                n.append(len(ids) // 4)
-                if whole:
-                    all_ids.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-                    all_text.append(decoded.decode())
-                else:
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded).hexdigest())
-            head = [batch.column(key), pa.array(n, pa.int64())]
-            if whole:
-                yield pa.RecordBatch.from_arrays([*head, pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())], names=[key, "n_tokens", "ids", "decoded"])
+            if kind == "ids":
+                ids = [b"".join([words[w] for w in x.split()]) for x in texts]
+            else:
+                ids, decoded = zip(*[encode(x, words) for x in texts], strict=True)
+            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            out = {key: batch.column(key), "n_tokens": pa.array(n)}
+            if kind == "digests":
+                out |= {name: pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()) for name, data in (("ids_sha256", ids), ("decoded_sha256", decoded))}
             else:
-                yield pa.RecordBatch.from_arrays([*head, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            if kind == "texts":
+                out["decoded"] = pa.array([x.decode() for x in decoded], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """For each row its ids and decoded text, or with digest their SHA-256 digests."""
+#: What a row gets besides its key and n_tokens.
+_TAILS = {"ids": "ids array<int>", "texts": "ids array<int>, decoded string", "digests": "ids_sha256 string, decoded_sha256 string"}
+
+
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False, decoded: bool = True) -> DataFrame:
+    """For each row its ids and, with decoded, its decoded text; or with digest the SHA-256 digests of both."""
     spark = docs.sparkSession
     configure(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(path))
-    tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return docs.select(key, text).mapInArrow(_mapped(key, text, shared, not digest), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, {tail}")
+    kind = "digests" if digest else "texts" if decoded else "ids"
+    return docs.select(key, text).mapInArrow(_mapped(key, text, shared, kind), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, {_TAILS[kind]}")
 
 
 def default_path() -> str:

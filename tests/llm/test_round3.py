@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import pickle
 import random
 import time
 import tracemalloc
@@ -539,6 +540,25 @@ def test_words_are_cut_once(monkeypatch):
     assert [encoder.words[w] for w in mixed] == [slow.word(w) for w in mixed]
 
 
+def test_ids_alone_take_little_memory(spark):
+    """A worker's vocabulary is small, caches for ids hold no decoded texts, and the ids are the same, whatever the slices."""
+    path = bpe.default_path()
+    data = pickle.dumps(bpe.Vocabulary(path))
+    tracemalloc.start()
+    encoder = bpe.Encoder(pickle.loads(data), decodes=False)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 20 << 20
+    both = bpe.Encoder(bpe.Vocabulary(path))
+    words = ["don't".encode(), "WÖRDS".encode(), b"x<|endoftext|>y", b"12!?", b"a" * 500]
+    assert [encoder.words[w] for w in words] == [both.words[w][0] for w in words]
+    docs = spark.createDataFrame([(1, "some Words, " * 100_000), (2, None), (3, ""), (4, "船舶 <|endoftext|> don't"), (5, "end")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encoded(docs, path, decoded=False).collect()}
+    assert got[1].asDict().keys() == {"doc_id", "n_tokens", "ids"}
+    assert {i: (r.n_tokens, r.ids) for i, r in got.items()} == {r.doc_id: (r.n_tokens, r.ids) for r in bpe.encoded(docs, path).collect()}
+    assert got[1].n_tokens == len(got[1].ids) == 300_000 and got[2].ids == got[3].ids == []
+
+
 def test_steps_in_one_array_are_those_of_the_hash_table(monkeypatch):
     dice = random.Random(3)
     text = lambda letters, k: "".join(dice.choice(letters + " ") for _ in range(k))
