@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from examloom.operators import tables
 from examloom.plans.base import ORACLE_SQL, query, table
 from examloom.plans.harness import place
-from examloom.plans.text import escaped
+from examloom.plans.text import key_heads, key_page
 from examloom.sources import remote
 from examloom.streaming import grouping
 
@@ -50,7 +50,6 @@ def chunk_table_function(spark, d):
 def questions_table_function(spark, d):
     """Questions by a table function in SQL, of the texts that key_format_parse makes."""
     tables.register(spark)
-    page = F.concat(F.lit("1. Q "), escaped("text", r"\p{Nd}.．、:"), F.lit(" A. one B. two C. three D. four KEY: C because\n2. 同上\n"))
-    table(spark, d, "documents").select("doc_id", page.alias("page")).createOrReplaceTempView("pages_to_parse")
+    table(spark, d, "documents").select("doc_id", key_page("text").alias("page")).createOrReplaceTempView("pages_to_parse")
     got = spark.sql("SELECT p.doc_id, q.* FROM pages_to_parse p, LATERAL questions(p.page, 'key') q")
-    return got.select("doc_id", "number", F.regexp_replace("question", r"\\(.)", "$1").alias("question"), *(F.element_at("options", k).alias(f"option_{k.lower()}") for k in "ABCD"), "answer", "explanation", "repairs")
+    return key_heads(got.select("doc_id", "number", F.regexp_replace("question", r"\\(.)", "$1").alias("question"), *(F.element_at("options", k).alias(f"option_{k.lower()}") for k in "ABCD"), "answer", "explanation", "repairs"))

@@ -81,7 +81,7 @@ def test_parsers_get_whole_texts(spark, tmp_path, name):
         assert [(r.page_id, r.question) for r in rows if r.doc_id is None] == [(9, "Which of these holds?")]
 
 
-@pytest.mark.parametrize("name", ["key_format_parse"])
+@pytest.mark.parametrize("name", ["key_format_parse", "questions_table_function"])
 def test_key_questions_of_texts_without_words_and_of_new_digits(spark, tmp_path, name):
     docs = [(1, ""), (2, " \n\u3000"), (3, "[\U00011f50] one * \U00011f50 + two"), (4, None), (5, "A."), (6, "\uffff \\ Question")]
     d = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"))
