@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.session import small_batches
+from examloom.storage import stored
 
 BLOCK = 2048
 #: Cells of one product.
@@ -45,6 +46,8 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 #: Cells of the metric partition at most, and rows of the sample that they are chosen from.
 CELLS, SAMPLE = 4096, 4096
+#: Copies of a row in other cells at most, on average: what is moved then grows no faster than the rows.
+COPIES = 4
 
 
 class Cells:
@@ -78,24 +81,24 @@ class Cells:
         return home, row, cell
 
 
-def _cells(rows: DataFrame, n: int, threshold: float, block: int, cells: int) -> Cells:
-    """The number of cells that costs least on a sample, which decides on speed only."""
+def _cells(rows: DataFrame, n: int, threshold: float, cells: int) -> Cells:
+    """The number of cells that costs least on a sample, which decides on speed only; one, if any more would need too many copies."""
     drawn = rows.orderBy(F.xxhash64("k")).limit(min(SAMPLE, max(64, n))).collect()
     x = np.unique(_unit(pd.Series([r.v for r in drawn])), axis=0) if drawn else np.zeros((1, 1))
     x = x[np.random.default_rng(0).permutation(len(x))]
-    least, best, cost = max(1, -(-n // block)), None, np.inf
-    m = min(cells, len(x), max(least, int(np.ceil(2 * np.sqrt(n)))))
+    best, cost = None, np.inf
+    m = min(cells, len(x), max(1, int(np.ceil(2 * np.sqrt(n)))))
     while True:
         got = Cells(x[:m], threshold)
         home, row, cell = got.place(x)
         own, more = np.bincount(home, minlength=m) * (n / len(x)), np.bincount(cell, minlength=m) * (n / len(x))
         # Products, and rows that are moved at what some dozens of products cost.
         now = float((own * (own / 2 + more)).sum() + 64 * (n + more.sum()))
-        if now < cost:
+        if now < cost and (m == 1 or more.sum() <= COPIES * n):
             best, cost = got, now
-        if m <= least:
+        if m == 1:
             return best
-        m = max(least, m // 4)
+        m = max(1, m // 4)
 
 
 def in_blocks(placed: DataFrame, block: int, many: bool = False) -> DataFrame:
@@ -127,20 +130,21 @@ def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return part[~part["copy"] & (part["b"] == x)], part[part["copy"]] if y < 0 else part[part["b"] == y], x == y
 
 
-def placements(found: Cells, keys: np.ndarray, vectors: pd.Series) -> Iterator[pd.DataFrame]:
-    """Rows (k, v, cell, copy) at home and copied; as a vector may have a copy in every cell, in frames of bounded size."""
+def placements(found: Cells, keys: np.ndarray, vectors: pd.Series, beside: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Rows (k, e if given, v, cell, copy) at home and copied; as a vector may have a copy in every cell, in frames of bounded size."""
     step = max(1, PART // len(found.pivots))
     for a in range(0, len(keys), step):
-        x = _unit(vectors.iloc[a : a + step])
-        home, row, cell = found.place(x)
-        at, cell, copy = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell]), np.repeat([False, True], [len(x), len(row)])
+        v = vectors.iloc[a : a + step].to_numpy()
+        home, row, cell = found.place(_unit(v))
+        at, cell, copy = np.concatenate([np.arange(len(v)), row]), np.concatenate([home, cell]), np.repeat([False, True], [len(v), len(row)])
         for b in range(0, len(at), ROWS):
             some = slice(b, b + ROWS)
-            yield pd.DataFrame({"k": keys[a + at[some]], "v": list(x[at[some]]), "cell": cell[some], "copy": copy[some]})
+            more = {} if beside is None else {"e": beside[a + at[some]]}
+            yield pd.DataFrame({"k": keys[a + at[some]], **more, "v": list(v[at[some]]), "cell": cell[some], "copy": copy[some]})
 
 
-def products(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> Iterator[pd.DataFrame]:
-    """Similar pairs (i, j, sim) of two blocks; as all of them may be similar, in frames of bounded size."""
+def products(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray, same: bool, threshold: float, ea: np.ndarray | None = None, eb: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Similar pairs (i, j, sim; ei, ej if given) of two blocks; as all of them may be similar, in frames of bounded size."""
     step = max(1, PART // len(kb))
     for at in range(0, len(ka), step):
         s = x[at : at + step] @ y.T
@@ -148,44 +152,87 @@ def products(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray, same:
         i, j, s = ka[at + p], kb[q], s[p, q]
         keep = i < j if same else i != j
         if keep.any():
-            yield pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": s[keep]})
+            p, q, i, j, s = p[keep], q[keep], i[keep], j[keep], s[keep]
+            more = {} if ea is None else {"ei": np.where(i < j, ea[at + p], eb[q]), "ej": np.where(i < j, eb[q], ea[at + p])}
+            yield pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": s, **more})
 
 
-def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_k: int | None = None, block: int = BLOCK, cells: int = CELLS, compared=None) -> DataFrame:
+def _packed(placed: DataFrame, block: int) -> DataFrame:
+    """Blocks of the rows at home and of the copies of each cell, stored: a row (cell, copy, b, k, e, v) each, v being the vectors' bytes."""
+    kinds = dict(placed.dtypes)
+    sizes = placed.groupBy("cell").agg(F.count_if(~F.col("copy")).alias("own"), F.count_if("copy").alias("more")).where("own > 0")
+    # A line for each cell, whose number is bounded by a parameter.
+    plan = sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("blocks"), F.ceil(F.col("more") / block).cast("int").alias("others")).collect()
+    plan = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in plan], "cell int, blocks int, others int"))
+    dealt = placed.join(plan, "cell").withColumn("b", F.pmod(F.xxhash64("k"), F.when(F.col("copy"), F.col("others")).otherwise(F.col("blocks"))).cast("int"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        one = part.iloc[0]
+        return pd.DataFrame({"cell": [one["cell"]], "copy": [one["copy"]], "b": [one["b"]], "k": [part["k"].to_list()], "e": [part["e"].to_list()], "v": [np.array(part["v"].to_list()).tobytes()]})
+
+    return stored(dealt.drop("blocks", "others").groupBy("cell", "copy", "b").applyInPandas(pack, f"cell int, copy boolean, b int, k array<{kinds['k']}>, e array<string>, v binary"), "blocks")
+
+
+def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, top_k: int | None = None, block: int = BLOCK, cells: int = CELLS, compared=None, beside: str | None = None) -> DataFrame:
     """All pairs i < j with cosine of at least the threshold: (i, j, sim).
 
     Vectors are parted into cells around pivots; one near a border, as the
     threshold has it, is copied across it (see Cells), so a cell meets all pairs
-    that can be similar and no others.  A cell with more rows than a block is
-    several blocks, and every pair of these a product of its own; no task holds
-    more than two.  top_k keeps each row's best neighbours only (a limit that is
-    the feature, off by default).  compared: an accumulator of the products made.
+    that can be similar and no others.  A cell's rows are blocks of bounded size,
+    packed into a row each and stored once.  Every pair of blocks of a cell is a
+    product, read from there by a join that moves partitions of blocks against
+    each other: nothing is shuffled for a product, so what lies on disk grows
+    with the vectors, though the products grow with their square.  top_k keeps
+    each row's best neighbours only (a limit that is the feature, off by
+    default).  compared: an accumulator of the products made.  beside: a column
+    that the pairs take along, as (i, j, sim, ei, ej).
 
     Null vectors take no part; a zero vector is similar to nothing (0).  Rows
     with equal keys are not paired with each other.
     """
-    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes)
     small_batches(spark)
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("k").isNotNull())
-    found = _cells(rows, rows.count(), threshold, block, cells)
+    kind, wide = kinds[key], "float" if kinds[vector] == "array<float>" else "double"
+    other = F.col(beside).cast("string") if beside else F.lit(None).cast("string")
+    rows = vectors.select(F.col(key).alias("k"), other.alias("e"), F.col(vector).cast(f"array<{wide}>").alias("v")).where(F.col("v").isNotNull() & F.col("k").isNotNull())
+    found = _cells(rows, rows.count(), threshold, cells)
     shared = spark.sparkContext.broadcast(found)
 
     def place(parts):
         for part in parts:
-            yield from placements(shared.value, part["k"].to_numpy(), part["v"])
+            yield from placements(shared.value, part["k"].to_numpy(), part["v"], part["e"].to_numpy())
 
-    placed = rows.mapInPandas(place, f"k {kind}, v array<double>, cell int, copy boolean")
-    units = in_blocks(placed, block)
+    blocks = _packed(rows.mapInPandas(place, f"k {kind}, e string, v array<{wide}>, cell int, copy boolean"), block)
+    left = blocks.where(~F.col("copy")).select("cell", F.col("b").alias("x"), F.col("k").alias("ka"), F.col("e").alias("ea"), F.col("v").alias("va"))
+    right = blocks.select(F.col("cell").alias("at"), F.col("copy"), F.col("b").alias("y"), F.col("k").alias("kb"), F.col("e").alias("eb"), F.col("v").alias("vb"))
+    # Rows at home meet each other and the copies; copies don't meet.
+    met = left.join(right.hint("shuffle_replicate_nl"), (F.col("cell") == F.col("at")) & (F.col("copy") | (F.col("x") <= F.col("y")))).withColumn("same", ~F.col("copy") & (F.col("x") == F.col("y")))
 
-    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b, same = sides(pd.concat(list(parts)))
-        if not len(a) or not len(b):
-            return
-        if compared is not None:
-            compared.add(len(a) * (len(a) - 1) // 2 if same else len(a) * len(b))
-        yield from products(a["k"].to_numpy(), np.array(a["v"].to_list()), b["k"].to_numpy(), np.array(b["v"].to_list()), same, threshold)
+    def matrix(v: bytes, n: int) -> np.ndarray:
+        x = np.frombuffer(v, dtype="<f4" if wide == "float" else "<f8").reshape(n, -1).astype(np.float64)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(length == 0, 1, length)
 
-    pairs = units.groupBy("cell", "x", "y").applyInPandas(multiply, f"i {kind}, j {kind}, sim double").where(F.col("sim") >= threshold)
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for part in parts:
+            for ka, ea, va, kb, eb, vb, same in part.itertuples(index=False, name=None):
+                ka, kb = np.asarray(ka), np.asarray(kb)
+                if compared is not None:
+                    compared.add(len(ka) * (len(ka) - 1) // 2 if same else len(ka) * len(kb))
+                for got in products(ka, matrix(va, len(ka)), kb, matrix(vb, len(kb)), same, threshold, *((np.asarray(ea, dtype=object), np.asarray(eb, dtype=object)) if beside else ())):
+                    held.append(got)
+                    n += len(got)
+                    if n >= PART // 8:
+                        yield pd.concat(held)
+                        held, n = [], 0
+        if held:
+            yield pd.concat(held)
+
+    more = ", ei string, ej string" if beside else ""
+    pairs = met.select("ka", "ea", "va", "kb", "eb", "vb", "same").mapInPandas(multiply, f"i {kind}, j {kind}, sim double{more}").where(F.col("sim") >= threshold)
+    if beside:
+        pairs = pairs.withColumns({e: F.col(e).cast(kinds[beside]) for e in ("ei", "ej")})
     if top_k is None:
         return pairs
     both = pairs.select(F.col("i").alias("o"), "i", "j", "sim").unionByName(pairs.select(F.col("j").alias("o"), "i", "j", "sim"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from examloom.functions.textsim import token_set
 from examloom.operators import dedup, similarity
@@ -97,3 +98,27 @@ def test_near_pairs_are_placed_and_made_in_frames_of_bounded_size(monkeypatch):
     assert np.allclose(np.array(placed["v"].to_list()), x[placed["k"]])
     frames = list(similarity.products(keys, x, keys, x, True, 0.2))
     assert max(map(len, frames)) <= 4000 and sum(map(len, frames)) == 300 * 299 // 2
+
+
+def shuffled(spark):
+    """Bytes that this session has written to shuffles so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_vectors_without_clusters_are_moved_a_few_times(spark):
+    x = np.random.default_rng(8).normal(size=(2000, 32))
+    df, before = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "id long, v array<double>"), shuffled(spark)
+    got = [(r.i, r.j) for r in similarity.near_pairs(df, "id", "v", 0.4, block=50).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_pairs(x, 0.4)
+    assert shuffled(spark) - before < 2 * x.nbytes
+
+
+def test_pairs_take_a_column_along(spark):
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    df = frame(spark, x).withColumn("l", F.when(F.col("id") % 4 > 0, F.col("id") * 10**16 + 1))
+    label = lambda i: i * 10**16 + 1 if i % 4 else None
+    for block in (7, 2048):
+        got = similarity.near_pairs(df, "id", "v", 0.8, block=block, beside="l").collect()
+        assert {(r.i, r.j) for r in got} == all_pairs(x, 0.8)
+        assert all((r.ei, r.ej) == (label(r.i), label(r.j)) for r in got)
