@@ -95,10 +95,8 @@ def leader_clusters(spark, d):
 @query(f"""SELECT i, j, round(sim, 6) AS sim, CASE WHEN (same AND sim >= 0.45) OR sim >= 0.48 THEN 'trusted' ELSE 'verify' END AS decision FROM (
 SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE sim >= {NEAR}""")
 def verification_split(spark, d):
-    v = table(spark, d, "embeddings")
-    pairs = similarity.near_pairs(v, "vec_id", "embedding", NEAR)
-    pairs = pairs.join(v.select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(v.select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j")
-    return dedup.verification_split(pairs, F.col("li") == F.col("lj"), F.col("sim"), F.lit(True), trusted=0.48, same=0.45).select("i", "j", F.round("sim", 6).alias("sim"), "decision")
+    pairs = similarity.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR, beside="label")
+    return dedup.verification_split(pairs, F.col("ei") == F.col("ej"), F.col("sim"), F.lit(True), trusted=0.48, same=0.45).select("i", "j", F.round("sim", 6).alias("sim"), "decision")
 
 
 @query("SELECT doc_id, quality FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, quality FROM labels WHERE quality = 0 AND toxic = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions.textsim import token_set
 from examloom.operators import dedup, similarity
+from examloom.plans.registry import QUERIES
 
 
 def unit(x):
@@ -122,3 +123,17 @@ def test_pairs_take_a_column_along(spark):
         got = similarity.near_pairs(df, "id", "v", 0.8, block=block, beside="l").collect()
         assert {(r.i, r.j) for r in got} == all_pairs(x, 0.8)
         assert all((r.ei, r.ej) == (label(r.i), label(r.j)) for r in got)
+
+
+def test_split_pairs_are_not_shuffled(spark, tmp_path):
+    x = np.random.default_rng(10).normal(size=(700, 3))
+    rows = [(i, [float(t) for t in v], None if i == 5 else i % 3) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table's joins
+    got = {(r.i, r.j): r.decision for r in QUERIES["verification_split"](spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    s = unit(x) @ unit(x).T
+    same = lambda i, j: 5 not in (i, j) and i % 3 == j % 3
+    assert got == {(i, j): "trusted" if s[i, j] >= 0.48 or same(i, j) and s[i, j] >= 0.45 else "verify" for i, j in all_pairs(x, 0.4)}
+    assert len(got) > 50000 and shuffled(spark) - before < 200_000
