@@ -322,11 +322,18 @@ def recovered(removed: DataFrame, verdicts: DataFrame, kept: DataFrame, key: str
 
 
 def verdict_lists(pairs: DataFrame, verdict: Column) -> DataFrame:
-    """Pairs (.., sim) with the list they go to and their place in it: recovered if the verdict is DIFFERENT, else removed; each by falling similarity, then by the pairs' other columns."""
+    """Pairs (.., sim) with the list they go to and their place in it: recovered if the verdict is DIFFERENT, else removed; each by falling similarity, then by the pairs' other columns.
+
+    The pairs are stored, as a global order reads them more than once; a list is
+    a flag until they are in order.
+    """
     from examloom.operators.packing import renumbered
 
-    told = pairs.withColumn("list", F.when(verdict == "DIFFERENT", "recovered").otherwise("removed"))
+    told = stored(pairs.withColumn("__back", F.coalesce(verdict == "DIFFERENT", F.lit(False))), "told")
     others = [c for c in pairs.columns if c != "sim"]
-    placed = renumbered(told, [F.col("list"), F.desc("sim"), *map(F.col, others)], "__n")
-    first = placed.groupBy("list").agg(F.min("__n").alias("__first"))
-    return placed.join(F.broadcast(first), "list").withColumn("place", F.col("__n") - F.col("__first") + 1).drop("__n", "__first")
+    placed = renumbered(told, [F.col("__back"), F.desc("sim"), *map(F.col, others)], "__n")
+    # The list that comes first has as many as go before the other.
+    first = told.groupBy("__back").agg(F.count("*").alias("n")).select((~F.col("__back")).alias("__after"), "n")
+    before = F.when(F.col("__back"), F.coalesce(F.col("n"), F.lit(0))).otherwise(0)
+    out = placed.join(F.broadcast(first), F.col("__back") == F.col("__after"), "left").withColumn("place", F.col("__n") - before)
+    return out.withColumn("list", F.when(F.col("__back"), "recovered").otherwise("removed")).select(*pairs.columns, "list", "place")

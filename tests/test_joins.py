@@ -137,3 +137,18 @@ def test_split_pairs_are_not_shuffled(spark, tmp_path):
     same = lambda i, j: 5 not in (i, j) and i % 3 == j % 3
     assert got == {(i, j): "trusted" if s[i, j] >= 0.48 or same(i, j) and s[i, j] >= 0.45 else "verify" for i, j in all_pairs(x, 0.4)}
     assert len(got) > 50000 and shuffled(spark) - before < 200_000
+
+
+def test_listed_pairs_are_shuffled_once(spark, tmp_path):
+    x = np.random.default_rng(11).normal(size=(700, 3))
+    label = [None if i == 5 else i % 3 for i in range(700)]
+    spark.createDataFrame([(i, [float(t) for t in v], label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table's joins
+    got = sorted(((r.list, r.place, r.i, r.j) for r in QUERIES["verdict_lists"](spark, str(tmp_path)).collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved, s, want = shuffled(spark) - before, unit(x) @ unit(x).T, []
+    for name, same in (("recovered", False), ("removed", True)):
+        pairs = sorted((-round(s[i, j], 6), i, j) for i, j in all_pairs(x, 0.4) if (label[i] is not None and label[i] == label[j]) == same)
+        want += [(name, at, i, j) for at, (_, i, j) in enumerate(pairs, 1)]
+    assert got == want and moved < 40 * len(want)
