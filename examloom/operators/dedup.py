@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.textsim import indel_ratio, token_set, token_set_ratio
-from examloom.operators.similarity import in_blocks, sides
+from examloom.operators.similarity import in_blocks, likely_bound, near_pairs, sides
 from examloom.storage import discard, stored
 
 
@@ -203,6 +203,32 @@ def greedy(pairs: DataFrame, nodes: DataFrame, by_similarity: bool) -> DataFrame
     return resolve(ranked.select("i", "j", "rank"), nodes).select("kept", "removed", F.when(F.lit(by_similarity), -F.col("rank.a")).alias("similarity")) if order else ranked
 
 
+#: Pairs for a row on average that one band of similarities is meant to have, and how much lower each band goes at least.
+DEGREE, STEP = 16, 0.05
+
+
+def greedy_vectors(vectors: DataFrame, key: str, vector: str, weight: str, threshold: float, degree: float = DEGREE) -> DataFrame:
+    """greedy() by similarity on all pairs of vectors that reach the threshold: (kept, removed, similarity).
+
+    Pairs are walked by falling similarity, so they are made in bands: those of
+    the next, lower band among the rows that still live, as a pair with a dead
+    end does nothing.  A band ends where a sample expects a bounded number of
+    pairs a row, so what is stored grows with the rows and not with all pairs.
+    Each band goes lower by a step at least, which bounds their number.
+    """
+    live = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(weight).cast("long").alias("weight"))
+    found, least, used = [], 1.0, []
+    while True:
+        least = max(threshold, min(least - STEP, likely_bound(live, "id", "v", degree)))
+        found.append(greedy(near_pairs(live, "id", "v", least), live.select("id", "weight"), by_similarity=True))
+        if least <= threshold:
+            break
+        live = stored(live.join(found[-1].select(F.col("removed").alias("id")), "id", "left_anti"), "live")
+        used.append(live)
+    discard(*used)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def similar_questions(rows: DataFrame, threshold: float, block: int = TEXT_BLOCK) -> DataFrame:
     """Pairs (a, b), both ways, of rows (k, key, q, o, images) of one key whose questions, and whose options or images, are similar enough; every row with itself."""
     t = float(threshold)

@@ -101,6 +101,19 @@ def _cells(rows: DataFrame, n: int, threshold: float, cells: int) -> Cells:
         m = max(1, m // 4)
 
 
+def likely_bound(vectors: DataFrame, key: str, vector: str, degree: float) -> float:
+    """The similarity that a row reaches with so many others on average, by a sample; -1 if there are no more rows."""
+    n = vectors.count()
+    if n - 1 <= degree:
+        return -1.0
+    drawn = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).select(F.col(vector).alias("v")).limit(SAMPLE // 2).collect()
+    if len(drawn) < 2:
+        return -1.0
+    x = _unit(pd.Series([r.v for r in drawn]))
+    s = (x @ x.T)[np.triu_indices(len(x), 1)]
+    return float(-np.sort(-s)[min(len(s) - 1, max(0, round(len(s) * degree / (n - 1)) - 1))])
+
+
 def in_blocks(placed: DataFrame, block: int, many: bool = False) -> DataFrame:
     """Rows (k, ..., cell, copy) dealt to products of two blocks of a cell: grouped by cell, x and y, each has all that sides() needs.
 

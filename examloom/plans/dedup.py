@@ -53,9 +53,7 @@ SELECT a.vec_id AS i, b.vec_id AS j, a.label::BIGINT AS wi, b.label::BIGINT AS w
 g(r, gone, hit) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT p.r, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END, NOT (list_contains(gone, i) OR list_contains(gone, j)) FROM g JOIN p ON p.r = g.r + 1)
 SELECT CASE WHEN loser = i THEN j ELSE i END AS kept, loser AS removed, round(sim, 6) AS similarity FROM g JOIN p USING (r) WHERE hit""")
 def embedding_greedy_dedup(spark, d):
-    vectors = table(spark, d, "embeddings")
-    pairs = similarity.near_pairs(vectors, "vec_id", "embedding", NEAR)
-    return dedup.greedy(pairs, vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("weight")), by_similarity=True).withColumn("similarity", F.round("similarity", 6))
+    return dedup.greedy_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", "label", NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
 FUZZY = 50.0

@@ -152,3 +152,21 @@ def test_listed_pairs_are_shuffled_once(spark, tmp_path):
         pairs = sorted((-round(s[i, j], 6), i, j) for i, j in all_pairs(x, 0.4) if (label[i] is not None and label[i] == label[j]) == same)
         want += [(name, at, i, j) for at, (_, i, j) in enumerate(pairs, 1)]
     assert got == want and moved < 40 * len(want)
+
+
+def test_greedy_resolution_makes_few_of_the_pairs(spark, tmp_path):
+    x = np.random.default_rng(12).normal(size=(600, 4))
+    spark.createDataFrame([(i, [float(t) for t in v], i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table's joins
+    got = {(r.kept, r.removed, r.similarity) for r in QUERIES["embedding_greedy_dedup"](spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved, s, gone, want = shuffled(spark) - before, unit(x) @ unit(x).T, set(), set()
+    pairs = sorted((-s[i, j], i, j) for i, j in all_pairs(x, 0.4))
+    for sim, i, j in pairs:
+        if i not in gone and j not in gone:
+            kept, removed = (i, j) if i % 3 > j % 3 or i % 3 == j % 3 else (j, i)
+            gone.add(removed)
+            want.add((kept, removed, round(-sim, 6)))
+    assert {(k, r) for k, r, _ in got} == {(k, r) for k, r, _ in want} and got == want
+    assert moved < 60 * len(pairs), (moved, len(pairs))
